@@ -7,12 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .text import WS, strip, strip_accents
+from .text import WS, strip_accents
 
 
 def sort_tokens(col: Column) -> Column:
     """Words of a normalised text in alphabetical order."""
-    return F.array_join(F.array_sort(F.split(F.trim(col), " +")), " ")
+    return F.array_join(F.sort_array(F.split(F.trim(col), " +")), " ")
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -51,13 +51,18 @@ def reaches(lcs: Column, total: Column, threshold: int) -> Column:
 
 
 def bigrams(col: Column) -> Column:
-    """Bigrams with their occurrence number, so a set intersection counts like a multiset."""
-    grams = F.when(
+    """Two-character windows; a shorter text is its own only gram."""
+    return F.when(
         F.char_length(col) >= 2,
         F.transform(
             F.sequence(F.lit(1), F.char_length(col) - 1), lambda i: F.substr(col, i, F.lit(2))
         ),
     ).otherwise(F.array(col))
+
+
+def number_repeats(name: str) -> Column:
+    """Occurrence number after every gram of a column, so sets intersect like multisets."""
+    grams = F.col(name)
     return F.transform(
         grams,
         lambda g, i: F.concat(
@@ -95,16 +100,3 @@ def article_needles(numbers: Column) -> Column:
     stems = F.array(*[F.lit(s) for s in ARTICLE_STEMS])
     return F.flatten(F.transform(numbers, lambda n: F.transform(stems, lambda s: F.concat(s, n))))
 
-
-__all__ = [
-    "article_needles",
-    "article_numbers",
-    "bigrams",
-    "lcs_similarity",
-    "reaches",
-    "sentences",
-    "sort_tokens",
-    "strip",
-    "token_sort_ratio",
-    "word_set",
-]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import WHITESPACE, WS
@@ -14,50 +14,62 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda t: t != "")
 
 
-def token_bucket(token: Column, dim: int) -> Column:
-    """MD5 of the token as a 128-bit number modulo ``dim``, taken 32 bits at a time."""
-    digest = F.md5(F.encode(token, F.lit("UTF-8")))
+def digest_bucket(digest: Column, dim: int) -> Column:
+    """Hex digest as a 128-bit number modulo ``dim``, folded 15 digits at a time."""
     out = F.lit(0).cast("bigint")
-    for start in (1, 9, 17, 25):
-        word = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
-        out = (out * F.lit((1 << 32) % dim).cast("bigint") + word) % F.lit(dim)
+    for start, digits in ((1, 15), (16, 15), (31, 2)):
+        word = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+        out = (out * F.lit(16**digits % dim).cast("bigint") + word) % F.lit(dim)
     return out.cast("int")
 
 
-def term_counts(col: Column, dim: int) -> Column:
-    """F19 before scaling: ``ARRAY<STRUCT<bucket, n>>`` by bucket, built inside the row.
+def token_buckets(words: Column, dim: int) -> Column:
+    """MD5 bucket of every word; the digest is its own step, so it is computed once per word."""
+    digests = F.transform(words, lambda t: F.md5(t.cast("binary")))
+    return F.transform(digests, lambda d: digest_bucket(d, dim))
 
-    Buckets are sorted, so the count of one bucket is the distance between its first position and
-    the first position of the next one.
+
+def with_terms(df: DataFrame, text: str, dim: int) -> DataFrame:
+    """F19 before scaling: adds ``buckets``, ``counts`` and ``norm2`` (squared length).
+
+    Everything happens inside the row, so no token is shuffled. Buckets are sorted, so the count of
+    one is the distance between its first position and the first position of the next. Every step
+    is a column of its own, because an array that a lambda reads must be computed only once.
     """
-    ordered = F.array_sort(F.transform(tokens(col), lambda t: token_bucket(t, dim)))
-    distinct = F.array_distinct(ordered)
-    starts = F.transform(distinct, lambda b: F.array_position(ordered, b))
+    step = df.withColumn("_t", tokens(F.col(text)))
+    step = step.withColumn(
+        "_sorted", F.sort_array(token_buckets(F.col("_t"), dim))
+    )
+    step = step.withColumn("buckets", F.array_distinct("_sorted"))
+    step = step.withColumn(
+        "_from", F.transform("buckets", lambda b: F.array_position(F.col("_sorted"), b))
+    )
+    # The slice starts behind the end when there is one bucket or none, which gives an empty array.
     ends = F.concat(
-        F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(0))),
-        F.array(F.size(ordered).cast("bigint") + 1),
+        F.slice("_from", 2, F.greatest(F.size("_from"), F.lit(0))),
+        F.array(F.size("_sorted").cast("bigint") + 1),
     )
-    return F.zip_with(
-        F.arrays_zip(distinct.alias("b"), starts.alias("s")),
-        ends,
-        lambda bs, e: F.struct(
-            bs["b"].alias("bucket"), (e - bs["s"]).cast("bigint").alias("n")
+    step = step.withColumn(
+        "counts",
+        F.filter(
+            F.zip_with("_from", ends, lambda a, b: (b - a).cast("bigint")),
+            lambda n: n.isNotNull(),
         ),
     )
-
-
-def norm_squared(terms: Column) -> Column:
-    """Whole-number squared length of a term vector."""
-    return F.aggregate(
-        terms, F.lit(0).cast("bigint"), lambda acc, t: acc + t["n"] * t["n"]
+    step = step.withColumn(
+        "norm2", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, n: s + n * n)
     )
+    return step.drop("_t", "_sorted", "_from")
 
 
-def unit_weights(terms: Column) -> Column:
-    """counts scaled to unit length."""
-    length = F.sqrt(norm_squared(terms).cast("double"))
-    return F.transform(
-        terms, lambda t: F.struct(t["bucket"].alias("bucket"), (t["n"] / length).alias("weight"))
+def term_weights(df: DataFrame, keys: list[str]) -> DataFrame:
+    """F19 in long form: ``keys, bucket, weight`` with unit length per row of ``df``."""
+    return df.select(
+        *keys, "norm2", F.inline(F.arrays_zip("buckets", "counts"))
+    ).select(
+        *keys,
+        F.col("buckets").alias("bucket"),
+        (F.col("counts") / F.sqrt(F.col("norm2").cast("double"))).alias("weight"),
     )
 
 
@@ -65,4 +77,7 @@ def unit_vector(vec: Column) -> Column:
     """dense vector scaled to unit length; a zero vector stays as it is."""
     wide = F.transform(vec, lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
+    return F.transform(
+        F.arrays_zip(wide.alias("x"), F.array_repeat(length, F.size(wide)).alias("n")),
+        lambda p: F.when(p["n"] > 0, p["x"] / p["n"]).otherwise(p["x"]),
+    )

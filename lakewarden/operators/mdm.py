@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bigrams, lcs_similarity, reaches, sort_tokens
+from ..functions.similarity import (
+    bigrams,
+    lcs_similarity,
+    number_repeats,
+    reaches,
+    sort_tokens,
+)
 from ..functions.text import is_missing, normalize_email, normalize_text, strip
 from ..rules import Entity, RulePack
 from ..session import cut
@@ -98,13 +104,16 @@ def name_blocks(nodes: DataFrame, threshold: int) -> DataFrame:
     """
     if threshold < 84:
         raise ValueError("the bigram bound needs a threshold of at least 84")
-    grams = nodes.select("node", "name", "email", "len", F.explode(bigrams(F.col("name"))).alias("gram"))
+    grams = nodes.withColumn("pairs", bigrams(F.col("name")))
+    grams = grams.select(
+        "node", "name", "email", "len", F.explode(number_repeats("pairs")).alias("gram")
+    )
     grams = grams.withColumn("pair", F.substring_index("gram", "#", 1))
     weight = grams.groupBy("pair").agg(F.count(F.lit(1)).alias("freq"))
     ordered = (
         grams.join(F.broadcast(weight), "pair")
         .groupBy("node", "name", "email", "len")
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
+        .agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
     )
     keep = F.size("grams") - _required_overlap(F.col("len"), threshold) + 1
     return ordered.select(

@@ -83,7 +83,7 @@ def first_values(df: DataFrame, order_col: str, n: int, columns: list[str]) -> D
             .filter(F.col("value").isNotNull())
             .orderBy("ord", "value")
             .limit(n)
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("top"))
+            .agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("top"))
             .select(F.lit(i).alias("ordinal"), F.posexplode("top").alias("pos", "item"))
             .select("ordinal", "pos", F.col("item.value").alias("value"))
         )
@@ -113,7 +113,7 @@ def column_profile(
         .agg(
             F.avg(matches(F.col("value"), EMAIL_PATTERN).cast("double")).alias("email_share"),
             F.transform(
-                F.slice(F.array_sort(F.collect_list(F.struct("pos", "value"))), 1, SHOWN_SAMPLE),
+                F.slice(F.sort_array(F.collect_list(F.struct("pos", "value"))), 1, SHOWN_SAMPLE),
                 lambda s: s["value"],
             ).alias("sample_values"),
         )
@@ -204,7 +204,7 @@ def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def _names_where(flag: str) -> Column:
     """Column names with a set flag, in table order."""
     return F.transform(
-        F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("ordinal", "column")))),
+        F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("ordinal", "column")))),
         lambda s: s["column"],
     )
 
@@ -229,7 +229,7 @@ def table_profile(
         F.count(F.lit(1)).cast("int").alias("columns"),
         F.map_from_entries(
             F.transform(
-                F.array_sort(null_entries),
+                F.sort_array(null_entries),
                 lambda s: F.struct(s["column"].alias("k"), s["null_count"].alias("v")),
             )
         ).alias("nulls"),
@@ -240,7 +240,7 @@ def table_profile(
     keys = pack.unique_keys(table, df.columns)
     if keys:
         duplicates = key_duplicates(df, keys).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "extras")))).alias(
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "extras")))).alias(
                 "duplicates"
             )
         )

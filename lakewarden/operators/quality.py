@@ -230,7 +230,7 @@ def consistency_findings(table: str, df: DataFrame, pack: RulePack) -> DataFrame
         .agg(
             F.array_join(
                 F.transform(
-                    F.array_sort(
+                    F.sort_array(
                         F.collect_list(F.struct("rank", "first_spelling", "last_spelling"))
                     ),
                     lambda g: F.concat(g["first_spelling"], F.lit("/"), g["last_spelling"]),
@@ -459,7 +459,7 @@ def main_issues(found: DataFrame, limit: int = 5) -> DataFrame:
         .groupBy("table")
         .agg(
             F.transform(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.struct("rank", F.concat("field", F.lit(": "), "problem").alias("text"))
                     )
