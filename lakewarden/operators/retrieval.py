@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.jsontext import extract_json
 from ..functions.similarity import article_numbers, sentences, word_set
@@ -80,6 +81,8 @@ def _scan_top(
         [T.StructField(query_name, query_type), *id_fields, T.StructField("score", T.DoubleType())]
     )
 
+    arrow_schema = to_arrow_schema(schema)
+
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
         floor = np.full(len(queries), -np.inf)
@@ -106,9 +109,10 @@ def _scan_top(
                 floor[last.index.to_numpy()] = last["min"].to_numpy()
         if pool is not None and len(pool):
             columns = [names.take(pa.array(pool["q"].to_numpy()))]
-            columns += [pa.Array.from_pandas(pool[i]) for i in ids]
-            columns.append(pa.array(pool["score"].to_numpy()))
-            yield pa.RecordBatch.from_arrays(columns, [query_name, *ids, "score"])
+            columns += [pa.Array.from_pandas(pool[i]) for i in [*ids, "score"]]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
+            )
 
     return rows.mapInArrow(top, schema)
 
