@@ -265,9 +265,8 @@ def leader_clusters(
             ready = open_nodes.join(standing, "node", "left").filter(
                 F.col("big_places") == F.coalesce("standing", F.lit(0))
             )
-        leaders = cut(
-            ready.join(waiting.distinct(), "node", "left_anti").select(F.col("node").alias("a")),
-            "leaders",
+        leaders = ready.join(waiting.distinct(), "node", "left_anti").select(
+            F.col("node").alias("a")
         )
         claims = edges.join(leaders, "a")
         if fresh is not None:
@@ -336,7 +335,7 @@ def find_members(
         )
         rest = _not_in_key_group(base, groups, hot_rows)
     if any(_present(df, n) for n in entity.name_columns):
-        rest = cut(rest.filter("name <> ''"), "rest")
+        rest = rest.filter("name <> ''")
         nodes = cut(name_nodes(rest), "nodes")
         clusters = leader_clusters(nodes, threshold, small_block, heads, hot_rows)
         placed = nodes.join(clusters, "node")

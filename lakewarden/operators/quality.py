@@ -9,11 +9,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import is_critical
-from ..functions.predicates import matches, to_number, to_timestamp
-from ..functions.text import is_missing, normalize_country, normalize_text, strip
+from ..functions.text import (
+    WHITESPACE,
+    is_missing,
+    missing_sql,
+    normalize_text,
+    sql_text,
+    strip,
+)
 from ..rules import ArithmeticRule, RulePack
-from .values import value_counts
+from ..session import cut
+from .values import as_text, value_counts
 
 FINDING_COLUMNS = [
     "table",
@@ -44,46 +50,56 @@ SEQ = {
 
 @dataclass(frozen=True)
 class RowCheck:
-    """A check that counts rows by a predicate; all of them share one aggregate."""
+    """A check that counts rows by a SQL predicate; all checks of a table share one aggregate."""
 
     field: str
     code: str
     dimension: str
-    severity: Column | str
+    severity: str
     problem: str
-    rule: Column | str
+    rule: str
     seq: int
     ordinal: int
-    bad: Column
+    bad: str
 
 
 def _lookup(df: DataFrame) -> dict[str, str]:
     return {c.lower(): c for c in df.columns}
 
 
-def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
+def _is_critical(name: str, pack: RulePack) -> bool:
+    """F10 for a name the driver already knows."""
+    low = name.lower()
+    return low.endswith("_id") or low == "sku" or any(h in low for h in pack.quality_hints)
 
 
 def completeness_checks(df: DataFrame, pack: RulePack) -> list[RowCheck]:
     """Q1."""
     out = []
     for i, name in enumerate(df.columns):
-        critical = is_critical(F.lit(name), pack.quality_hints)
+        critical = _is_critical(name, pack)
         out.append(
             RowCheck(
-                name, "missing", "completeness",
-                F.when(critical, "high").otherwise("medium"),
+                name, "missing", "completeness", "high" if critical else "medium",
                 "missing or blank values",
-                F.when(critical, "Mandatory field: no blanks").otherwise(
-                    "Recommended field: no blanks"
-                ),
-                SEQ["completeness"], i, is_missing(_col(name)),
+                f"{'Mandatory' if critical else 'Recommended'} field: no blanks",
+                SEQ["completeness"], i, missing_sql(name),
             )
         )
     return out
 
 
+def _future_sql(name: str, kind: str, pack: RulePack, as_of: date) -> str:
+    """F9 and the comparison with the given day."""
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        when = f"cast(`{name}` AS TIMESTAMP)"
+    else:
+        text = f"btrim(cast(`{name}` AS STRING), '{WHITESPACE}')"
+        tries = [f"try_to_timestamp({text}, {sql_text(f)})" for f in pack.date_formats]
+        when = f"coalesce({', '.join(tries)}, try_cast({text} AS TIMESTAMP))"
+    return f"{when} > timestamp'{as_of.isoformat()} 00:00:00'"
+
+
 def validity_checks(df: DataFrame, pack: RulePack, as_of: date) -> list[RowCheck]:
     """Q3a to Q3f."""
     present = _lookup(df)
@@ -91,42 +107,39 @@ def validity_checks(df: DataFrame, pack: RulePack, as_of: date) -> list[RowCheck
     for k, rule in enumerate(pack.formats):
         for j, wanted in enumerate(rule.columns):
             if wanted in present:
-                col = _col(present[wanted])
-                bad = ~is_missing(col) & ~matches(col, rule.pattern)
+                name = present[wanted]
+                text = f"btrim(cast(`{name}` AS STRING), '{WHITESPACE}')"
+                bad = f"NOT {missing_sql(name)} AND NOT ({text} RLIKE {sql_text(rule.pattern)})"
                 out.append(
                     RowCheck(
-                        present[wanted], rule.code, "validity", rule.severity, rule.problem,
-                        rule.rule, SEQ["format"] + k, j, bad,
+                        name, rule.code, "validity", rule.severity, rule.problem, rule.rule,
+                        SEQ["format"] + k, j, bad,
                     )
                 )
+    kinds = dict(df.dtypes)
     for i, name in enumerate(df.columns):
         low = name.lower()
+        number = f"try_cast(`{name}` AS DOUBLE)"
         if any(h in low for h in pack.non_negative_hints):
             out.append(
                 RowCheck(
                     name, "negative", "validity", "high", "negative values",
-                    f"{name} cannot be negative", SEQ["negative"], i, to_number(_col(name)) < 0,
+                    f"{name} cannot be negative", SEQ["negative"], i, f"{number} < 0",
                 )
             )
         if low in pack.non_zero_columns:
             out.append(
                 RowCheck(
                     name, "zero", "validity", "medium", "rows with zero",
-                    f"{name} must be greater than 0", SEQ["zero"], i, to_number(_col(name)) == 0,
+                    f"{name} must be greater than 0", SEQ["zero"], i, f"{number} = 0",
                 )
             )
         if any(h in low for h in pack.date_hints):
-            kind = dict(df.dtypes)[name]
-            when = (
-                _col(name).cast("timestamp")
-                if kind in ("date", "timestamp", "timestamp_ntz")
-                else to_timestamp(_col(name), pack.date_formats)
-            )
             out.append(
                 RowCheck(
                     name, "future_date", "validity", "medium", "dates in the future",
                     f"{name} cannot be a future date", SEQ["future"], i,
-                    when > F.lit(as_of.isoformat()).cast("timestamp"),
+                    _future_sql(name, kinds[name], pack, as_of),
                 )
             )
     return out
@@ -139,150 +152,207 @@ def accuracy_checks(df: DataFrame, rules: tuple[ArithmeticRule, ...]) -> list[Ro
         RowCheck(
             present.get(rule.field, rule.field), "arithmetic", "accuracy", "high", rule.problem,
             rule.rule, SEQ["accuracy"], i,
-            F.abs(F.expr(rule.left) - F.expr(rule.right)) > F.lit(rule.tolerance),
+            f"abs(({rule.left}) - ({rule.right})) > {rule.tolerance}D",
         )
         for i, rule in enumerate(rules)
         if set(rule.columns) <= set(present)
     ]
 
 
-def _finding(table: str, field, code, problem, dimension, severity, rule, count, seq, ordinal):
-    def col(x):
-        return x if isinstance(x, Column) else F.lit(x)
-
-    values = [
-        F.lit(table), field, code, problem, dimension, severity, rule,
-        col(count).cast("bigint"), col(seq).cast("int"), col(ordinal).cast("int"),
-    ]
-    return [col(v).alias(n) for v, n in zip(values, FINDING_COLUMNS)]
+def _row_sql(table, field, code, problem, dimension, severity, rule, count, seq, ordinal) -> str:
+    """One finding as a struct; every argument is SQL text."""
+    values = [table, field, code, problem, dimension, severity, rule]
+    values += [f"cast({count} AS BIGINT)", f"cast({seq} AS INT)", f"cast({ordinal} AS INT)"]
+    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(FINDING_COLUMNS, values)) + ")"
 
 
 def run_row_checks(table: str, df: DataFrame, checks: list[RowCheck]) -> DataFrame:
     """All row checks in one aggregate and one scan, then one row per check that found something."""
-    counts = df.agg(*[F.count_if(c.bad).alias(f"n{i}") for i, c in enumerate(checks)])
+    counts = df.agg(*[F.expr(f"count_if({c.bad})").alias(f"n{i}") for i, c in enumerate(checks)])
     rows = [
-        F.struct(
-            *_finding(
-                table, c.field, c.code,
-                F.concat(F.col(f"n{i}").cast("string"), F.lit(" " + c.problem)),
-                c.dimension, c.severity, c.rule, F.col(f"n{i}"), c.seq, c.ordinal,
-            )
+        _row_sql(
+            sql_text(table), sql_text(c.field), sql_text(c.code),
+            f"concat(cast(n{i} AS STRING), {sql_text(' ' + c.problem)})",
+            sql_text(c.dimension), sql_text(c.severity), sql_text(c.rule),
+            f"n{i}", c.seq, c.ordinal,
         )
         for i, c in enumerate(checks)
     ]
-    return counts.select(F.inline(F.array(*rows))).filter("affected_count > 0")
+    return counts.selectExpr(f"inline(array({', '.join(rows)}))").filter("affected_count > 0")
 
 
-def spelling_variants(df: DataFrame, pack: RulePack) -> DataFrame:
-    """Q4 detail: every spelling of a country or category that has more than one.
+@dataclass(frozen=True)
+class ValueSlot:
+    """A column whose distinct values are checked."""
 
-    Normalisation runs on distinct values only, never on rows.
-    """
-    low = [c.lower() for c in df.columns]
-    country = [df.columns[i] for i, c in enumerate(low) if c in pack.country_columns]
-    category = [df.columns[i] for i, c in enumerate(low) if c in pack.category_columns]
-    names = country + category
-    ordinals = [df.columns.index(c) for c in names]
-    spellings = (
-        value_counts(df, names)
-        .filter(~is_missing(F.col("value")))
-        .withColumn("is_country", F.col("ordinal") < len(country))
-        .withColumn(
-            "canonical",
-            F.when(
-                F.col("is_country"),
-                normalize_country(F.col("value"), pack.country_synonyms, exact=True),
-            ).otherwise(normalize_text(F.col("value"), exact=True)),
-        )
+    table: str
+    field: str
+    kind: str
+    ordinal: int
+
+
+def value_slots(tables: dict[str, DataFrame], pack: RulePack) -> list[ValueSlot]:
+    """Unique keys, country columns and category columns of all tables."""
+    out = []
+    for table, df in tables.items():
+        keys = pack.unique_keys(table, df.columns)
+        out += [ValueSlot(table, k, "key", i) for i, k in enumerate(keys)]
+        for i, name in enumerate(df.columns):
+            if name.lower() in pack.country_columns:
+                out.append(ValueSlot(table, name, "country", i))
+            elif name.lower() in pack.category_columns:
+                out.append(ValueSlot(table, name, "category", i))
+    return out
+
+
+def slot_values(tables: dict[str, DataFrame], slots: list[ValueSlot]) -> DataFrame:
+    """``slot, value, n`` of the non-missing values: one shuffle for all tables and columns."""
+    parts = []
+    for table, df in tables.items():
+        mine = [(i, s) for i, s in enumerate(slots) if s.table == table]
+        if mine:
+            wide = df.select(*[as_text(df, s.field).alias(f"s{i}") for i, s in mine])
+            parts.append(wide.unpivot([], wide.columns, "name", "value"))
+    long = reduce(DataFrame.unionByName, parts).selectExpr(
+        "cast(substring(name, 2) AS INT) AS slot", "value"
+    )
+    counted = long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(f"NOT {missing_sql('value')}")
+
+
+def _slot_text(slots: list[ValueSlot], name: str) -> str:
+    """SQL lookup of a slot attribute by slot number."""
+    values = ", ".join(sql_text(str(getattr(s, name))) for s in slots)
+    return f"element_at(array({values}), slot + 1)"
+
+
+def _slot_list(slots: list[ValueSlot], *kinds: str) -> str:
+    return ", ".join(str(i) for i, s in enumerate(slots) if s.kind in kinds) or "-1"
+
+
+def uniqueness_findings(values: DataFrame, slots: list[ValueSlot]) -> DataFrame:
+    """Q2: repeated untrimmed values of the unique keys."""
+    extras = (
+        values.filter(f"slot IN ({_slot_list(slots, 'key')})")
+        .groupBy("slot")
+        .agg((F.sum("n") - F.count(F.lit(1))).alias("extras"))
+        .filter("extras > 0")
+        .selectExpr("*", f"{_slot_text(slots, 'field')} AS f")
     )
-    sizes = spellings.groupBy("ordinal", "canonical").agg(F.count(F.lit(1)).alias("spellings"))
+    row = _row_sql(
+        _slot_text(slots, "table"), "f", "'duplicate_key'",
+        "concat(cast(extras AS STRING), ' repeated values in an identifier')",
+        "'uniqueness'", "'high'", "concat('Validate the uniqueness of ', f)",
+        "extras", SEQ["uniqueness"], _slot_text(slots, "ordinal"),
+    )
+    return extras.selectExpr(f"inline(array({row}))")
+
+
+def variant_groups(values: DataFrame, slots: list[ValueSlot], pack: RulePack) -> DataFrame:
+    """Q4 core: ``slot, canonical, value, n`` with the normalisation run on distinct values only."""
+    value = F.col("value")
+    country = F.expr(f"slot IN ({_slot_list(slots, 'country')})")
+    plain = normalize_text(value, exact=True)
+    known = F.create_map(*[F.lit(x) for item in pack.country_synonyms.items() for x in item])
     return (
-        spellings.join(sizes.filter("spellings > 1"), ["ordinal", "canonical"])
-        .select(
-            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("ordinal") + 1).alias("field"),
-            F.element_at(F.array(*[F.lit(i) for i in ordinals]), F.col("ordinal") + 1).alias(
-                "col_ordinal"
-            ),
-            "is_country",
+        values.filter(f"slot IN ({_slot_list(slots, 'country', 'category')})")
+        .withColumn("plain", plain)
+        .withColumn(
             "canonical",
-            F.col("value").alias("spelling"),
-            "n",
+            F.when(country, F.coalesce(F.try_element_at(known, F.col("plain")), strip(value))).otherwise(
+                F.col("plain")
+            ),
         )
+        .select("slot", "canonical", "value", "n")
     )
 
 
-def consistency_findings(table: str, df: DataFrame, pack: RulePack) -> DataFrame | None:
-    """Q4a counts the spellings involved, Q4b the groups. The text shows the first few of them."""
-    watched = {*pack.country_columns, *pack.category_columns}
-    if not watched & set(_lookup(df)):
-        return None
-    variants = spelling_variants(df, pack)
-    by_field = Window.partitionBy("field", "col_ordinal", "is_country")
-    groups = variants.groupBy("field", "col_ordinal", "is_country", "canonical").agg(
-        F.count(F.lit(1)).alias("spellings"),
-        F.min("spelling").alias("first_spelling"),
-        F.max("spelling").alias("last_spelling"),
+def spelling_variants(df: DataFrame, pack: RulePack, table: str = "") -> DataFrame:
+    """Q4 detail: every spelling of a country or category that has more than one."""
+    tables = {table: df}
+    slots = value_slots(tables, pack)
+    groups = variant_groups(slot_values(tables, slots), slots, pack)
+    several = (
+        groups.groupBy("slot", "canonical")
+        .agg(F.count(F.lit(1)).alias("spellings"))
+        .filter("spellings > 1")
+    )
+    return groups.join(several, ["slot", "canonical"]).selectExpr(
+        f"{_slot_text(slots, 'field')} AS field",
+        "canonical",
+        "value AS spelling",
+        "n",
     )
-    ranked = groups.withColumn("rank", F.row_number().over(by_field.orderBy("canonical")))
-    examples = (
-        ranked.filter("rank <= 3")
-        .groupBy("field", "col_ordinal", "is_country")
+
+
+def consistency_findings(values: DataFrame, slots: list[ValueSlot], pack: RulePack) -> DataFrame:
+    """Q4a counts the spellings involved, Q4b the groups.
+
+    The text shows the first three groups, by two of their spellings each; ``spelling_variants``
+    lists them all.
+    """
+    groups = (
+        variant_groups(values, slots, pack)
+        .groupBy("slot", "canonical")
         .agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(
-                        F.collect_list(F.struct("rank", "first_spelling", "last_spelling"))
-                    ),
-                    lambda g: F.concat(g["first_spelling"], F.lit("/"), g["last_spelling"]),
-                ),
-                "; ",
-            ).alias("examples")
+            F.count(F.lit(1)).alias("spellings"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
         )
+        .filter("spellings > 1")
     )
-    totals = groups.groupBy("field", "col_ordinal", "is_country").agg(
-        F.sum("spellings").alias("spellings"), F.count(F.lit(1)).alias("groups")
-    )
-    both = totals.join(examples, ["field", "col_ordinal", "is_country"])
-    country = F.col("is_country")
-    return both.select(
-        *_finding(
-            table,
-            F.col("field"),
-            F.when(country, "country_spelling").otherwise("category_spelling"),
-            F.concat(F.lit("Inconsistent spellings ("), F.col("examples"), F.lit(")")),
-            F.when(country, "conformity").otherwise("consistency"),
-            F.when(country, "medium").otherwise("low"),
-            F.when(country, F.lit("Map countries to a standard catalog")).otherwise(
-                F.concat(F.lit("Standardise the values of "), F.col("field"))
-            ),
-            F.when(country, F.col("spellings")).otherwise(F.col("groups")),
-            SEQ["variants"],
-            F.col("col_ordinal"),
+    by_slot = Window.partitionBy("slot")
+    first = (
+        groups.withColumn("place", F.row_number().over(by_slot.orderBy("canonical")))
+        .filter("place <= 3")
+        .groupBy("slot")
+        .agg(
+            F.expr(
+                "array_join(transform(sort_array(collect_list(struct(place, low, high))), "
+                "g -> concat(g.low, '/', g.high)), '; ') AS examples"
+            )
         )
     )
+    totals = groups.groupBy("slot").agg(
+        F.sum("spellings").alias("spellings"), F.count(F.lit(1)).alias("groups")
+    )
+    country = f"slot IN ({_slot_list(slots, 'country')})"
+    field = _slot_text(slots, "field")
+    row = _row_sql(
+        _slot_text(slots, "table"), field,
+        f"if({country}, 'country_spelling', 'category_spelling')",
+        "concat('Inconsistent spellings (', examples, ')')",
+        f"if({country}, 'conformity', 'consistency')", f"if({country}, 'medium', 'low')",
+        f"if({country}, 'Map countries to a standard catalog', concat('Standardise the values of ', {field}))",
+        f"if({country}, spellings, groups)", SEQ["variants"], _slot_text(slots, "ordinal"),
+    )
+    return totals.join(first, "slot").selectExpr(f"inline(array({row}))")
 
 
-def uniqueness_findings(table: str, df: DataFrame, pack: RulePack) -> DataFrame | None:
-    """Q2: repeated untrimmed values of the unique keys, missing ones left out."""
-    keys = pack.unique_keys(table, df.columns)
-    if not keys:
+def value_findings(tables: dict[str, DataFrame], pack: RulePack) -> DataFrame | None:
+    """Q2 and Q4 of all tables on one shared count of distinct values."""
+    slots = value_slots(tables, pack)
+    if not slots:
         return None
-    extras = (
-        value_counts(df, keys)
-        .filter(~is_missing(F.col("value")))
-        .groupBy("ordinal")
-        .agg((F.sum("n") - F.count(F.lit(1))).alias("extras"))
-        .filter("extras > 0")
-        .withColumn("field", F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("ordinal") + 1))
+    values = slot_values(tables, slots)
+    return uniqueness_findings(values, slots).unionByName(consistency_findings(values, slots, pack))
+
+
+def _child_keys(df: DataFrame, column: str) -> DataFrame:
+    """Trimmed non-missing keys with their row count."""
+    key = f"btrim(cast(`{column}` AS STRING), '{WHITESPACE}')"
+    return (
+        df.selectExpr(f"{key} AS key")
+        .filter(f"NOT {missing_sql('key')}")
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _parent_keys(df: DataFrame, column: str) -> DataFrame:
+    return df.selectExpr(f"btrim(cast(`{column}` AS STRING), '{WHITESPACE}') AS key").filter(
+        "key IS NOT NULL"
     )
-    return extras.select(
-        *_finding(
-            table, F.col("field"), "duplicate_key",
-            F.concat(F.col("extras").cast("string"), F.lit(" repeated values in an identifier")),
-            "uniqueness", "high", F.concat(F.lit("Validate the uniqueness of "), F.col("field")),
-            F.col("extras"), SEQ["uniqueness"], F.col("ordinal"),
-        )
-    )
 
 
 def orphan_keys(
@@ -293,101 +363,114 @@ def orphan_keys(
     The child is counted per key first, so a key that fills a third of the child is one row when it
     reaches the join.
     """
-    keys = (
-        child.select(strip(_col(column).cast("string")).alias("key"))
-        .filter(~is_missing(F.col("key")))
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return _child_keys(child, column).join(
+        _parent_keys(parent, parent_column), "key", "left_anti"
     )
-    known = parent.select(strip(_col(parent_column).cast("string")).alias("key")).filter(
-        F.col("key").isNotNull()
-    )
-    return keys.join(known, "key", "left_anti")
 
 
 def reference_findings(
-    table: str, df: DataFrame, related: dict[str, DataFrame], pack: RulePack
-) -> list[DataFrame]:
-    """Q6 for every relation whose column and parent are there."""
-    present = _lookup(df)
-    out = []
-    for i, rel in enumerate(pack.relations):
-        if rel.column not in present or rel.parent_table not in related:
-            continue
-        parent = related[rel.parent_table]
-        parent_column = _lookup(parent).get(rel.parent_column)
-        if rel.parent_table == table or parent_column is None:
-            continue
-        name = present[rel.column]
-        total = (
-            orphan_keys(df, name, parent, parent_column)
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
-            .filter("orphans > 0")
+    tables: dict[str, DataFrame], pack: RulePack, related: dict[str, DataFrame]
+) -> DataFrame | None:
+    """Q6 for every relation whose column and parent are there, all in one anti-join."""
+    children, parents, rows = [], {}, []
+    for table, df in tables.items():
+        present = _lookup(df)
+        for i, rel in enumerate(pack.relations):
+            parent = related.get(rel.parent_table)
+            if rel.column not in present or parent is None or rel.parent_table == table:
+                continue
+            parent_column = _lookup(parent).get(rel.parent_column)
+            if parent_column is None:
+                continue
+            name = present[rel.column]
+            tag = F.lit(len(rows)).alias("rel")
+            children.append(_child_keys(df, name).select(tag, "key", "n"))
+            parents[len(rows)] = _parent_keys(parent, parent_column).select(tag, "key")
+            rows.append((table, name, rel, i))
+    if not rows:
+        return None
+    union = DataFrame.unionByName
+    orphans = (
+        reduce(union, children)
+        .join(reduce(union, parents.values()), ["rel", "key"], "left_anti")
+        .groupBy("rel")
+        .agg(F.sum("n").alias("orphans"))
+    )
+    texts = [
+        _row_sql(
+            sql_text(table), sql_text(name), "'orphan'",
+            f"concat(cast(orphans AS STRING), {sql_text(f' rows whose {rel.column} is not in {rel.parent_table}')})",
+            "'referential_integrity'", "'high'",
+            sql_text(f"Validate that {rel.column} exists in {rel.parent_table}"),
+            "orphans", SEQ["reference"], i,
         )
-        out.append(
-            total.select(
-                *_finding(
-                    table, name, "orphan",
-                    F.concat(
-                        F.col("orphans").cast("string"),
-                        F.lit(f" rows whose {rel.column} is not in {rel.parent_table}"),
-                    ),
-                    "referential_integrity", "high",
-                    f"Validate that {rel.column} exists in {rel.parent_table}",
-                    F.col("orphans"), SEQ["reference"], i,
-                )
-            )
-        )
-    return out
+        for table, name, rel, i in rows
+    ]
+    return orphans.selectExpr(f"inline(array(element_at(array({', '.join(texts)}), rel + 1)))")
 
 
 def classification_findings(
-    spark: SparkSession, table: str, df: DataFrame, pack: RulePack
+    spark: SparkSession, tables: dict[str, DataFrame], pack: RulePack
 ) -> DataFrame | None:
-    """Q7: one finding that lists every column with a sensitive name."""
-    names = [c for c in df.columns if any(h in c.lower() for h in pack.quality_hints)]
-    if not names:
+    """Q7: one finding per table that lists every column with a sensitive name."""
+    rows = []
+    for table, df in tables.items():
+        names = [c for c in df.columns if any(h in c.lower() for h in pack.quality_hints)]
+        if names:
+            rows.append(
+                _row_sql(
+                    sql_text(table), sql_text(", ".join(names)), "'unclassified'",
+                    "'Fields with possible personal data and no formal classification'",
+                    "'classification'", "'high'",
+                    "'Classify as personal or sensitive data and assign a data owner'",
+                    len(names), SEQ["classification"], 0,
+                )
+            )
+    if not rows:
         return None
-    return spark.range(1).select(
-        *_finding(
-            table, ", ".join(names), "unclassified",
-            "Fields with possible personal data and no formal classification",
-            "classification", "high",
-            "Classify as personal or sensitive data and assign a data owner",
-            len(names), SEQ["classification"], 0,
-        )
-    )
+    return spark.range(1).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def table_findings(
-    table: str,
-    df: DataFrame,
+def findings(
+    tables: dict[str, DataFrame],
     pack: RulePack,
     as_of: date,
     related: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """All findings of one table."""
-    checks = (
-        completeness_checks(df, pack)
-        + validity_checks(df, pack, as_of)
-        + accuracy_checks(df, pack.arithmetic)
-    )
+    """Q10 and Q12: findings of every table, each with the others as parents; one lazy plan.
+
+    Row predicates cost one aggregate per table; keys and spellings of all tables share one shuffle
+    of value counts, references share one anti-join.
+    """
+    related = tables if related is None else related
+    spark = next(iter(tables.values())).sparkSession
     parts = [
-        run_row_checks(table, df, checks),
-        uniqueness_findings(table, df, pack),
-        consistency_findings(table, df, pack),
-        *reference_findings(table, df, related or {}, pack),
-        classification_findings(df.sparkSession, table, df, pack),
+        run_row_checks(
+            name,
+            df,
+            completeness_checks(df, pack)
+            + validity_checks(df, pack, as_of)
+            + accuracy_checks(df, pack.arithmetic),
+        )
+        for name, df in tables.items()
+    ]
+    parts += [
+        value_findings(tables, pack),
+        reference_findings(tables, pack, related),
+        classification_findings(spark, tables, pack),
     ]
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
-def findings(tables: dict[str, DataFrame], pack: RulePack, as_of: date) -> DataFrame:
-    """Q12: findings of every table, each with the others as parents; one lazy plan."""
-    return reduce(
-        DataFrame.unionByName,
-        [table_findings(name, df, pack, as_of, tables) for name, df in tables.items()],
-    )
+def table_findings(
+    table: str,
+    df: DataFrame,
+    pack: RulePack,
+    as_of: date,
+    related: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """All findings of one table."""
+    return findings({table: df}, pack, as_of, related or {})
 
 
 def table_rows(tables: dict[str, DataFrame]) -> DataFrame:
@@ -473,8 +556,11 @@ def main_issues(found: DataFrame, limit: int = 5) -> DataFrame:
 def quality_report(
     tables: dict[str, DataFrame], pack: RulePack, as_of: date, found: DataFrame | None = None
 ) -> DataFrame:
-    """Q10 and Q11: one row per table with score, risk, main issues and narrative."""
-    found = findings(tables, pack, as_of) if found is None else found
+    """Q10 and Q11: one row per table with score, risk, main issues and narrative.
+
+    The findings feed three aggregations, so they are written once first.
+    """
+    found = cut(findings(tables, pack, as_of), "findings") if found is None else found
     counted = found.groupBy("table").agg(F.count(F.lit(1)).alias("n_findings"))
     report = (
         table_rows(tables)

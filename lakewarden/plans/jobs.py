@@ -30,20 +30,9 @@ def profiles(
     order_cols: dict[str, str],
     approximate: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Column and table profiles of all tables, with ``table_seq`` on both."""
-    columns, rows = [], []
-    for i, (name, df) in enumerate(tables.items()):
-        cols = cut(
-            profile.column_profile(name, df, pack, order_cols[name], approximate), "columns"
-        )
-        columns.append(cols.withColumn("table_seq", F.lit(i)))
-        rows.append(
-            profile.table_profile(name, df, pack, order_cols[name], cols).withColumn(
-                "table_seq", F.lit(i)
-            )
-        )
-    union = DataFrame.unionByName
-    return reduce(union, columns), reduce(union, rows)
+    """Column and table profiles of all tables; the first is written once and feeds the second."""
+    columns = cut(profile.column_profiles(tables, pack, order_cols, approximate), "columns")
+    return columns, profile.table_profiles(tables, pack, order_cols, columns)
 
 
 def _sortable(df: DataFrame, name: str) -> DataFrame:

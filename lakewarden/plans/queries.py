@@ -113,8 +113,8 @@ def table_inventory_all(spark, folder):
 
 def _profile(spark, folder, name, keep_row=True):
     df = retail_tables(spark, folder, (name,), keep_row)[name]
-    out = profile.column_profile(name, df, RETAIL, "fila")
-    return out.withColumn("sample_values", joined("sample_values")).drop("dtype")
+    out = profile.column_profile(name, df, RETAIL, "fila").drop("dtype", "table_seq")
+    return out.withColumn("sample_values", joined("sample_values"))
 
 
 @query
@@ -139,18 +139,14 @@ def profile_columns_lineitem(spark, folder):
         "l_linestatus", "l_shipdate",
     )
     out = profile.column_profile("lineitem", df, STAR, "l_orderkey")
-    return out.drop("dtype", "sample_values")
+    return out.drop("dtype", "table_seq", "sample_values")
 
 
 @query
 def profile_tables(spark, folder):
-    out = []
-    for name, df in retail_tables(spark, folder, keep_row=True).items():
-        out.append(profile.table_profile(name, df, RETAIL, "fila"))
-    union = out[0]
-    for part in out[1:]:
-        union = union.unionByName(part)
-    return union.select(
+    tables = retail_tables(spark, folder, keep_row=True)
+    out = profile.table_profiles(tables, RETAIL, dict.fromkeys(tables, "fila"))
+    return out.select(
         "table", "rows", "columns", "duplicate_rows",
         map_text("nulls").alias("nulls"), map_text("duplicates").alias("duplicates"),
         joined("sensitive_fields").alias("sensitive_fields"),
