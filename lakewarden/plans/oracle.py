@@ -1 +1,517 @@
+"""SQL counterparts of the queries, for DuckDB on the same Parquet tables."""
+
+from __future__ import annotations
+
+import json
+
+from ..functions.text import WHITESPACE
+from .queries import EXPECTED, GIVEN, NEEDLES, STAR_TABLES
+from .retail import SELECTS, retail_ctes
+
 ORACLE: dict[str, str] = {}
+
+COLUMNS = {
+    "clientes": "cliente_id nombre apellido dni correo telefono pais fecha_registro estado_cliente segmento",
+    "productos": "producto_id sku nombre_producto categoria marca precio moneda fecha_alta proveedor_id",
+    "proveedores": "proveedor_id ruc razon_social correo pais estado",
+    "sucursales": "sucursal_id nombre_sucursal ciudad region estado",
+    "ventas": "venta_id cliente_id producto_id sucursal_id fecha_venta cantidad precio_unitario total canal",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+    "l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "labels": "doc_id quality toxic",
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
+}
+COLUMNS = {t: c.split() for t, c in COLUMNS.items()}
+NUMERIC = {"fila", "precio", "cantidad", "precio_unitario", "total"}
+
+
+def missing(col: str) -> str:
+    return f"coalesce(lower(trim(CAST({col} AS VARCHAR), '{WHITESPACE}')) IN ('', 'nan'), true)"
+
+
+def plain(col: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents({col})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def country(col: str) -> str:
+    names = {
+        "Peru": ("peru", "pe", "per"),
+        "Chile": ("chile", "cl"),
+        "Colombia": ("colombia", "co"),
+        "Ecuador": ("ecuador", "ec"),
+    }
+    cases = " ".join(
+        f"WHEN {plain(col)} IN ({', '.join(repr(v) for v in vs)}) THEN '{k}'" for k, vs in names.items()
+    )
+    return f"CASE {cases} ELSE trim({col}, '{WHITESPACE}') END"
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# ---------------------------------------------------------------- findings
+
+
+def finding(table, field, code, problem, dim, sev, rule, seq, ordinal, source, count="n") -> str:
+    """One finding per row of ``source`` with a positive count; problem and rule are SQL texts."""
+    return f"""SELECT '{table}' AS "table", {text(field)} AS field, '{code}' AS rule_code, {problem} AS problem,
+ '{dim}' AS quality_dimension, '{sev}' AS severity, {text(rule)} AS suggested_rule,
+ CAST({count} AS BIGINT) AS affected_count, CAST({seq} AS INTEGER) AS check_seq,
+ CAST({ordinal} AS INTEGER) AS col_ordinal
+FROM ({source}) AS s WHERE {count} > 0"""
+
+
+def row_finding(table, field, code, words, dim, sev, rule, seq, ordinal, cond) -> str:
+    source = f"SELECT count(*) FILTER (WHERE {cond}) AS n FROM {table}"
+    problem = f"CAST(n AS VARCHAR) || ' {words}'"
+    return finding(table, field, code, problem, dim, sev, rule, seq, ordinal, source)
+
+
+def critical(field: str, hints: tuple[str, ...]) -> bool:
+    return field.endswith("_id") or field == "sku" or any(h in field for h in hints)
+
+
+def table_parts(table: str, spec: dict, hints: tuple[str, ...], shift: int) -> list[str]:
+    cols = COLUMNS[table]
+    place = {c: i + shift for i, c in enumerate(cols)}
+    out = []
+    for c in cols:
+        high = critical(c, hints)
+        out.append(
+            row_finding(
+                table, c, "missing", "missing or blank values", "completeness",
+                "high" if high else "medium",
+                f"{'Mandatory' if high else 'Recommended'} field: no blanks", 1, place[c], missing(c),
+            )
+        )
+    for i, c in enumerate(spec.get("keys", [])):
+        source = (
+            f"SELECT sum(n - 1) AS n FROM (SELECT count(*) AS n FROM {table} "
+            f"WHERE NOT {missing(c)} GROUP BY {c})"
+        )
+        out.append(
+            finding(
+                table, c, "duplicate_key", "CAST(n AS VARCHAR) || ' repeated values in an identifier'",
+                "uniqueness", "high", f"Validate the uniqueness of {c}", 2, i, source,
+            )
+        )
+    for c, pattern, code, words, sev, rule, seq in spec.get("formats", []):
+        bad = f"NOT {missing(c)} AND NOT regexp_matches(trim({c}), '{pattern}')"
+        out.append(row_finding(table, c, code, words, "validity", sev, rule, seq, 0, bad))
+    for c in spec.get("negative", []):
+        out.append(
+            row_finding(
+                table, c, "negative", "negative values", "validity", "high",
+                f"{c} cannot be negative", 6, place[c], f"{c} < 0",
+            )
+        )
+    for c in spec.get("zero", []):
+        out.append(
+            row_finding(
+                table, c, "zero", "rows with zero", "validity", "medium",
+                f"{c} must be greater than 0", 7, place[c], f"{c} = 0",
+            )
+        )
+    for c in spec.get("dates", []):
+        out.append(
+            row_finding(
+                table, c, "future_date", "dates in the future", "validity", "medium",
+                f"{c} cannot be a future date", 8, place[c],
+                f"try_cast({c} AS TIMESTAMP) > TIMESTAMP '{spec['as_of']}'",
+            )
+        )
+    for c in [*spec.get("country", []), *spec.get("category", [])]:
+        is_country = c in spec.get("country", [])
+        canon = country("v") if is_country else plain("v")
+        source = f"""SELECT count(*) AS groups, sum(sp) AS spellings,
+ string_agg(lo || '/' || hi, '; ' ORDER BY canonical) FILTER (WHERE rn <= 3) AS examples
+ FROM (SELECT *, row_number() OVER (ORDER BY canonical) AS rn FROM (
+  SELECT canonical, count(*) AS sp, min(v) AS lo, max(v) AS hi
+  FROM (SELECT v, {canon} AS canonical FROM (SELECT DISTINCT {c} AS v FROM {table} WHERE NOT {missing(c)}))
+  GROUP BY canonical HAVING count(*) > 1))"""
+        problem = "'Inconsistent spellings (' || examples || ')'"
+        if is_country:
+            out.append(
+                finding(
+                    table, c, "country_spelling", problem, "conformity", "medium",
+                    "Map countries to a standard catalog", 9, place[c], source, "spellings",
+                )
+            )
+        else:
+            out.append(
+                finding(
+                    table, c, "category_spelling", problem, "consistency", "low",
+                    f"Standardise the values of {c}", 9, place[c], source, "groups",
+                )
+            )
+    for field, left, right, words, rule in spec.get("arithmetic", []):
+        out.append(
+            row_finding(
+                table, field, "arithmetic", words, "accuracy", "high", rule, 10, 0,
+                f"abs(({left}) - ({right})) > 0.01",
+            )
+        )
+    for c, parent, key, i in spec.get("refs", []):
+        source = f"""SELECT count(*) AS n FROM {table} WHERE NOT {missing(c)} AND NOT EXISTS (
+ SELECT 1 FROM {parent} AS p WHERE trim(CAST(p.{key} AS VARCHAR)) = trim(CAST({table}.{c} AS VARCHAR)))"""
+        out.append(
+            finding(
+                table, c, "orphan", f"CAST(n AS VARCHAR) || ' rows whose {c} is not in {parent}'",
+                "referential_integrity", "high", f"Validate that {c} exists in {parent}", 11, i, source,
+            )
+        )
+    sensitive = [c for c in cols if any(h in c for h in hints)]
+    if sensitive:
+        out.append(
+            finding(
+                table, ", ".join(sensitive), "unclassified",
+                "'Fields with possible personal data and no formal classification'",
+                "classification", "high",
+                "Classify as personal or sensitive data and assign a data owner", 12, 0,
+                f"SELECT {len(sensitive)} AS n",
+            )
+        )
+    return out
+
+
+EMAIL = (
+    ("correo", "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$", "email_format", "e-mails with an invalid format", "medium",
+     "Validate the e-mail format", 3),
+)
+RETAIL_HINTS = ("dni", "ruc", "correo", "email", "telefono", "direccion", "nombre", "apellido")
+RETAIL_SPEC = {
+    "clientes": {
+        "keys": ["cliente_id", "dni"],
+        "formats": [
+            *EMAIL,
+            ("dni", "^[0-9]{8}$", "dni_format", "DNI without exactly 8 digits", "high", "DNI must have 8 digits", 4),
+        ],
+        "dates": ["fecha_registro"],
+        "country": ["pais"],
+        "category": ["estado_cliente", "segmento"],
+    },
+    "productos": {
+        "keys": ["producto_id", "sku"],
+        "negative": ["precio"],
+        "dates": ["fecha_alta"],
+        "category": ["categoria", "moneda"],
+        "refs": [("proveedor_id", "proveedores", "proveedor_id", 2)],
+    },
+    "proveedores": {
+        "keys": ["proveedor_id", "ruc"],
+        "formats": [
+            *EMAIL,
+            ("ruc", "^[0-9]{11}$", "ruc_format", "RUC without exactly 11 digits", "high", "RUC must have 11 digits", 5),
+        ],
+        "country": ["pais"],
+        "category": ["estado"],
+    },
+    "sucursales": {"keys": ["sucursal_id"], "category": ["estado"]},
+    "ventas": {
+        "keys": ["venta_id"],
+        "negative": ["precio_unitario", "total"],
+        "zero": ["cantidad"],
+        "dates": ["fecha_venta"],
+        "category": ["canal"],
+        "arithmetic": [
+            ("total", "cantidad * precio_unitario", "total",
+             "totals that differ from cantidad x precio_unitario", "total = cantidad * precio_unitario"),
+        ],
+        "refs": [
+            ("cliente_id", "clientes", "cliente_id", 0),
+            ("producto_id", "productos", "producto_id", 1),
+            ("sucursal_id", "sucursales", "sucursal_id", 3),
+        ],
+    },
+}
+for _spec in RETAIL_SPEC.values():
+    _spec["as_of"] = "2025-06-30"
+STAR_SPEC = {
+    "customer": {"keys": ["c_custkey"], "negative": ["c_acctbal"], "category": ["c_mktsegment"]},
+    "supplier": {"keys": ["s_suppkey"], "negative": ["s_acctbal"]},
+    "part": {"keys": ["p_partkey", "p_name"]},
+    "orders": {
+        "keys": ["o_orderkey"],
+        "dates": ["o_orderdate"],
+        "category": ["o_orderpriority"],
+        "refs": [("o_custkey", "customer", "c_custkey", 0)],
+    },
+    "lineitem": {
+        "keys": ["l_orderkey"],
+        "zero": ["l_discount", "l_tax"],
+        "dates": ["l_shipdate"],
+        "refs": [
+            ("l_orderkey", "orders", "o_orderkey", 1),
+            ("l_partkey", "part", "p_partkey", 2),
+            ("l_suppkey", "supplier", "s_suppkey", 3),
+        ],
+    },
+    "events": {
+        "keys": ["event_id"],
+        "category": ["event_type"],
+        "refs": [("user_id", "customer", "c_custkey", 4)],
+    },
+    "documents": {"keys": ["doc_id"], "refs": [("doc_id", "labels", "doc_id", 5)]},
+    "labels": {"keys": ["doc_id"]},
+}
+for _spec in STAR_SPEC.values():
+    _spec["as_of"] = "2000-01-01"
+
+
+def all_findings(spec: dict, hints: tuple[str, ...], shift: int = 0) -> str:
+    parts = [p for t, s in spec.items() for p in table_parts(t, s, hints, shift)]
+    return "\nUNION ALL\n".join(parts)
+
+
+RETAIL_FINDINGS = f"{retail_ctes()},\nfound AS ({all_findings(RETAIL_SPEC, RETAIL_HINTS)})"
+# The same with the row number as first column.
+RETAIL_FINDINGS_ROW = f"{retail_ctes()},\nfound AS ({all_findings(RETAIL_SPEC, RETAIL_HINTS, 1)})"
+STAR_FINDINGS = f"found AS ({all_findings(STAR_SPEC, ('name',))})"
+
+ORACLE["retail_findings"] = f"WITH {RETAIL_FINDINGS} SELECT * FROM found"
+ORACLE["star_findings"] = f"WITH {STAR_FINDINGS} SELECT * FROM found"
+
+
+def report_ctes(tables) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", {i} AS table_seq, count(*) AS rows FROM {t}" for i, t in enumerate(tables)
+    )
+    return f"""scored AS (
+ SELECT "table", greatest(0, 100 - sum(least(raw, cap))) AS quality_score FROM (
+  SELECT "table", quality_dimension, sum(CASE quality_dimension
+    WHEN 'completeness' THEN CASE severity WHEN 'high' THEN 10 ELSE 2 END WHEN 'uniqueness' THEN 18
+    WHEN 'validity' THEN 7 WHEN 'referential_integrity' THEN 18 WHEN 'consistency' THEN 5
+    WHEN 'conformity' THEN 6 ELSE 8 END) AS raw,
+   CASE quality_dimension WHEN 'completeness' THEN 16 WHEN 'uniqueness' THEN 18 WHEN 'validity' THEN 14
+    WHEN 'referential_integrity' THEN 18 WHEN 'consistency' THEN 5 WHEN 'conformity' THEN 6
+    WHEN 'classification' THEN 8 ELSE 1000000 END AS cap
+  FROM found GROUP BY "table", quality_dimension) GROUP BY "table"),
+issues AS (
+ SELECT "table", string_agg(field || ': ' || problem, '|' ORDER BY rn) AS main_issues,
+  string_agg(field || ': ' || problem, '; ' ORDER BY rn) FILTER (WHERE rn <= 3) AS top3
+ FROM (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY
+   CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, check_seq, col_ordinal) AS rn FROM found)
+ WHERE rn <= 5 GROUP BY "table"),
+base AS (
+ SELECT r."table", r.table_seq, r.rows, coalesce(c.n, 0) AS n_findings,
+  CAST(coalesce(s.quality_score, 100) AS INTEGER) AS quality_score,
+  coalesce(i.main_issues, '') AS main_issues, coalesce(i.top3, '') AS top3
+ FROM ({rows}) AS r
+ LEFT JOIN (SELECT "table", count(*) AS n FROM found GROUP BY "table") AS c USING ("table")
+ LEFT JOIN scored AS s USING ("table") LEFT JOIN issues AS i USING ("table")),
+report AS (
+ SELECT *, CASE WHEN quality_score >= 80 THEN 'low' WHEN quality_score >= 65 THEN 'medium' ELSE 'high' END AS risk_level
+ FROM base)"""
+
+
+def report_sql(found: str, tables) -> str:
+    return f"""WITH {found},\n{report_ctes(tables)}
+SELECT "table", CAST(table_seq AS INTEGER) AS table_seq, rows, CAST(n_findings AS BIGINT) AS n_findings,
+ quality_score, main_issues, risk_level,
+ CASE WHEN n_findings = 0 THEN 'Table ' || "table" || ' has no relevant quality findings (score ' || quality_score
+   || '/100, ' || risk_level || ' risk).'
+  ELSE 'Table ' || "table" || ' scores ' || quality_score || '/100 (' || risk_level || ' risk) with ' || n_findings
+   || ' findings; most relevant: ' || top3
+   || '. Validation rules and the classification of sensitive fields come first.' END AS narrative
+FROM report"""
+
+
+ORACLE["retail_quality_report"] = report_sql(RETAIL_FINDINGS, list(SELECTS))
+ORACLE["star_quality_report"] = report_sql(STAR_FINDINGS, STAR_TABLES)
+ORACLE["overall_score_retail"] = f"""WITH {RETAIL_FINDINGS}, {report_ctes(SELECTS)}
+SELECT CAST(round_even(avg(quality_score), 0) AS BIGINT) AS overall_score FROM report"""
+ORACLE["spelling_variants_clientes"] = f"WITH {retail_ctes(('clientes',))}, v AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS field, {country("v") if c == "pais" else plain("v")} AS canonical, v AS spelling, n
+ FROM (SELECT {c} AS v, count(*) AS n FROM clientes WHERE NOT {missing(c)} GROUP BY {c})"""
+    for c in ("pais", "estado_cliente", "segmento")
+) + ") SELECT field, canonical, spelling, n FROM v QUALIFY count(*) OVER (PARTITION BY field, canonical) > 1"
+ORACLE["completeness_contacts"] = f"""WITH contacts AS (SELECT
+ regexp_extract(text, '([A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+)', 1) AS email,
+ regexp_extract(text, '(\\+?[0-9]{{2,3}}[ -][0-9]{{3}}[ -][0-9]{{3,4}})', 1) AS phone FROM documents)
+SELECT field, severity, n AS affected_count FROM (
+ SELECT 'email' AS field, 'high' AS severity, count(*) FILTER (WHERE {missing("email")}) AS n FROM contacts
+ UNION ALL SELECT 'phone', 'medium', count(*) FILTER (WHERE {missing("phone")}) FROM contacts) WHERE n > 0"""
+ORACLE["email_validity"] = """SELECT count(*) AS tokens,
+ count(*) FILTER (WHERE NOT regexp_matches(trim(t), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS invalid
+FROM (SELECT unnest(regexp_extract_all(text, '([^ \\n\\t]+@[^ \\n\\t]+)', 1)) AS t FROM documents)"""
+ORACLE["line_price_accuracy"] = (
+    "WITH lines AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey) "
+    + row_finding(
+        "lines", "l_extendedprice", "arithmetic", "prices that differ", "accuracy", "high", "price rule", 10, 0,
+        "abs(l_quantity * p_retailprice - l_extendedprice) > 0.01",
+    ).replace("'lines' AS", "'lineitem' AS")
+)
+ORACLE["order_total_accuracy"] = (
+    "WITH totals AS (SELECT * FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS line_total "
+    "FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey) "
+    + row_finding(
+        "totals", "o_totalprice", "arithmetic", "totals that differ", "accuracy", "high", "total rule", 10, 0,
+        "abs(line_total - o_totalprice) > 0.01",
+    ).replace("'totals' AS", "'orders' AS")
+)
+ORACLE["orphans_unlabelled"] = """SELECT CAST(doc_id AS VARCHAR) AS key, count(*) AS n FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id"""
+ORACLE["orphans_filtered_parent"] = """SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS n FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0) GROUP BY o_custkey"""
+ORACLE["records_involved_retail"] = f"WITH {retail_ctes(('clientes', 'productos', 'proveedores'))} " + " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS field, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS involved
+FROM (SELECT count(*) AS n FROM {t} WHERE NOT {missing(c)} GROUP BY {c})"""
+    for t, c in (("clientes", "dni"), ("productos", "sku"), ("proveedores", "ruc"))
+)
+
+# ---------------------------------------------------------------- inventory, profiles, names
+
+
+def _counted(tables) -> str:
+    """Row and column counts; ``fila`` is not part of the derived tables here."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", count(*) AS rows, {len(COLUMNS[t])} AS columns FROM {t}" for t in tables
+    )
+
+
+ORACLE["table_inventory_all"] = _counted(GIVEN)
+_rules = []
+for _t, _s in RETAIL_SPEC.items():
+    _rules += [(_t, k, "unique", None, None) for k in _s["keys"]]
+    _rules += [(_t, c, "reference", p, k) for c, p, k, _ in _s.get("refs", [])]
+_rule_rows = ", ".join(
+    "(" + ", ".join("NULL" if v is None else text(v) for v in r) + ")" for r in _rules
+)
+ORACLE["key_rules"] = f"""WITH {retail_ctes()}, counted AS ({_counted(SELECTS)})
+SELECT * FROM (VALUES {_rule_rows}) AS r("table", field, rule_kind, parent_table, parent_column)
+JOIN counted USING ("table")"""
+
+REASONS = [
+    ("dni", "identity document"), ("ruc", "tax identifier"), ("correo", "e-mail address"),
+    ("email", "e-mail address"), ("mail", "e-mail address"), ("telefono", "telephone number"),
+    ("phone", "telephone number"), ("celular", "telephone number"), ("direccion", "postal address"),
+    ("address", "postal address"), ("nombre", "person name"), ("apellido", "person name"),
+    ("tarjeta", "financial data"), ("cuenta", "financial data"), ("pasaporte", "identity document"),
+]
+
+
+def reason(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({col}), '{h}') THEN '{r}'" for h, r in REASONS) + " END"
+
+
+def hinted(col: str, hints) -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), '{h}')" for h in hints) + ")"
+
+
+def identifier(col: str, ratio: str) -> str:
+    return f"""(lower({col}) = 'id' OR ends_with(lower({col}), '_id') OR starts_with(lower({col}), 'id_')
+ OR ({hinted(col, ("_id", "id_", "dni", "ruc", "sku", "codigo", "code"))} AND {ratio} > 0.5) OR {ratio} >= 0.98)"""
+
+
+_PERSONAL = hinted("col", RETAIL_HINTS)
+_names = ", ".join(f"('{t}', '{c}')" for t in [*SELECTS, *GIVEN] for c in COLUMNS[t])
+ORACLE["name_rules"] = f"""WITH {retail_ctes()}, counted AS ({_counted([*SELECTS, *GIVEN])}),
+names AS (SELECT * FROM (VALUES {_names}) AS v("table", col))
+SELECT "table", col AS "column", rows,
+ ({_PERSONAL} OR ends_with(col, '_id') OR col = 'sku') AS is_critical,
+ {reason("col")} AS sensitive_reason, {identifier("col", "0.6")} AS is_identifier,
+ CASE WHEN {_PERSONAL} THEN 'personal data' WHEN ends_with(col, '_id') OR col = 'sku' THEN 'master data'
+  WHEN {hinted("col", ("precio", "total", "monto"))} THEN 'financial data' ELSE 'operational data' END AS classification,
+ CASE WHEN {_PERSONAL} OR ends_with(col, '_id') OR col = 'sku' THEN 'high' ELSE 'medium' END AS criticality,
+ CASE WHEN col = 'dni' THEN 'mandatory|8 digits|unique' WHEN col = 'ruc' THEN 'mandatory|11 digits|unique'
+  WHEN {hinted("col", ("correo", "email"))} THEN 'valid e-mail format'
+  WHEN ends_with(col, '_id') OR col = 'sku' THEN 'mandatory|unique' ELSE 'mandatory' END AS rules
+FROM names JOIN counted USING ("table")"""
+
+
+def profile_cte(table: str, columns: list[str], keys: list[str], numeric: set, samples: bool) -> str:
+    parts = []
+    for i, c in enumerate(columns):
+        number = c in numeric
+        stats = (
+            f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 4) AS mean_value"
+            if number
+            else "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean_value"
+        )
+        sample = (
+            f"""coalesce((SELECT string_agg(v, '|' ORDER BY fila) FROM (SELECT CAST({c} AS VARCHAR) AS v, fila
+ FROM {table} WHERE {c} IS NOT NULL ORDER BY fila LIMIT 3)), '')"""
+            if samples
+            else "''"
+        )
+        share = (
+            f"""(SELECT avg(CASE WHEN regexp_matches(trim(v), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 1.0 ELSE 0.0 END)
+ FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY fila LIMIT 50))"""
+            if samples
+            else "0.0"
+        )
+        parts.append(
+            f"""SELECT '{table}' AS "table", '{c}' AS col, {i} AS ordinal, {str(c in keys).lower()} AS is_key,
+ count(*) AS rows, count({c}) AS non_null, count(*) - count({c}) AS null_count,
+ round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS unique_count, {stats},
+ {sample} AS sample_values, {share} AS email_share FROM {table}"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+PROFILE_COLUMNS = f"""profiled AS (
+SELECT "table", col AS "column", CAST(ordinal AS INTEGER) AS ordinal, is_key, rows, non_null, null_count, null_pct,
+ unique_count, unique_count <= 1 AS is_constant,
+ coalesce(unique_count / nullif(non_null, 0), 0) >= 0.9 AND non_null > 1 AS is_high_cardinality,
+ {identifier("col", "coalesce(unique_count / nullif(non_null, 0), 0)")} AS is_possible_identifier,
+ coalesce({reason("col")}, CASE WHEN email_share > 0.6 THEN 'e-mail address' END) AS sensitive_reason,
+ coalesce({reason("col")}, CASE WHEN email_share > 0.6 THEN 'e-mail address' END) IS NOT NULL AS is_possible_sensitive,
+ min_value, max_value, mean_value, sample_values FROM raw_profile)"""
+
+
+def retail_profile(tables, samples: bool = True) -> str:
+    raw = "\nUNION ALL\n".join(
+        profile_cte(t, ["fila", *COLUMNS[t]], RETAIL_SPEC[t]["keys"], NUMERIC, samples) for t in tables
+    )
+    return f"raw_profile AS ({raw}), {PROFILE_COLUMNS}"
+
+
+for _t in ("clientes", "productos", "ventas"):
+    ORACLE[f"profile_columns_{_t}"] = (
+        f"WITH {retail_ctes((_t,))}, {retail_profile((_t,))} SELECT * FROM profiled"
+    )
+_LINE = "l_orderkey l_partkey l_quantity l_extendedprice l_discount l_returnflag l_linestatus l_shipdate".split()
+ORACLE["profile_columns_lineitem"] = f"""WITH raw_profile AS ({
+    profile_cte("lineitem", _LINE, ["l_orderkey"], set(_LINE[:5]), False)
+}), {PROFILE_COLUMNS} SELECT * EXCLUDE (sample_values) FROM profiled"""
+_dup_rows = " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", coalesce(sum(n - 1), 0) AS duplicate_rows
+FROM (SELECT count(*) AS n FROM {t} GROUP BY ALL)""".replace("count(*) AS n", f"{', '.join(['fila', *COLUMNS[t]])}, count(*) AS n")
+    for t in SELECTS
+)
+PROFILE_TABLES = f"""{retail_profile(SELECTS)},
+dup_rows AS ({_dup_rows}),
+table_profile AS (SELECT "table", max(rows) AS rows, CAST(count(*) AS INTEGER) AS columns,
+ coalesce(string_agg("column", '|' ORDER BY ordinal) FILTER (WHERE is_possible_sensitive), '') AS sensitive_fields,
+ coalesce(string_agg("column", '|' ORDER BY ordinal) FILTER (WHERE is_possible_identifier), '') AS identifier_fields,
+ coalesce(string_agg("column", '|' ORDER BY ordinal) FILTER (WHERE is_constant), '') AS constant_fields,
+ coalesce(string_agg("column" || '=' || null_count, '|' ORDER BY "column") FILTER (WHERE null_count > 0), '') AS nulls,
+ coalesce(string_agg("column" || '=' || (non_null - unique_count), '|' ORDER BY "column")
+  FILTER (WHERE is_key AND non_null > unique_count), '') AS duplicates
+ FROM profiled GROUP BY "table")"""
+ORACLE["profile_tables"] = f"""WITH {retail_ctes()}, {PROFILE_TABLES}
+SELECT p.*, CAST(duplicate_rows AS BIGINT) AS duplicate_rows FROM table_profile AS p JOIN dup_rows USING ("table")"""
+ORACLE["duplicate_rows_lineitem"] = """SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
+ SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity, l_discount, l_returnflag)"""
+ORACLE["key_duplicates_lineitem"] = """SELECT CAST(sum(n - 1) AS BIGINT) AS extras,
+ CAST(sum(n) FILTER (WHERE n > 1) AS BIGINT) AS records_involved
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+ORACLE["normalize_text_docs"] = f"""SELECT doc_id, CAST(length(p) AS BIGINT) AS n_plain, md5(p) AS plain_md5
+FROM (SELECT doc_id, {plain("text")} AS p FROM documents)"""
+ORACLE["normalize_contacts"] = f"""WITH {retail_ctes(("clientes",))}
+SELECT fila, {plain("nombre || ' ' || apellido")} AS name, lower(trim(correo)) AS email,
+ {country("pais")} AS country, {missing("telefono")} AS no_phone FROM clientes"""
+ORACLE["json_extract"] = """SELECT event_id,
+ CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events"""
