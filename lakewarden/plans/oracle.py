@@ -515,3 +515,420 @@ SELECT fila, {plain("nombre || ' ' || apellido")} AS name, lower(trim(correo)) A
  {country("pais")} AS country, {missing("telefono")} AS no_phone FROM clientes"""
 ORACLE["json_extract"] = """SELECT event_id,
  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events"""
+
+# ---------------------------------------------------------------- duplicates
+
+
+def key_members(source: str) -> str:
+    """Members of exact-key groups of a relation ``ord, member_id, key``."""
+    return f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS size FROM (
+ SELECT ord, member_id, trim(key, '{WHITESPACE}') AS key FROM {source})
+ WHERE key IS NOT NULL AND key NOT IN ('', 'nan', 'None')) WHERE size > 1"""
+
+
+_DOCS = "docs AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS member_id, text AS key FROM documents)"
+ORACLE["mdm_exact_documents"] = f"""WITH {_DOCS} SELECT md5(key) AS text_md5, ord AS doc_id, size
+FROM ({key_members("docs")})"""
+ORACLE["mdm_exact_documents_total"] = f"""WITH {_DOCS}
+SELECT 'document' AS entity, CAST(sum(size - 1) AS BIGINT) AS duplicates_detected, count(*) AS n_groups
+FROM (SELECT DISTINCT key, size FROM ({key_members("docs")}))"""
+
+
+def golden(table: str, columns: dict[str, str], key: str, order: str, group: str) -> str:
+    """Most frequent value per group and column, the longest if none repeats, then the first."""
+    long = " UNION ALL ".join(
+        f"SELECT g, '{c}' AS col, CAST({c} AS VARCHAR) AS v, {order} AS ord FROM members" for c in columns
+    )
+    picks = ", ".join(
+        f"CAST(max(v) FILTER (WHERE col = '{c}') AS {t}) AS {c}" for c, t in columns.items()
+    )
+    return f"""members AS (SELECT *, trim({key}) AS g FROM {table} WHERE {key} IS NOT NULL
+ AND trim({key}) NOT IN ('', 'nan', 'None') QUALIFY count(*) OVER (PARTITION BY trim({key})) > 1),
+counted AS (SELECT g, col, v, count(*) AS n, min(ord) AS first FROM ({long})
+ WHERE v IS NOT NULL AND trim(v) <> '' GROUP BY g, col, v),
+best AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY g, col
+ ORDER BY n DESC, CASE WHEN n = 1 THEN -length(v) ELSE 0 END, first) = 1)
+SELECT {group}, {picks} FROM best GROUP BY g"""
+
+
+_PART_TYPES = {
+    "p_partkey": "BIGINT", "p_name": "VARCHAR", "p_brand": "VARCHAR", "p_type": "VARCHAR",
+    "p_size": "INTEGER", "p_retailprice": "DOUBLE",
+}
+ORACLE["golden_part"] = "WITH " + golden("part", _PART_TYPES, "p_name", "p_partkey", "g AS p_key")
+ORACLE["golden_clientes"] = f"WITH {retail_ctes(('clientes',))}, " + golden(
+    "clientes",
+    {"fila": "BIGINT", **dict.fromkeys(COLUMNS["clientes"], "VARCHAR")},
+    "dni",
+    "fila",
+    "'key:' || g AS group_id",
+)
+
+
+def fuzzy_ctes(source: str) -> str:
+    """Greedy leader clusters of ``ord, member_id, key, name, email``, straight from the definition.
+
+    Similarity by a bit-parallel longest common subsequence on names of up to 62 characters.
+    """
+    return f"""keyed AS ({key_members(source)}),
+rest AS (SELECT ord, member_id, array_to_string(list_sort(string_split({plain("name")}, ' ')), ' ') AS name,
+ CASE WHEN NOT {missing("email")} THEN lower(trim(email)) END AS email
+ FROM {source} WHERE ord NOT IN (SELECT ord FROM keyed) AND {plain("name")} <> ''),
+nodes AS (SELECT name, email, min(ord) AS node, count(*) AS size, length(name) AS len,
+ row_number() OVER (ORDER BY min(ord)) AS idx FROM rest GROUP BY name, email),
+names AS (SELECT DISTINCT name, len FROM nodes),
+masks AS (SELECT a.name, c, CAST(sum(CAST(1 AS BIGINT) << (i - 1)) AS BIGINT) AS mask FROM (
+ SELECT name, unnest(range(1, len + 1)) AS i, unnest(string_split(name, '')) AS c FROM names) AS a GROUP BY a.name, c),
+maps AS (SELECT name, map_from_entries(list((c, mask))) AS m FROM masks GROUP BY name),
+close AS (SELECT a.name AS x, b.name AS y FROM names AS a JOIN names AS b
+ ON a.name < b.name AND 200 * least(a.len, b.len) >= 88 * (a.len + b.len)
+ JOIN maps ON maps.name = a.name
+ WHERE 200 * (a.len - bit_count(list_reduce(list_prepend((CAST(1 AS BIGINT) << a.len) - 1,
+  list_transform(string_split(b.name, ''), lambda c: coalesce(m[c], 0))),
+  lambda v, k: ((v + (v & k)) | (v & ~k)) & ((CAST(1 AS BIGINT) << a.len) - 1)))) >= 88 * (a.len + b.len)),
+similar AS (SELECT x, y FROM close UNION ALL SELECT y, x FROM close UNION ALL SELECT name, name FROM names),
+pairs AS (SELECT b.idx, a.node AS earlier FROM nodes AS a JOIN similar ON x = a.name JOIN nodes AS b ON b.name = y
+  AND a.idx < b.idx
+ UNION SELECT b.idx, a.node FROM nodes AS a JOIN nodes AS b ON a.email = b.email AND a.idx < b.idx),
+adj AS (SELECT n.idx, n.node, coalesce(list(p.earlier) FILTER (WHERE p.earlier IS NOT NULL), []) AS earlier
+ FROM nodes AS n LEFT JOIN pairs AS p USING (idx) GROUP BY n.idx, n.node),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders
+ UNION ALL SELECT i + 1, CASE WHEN list_has_any(leaders, earlier) THEN leaders ELSE list_append(leaders, node) END
+ FROM walk JOIN adj ON adj.idx = walk.i + 1),
+final AS (SELECT leaders FROM walk ORDER BY i DESC LIMIT 1),
+placed AS (SELECT node, CASE WHEN list_contains(leaders, node) THEN node
+  ELSE list_min(list_intersect(leaders, earlier)) END AS leader FROM adj, final),
+fuzzy AS (SELECT * FROM (SELECT rest.ord, rest.member_id, leader, count(*) OVER (PARTITION BY leader) AS size
+ FROM rest JOIN nodes ON nodes.name = rest.name AND nodes.email IS NOT DISTINCT FROM rest.email
+ JOIN placed USING (node)) WHERE size > 1),
+members AS (
+ SELECT 'key:' || key AS group_id, 'exact_key' AS match_type, ord, member_id, size FROM keyed
+ UNION ALL SELECT 'name:' || leader, 'fuzzy_name', ord, member_id, size FROM fuzzy)"""
+
+
+_PART_SOURCE = """src AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS member_id, CAST(NULL AS VARCHAR) AS key,
+ p_name AS name, CAST(NULL AS VARCHAR) AS email FROM part)"""
+_PARTS = f"WITH RECURSIVE {_PART_SOURCE}, {fuzzy_ctes('src')}"
+GROUPS = """SELECT group_id, match_type, count(*) AS size, min(ord) AS first_ord,
+ CASE match_type WHEN 'exact_key' THEN CAST(0.98 AS DOUBLE)
+  ELSE round(least(CAST(0.97 AS DOUBLE), CAST(0.88 AS DOUBLE) + CAST(0.02 AS DOUBLE) * (count(*) - 1)), 2) END AS confidence,
+ CASE match_type WHEN 'exact_key' THEN substr(group_id, 5) || ' shared by ' || count(*) || ' records'
+  ELSE count(*) || ' records with very similar names or the same e-mail' END AS evidence
+FROM members GROUP BY group_id, match_type"""
+ORACLE["fuzzy_clusters_part"] = f"{_PARTS} SELECT group_id, ord AS p_partkey, member_id, size FROM members"
+ORACLE["fuzzy_groups_part"] = f"""{_PARTS} SELECT group_id, match_type, confidence, size, evidence FROM ({GROUPS})"""
+_CLIENTS = """src AS (SELECT fila AS ord, cliente_id AS member_id, dni AS key, nombre || ' ' || apellido AS name,
+ correo AS email FROM clientes)"""
+_SUPPLIERS = """src AS (SELECT fila AS ord, proveedor_id AS member_id, ruc AS key, razon_social AS name,
+ correo AS email FROM proveedores)"""
+ORACLE["mdm_clientes"] = f"""WITH RECURSIVE {retail_ctes(("clientes",))}, {_CLIENTS}, {fuzzy_ctes("src")}
+SELECT * FROM members"""
+ORACLE["mdm_proveedores"] = f"""WITH RECURSIVE {retail_ctes(("proveedores",))}, {_SUPPLIERS}, {fuzzy_ctes("src")}
+SELECT group_id, match_type, confidence, size FROM ({GROUPS})"""
+ORACLE["mdm_key_groups_clientes"] = f"""WITH {retail_ctes(("clientes",))}, {_CLIENTS},
+members AS (SELECT 'key:' || key AS group_id, 'exact_key' AS match_type, ord, member_id, size FROM ({key_members("src")}))
+SELECT 'cliente' AS entity, * FROM ({GROUPS})"""
+
+# ---------------------------------------------------------------- catalog, recommendations, report
+
+DEFINITIONS = {
+    "cliente_id": "Identificador único del cliente", "producto_id": "Identificador único del producto",
+    "proveedor_id": "Identificador único del proveedor", "venta_id": "Identificador único de la venta",
+    "dni": "Documento Nacional de Identidad del cliente", "ruc": "Registro Único de Contribuyentes",
+    "sku": "Código único de inventario del producto (Stock Keeping Unit)",
+    "correo": "Correo electrónico de contacto", "telefono": "Número telefónico de contacto",
+    "nombre": "Nombre de la persona", "apellido": "Apellido de la persona",
+    "razon_social": "Razón social del proveedor", "precio": "Precio del producto",
+    "total": "Importe total de la venta", "fecha_registro": "Fecha de registro del cliente",
+    "fecha_venta": "Fecha en que se realizó la venta",
+}
+_defs = ", ".join(f"({text(k)}, {text(v)})" for k, v in DEFINITIONS.items())
+DICTIONARY = """entries AS (SELECT p_brand AS place,
+ CASE WHEN p_brand LIKE '%1' THEN 'sku' WHEN p_brand LIKE '%2' THEN 'precio' ELSE '' END AS field,
+ CASE WHEN p_brand LIKE '%1' THEN 'master data' ELSE 'operational data' END AS classification,
+ CASE WHEN p_brand LIKE '%2' THEN 'high' ELSE 'medium' END AS criticality
+ FROM (SELECT DISTINCT p_brand FROM part)),
+dictionary AS (SELECT 'productos' AS "table", field, classification, criticality,
+ 'Entry of ' || place AS business_definition, '' AS data_owner, 'Catalog steward' AS data_steward,
+ 'must be unique' AS base_rule, 'demo' AS source_system
+ FROM entries WHERE field <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place DESC) = 1)"""
+ORACLE["dictionary_entries"] = f"WITH {DICTIONARY} SELECT * FROM dictionary"
+
+
+def catalog_cte(dictionary: str) -> str:
+    personal = hinted('p."column"', RETAIL_HINTS)
+    master = "(ends_with(p.\"column\", '_id') OR p.\"column\" = 'sku')"
+    money = hinted('p."column"', ("precio", "total", "monto"))
+    return f"""known AS (SELECT * FROM (VALUES {_defs}) AS v(field, definition)),
+owners AS (SELECT * FROM (VALUES ('clientes', 'Gerencia Comercial', 'Analista de Clientes'),
+ ('productos', 'Gerencia de Producto', 'Analista de Catálogo'), ('ventas', 'Gerencia Comercial', 'Analista de Ventas'),
+ ('proveedores', 'Gerencia de Compras', 'Analista de Proveedores')) AS v("table", owner, steward)),
+field_rules AS (SELECT "table", field, list_sort(list_distinct(list(suggested_rule))) AS rules FROM found
+ GROUP BY "table", field),
+catalog AS (SELECT p."table", p."column" AS field,
+ coalesce(nullif(d.business_definition, ''), k.definition, 'Field ' || p."column" || ' of table ' || p."table")
+  AS business_definition,
+ coalesce(nullif(d.classification, ''), CASE WHEN {personal} THEN 'personal data' WHEN {master} THEN 'master data'
+  WHEN {money} THEN 'financial data' ELSE 'operational data' END) AS classification,
+ coalesce(nullif(d.criticality, ''), CASE WHEN {personal} OR {master} THEN 'high' ELSE 'medium' END) AS criticality,
+ coalesce(nullif(d.data_owner, ''), o.owner, 'Gobierno de Datos') AS data_owner,
+ coalesce(nullif(d.data_steward, ''), o.steward, 'Data Steward asignado') AS data_steward,
+ CASE WHEN p."table" = 'ventas' THEN 'daily' ELSE 'on event' END AS update_frequency,
+ array_to_string(list_concat(base, CASE WHEN d.base_rule IS NULL OR list_contains(base, d.base_rule) THEN []
+  ELSE [d.base_rule] END), '|') AS quality_rules
+ FROM (SELECT p.*, coalesce(r.rules, CASE WHEN p."column" = 'dni' THEN ['mandatory', '8 digits', 'unique']
+   WHEN p."column" = 'ruc' THEN ['mandatory', '11 digits', 'unique']
+   WHEN {hinted('p."column"', ("correo", "email"))} THEN ['valid e-mail format']
+   WHEN {master} THEN ['mandatory', 'unique'] ELSE ['mandatory'] END) AS base
+  FROM profiled AS p LEFT JOIN field_rules AS r ON r."table" = p."table" AND r.field = p."column") AS p
+ LEFT JOIN known AS k ON k.field = p."column" LEFT JOIN owners AS o ON o."table" = p."table"
+ LEFT JOIN {dictionary} AS d ON d."table" = p."table" AND d.field = p."column"
+ WHERE p.is_possible_sensitive OR p.is_possible_identifier OR k.definition IS NOT NULL)"""
+
+
+ORACLE["catalog_entries"] = f"""WITH {RETAIL_FINDINGS}, {retail_profile(SELECTS)}, {DICTIONARY},
+{catalog_cte("dictionary")} SELECT * FROM catalog"""
+ORACLE["catalog_feed"] = """SELECT 'clientes' AS "table", lower(c_mktsegment) AS field_key,
+ 'Segment ' || c_mktsegment AS business_definition FROM (SELECT DISTINCT c_mktsegment FROM customer)"""
+ORACLE["recommendation_feed"] = """WITH c AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)
+SELECT p AS response_id, CAST(1 AS INTEGER) AS seq, 'high' AS priority, 'Check ' || p AS title, n || ' orders' AS risk,
+ '' AS suggested_action, '' AS responsible, '' AS expected_impact, '' AS estimated_effort FROM c
+UNION ALL SELECT p, 2, 'medium', 'Second', '', '', '', '', '' FROM c"""
+
+_entity_keys = [
+    ("cliente", "clientes", "dni"), ("producto", "productos", "sku"), ("proveedor", "proveedores", "ruc"),
+    ("sucursal", "sucursales", "sucursal_id"),
+]
+_dupes = " UNION ALL ".join(
+    f"""SELECT '{e}' AS entity, {i} AS entity_seq, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates_detected,
+ count(*) AS n_groups FROM (SELECT count(*) AS n FROM {t} WHERE {k} IS NOT NULL AND trim({k}) NOT IN ('', 'nan', 'None')
+ GROUP BY trim({k}) HAVING count(*) > 1)"""
+    for i, (e, t, k) in enumerate(_entity_keys)
+)
+BY_KEY = f"""{RETAIL_FINDINGS_ROW}, {report_ctes(SELECTS)}, {PROFILE_TABLES},
+no_dictionary AS (SELECT '' AS "table", '' AS field, '' AS business_definition, '' AS classification,
+ '' AS criticality, '' AS data_owner, '' AS data_steward, CAST(NULL AS VARCHAR) AS base_rule),
+{catalog_cte("no_dictionary")}, dupes AS ({_dupes}),
+risk_rows AS (
+ SELECT 1 AS part, table_seq AS place, 'Table ' || "table" || ' has a high quality risk (score ' || quality_score || ').' AS risk
+ FROM report WHERE risk_level = 'high'
+ UNION ALL SELECT 2, entity_seq, duplicates_detected || ' possible duplicates in ' || entity || ' (single view at risk).'
+ FROM dupes WHERE duplicates_detected > 0
+ UNION ALL SELECT 3, table_seq, 'Personal data without formal classification in ' || "table" || ': '
+  || replace(sensitive_fields, '|', ', ') || '.' FROM table_profile JOIN report USING ("table") WHERE sensitive_fields <> ''),
+risk AS (SELECT CAST(row_number() OVER (ORDER BY part, place) AS INTEGER) AS seq, risk FROM risk_rows),
+kpi AS (
+ SELECT 1 AS seq, 'datasets_analysed' AS kpi, (SELECT count(*) FROM table_profile) AS value
+ UNION ALL SELECT 2, 'findings_detected', (SELECT count(*) FROM found)
+ UNION ALL SELECT 3, 'suggested_rules', (SELECT count(DISTINCT suggested_rule) FROM found)
+ UNION ALL SELECT 4, 'duplicates_detected', (SELECT CAST(sum(duplicates_detected) AS BIGINT) FROM dupes)
+ UNION ALL SELECT 5, 'sensitive_fields', (SELECT count(*) FROM profiled WHERE is_possible_sensitive)
+ UNION ALL SELECT 6, 'catalogued_fields', (SELECT count(*) FROM catalog)
+ UNION ALL SELECT 7, 'mean_score', (SELECT CAST(round_even(avg(quality_score), 0) AS BIGINT) FROM report)),
+high AS (SELECT "table", array_to_string(list_sort(list_distinct(list(quality_dimension))), ', ') AS dims,
+ array_to_string(list_slice(list_sort(list_distinct(list(suggested_rule))), 1, 4), '; ') AS rules
+ FROM found WHERE severity = 'high' GROUP BY "table"),
+recs AS (
+ SELECT 1 AS part, quality_score AS rank, table_seq AS tie, CASE WHEN quality_score < 65 THEN 'high' ELSE 'medium' END AS priority,
+  'Improve the quality of table ' || "table" AS title,
+  'Score ' || quality_score || '/100 (' || risk_level || ' risk); dimensions affected: ' || dims || '.' AS risk,
+  'Implement validation rules: ' || rules AS suggested_action, 'Data owner of ' || "table" AS responsible,
+  'Fewer errors and more trust in the reports.' AS expected_impact, 'medium' AS estimated_effort
+ FROM report JOIN high USING ("table")
+ UNION ALL SELECT 2, entity_seq, 0, 'high', 'Consolidate the duplicates of ' || entity,
+  duplicates_detected || ' possible duplicates blur the single view of ' || entity || '.',
+  'Apply the golden records and the matching rules (key, then similarity).', 'Data steward of ' || entity,
+  'Single view of the master entity and fewer duplicates.', 'medium' FROM dupes WHERE duplicates_detected > 0),
+lines AS (
+ SELECT 1 AS part, table_seq AS a, check_seq AS b, col_ordinal AS c, f."table" || '.' || field || ': ' || problem || ' ['
+  || quality_dimension || ', ' || severity || ']' AS line FROM found AS f JOIN report AS r ON r."table" = f."table"
+ UNION ALL SELECT 2, entity_seq, 0, 0, entity || ': ' || duplicates_detected || ' possible duplicates (MDM)'
+ FROM dupes WHERE duplicates_detected > 0)"""
+ORACLE["risks_by_key"] = f"WITH {BY_KEY} SELECT seq, risk FROM risk"
+ORACLE["kpis_by_key"] = f"WITH {BY_KEY} SELECT CAST(seq AS INTEGER) AS seq, kpi, CAST(value AS BIGINT) AS value FROM kpi"
+ORACLE["recommendations_by_key"] = f"""WITH {BY_KEY}
+SELECT CAST(row_number() OVER (ORDER BY part, rank, tie, title) AS INTEGER) AS seq,
+ * EXCLUDE (part, rank, tie) FROM recs"""
+ORACLE["finding_lines_by_key"] = f"""WITH {BY_KEY}
+SELECT CAST(row_number() OVER (ORDER BY part, a, b, c, line) AS INTEGER) AS seq, line FROM lines QUALIFY seq <= 60"""
+
+
+def _kpi(name: str) -> str:
+    return f"(SELECT value FROM kpi WHERE kpi = '{name}')"
+
+
+ORACLE["summary_by_key"] = f"""WITH {BY_KEY} SELECT
+ 'Analysed ' || {_kpi("datasets_analysed")} || ' datasets with an overall quality score of ' || {_kpi("mean_score")}
+ || '/100. Found ' || {_kpi("findings_detected")} || ' quality findings and ' || {_kpi("duplicates_detected")}
+ || ' possible duplicates. ' || {_kpi("sensitive_fields")}
+ || ' fields with personal data need classification and owners.' AS executive_summary,
+ 'Datasets: ' || (SELECT string_agg("table", ', ' ORDER BY table_seq) FROM report) || '. Overall score: '
+ || {_kpi("mean_score")} || '/100. Findings: ' || {_kpi("findings_detected")} || '. Duplicates: '
+ || {_kpi("duplicates_detected")} || '. Sensitive fields: ' || {_kpi("sensitive_fields")} || '. Risks: '
+ || coalesce((SELECT string_agg(risk, '; ' ORDER BY seq) FROM risk WHERE seq <= 4), 'none relevant') || '.' AS facts"""
+
+_metrics = [
+    ("clientes", "rows", "SELECT count(*) FROM clientes"),
+    ("productos", "rows", "SELECT count(*) FROM productos"),
+]
+for _t, _m, _f, _d in (
+    ("clientes", "invalid_dni_records", "dni", "validity"),
+    ("clientes", "missing_telefono_records", "telefono", "completeness"),
+    ("productos", "negative_price_records", "precio", "validity"),
+    ("proveedores", "invalid_ruc_records", "ruc", "validity"),
+    ("proveedores", "missing_correo_records", "correo", "completeness"),
+    ("ventas", "zero_quantity_records", "cantidad", "validity"),
+    ("ventas", "total_mismatch_records", "total", "accuracy"),
+):
+    _metrics.append(
+        (_t, _m, f"""SELECT coalesce(max(affected_count), 0) FROM found WHERE "table" = '{_t}' AND field = '{_f}'
+ AND quality_dimension = '{_d}'""")
+    )
+for _t, _m, _c in (
+    ("clientes", "duplicate_dni_records", "dni"), ("productos", "duplicate_sku_records", "sku"),
+):
+    _metrics.append(
+        (_t, _m, f"""SELECT coalesce(sum(n) FILTER (WHERE n > 1), 0) FROM (SELECT count(*) AS n FROM {_t}
+ WHERE NOT {missing(_c)} GROUP BY {_c})""")
+    )
+_detected = " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{m}' AS metric, CAST(({s}) AS VARCHAR) AS detected""" for t, m, s in _metrics
+)
+_sensitive = [c for c in COLUMNS["clientes"] if any(h in c for h, _ in REASONS)]
+_expected = ", ".join(
+    f"('{t}', '{m}', {text(json.dumps(v, separators=(',', ':')))})"
+    for t, ms in EXPECTED.items()
+    for m, v in ms.items()
+)
+CHECKS = f"""WITH {RETAIL_FINDINGS_ROW}, detected AS ({_detected}
+ UNION ALL SELECT 'clientes', 'possible_sensitive_fields', {text(json.dumps(_sensitive, separators=(",", ":")))}),
+checks AS (SELECT "table", metric, expected, coalesce(detected, '0') AS detected,
+ CASE WHEN metric = 'possible_sensitive_fields' THEN true ELSE expected = coalesce(detected, '0') END AS ok,
+ NOT starts_with(metric, 'duplicate_') AS hard
+ FROM (VALUES {_expected}) AS v("table", metric, expected) LEFT JOIN detected USING ("table", metric))"""
+ORACLE["ground_truth_check"] = f"{CHECKS} SELECT * FROM checks"
+ORACLE["ground_truth_pass_rate"] = f"""{CHECKS} SELECT "table", count(*) FILTER (WHERE ok) AS passed,
+ count(*) AS total, count(*) FILTER (WHERE hard AND NOT ok) AS hard_failures FROM checks GROUP BY "table\""""
+
+# ---------------------------------------------------------------- documents
+
+SPACE = f"[{WHITESPACE}]"
+
+
+def chunk_ctes(docs: str = "documents") -> str:
+    return f"""tidy AS (SELECT doc_id, source, regexp_replace(text, '{SPACE}+\n', '\n', 'g') AS t FROM {docs}),
+windows AS (SELECT doc_id, source, s, trim(substr(t, s + 1, 800), '{WHITESPACE}') AS text
+ FROM (SELECT *, unnest(generate_series(0, length(t) - 1, 680)) AS s FROM tidy)),
+chunks AS (SELECT doc_id, source, text,
+ CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_id FROM windows WHERE text <> '')"""
+
+
+def term_ctes(name: str, source: str, keys: str, text_col: str = "text") -> str:
+    """Bucket counts of a text column and the squared length per row."""
+    fold = "CAST('0x' || substr(h, 1, 15) AS BIGINT) % 768"
+    for start, digits in ((16, 15), (31, 2)):
+        fold = f"(({fold}) * {16**digits % 768} + CAST('0x' || substr(h, {start}, {digits}) AS BIGINT)) % 768"
+    return f"""{name}_terms AS (SELECT {keys}, CAST({fold} AS INTEGER) AS bucket, count(*) AS n FROM (
+ SELECT {keys}, md5(w) AS h FROM (SELECT {keys}, unnest(string_split_regex(lower({text_col}), '{SPACE}+')) AS w
+ FROM {source}) WHERE w <> '') GROUP BY ALL),
+{name}_norms AS (SELECT {keys}, CAST(sum(n * n) AS BIGINT) AS norm2 FROM {name}_terms GROUP BY {keys})"""
+
+
+_keys = "doc_id, chunk_id"
+ORACLE["chunks_windows"] = f"""WITH {chunk_ctes()} SELECT doc_id, source, chunk_id,
+ CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM chunks"""
+ORACLE["hash_embedding"] = f"""WITH {chunk_ctes()}, {term_ctes("c", "chunks", _keys)}
+SELECT {_keys}, bucket, round(n / sqrt(CAST(norm2 AS DOUBLE)), 9) AS weight FROM c_terms JOIN c_norms USING ({_keys})"""
+
+
+def top_ctes(questions: str) -> str:
+    return f"""q AS ({questions}), {term_ctes("c", "chunks", _keys)}, {term_ctes("q", "q", "question_id", "question")},
+dots AS (SELECT question_id, doc_id, chunk_id, CAST(sum(q_terms.n * c_terms.n) AS DOUBLE) AS dot
+ FROM q_terms JOIN c_terms USING (bucket) GROUP BY ALL),
+vector AS (SELECT question_id, doc_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id
+  ORDER BY score DESC, doc_id, chunk_id) AS INTEGER) AS rank
+ FROM (SELECT question_id, doc_id, chunk_id, dot / sqrt(CAST(q_norms.norm2 * c_norms.norm2 AS DOUBLE)) AS score
+  FROM dots JOIN q_norms USING (question_id) JOIN c_norms USING ({_keys})) QUALIFY rank <= 6)"""
+
+
+_QUESTIONS = "SELECT item_id AS question_id, text AS question FROM benchmark"
+ORACLE["topk_chunks"] = f"""WITH {chunk_ctes()}, {top_ctes(_QUESTIONS)}
+SELECT question_id, {_keys}, round(score, 9) AS score, rank FROM vector"""
+ORACLE["topk_vectors"] = """WITH means AS (SELECT label, list(x ORDER BY pos) AS vec FROM (
+ SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
+  SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
+ SELECT means.label AS query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY means.label
+  ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM means, LATERAL (
+  SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec), 9) AS score FROM embeddings) QUALIFY rank <= 6)"""
+ORACLE["unit_vectors"] = """SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x / norm, 9) AS x FROM (
+ SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos,
+  sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v))) AS norm FROM embeddings)"""
+_needles = " OR ".join(f"contains(lower(text), '{n}')" for n in NEEDLES)
+ORACLE["keyword_hits"] = f"""WITH {chunk_ctes()} SELECT {_keys}, CAST(1 AS DOUBLE) AS score FROM chunks
+WHERE {_needles} ORDER BY {_keys} LIMIT 25"""
+ORACLE["adjacent_chunks"] = f"""WITH {chunk_ctes()} SELECT doc_id, chunk_id, CAST(2 AS INTEGER) AS anchor_id,
+ CAST(0.9 AS DOUBLE) AS score, md5(text) AS text_md5 FROM chunks JOIN labels USING (doc_id) WHERE chunk_id BETWEEN -1 AND 5"""
+
+CITED = """cited AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'Artículo ' WHEN 1 THEN 'ARTICULO '
+ ELSE 'Art. ' END || (doc_id % 97) || '. ' || text AS text FROM documents)"""
+_CITED_Q = """SELECT item_id AS question_id, CASE WHEN item_id % 2 = 0 THEN 'Que dice el artículo ' || (item_id % 97)
+ || '? ' || text ELSE text END AS question FROM benchmark"""
+_NUMBERS = r"list_distinct(regexp_extract_all(lower(strip_accents(question)), 'art(?:iculo)?s?\.?\s*([0-9]+)', 1))"
+_STEMS = "['rtículo ', 'rticulo ', 'RTÍCULO ', 'RTICULO ', 'rt. ', 'rt ']"
+ORACLE["article_references"] = f"""SELECT question_id, array_to_string(numbers, '|') AS numbers,
+ array_to_string(flatten(list_transform(numbers, lambda n: list_transform({_STEMS}, lambda s: s || n))), '|') AS needles
+FROM (SELECT question_id, {_NUMBERS} AS numbers FROM ({_CITED_Q}))"""
+HITS = rf"""asked AS (SELECT question_id, unnest({_NUMBERS}) AS number FROM q),
+loose AS (SELECT DISTINCT question_id, doc_id, chunk_id, text FROM asked JOIN chunks ON
+ list_bool_or(list_transform({_STEMS}, lambda s: contains(lower(text), lower(s) || number)))),
+first_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY {_keys}) AS INTEGER) AS hit_rank
+ FROM loose QUALIFY hit_rank <= 6),
+hits AS (SELECT DISTINCT question_id, doc_id, chunk_id, hit_rank FROM first_hits JOIN asked USING (question_id)
+ WHERE regexp_matches(lower(strip_accents(text)), 'art(?:iculo)?s?\.?\s*' || number || '\b'))"""
+ORACLE["reference_hits"] = f"WITH {CITED}, {chunk_ctes('cited')}, q AS ({_CITED_Q}), {HITS} SELECT * FROM hits"
+CONTEXT = f"""{CITED}, {chunk_ctes("cited")}, {top_ctes(_CITED_Q)}, {HITS},
+both_lists AS (SELECT question_id, {_keys}, CAST(1 AS DOUBLE) AS score, 0 AS part, hit_rank AS rank FROM hits
+ UNION ALL SELECT question_id, {_keys}, score, 1, rank FROM vector),
+listed AS (SELECT b.*, c.source, c.text, count(*) FILTER (WHERE part = 0) OVER (PARTITION BY question_id) AS n_hits,
+ row_number() OVER (PARTITION BY question_id, substr(c.text, 1, 200) ORDER BY part, rank) AS copy
+ FROM both_lists AS b JOIN chunks AS c USING ({_keys})),
+merged AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY part, rank) AS rank
+ FROM listed WHERE n_hits = 0 OR copy = 1 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY part, rank) <= 6 + n_hits),
+once AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY question_id, {_keys} ORDER BY rank) = 1),
+anchored AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS place FROM once),
+around AS (SELECT question_id, {_keys}, source, text, score, place, -1 AS turn FROM anchored
+ UNION ALL SELECT a.question_id, c.doc_id, c.chunk_id, c.source, c.text, CAST(0.9 AS DOUBLE), a.place, c.chunk_id
+ FROM anchored AS a JOIN chunks AS c ON c.doc_id = a.doc_id AND c.chunk_id BETWEEN a.chunk_id - 3 AND a.chunk_id + 3
+ WHERE a.place <= 2),
+kept AS (SELECT * FROM around QUALIFY row_number() OVER (PARTITION BY question_id, {_keys} ORDER BY place, turn) = 1),
+context AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY place, turn) AS INTEGER) AS pos
+ FROM kept QUALIFY pos <= 14)"""
+ORACLE["expanded_context"] = f"""WITH {CONTEXT} SELECT question_id, pos, {_keys}, round(score, 9) AS score FROM context"""
+ORACLE["formatted_context"] = f"""WITH {CONTEXT} SELECT question_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS context_md5
+FROM (SELECT question_id, string_agg('[Fuente: ' || source || ']\n' || text, '\n\n' ORDER BY pos) AS t
+ FROM context GROUP BY question_id)"""
+_WORDS = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+ORACLE["answers"] = rf"""WITH {CONTEXT},
+best AS (SELECT question_id, question, text, score FROM context JOIN q USING (question_id) WHERE pos = 1),
+split AS (SELECT question_id, question, unnest(parts) AS s, unnest(range(len(parts))) AS i FROM (
+ SELECT *, string_split(regexp_replace(text, '([.!?]){SPACE}+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM best)),
+ranked AS (SELECT question_id, s, row_number() OVER (PARTITION BY question_id ORDER BY
+ len(list_intersect(list_distinct(regexp_extract_all(lower(question), '{_WORDS}')),
+  list_distinct(regexp_extract_all(lower(s), '{_WORDS}')))) DESC, i) AS rn FROM split),
+snippet AS (SELECT question_id, trim(string_agg(s, ' ' ORDER BY rn), '{WHITESPACE}') AS answer FROM ranked
+ WHERE rn <= 2 GROUP BY question_id),
+named AS (SELECT question_id, string_agg(source, '|' ORDER BY pos) AS sources FROM (
+ SELECT question_id, source, min(pos) AS pos FROM context WHERE source <> '' GROUP BY question_id, source) GROUP BY question_id)
+SELECT q.question_id, q.question,
+ coalesce(nullif(answer, ''), substr(text, 1, 300), 'No se encontró sustento suficiente en los documentos cargados.') AS answer,
+ CASE WHEN answer IS NOT NULL THEN 'Taken directly from the retrieved documents.' ELSE '' END AS rationale,
+ coalesce(sources, '') AS sources, CASE WHEN score > 0.15 THEN 'medium' ELSE 'low' END AS confidence,
+ answer IS NOT NULL AS grounded, round(score, 9) AS best_score
+FROM q LEFT JOIN best USING (question_id) LEFT JOIN snippet USING (question_id) LEFT JOIN named USING (question_id)"""
+ORACLE["generated_answers"] = """SELECT conv_id || '-' || turn AS question_id, role AS question,
+ CASE role WHEN 'system' THEN 'No se encontró sustento suficiente en los documentos cargados.'
+  ELSE 'turn ' || turn END AS answer, '' AS rationale,
+ CASE role WHEN 'system' THEN '' ELSE 'manual.md' END AS sources,
+ CASE role WHEN 'system' THEN 'medium' ELSE 'high' END AS confidence, role <> 'system' AS grounded
+FROM conversations WHERE role <> 'assistant'"""
