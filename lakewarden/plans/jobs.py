@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,35 @@ def duplicates(
     return {"groups": groups, "members": members, "golden": golden, "names": names}
 
 
+def _count_table(spark: SparkSession, names: list[str], groups: DataFrame) -> DataFrame:
+    """M8 for every entity in input order, zero included."""
+    seqs = spark.createDataFrame(list(enumerate(names)), "entity_seq int, entity string")
+    zero = F.lit(0).cast("bigint")
+    return seqs.join(mdm.duplicates_detected(groups), "entity", "left").select(
+        "entity",
+        "entity_seq",
+        F.coalesce("duplicates_detected", zero).alias("duplicates_detected"),
+        F.coalesce("n_groups", zero).alias("n_groups"),
+    )
+
+
+def duplicate_counts(
+    tables: dict[str, DataFrame], pack: RulePack, order_cols: dict[str, str], **options: int
+) -> DataFrame:
+    """``entity, entity_seq, duplicates_detected, n_groups`` without golden records."""
+    names, groups = [], []
+    for name, df in tables.items():
+        entity = pack.entity_of(name)
+        if entity is not None:
+            members = mdm.find_members(
+                entity, df, order_cols[name], pack.similarity_threshold, **options
+            )
+            names.append(entity.name)
+            groups.append(mdm.group_table(members).select("entity", "group_id", "size"))
+    spark = next(iter(tables.values())).sparkSession
+    return _count_table(spark, names, reduce(DataFrame.unionByName, groups))
+
+
 def dataset_job(
     tables: dict[str, DataFrame],
     pack: RulePack,
@@ -81,13 +110,9 @@ def dataset_job(
     table_rows = cut(table_rows, "profiles")
     mdm_parts = duplicates(tables, pack, order_cols, **options)
     union = DataFrame.unionByName
-    seqs = spark.createDataFrame(
-        list(enumerate(mdm_parts["names"])), "entity_seq int, entity string"
-    )
     if mdm_parts["groups"]:
         groups = cut(reduce(union, mdm_parts["groups"]), "groups")
         members = reduce(union, mdm_parts["members"])
-        counts = mdm.duplicates_detected(groups)
     else:
         groups = spark.createDataFrame(
             [],
@@ -99,17 +124,7 @@ def dataset_job(
             "entity string, group_id string, match_type string, ord string, member_id string, "
             "size bigint",
         )
-        counts = mdm.duplicates_detected(groups)
-    zero = F.lit(0).cast("bigint")
-    dupes = cut(
-        seqs.join(counts, "entity", "left").select(
-            "entity",
-            "entity_seq",
-            F.coalesce("duplicates_detected", zero).alias("duplicates_detected"),
-            F.coalesce("n_groups", zero).alias("n_groups"),
-        ),
-        "duplicates",
-    )
+    dupes = cut(_count_table(spark, mdm_parts["names"], groups), "duplicates")
     entries = cut(catalog.catalog(columns, found, pack, dictionary), "catalog")
     recs = recommend.recommendations(scored, found, dupes)
     risk = report.risks(scored, dupes, table_rows)

@@ -586,8 +586,8 @@ close AS (SELECT a.name AS x, b.name AS y FROM names AS a JOIN names AS b
  WHERE 200 * (a.len - bit_count(list_reduce(list_prepend((CAST(1 AS BIGINT) << a.len) - 1,
   list_transform(string_split(b.name, ''), lambda c: coalesce(m[c], 0))),
   lambda v, k: ((v + (v & k)) | (v & ~k)) & ((CAST(1 AS BIGINT) << a.len) - 1)))) >= 88 * (a.len + b.len)),
-similar AS (SELECT x, y FROM close UNION ALL SELECT y, x FROM close UNION ALL SELECT name, name FROM names),
-pairs AS (SELECT b.idx, a.node AS earlier FROM nodes AS a JOIN similar ON x = a.name JOIN nodes AS b ON b.name = y
+alike AS (SELECT x, y FROM close UNION ALL SELECT y, x FROM close UNION ALL SELECT name, name FROM names),
+pairs AS (SELECT b.idx, a.node AS earlier FROM nodes AS a JOIN alike ON x = a.name JOIN nodes AS b ON b.name = y
   AND a.idx < b.idx
  UNION SELECT b.idx, a.node FROM nodes AS a JOIN nodes AS b ON a.email = b.email AND a.idx < b.idx),
 adj AS (SELECT n.idx, n.node, coalesce(list(p.earlier) FILTER (WHERE p.earlier IS NOT NULL), []) AS earlier

@@ -26,6 +26,7 @@ from ..operators import (
     validation,
 )
 from ..rules import ArithmeticRule, Entity, Relation, RulePack, rules_table
+from ..session import cut
 from ..sources.tabular import data_dictionary, expected_from_dict, read_table, table_inventory
 from . import jobs
 from .retail import retail_tables
@@ -482,39 +483,51 @@ def catalog_feed(spark, folder):
     return catalog.definitions_from_responses(responses)
 
 
-def _by_key_report(spark, folder):
-    """Findings, report, profiles and duplicate counts with exact keys only."""
+def _by_key(spark, folder):
+    """Tables with their row number, findings and report, duplicate counts with exact keys only."""
     tables = retail_tables(spark, folder, keep_row=True)
-    rows = dict.fromkeys(tables, "fila")
-    return jobs.dataset_job(
-        retail_tables(spark, folder, keep_row=True), RETAIL_BY_KEY, AS_OF, rows
-    )
+    found = cut(quality.findings(tables, RETAIL_BY_KEY, AS_OF), "findings")
+    scored = quality.quality_report(tables, RETAIL_BY_KEY, AS_OF, found)
+    dupes = jobs.duplicate_counts(tables, RETAIL_BY_KEY, dict.fromkeys(tables, "fila"))
+    return tables, found, scored, dupes
+
+
+def _by_key_kpis(spark, folder):
+    tables, found, scored, dupes = _by_key(spark, folder)
+    scored, dupes = cut(scored, "report"), cut(dupes, "duplicates")
+    columns, rows = jobs.profiles(tables, RETAIL_BY_KEY, dict.fromkeys(tables, "fila"))
+    entries = catalog.catalog(columns, found, RETAIL_BY_KEY)
+    rows = cut(rows, "profiles")
+    return report.kpis(scored, found, dupes, rows, entries), rows, report.risks(scored, dupes, rows)
 
 
 @query
 def recommendations_by_key(spark, folder):
-    return _by_key_report(spark, folder)["recommendations"]
+    _, found, scored, dupes = _by_key(spark, folder)
+    return recommend.recommendations(scored, found, dupes)
 
 
 @query
 def risks_by_key(spark, folder):
-    return _by_key_report(spark, folder)["risks"]
+    tables, _, scored, dupes = _by_key(spark, folder)
+    _, rows = jobs.profiles(tables, RETAIL_BY_KEY, dict.fromkeys(tables, "fila"))
+    return report.risks(scored, dupes, rows)
 
 
 @query
 def kpis_by_key(spark, folder):
-    return _by_key_report(spark, folder)["kpis"]
+    return _by_key_kpis(spark, folder)[0]
 
 
 @query
 def summary_by_key(spark, folder):
-    return _by_key_report(spark, folder)["summary"]
+    return report.summary(*_by_key_kpis(spark, folder))
 
 
 @query
 def finding_lines_by_key(spark, folder):
-    out = _by_key_report(spark, folder)
-    return recommend.finding_lines(out["findings"], out["report"], out["duplicates"])
+    _, found, scored, dupes = _by_key(spark, folder)
+    return recommend.finding_lines(found, scored, dupes)
 
 
 @query
