@@ -96,120 +96,83 @@ def _required_overlap(length: Column, threshold: int) -> Column:
     return F.ceil(((3 * threshold - 200) * total - 200) / 200)
 
 
-def name_blocks(nodes: DataFrame, threshold: int) -> DataFrame:
-    """Blocks in which every similar pair of names meets at least once.
+def name_blocks(names: DataFrame, threshold: int) -> DataFrame:
+    """``block, name, len``: blocks in which every similar pair of names meets at least once.
 
     Prefix filter: bigrams from rare to frequent, and only the first ``G - overlap + 1`` of them.
     The frequency table holds one row per bigram over a 37-letter alphabet, so its size is fixed.
     """
     if threshold < 84:
         raise ValueError("the bigram bound needs a threshold of at least 84")
-    grams = nodes.withColumn("pairs", bigrams(F.col("name")))
-    grams = grams.select(
-        "node", "name", "email", "len", F.explode(number_repeats("pairs")).alias("gram")
-    )
+    grams = names.withColumn("pairs", bigrams(F.col("name")))
+    grams = grams.select("name", "len", F.explode(number_repeats("pairs")).alias("gram"))
     grams = grams.withColumn("pair", F.substring_index("gram", "#", 1))
     weight = grams.groupBy("pair").agg(F.count(F.lit(1)).alias("freq"))
     ordered = (
         grams.join(F.broadcast(weight), "pair")
-        .groupBy("node", "name", "email", "len")
+        .groupBy("name", "len")
         .agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
     )
     keep = F.size("grams") - _required_overlap(F.col("len"), threshold) + 1
     return ordered.select(
         F.explode(F.slice("grams", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("g"),
-        "node",
         "name",
-        "email",
         "len",
-    ).select(
-        F.concat(F.lit("g:"), F.col("g.gram")).alias("block"), "node", "name", "email", "len"
-    )
+    ).select(F.col("g.gram").alias("block"), "name", "len")
 
 
-def email_blocks(nodes: DataFrame) -> DataFrame:
-    """M3: nodes with the same e-mail share a block."""
-    return nodes.filter("email IS NOT NULL").select(
-        F.concat(F.lit("e:"), F.col("email")).alias("block"), "node", "name", "email", "len"
-    )
-
-
-def _similar(pairs: DataFrame, threshold: int) -> DataFrame:
-    """M2 and M3 on candidates ``(a, a_name, b, b_name, by_email)``: the edges ``(a, b)``.
+def similar_names(pairs: DataFrame, threshold: int) -> DataFrame:
+    """M2 on candidate pairs ``(x, y)``: those whose similarity reaches the threshold.
 
     Length and Levenshtein filters run in the JVM and drop no true pair (Levenshtein distance never
-    exceeds the indel distance); the rest of the name pairs go to the Arrow function once each.
+    exceeds the indel distance); the rest reaches the Arrow function once per pair.
     """
-    total = F.char_length("a_name") + F.char_length("b_name")
+    short = F.least(F.char_length("x"), F.char_length("y"))
+    total = F.char_length("x") + F.char_length("y")
     slack = F.floor((100 - threshold) * total / 100)
-    names = (
-        pairs.filter("NOT by_email")
-        .filter(
-            reaches(
-                F.least(F.char_length("a_name"), F.char_length("b_name")), total, threshold
-            )
-        )
-        .filter(F.levenshtein("a_name", "b_name") <= slack)
-        .select("a", "a_name", "b", "b_name")
-        .distinct()
-        .withColumn("lcs", lcs_similarity(F.col("a_name"), F.col("b_name")))
+    return (
+        pairs.filter(reaches(short, total, threshold))
+        .filter(F.levenshtein("x", "y") <= slack)
+        .withColumn("lcs", lcs_similarity(F.col("x"), F.col("y")))
         .filter(reaches(F.col("lcs"), total, threshold))
+        .drop("lcs")
     )
-    return names.select("a", "b").unionByName(pairs.filter("by_email").select("a", "b")).distinct()
-
-
-def _side(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(
-        "block", F.col("node").alias(prefix), F.col("name").alias(f"{prefix}_name")
-    )
-
-
-def _by_email(block: str = "block") -> Column:
-    return F.col(block).startswith("e:").alias("by_email")
 
 
 def small_block_edges(blocks: DataFrame, threshold: int) -> DataFrame:
-    """Edges ``(a, b)``, ``a`` before ``b``, inside blocks of bounded size."""
-    pairs = _side(blocks, "a").join(_side(blocks, "b"), "block").filter("a < b")
-    return _similar(pairs.select("a", "a_name", "b", "b_name", _by_email()), threshold)
+    """Similar names ``(x, y)``, in both directions, inside blocks of bounded size."""
+    left = blocks.select("block", F.col("name").alias("x"))
+    right = blocks.select("block", F.col("name").alias("y"))
+    pairs = left.join(right, "block").filter("x < y").select("x", "y").distinct()
+    edges = similar_names(pairs, threshold)
+    return edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
 
 def head_edges(
-    big_blocks: DataFrame, state: DataFrame, threshold: int, heads: int, hot_rows: int
+    big_blocks: DataFrame, firsts: DataFrame, threshold: int, heads: int, hot_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Compare the first undecided nodes of each big block with the whole block.
+    """Compare the names at the front of each big block with the whole block.
 
-    Returns the edges and the head places ``(block, node)``. An e-mail block is a clique, where the
-    first node alone decides. No block is ever paired with itself.
+    ``firsts`` gives the first open node of every name that has one; the names with the earliest
+    first nodes are the heads. Returns ``(x, y, first)`` for similar heads ``x`` and the head places
+    ``(block, name)``. No block is ever paired with itself.
     """
-    live = big_blocks.join(
-        state.filter("status <> 'leader'").select("node", "status", "leader"), "node"
-    )
-    order = Window.partitionBy("block").orderBy("node")
+    order = Window.partitionBy("block").orderBy("first")
     front = (
-        live.filter("status = 'open'")
+        big_blocks.join(firsts.select("name", "first"), "name")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= heads)
-        .filter((F.col("rank") == 1) | ~F.col("block").startswith("e:"))
     )
     per_block = front.groupBy("block").agg(
-        F.collect_list(F.struct(F.col("node").alias("a"), F.col("name").alias("a_name"))).alias(
-            "front"
-        ),
+        F.collect_list(F.struct(F.col("name").alias("x"), "first")).alias("front"),
         F.first("block_size").alias("front_size"),
     )
     met = join_per_key(
-        live.select("block", "node", "name", "leader"), per_block, "block", "front_size", hot_rows
-    )
-    pairs = met.select(
-        "block",
-        F.col("node").alias("b"),
-        F.col("name").alias("b_name"),
-        "leader",
-        F.inline("front"),
-    ).filter("a < b AND (leader IS NULL OR a < leader)")
-    edges = _similar(pairs.select("a", "a_name", "b", "b_name", _by_email()), threshold)
-    return edges, front.select("block", "node")
+        big_blocks.select("block", F.col("name").alias("y")),
+        per_block, "block", "front_size", hot_rows,
+    )
+    pairs = met.select("y", F.inline("front")).filter("x <> y").distinct()
+    return similar_names(pairs, threshold), front.select("block", "name")
 
 
 def leader_clusters(
@@ -219,77 +182,116 @@ def leader_clusters(
     heads: int = HEADS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """M4: ``node, leader``; a leader names itself.
+    """M3 and M4: ``node, leader``; a leader names itself.
 
     A node leads exactly when no earlier similar node leads, and every other node belongs to its
-    earliest similar leader. Each round settles the open nodes without an open earlier neighbour:
-    small blocks give their edges once, big blocks give, per round, the edges of their heads, and a
-    node must stand among the heads of all its big blocks so that none of its earlier neighbours is
-    unseen. The driver sees one count per round.
+    earliest similar leader. Nodes are similar through equal or similar names or through their
+    e-mail, so all work runs on distinct names and e-mails: the first open node of a name stands for
+    it, since it is the only one that can lead next. A round settles each first node that comes
+    before the first nodes of all similar names and before all open nodes with its e-mail. Small
+    blocks give their name pairs once; big blocks give, per round, the pairs of their heads, and a
+    name must be a head of all its big blocks so that no earlier neighbour is unseen. The driver
+    sees one flag per round.
     """
-    blocks = name_blocks(nodes, threshold)
-    blocks = cut(blocks.unionByName(email_blocks(nodes)), "blocks")
+    n_nodes = F.count(F.lit(1)).alias("n_nodes")
+    names = cut(nodes.groupBy("name", "len").agg(n_nodes), "names")
+    emails = nodes.filter("email IS NOT NULL").groupBy("email").agg(n_nodes)
+    emails = cut(emails.filter("n_nodes > 1"), "emails")
+    blocks = cut(name_blocks(names.select("name", "len"), threshold), "blocks")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_size"))
     sizes = cut(sizes.filter("block_size > 1"), "sizes")
-    small = blocks.join(sizes.filter(F.col("block_size") <= small_block).select("block"), "block")
-    edges = cut(small_block_edges(small, threshold), "edges")
+    small = sizes.filter(F.col("block_size") <= small_block).select("block")
     large = sizes.filter(F.col("block_size") > small_block)
+    edges = cut(small_block_edges(blocks.join(small, "block"), threshold), "edges")
     has_large = not large.isEmpty()
-
-    state = nodes.select("node").withColumn("big_places", F.lit(0).cast("bigint"))
     if has_large:
         big_blocks = cut(join_per_key(blocks, large, "block", "block_size", hot_rows), "big")
-        places = big_blocks.groupBy("node").agg(F.count(F.lit(1)).alias("places"))
-        state = state.join(places, "node", "left").select(
-            "node", F.coalesce("places", F.lit(0).cast("bigint")).alias("big_places")
-        )
-    order_type = nodes.schema["node"].dataType
-    state = cut(
-        state.withColumn("status", F.lit("open")).withColumn(
-            "leader", F.lit(None).cast(order_type)
-        ),
-        "state",
+        places = big_blocks.groupBy("name").agg(F.count(F.lit(1)).alias("places"))
+    state = nodes.select(
+        "node",
+        "name",
+        "email",
+        F.lit("open").alias("status"),
+        F.lit(None).cast(nodes.schema["node"].dataType).alias("leader"),
     )
 
     while True:
         open_nodes = state.filter("status = 'open'")
-        waiting = edges.join(open_nodes.select(F.col("node").alias("a")), "a", "left_semi")
-        waiting = waiting.select(F.col("b").alias("node"))
-        ready = open_nodes
-        fresh = None
+        firsts = open_nodes.groupBy("name").agg(F.min(F.struct("node", "email")).alias("at"))
+        firsts = cut(
+            firsts.select("name", F.col("at.node").alias("first"), F.col("at.email").alias("email")),
+            "firsts",
+        )
+        first_of_name = firsts.select(F.col("name").alias("x"), "first")
+        near = edges.join(first_of_name, "x").select("x", "y", "first")
+        ready = firsts
         if has_large:
-            fresh, front = head_edges(big_blocks, state, threshold, heads, hot_rows)
-            fresh = cut(fresh, "head-edges")
-            waiting = waiting.unionByName(fresh.select(F.col("b").alias("node")))
-            standing = front.groupBy("node").agg(F.count(F.lit(1)).alias("standing"))
-            ready = open_nodes.join(standing, "node", "left").filter(
-                F.col("big_places") == F.coalesce("standing", F.lit(0))
+            fresh, front = head_edges(big_blocks, firsts, threshold, heads, hot_rows)
+            near = near.unionByName(cut(fresh, "head-edges"))
+            standing = front.groupBy("name").agg(F.count(F.lit(1)).alias("standing"))
+            ready = (
+                firsts.join(places, "name", "left")
+                .join(standing, "name", "left")
+                .filter("coalesce(places, 0) = coalesce(standing, 0)")
             )
-        leaders = ready.join(waiting.distinct(), "node", "left_anti").select(
-            F.col("node").alias("a")
+        # Names before which a similar name still has an open node.
+        nearest = near.groupBy(F.col("y").alias("name")).agg(F.min("first").alias("nearest"))
+        waiting_mail = (
+            open_nodes.join(emails.select("email"), "email", "left_semi")
+            .groupBy("email")
+            .agg(F.min("node").alias("first"))
         )
-        claims = edges.join(leaders, "a")
-        if fresh is not None:
-            degree = fresh.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).join(leaders, "a")
-            claims = claims.unionByName(
-                join_per_key(fresh, degree, "a", "degree", hot_rows).select("a", "b")
-            )
-        claims = claims.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("claim"))
-        made = leaders.select(F.col("a").alias("node"), F.lit(True).alias("leads"))
+        by_mail = waiting_mail.select("first", F.lit(True).alias("mail_first"))
+        shared = emails.select("email", F.lit(True).alias("shared"))
+        leaders = cut(
+            ready.join(nearest, "name", "left")
+            .filter("nearest IS NULL OR first < nearest")
+            .join(by_mail, "first", "left")
+            .join(shared, "email", "left")
+            .filter("shared IS NULL OR mail_first")
+            .select("name", "email", "first", "shared"),
+            "leaders",
+        )
+        # Leaders reach their own name, similar names and their e-mail; only later nodes follow.
+        reach = near.join(leaders.select("first"), "first", "left_semi").select(
+            F.col("y").alias("name"), "first"
+        )
+        named = (
+            reach.unionByName(leaders.select("name", "first"))
+            .groupBy("name")
+            .agg(F.min("first").alias("claim"))
+            .join(names.select("name", "n_nodes"), "name")
+        )
+        mailed = (
+            leaders.filter("shared")
+            .select("email", F.col("first").alias("claim"))
+            .join(emails, "email")
+        )
+        alive = state.filter("status <> 'leader'").select("node", "name", "email", "leader")
+        claims = join_per_key(alive.drop("email"), named, "name", "n_nodes", hot_rows).select(
+            "node", "leader", "claim"
+        )
+        claims = claims.unionByName(
+            join_per_key(
+                alive.drop("name").filter("email IS NOT NULL"), mailed, "email", "n_nodes", hot_rows
+            ).select("node", "leader", "claim")
+        )
+        claims = (
+            claims.filter("claim < node AND (leader IS NULL OR claim < leader)")
+            .groupBy("node")
+            .agg(F.min("claim").alias("claim"))
+        )
+        made = leaders.select(F.col("first").alias("node"), F.lit(True).alias("leads"))
         state = cut(
             state.join(made, "node", "left")
             .join(claims, "node", "left")
-            .select(
+            .selectExpr(
                 "node",
-                "big_places",
-                F.when(F.col("leads"), "leader")
-                .when((F.col("status") == "open") & F.col("claim").isNotNull(), "member")
-                .otherwise(F.col("status"))
-                .alias("status"),
-                F.when(F.col("leads"), F.col("node"))
-                .when(F.col("status") == "leader", F.col("leader"))
-                .otherwise(F.least("leader", "claim"))
-                .alias("leader"),
+                "name",
+                "email",
+                "CASE WHEN leads THEN 'leader' WHEN claim IS NOT NULL THEN 'member' ELSE status END "
+                "AS status",
+                "CASE WHEN leads THEN node WHEN claim IS NOT NULL THEN claim ELSE leader END AS leader",
             ),
             "state",
         )
