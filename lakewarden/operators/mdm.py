@@ -21,9 +21,9 @@ from .skew import HOT_ROWS, join_per_key
 from .values import as_text
 
 # A block up to this size compares its names pair by pair; a bigger one goes through its heads.
-SMALL_BLOCK = 128
+SMALL_BLOCK = 256
 # Names at the front of a big block that are compared with the whole block in one round.
-HEADS = 32
+HEADS = 256
 
 MEMBER_SCHEMA = "entity string, group_id string, match_type string, member_id string"
 
