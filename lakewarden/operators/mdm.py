@@ -18,7 +18,7 @@ from ..functions.text import is_missing, normalize_email, normalize_text, strip
 from ..rules import Entity, RulePack
 from ..session import cut
 from .skew import HOT_ROWS, join_per_key
-from .values import as_text
+from .values import as_text, short_key
 
 # A block up to this size compares its names pair by pair; a bigger one goes through its heads.
 SMALL_BLOCK = 256
@@ -33,7 +33,7 @@ def _present(df: DataFrame, name: str | None) -> str | None:
 
 
 def _base(entity: Entity, df: DataFrame, order_col: str) -> DataFrame:
-    """``ord, member_id, key, name, email`` of every record."""
+    """``ord, member_id, key, name, email`` of every record; a long key becomes its digest."""
     id_col = _present(df, entity.id_column)
     key_col = _present(df, entity.exact_key)
     email_col = _present(df, entity.email_column)
@@ -47,7 +47,7 @@ def _base(entity: Entity, df: DataFrame, order_col: str) -> DataFrame:
     return df.select(
         order.alias("ord"),
         (F.coalesce(as_text(df, id_col), fallback) if id_col else fallback).alias("member_id"),
-        F.when(~key.isin("", "nan", "None"), key).alias("key"),
+        F.when(~key.isin("", "nan", "None"), short_key(key)).alias("key"),
         sort_tokens(normalize_text(raw_name, exact=True)).alias("name"),
         F.when(~is_missing(email), email).alias("email"),
     )

@@ -19,6 +19,7 @@ from ..functions.text import (
 )
 from ..rules import ArithmeticRule, RulePack
 from ..session import cut
+from .skew import join_per_key
 from .values import as_text, value_counts
 
 FINDING_COLUMNS = [
@@ -272,12 +273,9 @@ def spelling_variants(df: DataFrame, pack: RulePack, table: str = "") -> DataFra
     tables = {table: df}
     slots = value_slots(tables, pack)
     groups = variant_groups(slot_values(tables, slots), slots, pack)
-    several = (
-        groups.groupBy("slot", "canonical")
-        .agg(F.count(F.lit(1)).alias("spellings"))
-        .filter("spellings > 1")
-    )
-    return groups.join(several, ["slot", "canonical"]).selectExpr(
+    groups = cut(groups.selectExpr("concat(slot, ':', canonical) AS key", "*"), "spellings")
+    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("spellings"))
+    return join_per_key(groups, several.filter("spellings > 1"), "key", "spellings").selectExpr(
         f"{_slot_text(slots, 'field')} AS field",
         "canonical",
         "value AS spelling",

@@ -234,24 +234,24 @@ def mentions(index: DataFrame) -> DataFrame:
     """
     loose = F.regexp_extract_all(F.lower("text"), F.lit(LOOSE_MENTION), F.lit(1))
     exact = F.regexp_extract_all(F.lower(strip_accents(F.col("text"))), F.lit(EXACT_MENTION), F.lit(1))
-    cited = (
-        index.filter(F.lower("text").rlike(LOOSE_MENTION))
-        .select("doc_id", "chunk_id", F.array_distinct(loose).alias("loose"), exact.alias("cited"))
-        .select("doc_id", "chunk_id", "cited", F.explode("loose").alias("whole"))
+    cited = index.filter(F.lower("text").rlike(LOOSE_MENTION)).select(
+        "doc_id", "chunk_id", F.array_distinct(loose).alias("loose"), exact.alias("cited")
     )
-    return cited.select(
-        F.explode(
+    # Leading digits are collected and made distinct inside the row, so nothing is shuffled here.
+    leading = F.array_distinct(
+        F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.char_length("whole")),
-                lambda n: F.substr("whole", F.lit(1), n),
+                "loose",
+                lambda whole: F.transform(
+                    F.sequence(F.lit(1), F.char_length(whole)),
+                    lambda n: F.substr(whole, F.lit(1), n),
+                ),
             )
-        ).alias("number"),
-        "doc_id",
-        "chunk_id",
-        F.col("cited"),
-    ).select(
+        )
+    )
+    return cited.select("doc_id", "chunk_id", "cited", F.explode(leading).alias("number")).select(
         "number", "doc_id", "chunk_id", F.array_contains("cited", F.col("number")).alias("exact")
-    ).distinct()
+    )
 
 
 def reference_hits(index: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:

@@ -527,7 +527,7 @@ def key_members(source: str) -> str:
 
 
 _DOCS = "docs AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS member_id, text AS key FROM documents)"
-ORACLE["mdm_exact_documents"] = f"""WITH {_DOCS} SELECT md5(key) AS text_md5, ord AS doc_id, size
+ORACLE["mdm_exact_documents"] = f"""WITH {_DOCS} SELECT 'key:' || CASE WHEN length(key) <= 64 THEN key ELSE '#' || sha256(key) END AS group_id, ord AS doc_id, size
 FROM ({key_members("docs")})"""
 ORACLE["mdm_exact_documents_total"] = f"""WITH {_DOCS}
 SELECT 'document' AS entity, CAST(sum(size - 1) AS BIGINT) AS duplicates_detected, count(*) AS n_groups

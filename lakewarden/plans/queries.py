@@ -357,11 +357,7 @@ def _doc_entity() -> Entity:
 def mdm_exact_documents(spark, folder):
     df = documents(spark, folder).select("doc_id", "text")
     members = mdm.find_members(_doc_entity(), df, "doc_id")
-    return members.select(
-        F.md5(F.substring("group_id", 5, 100_000_000)).alias("text_md5"),
-        F.col("ord").alias("doc_id"),
-        "size",
-    )
+    return members.select("group_id", F.col("ord").alias("doc_id"), "size")
 
 
 @query
@@ -683,7 +679,9 @@ def _cited_documents(spark, folder):
 
 
 def _cited_index(spark, folder):
-    return retrieval.build_index(chunking.chunk_windows(_cited_documents(spark, folder)))
+    """Written once, because several steps read it."""
+    chunks = chunking.chunk_windows(_cited_documents(spark, folder))
+    return cut(retrieval.build_index(chunks), "index")
 
 
 def _cited_questions(spark, folder):
@@ -710,7 +708,8 @@ def article_references(spark, folder):
 
 @query
 def reference_hits(spark, folder):
-    return retrieval.reference_hits(_cited_index(spark, folder), _cited_questions(spark, folder))
+    chunks = chunking.chunk_windows(_cited_documents(spark, folder))
+    return retrieval.reference_hits(chunks, _cited_questions(spark, folder))
 
 
 @query
@@ -752,7 +751,8 @@ def answers(spark, folder):
 @query
 def answers_recursive(spark, folder):
     """W2 and W3 with separator-aware chunks."""
-    index = retrieval.build_index(chunking.chunk_recursive(_cited_documents(spark, folder)))
+    chunks = chunking.chunk_recursive(_cited_documents(spark, folder))
+    index = cut(retrieval.build_index(chunks), "index")
     return retrieval.answer_questions(index, _cited_questions(spark, folder), fill_zero=True)
 
 
