@@ -631,6 +631,7 @@ SELECT 'cliente' AS entity, * FROM ({GROUPS})"""
 
 # ---------------------------------------------------------------- catalog, recommendations, report
 
+# Definitions of the default rule pack, as far as the derived tables have the fields.
 DEFINITIONS = {
     "cliente_id": "Identificador único del cliente", "producto_id": "Identificador único del producto",
     "proveedor_id": "Identificador único del proveedor", "venta_id": "Identificador único de la venta",
