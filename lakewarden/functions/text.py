@@ -135,9 +135,17 @@ def is_missing(col: Column) -> Column:
     return F.coalesce(F.lower(strip(col.cast("string"))).isin("", "nan"), F.lit(True))
 
 
-def missing_sql(name: str) -> str:
-    """F6 as SQL text for a column name; one parser call instead of one call per function."""
-    return f"coalesce(lower(btrim(cast(`{name}` AS STRING), '{WHITESPACE}')) IN ('', 'nan'), true)"
+def missing_sql(name: str, kind: str = "string") -> str:
+    """F6 as SQL text for a column; one parser call instead of one call per function.
+
+    Numbers and dates need no text, and of a long text only four characters are lower-cased.
+    """
+    if kind in ("float", "double"):
+        return f"(`{name}` IS NULL OR isnan(`{name}`))"
+    if kind in ("tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp"):
+        return f"(`{name}` IS NULL)"
+    text = f"btrim(cast(`{name}` AS STRING), '{WHITESPACE}')"
+    return f"coalesce(lower(left({text}, 4)) IN ('', 'nan'), true)"
 
 
 def sql_text(value: str) -> str:

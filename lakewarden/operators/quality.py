@@ -76,6 +76,7 @@ def _is_critical(name: str, pack: RulePack) -> bool:
 
 def completeness_checks(df: DataFrame, pack: RulePack) -> list[RowCheck]:
     """Q1."""
+    kinds = dict(df.dtypes)
     out = []
     for i, name in enumerate(df.columns):
         critical = _is_critical(name, pack)
@@ -84,7 +85,7 @@ def completeness_checks(df: DataFrame, pack: RulePack) -> list[RowCheck]:
                 name, "missing", "completeness", "high" if critical else "medium",
                 "missing or blank values",
                 f"{'Mandatory' if critical else 'Recommended'} field: no blanks",
-                SEQ["completeness"], i, missing_sql(name),
+                SEQ["completeness"], i, missing_sql(name, kinds[name]),
             )
         )
     return out
