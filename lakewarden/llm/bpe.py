@@ -21,6 +21,7 @@ from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,10 +29,6 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.common import by_bytes
 
-#: White space for str.split that the pattern's \\s does not know.
-CONTROLS = regex.compile(r"[\x1c-\x1f]")
-SPACE_RUN = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on in order."""
@@ -43,6 +40,10 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Stands for "no token yet" before a piece; greater than any id.
+START = (1 << 17) - 1
+
+
 class Vocabulary:
     """Tokens as strings over 512 symbols: a byte, or 256 + a byte if it ends the word."""
 
@@ -74,7 +75,11 @@ class Vocabulary:
             self.rank.setdefault((a, b), rank)
             self.made.setdefault(merged, (rank, a, b))
         self._automaton({s: i for s, i in ids.items() if len(s) == 1 or i in self.made})
-        self._kept: dict[tuple[int, int], bool] = {}
+        self.width = {t: s for t, s in zip(self.token, self.size, strict=True) if t >= 0}
+        # what was found out so far: steps of the automaton, and tokens that may be neighbours
+        self.moves: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        self.kept: dict[int, bool] = {}
+        self._made_whole: dict[int, bool] = {}
 
     def _automaton(self, ids: dict[str, int]) -> None:
         """Trie of the tokens with links to the longest proper suffix that is in the trie."""
@@ -94,9 +99,10 @@ class Vocabulary:
         for key in step:
             children[key >> 9].append(key)
         link, shorter = array("l", [0] * len(token)), array("l", [0] * len(token))
-        queue = deque([0])
+        queue, self.order = deque([0]), []
         while queue:
             node = queue.popleft()
+            self.order.append(node)
             for key in children[node]:
                 child, c, back = step[key], key & 511, link[node]
                 if node:
@@ -107,6 +113,7 @@ class Vocabulary:
                 shorter[child] = link[child] if token[link[child]] >= 0 else shorter[link[child]]
                 queue.append(child)
         self.step, self.link = step, link
+        self.inner = [[(k & 511, step[k]) for k in keys if k & 511 < 256] for keys in children]
         self.token, self.size = array("l", token), array("l", size)
         self.ends = array("l", [n if token[n] >= 0 else shorter[n] for n in range(len(token))])
         self.shorter = shorter
@@ -132,56 +139,77 @@ class Vocabulary:
             else:
                 late, b = (rb[0], False), rb[1]
 
-    def _stays(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self._kept.get(key)
-        if found is None:
-            if len(self._kept) > 500_000:
-                self._kept.clear()
-            found = self._kept[key] = self.stays(left, right)
+    def _possible(self, before: int, token: int) -> bool:
+        """Whether ``token`` may follow ``before``, or stand first; answers are remembered."""
+        found = self.whole(token) if before == START else self.stays(before, token)
+        if len(self.kept) > 500_000:
+            self.kept.clear()
+        self.kept[before << 17 | token] = found
         return found
 
-    def piece(self, word: str) -> list[int]:
+    def move(self, key: int) -> tuple[int, list[tuple[int, int]]]:
+        """Where the automaton goes, as the upper part of the next key, and the tokens that end there, the longest
+        first, with their sizes."""
+        symbol, back = key & 511, key >> 9
+        while (found := self.step.get(back << 9 | symbol)) is None and back:
+            back = self.link[back]
+        out, end = [], self.ends[found or 0]
+        while end:
+            out.append((self.token[end], self.size[end]))
+            end = self.shorter[end]
+        if len(self.moves) > 400_000:
+            self.moves.clear()
+        self.moves[key] = (found or 0) << 9, out
+        return self.moves[key]
+
+    def table(self) -> np.ndarray:
+        """The automaton's next node for each node and byte within a word."""
+        out = np.zeros((len(self.token), 256), np.int32)
+        for node in self.order:
+            if node:
+                out[node] = out[self.link[node]]
+            for key, child in self.inner[node]:
+                out[node, key] = child
+        return out
+
+    def piece(self, symbols: list[int]) -> list[int]:
         """Ids of one piece given as symbols."""
-        step, link, token, size, ends, shorter = self.step, self.link, self.token, self.size, self.ends, self.shorter
-        last = [-1]
-        node = 0
-        for at, c in enumerate(map(ord, word), 1):
-            while (found := step.get(node << 9 | c)) is None and node:
-                node = link[node]
-            node = found or 0
-            end = ends[node]
-            while True:
-                before = last[at - size[end]]
-                if before < 0 or self._stays(before, token[end]):
-                    if before >= 0 or self._whole(token[end]):
-                        last.append(token[end])
-                        break
-                end = shorter[end]
-        out = []
-        at = len(word)
-        width = self.width
+        moves, kept = self.moves, self.kept
+        last = [START << 17]  # the last token of each prefix, in the upper part of a key
+        add = last.append
+        node = at = 0
+        for c in symbols:
+            at += 1
+            try:
+                node, endings = moves[node | c]
+            except KeyError:
+                node, endings = self.move(node | c)
+            for token, size in endings:
+                before = last[at - size]
+                try:
+                    fits = kept[before | token]
+                except KeyError:
+                    fits = self._possible(before >> 17, token)
+                if fits:
+                    add(token << 17)
+                    break
+        out, width = [], self.width
         while at:
-            out.append(last[at])
-            at -= width[last[at]]
-        return out[::-1]
-
-    @property
-    def width(self) -> dict[int, int]:
-        if not hasattr(self, "_width"):
-            self._width = {t: s for t, s in zip(self.token, self.size, strict=True) if t >= 0}
-        return self._width
+            token = last[at] >> 17
+            out.append(token)
+            at -= width[token]
+        out.reverse()
+        return out
 
-    def _whole(self, token: int) -> bool:
+    def whole(self, token: int) -> bool:
         """Whether the merges make exactly this token of its own symbols."""
         parts = self.made.get(token)
         if parts is None:
             return True
-        key = (token, -1)
-        found = self._kept.get(key)
+        found = self._made_whole.get(token)
         if found is None:
             rank, a, b = parts
-            found = self._kept[key] = self._whole(a) and self._whole(b) and self._meets(a, b, rank)
+            found = self._made_whole[token] = self.whole(a) and self.whole(b) and self._meets(a, b, rank)
         return found
 
     def _meets(self, left: int, right: int, rank: int) -> bool:
@@ -193,61 +221,175 @@ class Vocabulary:
             self.rank[(left, right)] = rank
 
 
+class Pairs:
+    """Which tokens may be neighbours, for whole arrays: open addressing with answers added as they are asked for."""
+
+    BITS = 19
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.values = np.zeros(1 << self.BITS, bool)
+        self.used = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot that holds each key, or the empty one where it belongs."""
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        wrong = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] != -1))
+        while len(wrong):
+            slots[wrong] = (slots[wrong] + 1) & ((1 << self.BITS) - 1)
+            found = self.keys[slots[wrong]]
+            wrong = wrong[(found != keys[wrong]) & (found != -1)]
+        return slots
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        missing = self.keys[slots] == -1
+        if missing.any():
+            if self.used > 1 << (self.BITS - 1):
+                self.clear()
+                missing[:] = True
+            for key in np.unique(keys[missing]).tolist():
+                before, token = key >> 17, key & START
+                fits = self.vocabulary.whole(token) if before == START else self.vocabulary.stays(before, token)
+                slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.BITS)
+                while self.keys[slot] != -1:
+                    slot = (slot + 1) & ((1 << self.BITS) - 1)
+                self.keys[slot], self.values[slot] = key, fits
+                self.used += 1
+            slots = self._slots(keys)
+        return self.values[slots]
+
+
 class Codec:
-    """Encoder of whole texts; what a stretch without white space gives is remembered, up to ``most`` stretches."""
+    """Encoder of lists of whole texts. What a piece gives is remembered: those of the last lists up to ``most``, and as
+    many before them."""
+
+    LONG = 128  # bytes of a piece from which it goes through the program alone
 
-    def __init__(self, path: str, most: int = 150_000):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, most: int = 100_000):
+        self.vocabulary = v = Vocabulary(path)
         self.most = most
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, tuple[int, str, str]] = {}
+        self.names = {i: str(i) for i in v.content}
+        self.pairs = Pairs(v)
+        self.token, self.size, self.ends, self.shorter = (np.array(x, np.int32) for x in (v.token, v.size, v.ends, v.shorter))
+        self.width = np.zeros(max(v.content) + 1, np.int64)
+        for token, width in v.width.items():
+            self.width[token] = width
+        self.table = v.table()
+
+    def _program(self, words: list[bytes]) -> list[list[int]]:
+        """The program of ``Vocabulary.piece`` for many pieces at once, place by place."""
+        moves = self.vocabulary.moves
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        lengths = sizes[order]
+        width = int(lengths[0])
+        symbols = np.zeros((len(words), width), np.int32)
+        symbols[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join([words[i] for i in order]), np.uint8)
+        last = np.full((len(words), width + 1), START, np.int32)
+        node = np.zeros(len(words), np.int32)
+        until = np.searchsorted(-lengths, -np.arange(width + 2), side="right").tolist()  # pieces of at least that length
+        for at in range(1, width + 1):
+            n, longer = until[at], until[at + 1]
+            here = symbols[:n, at - 1]
+            where = self.table[node[:n], here]
+            # the pieces that end here: their last symbol is one of its own
+            keys = (node[longer:n].astype(np.int64) << 9 | 256 | here[longer:]).tolist()
+            where[longer:] = [(moves[k] if k in moves else self.vocabulary.move(k))[0] >> 9 for k in keys]
+            node[:n] = where
+            rows, end = np.arange(n), self.ends[where]
+            while len(rows):
+                token = self.token[end]
+                fits = self.pairs(last[rows, at - self.size[end]].astype(np.int64) << 17 | token)
+                last[rows[fits], at] = token[fits]
+                rows, end = rows[~fits], self.shorter[end[~fits]]
+        # follow the tokens backwards, all pieces at once
+        found, rows, at = [], np.arange(len(words)), lengths.copy()
+        while len(rows):
+            token = last[rows, at[rows]]
+            column = np.full(len(words), -1, np.int32)
+            column[rows] = token
+            found.append(column)
+            at[rows] -= self.width[token]
+            rows = rows[at[rows] > 0]
+        table = np.stack(found[::-1], axis=1)
+        skip = (table < 0).sum(axis=1).tolist()
+        out: list[list[int]] = [[]] * len(words)
+        for i, row, k in zip(order.tolist(), table.tolist(), skip, strict=True):
+            out[i] = row[k:]
+        return out
 
-    def _symbols(self, piece: str) -> str:
-        word = piece.encode("utf-8").decode("latin-1")
-        return word[:-1] + chr(256 + ord(word[-1]))
-
-    def _stretch(self, stretch: str) -> tuple[int, str, str]:
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, str, str]]:
+        words = [p.encode("utf-8") for p in pieces]
+        short = [i for i, w in enumerate(words) if len(w) < self.LONG]
+        ids: list[list[int]] = [[]] * len(words)
+        for start in range(0, len(short), 4_000):
+            part = short[start : start + 4_000]
+            for i, own in zip(part, self._program([words[i] for i in part]), strict=True):
+                ids[i] = own
+        for i, word in enumerate(words):
+            if len(word) >= self.LONG:
+                ids[i] = self.vocabulary.piece([*word[:-1], word[-1] + 256])
+        name, content = self.names.__getitem__, self.vocabulary.content.__getitem__
+        return {
+            piece: (len(own), " ".join(map(name, own)), " ".join(map(content, own)))
+            for piece, own in zip(pieces, ids, strict=True)
+        }
+
+    def _split(self, text: str) -> list[str]:
+        """The pieces of a text; its special tokens stand for themselves."""
         v = self.vocabulary
-        low = unicodedata.normalize("NFC", stretch)
-        low = "".join(c.lower() for c in low) if "Σ" in low or "İ" in low else low.lower()
-        ids: list[int] = []
-        for piece in v.pattern.findall(low):
-            ids += v.piece(self._symbols(piece))
-        return len(ids), " ".join(map(str, ids)), " ".join(v.content[i] for i in ids)
-
-    def stretches(self, text: str) -> list[tuple[int, str, str]]:
-        v, out = self.vocabulary, []
-        parts = v.splitter.split(text) if v.splitter and any(s in text for s in v.special) else [text]
-        known = self.known
-        for part in parts:
-            if part in v.special:
-                out.append((1, str(v.special[part]), part))
-                continue
-            words = SPACE_RUN.split(part) if CONTROLS.search(part) else part.split()
-            for word in words:
-                found = known.get(word)
-                if found is None:
-                    found = self._stretch(word)
-                    if len(word) <= 64:
-                        if len(known) >= self.most:
-                            known.clear()
-                        known[word] = found
-                out.append(found)
-        return out
+        if v.splitter and any(s in text for s in v.special):
+            return [w for part in v.splitter.split(text) for w in ([part] if part in v.special else self._pieces(part))]
+        return self._pieces(text)
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for s in self.stretches(text or "") for i in s[1].split()]
+    def _pieces(self, text: str) -> list[str]:
+        low = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        low = "".join(c.lower() for c in low) if "Σ" in low or "İ" in low else low.lower()
+        return self.vocabulary.pattern.findall(low)
+
+    def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[int, str, str]]]:
+        """The pieces of each text; for each piece its number of ids, the ids in decimal, the decoded tokens."""
+        split = [self._split(x or "") for x in texts]
+        if len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        for special, token in self.vocabulary.special.items():
+            known[special] = 1, str(token), special
+        new = set().union(*split).difference(known)
+        again = new & before.keys()
+        known.update({w: before[w] for w in again})
+        fresh = self._learn(list(new - again))
+        known.update({w: f for w, f in fresh.items() if len(w) <= 64})
+        return split, known if all(len(w) <= 64 for w in fresh) else {**known, **fresh}
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        split, found = self.pieces(texts)
+        return [[int(i) for w in words for i in found[w][1].split()] for words in split]
 
     def decode(self, ids: list[int] | None) -> str:
         return " ".join(self.vocabulary.content[i] for i in ids or ())
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, digest of the ids in decimal joined by a space, digest of the decoded text."""
-        parts = [s for s in self.stretches(text or "") if s[0]]
-        return (
-            sum(s[0] for s in parts),
-            hashlib.sha256(" ".join([s[1] for s in parts]).encode()).hexdigest(),
-            hashlib.sha256(" ".join([s[2] for s in parts]).encode()).hexdigest(),
-        )
+        split, found = self.pieces(texts)
+        out = []
+        for words in split:
+            own = [found[w] for w in words]
+            out.append(
+                (
+                    sum([f[0] for f in own]),
+                    hashlib.sha256(" ".join([f[1] for f in own]).encode()).hexdigest(),
+                    hashlib.sha256(" ".join([f[2] for f in own]).encode()).hexdigest(),
+                )
+            )
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -269,7 +411,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in by_bytes(batches, "__in"):
-            ids = pa.array([own.encode(x) for x in batch.column("__in").to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array(own.encode(batch.column("__in").to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids], [*keep, "ids"])
 
     return rows.mapInArrow(run, f"{fields}ids array<int>")
@@ -296,7 +438,7 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in by_bytes(batches, "__in"):
-            found = [own.digests(x) for x in batch.column("__in").to_pylist()]
+            found = own.digests(batch.column("__in").to_pylist())
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])
 
