@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import bpe, language, toxicity
+from lakewarden.llm import bpe, fingerprint, language, mixing, personal, toxicity
 from lakewarden.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,32 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as the corpus has, no source more than four times, 95 % of the entropy of equal weights."""
+    mixed = mixing.mix(table(spark, folder, "documents"), evenness=0.95, max_repetition=4.0, budget=1.0)
+    return mixed.select(
+        "doc_id", "source", "tokens", F.round(F.col("weight") * 1e9).cast("long").alias("weight_ppb"),
+        "epoch", "offset", "block", "place",
+    )
+
+
+def op3_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
+def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find(table(spark, folder, "documents"), ["doc_id"])
+    base = F.filter("found", lambda s: s["kind"].isin(personal.BASE))
+    counts = [
+        F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in personal.BASE
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(personal.joined(base), 256).alias("base_sha256"),
+        personal.joined(F.col("found")).alias("spans"),
+    )
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
 
@@ -36,7 +62,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_language": op2_language,
+    "op3_fingerprint": op3_fingerprint,
+    "op7_personal": op7_personal,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
