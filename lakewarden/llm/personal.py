@@ -119,6 +119,24 @@ def _placed(matches: Column, gaps: Column, wanted: Callable[[Column], Column]) -
     return F.when(F.size(matches) > 0, F.aggregate(places, begin, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
 
 
+def _spans(kind: str, placed: Column) -> Column:
+    """The confirmed matches of a kind as spans with their scores."""
+
+    def wanted(x: Column) -> Column:
+        sure = confirmed(kind, x["match"])
+        if kind == "iban":  # a code inside a longer word is none
+            sure &= ~x["before"].rlike("[A-Za-z0-9]$") & ~x["after"].rlike("^[A-Za-z0-9]")
+        return sure
+
+    def span(x: Column) -> Column:
+        near = F.lower(x["before"]).rlike(CONTEXT[kind])
+        value = F.round(F.lit(PROPOSED + CONFIRMED) + F.when(near, NEARBY).otherwise(0.0), 2)
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value.alias("score"))
+
+    spans = F.transform(F.filter(placed, wanted), span)
+    return F.filter(spans, lambda s: s["score"] >= LEAST[kind]) if kind in LEAST else spans
+
+
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with ``found``: an array of kind, start, end and score for each whole text."""
     keep = [c for c in keep if c != "found"]
@@ -136,23 +154,12 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     for name in PATTERNS:
         placed = _placed(F.col(f"__{name}"), F.col(f"__{name}_gaps"), LIKELY[name])
         rows = rows.withColumn(f"__{name}", placed)
-    parts = []
-    for kind in KINDS:
-        source = F.col("__digits" if kind.startswith("card") else f"__{kind}")
+    parts = [_spans(kind, F.col("__digits" if kind.startswith("card") else f"__{kind}")) for kind in KINDS]
+    return rows.select(*keep, F.concat(*parts).alias("found"))
 
-        def span(x: Column, kind: str = kind) -> Column:
-            near = F.lower(x["before"]).rlike(CONTEXT[kind])
-            value = F.lit(PROPOSED + CONFIRMED) + F.when(near, NEARBY).otherwise(0.0)
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(value, 2).alias("score"))
 
-        own = F.filter(source, lambda x, kind=kind: confirmed(kind, x["match"]))
-        if kind == "iban":  # a code inside a longer word is none
-            own = F.filter(own, lambda x: ~x["before"].rlike("[A-Za-z0-9]$") & ~x["after"].rlike("^[A-Za-z0-9]"))
-        spans = F.transform(own, span)
-        if kind in LEAST:
-            spans = F.filter(spans, lambda s, kind=kind: s["score"] >= LEAST[kind])
-        parts.append(spans)
-    return rows.select(*keep, F.concat(*parts).alias("found"))
+def number(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
 def joined(found: Column) -> Column:

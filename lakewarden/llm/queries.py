@@ -38,10 +38,7 @@ def op3_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.find(table(spark, folder, "documents"), ["doc_id"])
     base = F.filter("found", lambda s: s["kind"].isin(personal.BASE))
-    counts = [
-        F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in personal.BASE
-    ]
+    counts = [personal.number(F.col("found"), kind).alias(f"n_{kind}") for kind in personal.BASE]
     return found.select(
         "doc_id", *counts, F.sha2(personal.joined(base), 256).alias("base_sha256"),
         personal.joined(F.col("found")).alias("spans"),
