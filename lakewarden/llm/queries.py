@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import bpe, fingerprint, language, mixing, personal, toxicity
+from lakewarden.llm import bpe, fingerprint, jaccard, language, lines, mixing, personal, substring, toxicity
 from lakewarden.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,15 @@ def op3_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, folder, "documents"))
 
 
+def op4_substring(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring.deduplicate(table(spark, folder, "documents"), texts=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicate(table(spark, folder, "documents"), ["doc_id"], texts=False).drop("kept")
+
+
 def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.find(table(spark, folder, "documents"), ["doc_id"])
     base = F.filter("found", lambda s: s["kind"].isin(personal.BASE))
@@ -45,6 +54,10 @@ def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
 
@@ -62,7 +75,10 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_fingerprint": op3_fingerprint,
+    "op4_substring": op4_substring,
+    "op5_lines": op5_lines,
     "op7_personal": op7_personal,
+    "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
