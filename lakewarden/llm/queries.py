@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import bpe, fingerprint, jaccard, language, lines, mixing, personal, substring, toxicity
+from lakewarden.llm import bpe, embeddings, fingerprint, jaccard, language, lines, mixing, personal, substring, toxicity
 from lakewarden.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.deduplicate(table(spark, folder, "documents"), ["doc_id"], texts=False).drop("kept")
 
 
+def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.find(table(spark, folder, "documents"), ["doc_id"])
     base = F.filter("found", lambda s: s["kind"].isin(personal.BASE))
@@ -77,6 +81,7 @@ QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op4_substring": op4_substring,
     "op5_lines": op5_lines,
+    "op6_embeddings": op6_embeddings,
     "op7_personal": op7_personal,
     "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
