@@ -376,17 +376,20 @@ class Codec:
     def decode(self, ids: list[int] | None) -> str:
         return " ".join(self.vocabulary.content[i] for i in ids or ())
 
-    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Number of ids, digest of the ids in decimal joined by a space, digest of the decoded text."""
+    def digests(self, texts: list[str | None], ids: bool = False) -> list[tuple]:
+        """Number of ids, digest of the ids in decimal joined by a space, digest of the decoded text; and the ids."""
         split, found = self.pieces(texts)
         out = []
         for words in split:
             own = [found[w] for w in words]
+            joined = " ".join([f[1] for f in own])
+            decoded = " ".join([f[2] for f in own])
             out.append(
                 (
                     sum([f[0] for f in own]),
-                    hashlib.sha256(" ".join([f[1] for f in own]).encode()).hexdigest(),
-                    hashlib.sha256(" ".join([f[2] for f in own]).encode()).hexdigest(),
+                    hashlib.sha256(joined.encode()).hexdigest(),
+                    hashlib.sha256(decoded.encode()).hexdigest(),
+                    np.array(joined.split(), np.int32) if ids else None,
                 )
             )
         return out
@@ -430,16 +433,19 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") ->
     return rows.mapInArrow(run, f"{fields}decoded string")
 
 
-def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text."""
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = False) -> DataFrame:
+    """The columns ``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text, and with ``ids``
+    if they are asked for."""
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * ids]
     rows, keep, fields = _kept(docs, keep, text, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in by_bytes(batches, "__in"):
-            found = own.digests(batch.column("__in").to_pylist())
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            found = own.digests(batch.column("__in").to_pylist(), ids)
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])
 
-    return rows.mapInArrow(run, f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    more = ", ids array<int>" * ids
+    return rows.mapInArrow(run, f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

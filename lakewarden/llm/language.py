@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -119,7 +120,7 @@ def learn(
         F.pmod("h", F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * (1 << 30)
     )
 
-    def count(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -183,12 +184,13 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     """The columns ``keep`` with ``lang_pred`` and ``score``; only the text is read for the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in ("lang_pred", "score")]
-    schema = docs.select(*keep, F.col(text).alias("__text")).schema
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__text"))
+    at = keep.index(text) if text in keep else len(keep)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(x) for x in batch.column(len(keep)).to_pylist()]
+            found = [model.predict(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(len(keep))),
@@ -198,7 +200,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                 names=[*keep, "lang_pred", "score"],
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[: len(keep)]]
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(
-        run, ", ".join([*fields, "lang_pred string", "score double"])
-    )
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))

@@ -166,6 +166,20 @@ def schedule(docs: DataFrame, per_source: DataFrame, block_tokens: int, all_kept
     )
 
 
+def _row(by: str, text: str) -> Column:
+    """A text that identifies a document by id and content."""
+    return F.concat_ws("|", F.coalesce(F.col(by).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _sized(docs: DataFrame, by: str, text: str, source: str) -> DataFrame:
+    """Every document with its source and tokens, written once: the texts are read no more for the schedule."""
+    sized = docs.select(
+        F.col(by).alias("id"), source_key(F.col(source)).alias("key"), words(F.col(text)).alias("tokens"),
+        _row(by, text).alias("row"),
+    )
+    return Scratch(docs.sparkSession, "mix").keep(sized, "sized")
+
+
 def mix(
     docs: DataFrame,
     by: str = "doc_id",
@@ -179,12 +193,7 @@ def mix(
 ) -> DataFrame:
     """The whole mix without texts: ``by``, ``source``, ``tokens``, ``weight``, ``epoch``, ``offset``, ``block`` and
     ``place``, the order inside a block."""
-    sized = Scratch(docs.sparkSession, "mix").keep(docs.select(
-        F.col(by).alias("id"),
-        source_key(F.col(source)).alias("key"),
-        words(F.col(text)).alias("tokens"),
-        F.concat_ws("|", F.coalesce(F.col(by).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("row"),
-    ), "sized")
+    sized = _sized(docs, by, text, source)
     per_source = weights(sized, target_entropy, max_repetition, budget, evenness)
     out = schedule(sized, per_source, block_tokens, budget is None)
     return out.select(
@@ -192,3 +201,28 @@ def mix(
         F.when(F.col("key") != "-", F.col("key").substr(F.lit(2), F.length("key"))).alias("source"),
         "tokens", "weight", "epoch", "offset", "block", "place",
     )
+
+
+def mixed(
+    docs: DataFrame,
+    by: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    max_repetition: float = 2.0,
+    block_tokens: int = 100_000,
+) -> DataFrame:
+    """The documents with all their columns, repeated and ordered as the mix without a budget has them: every document at
+    least once, no source more than ``max_repetition`` times."""
+    sized = _sized(docs, by, text, source)
+    per_source = weights(sized, max_repetition=max_repetition)
+    order = schedule(sized, per_source, block_tokens, True).select(
+        F.col("row").alias("__row"), F.col("epoch").alias("__epoch"), F.col("block").alias("__block"),
+        F.col("place").alias("__place"),
+    )
+    # rows that repeat id and text have one place in each epoch
+    order = order.dropDuplicates(["__row", "__epoch"])
+    whole = docs.withColumn("__row", _row(by, text)).join(order, "__row")
+    return (
+        whole.repartitionByRange("__block", "__place").sortWithinPartitions("__block", "__place")
+        .drop("__row", "__epoch", "__block", "__place")
+    )
