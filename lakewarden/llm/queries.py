@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm import bpe, embeddings, fingerprint, jaccard, language, lines, mixing, personal, substring, toxicity
 from lakewarden.llm.common import held_out, table
+from lakewarden.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -87,4 +88,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
