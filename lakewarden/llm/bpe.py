@@ -413,8 +413,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in by_bytes(batches, "__in"):
-            ids = pa.array(own.encode(batch.column("__in").to_pylist()), pa.list_(pa.int32()))
+        for batch in by_bytes(batches, len(keep)):
+            ids = pa.array(own.encode(batch.column(len(keep)).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids], [*keep, "ids"])
 
     return rows.mapInArrow(run, f"{fields}ids array<int>")
@@ -427,7 +427,7 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = pa.array([own.decode(x) for x in batch.column("__in").to_pylist()], pa.string())
+            texts = pa.array([own.decode(x) for x in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), texts], [*keep, "decoded"])
 
     return rows.mapInArrow(run, f"{fields}decoded string")
@@ -442,8 +442,8 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in by_bytes(batches, "__in"):
-            found = own.digests(batch.column("__in").to_pylist(), ids)
+        for batch in by_bytes(batches, len(keep)):
+            found = own.digests(batch.column(len(keep)).to_pylist(), ids)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])
 

@@ -52,7 +52,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def by_bytes(
-    batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
+    batches: Iterable[pa.RecordBatch], column: str | int, most: int = 4_000_000
 ) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about ``most`` bytes; a longer text stands alone."""
     for batch in batches:

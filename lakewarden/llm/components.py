@@ -25,7 +25,7 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node that has a link to another one.
 
-    The direction, repeats and loops of the links don't matter. The result is a table of ``scratch``.
+    The direction, repeats and loops of the links don't matter. The result reads a table of ``scratch``.
     """
     a, b = F.col(left), F.col(right)
     edges = scratch.keep(
@@ -48,7 +48,8 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
         scratch.drop(edges)
         edges, before, state = after, state, _state(after)
         if state == before:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            found = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            return found.union(found.select("root", "root").distinct())
     raise RuntimeError("the components did not settle")
 
 

@@ -221,8 +221,6 @@ def mixed(
     )
     # rows that repeat id and text have one place in each epoch
     order = order.dropDuplicates(["__row", "__epoch"])
-    whole = docs.withColumn("__row", _row(by, text)).join(order, "__row")
-    return (
-        whole.repartitionByRange("__block", "__place").sortWithinPartitions("__block", "__place")
-        .drop("__row", "__epoch", "__block", "__place")
-    )
+    own = docs.select(*[F.col(c).alias(f"own_{c}") for c in docs.columns], _row(by, text).alias("__row"))
+    whole = own.join(order, "__row").repartitionByRange("__block", "__place").sortWithinPartitions("__block", "__place")
+    return whole.select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
