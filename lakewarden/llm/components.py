@@ -70,8 +70,8 @@ def grouped(
     """``node`` and ``root`` of the components under ``verify``, for nodes that share keys.
 
     ``member`` has ``key`` and ``node``, each pair once; ``facts`` has one row per node with what ``near`` needs to rule out
-    a pair; ``verify`` keeps the linked ones of the pairs ``a``, ``b``. First every node is compared with the least and the
-    greatest of the leaders, the least nodes, of its keys. Then the nodes that still share a key with another component
+    a pair; ``verify`` keeps the linked ones of the pairs ``a``, ``b``. First every node is compared with the least of the
+    leaders, the least nodes, of its keys, and if they aren't linked, with the greatest leader. Then the nodes that still share a key with another component
     are compared across components. A pair within a component needs no comparison, so no key is expanded into all of its
     pairs, and no link between two components is lost.
     """
@@ -79,11 +79,13 @@ def grouped(
     star = (
         member.join(leaders, "key")
         .where("node <> lead")
-        .groupBy("node")
+        .groupBy(F.col("node").alias("a"))
         .agg(F.min("lead").alias("x"), F.max("lead").alias("y"))
-        .select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
     )
-    first = scratch.keep(verify(star), "links")
+    star = scratch.keep(star, "star")
+    near_one = scratch.keep(verify(star.select("a", F.col("x").alias("b"))), "links")
+    again = star.where("x <> y").join(near_one.select("a"), "a", "left_anti").select("a", F.col("y").alias("b"))
+    first = near_one.union(scratch.keep(verify(again), "links"))
     roots = components(first, scratch)
     known = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     known = scratch.keep(known, "members")

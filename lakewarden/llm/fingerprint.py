@@ -5,7 +5,7 @@ and a uniform one from its hash; with them its weight is rounded to a level that
 and the term with the least arrival wins. Two texts agree in a sample with a probability equal to their generalised Jaccard
 similarity, the sum of the lesser weights over the sum of the greater ones. Only built-in functions run.
 
-A fingerprint is the hex form of one 32-bit number per sample, so equal texts have equal fingerprints and the likeness of
+A fingerprint is the hex form of one 32-bit number per sample (four bytes while it is computed), so equal texts have equal fingerprints and the likeness of
 two fingerprints is the part of the samples in which they agree.
 
 Defined results: a null text counts as empty; a text without words has the empty fingerprint, which is fully like the
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Scratch
 
-SAMPLES = 16
+SAMPLES = 24
 #: Ranges of the id that are put in order independently of each other.
 RANGES = 256
-LANE = 8  # hex digits of a sample
+LANE = 4  # bytes of a sample
 
 
 def _unit(bits: Column, shift: int, width: int) -> Column:
@@ -82,7 +82,7 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], samples: int
     least = flat.groupBy(*keys, "v").agg(
         *[F.min(arrival(F.col("h"), F.col("w"), k)).alias(f"a{k}") for k in range(samples)]
     )
-    lanes = [F.lpad(F.lower(F.hex(F.col(f"a{k}").bitwiseAND(F.lit(0xFFFFFFFF)))), LANE, "0") for k in range(samples)]
+    lanes = [F.unhex(F.lpad(F.hex(F.col(f"a{k}").bitwiseAND(F.lit(0xFFFFFFFF))), 2 * LANE, "0")) for k in range(samples)]
     named = least.select(*keys, "v", F.concat(*lanes).alias("sign"))
     picks = [F.max(F.when(F.col("v") == i, F.col("sign"))).alias(f"sign{i}") for i in range(len(texts))]
     return named.groupBy(*keys).agg(*picks)
@@ -94,9 +94,8 @@ def likeness(one: Column, other: Column, samples: int = SAMPLES) -> Column:
     same = F.size(
         F.filter(lanes, lambda k: one.substr(k * LANE + 1, F.lit(LANE)) == other.substr(k * LANE + 1, F.lit(LANE)))
     )
-    return (
-        F.when((one == "") & (other == ""), 1.0).when((one == "") | (other == ""), 0.0).otherwise(same / float(samples))
-    )
+    empty, void = F.length(one) == 0, F.length(other) == 0
+    return F.when(empty & void, 1.0).when(empty | void, 0.0).otherwise(same / float(samples))
 
 
 def following(ids: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
@@ -154,12 +153,12 @@ def fingerprints(docs: DataFrame, by: str = "doc_id", text: str = "text", sample
     both = edited(rows.withColumn("digest", F.xxhash64("text")), nexts)
     signs = signatures(both, ["id", "digest"], ["text", "edited"], samples).withColumnRenamed("id", "one")
     signs = signs.withColumnRenamed("digest", "of")
-    plain = both.select("id", "digest", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    plain = both.select("id", "digest", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"))
     signed = scratch.keep(
         plain.join(signs, plain["id"].eqNullSafe(signs["one"]) & (plain["digest"] == signs["of"]), "left").select(
             "id", "digest", "n_chars", "edited_sha256",
-            F.coalesce("sign0", F.lit("")).alias("fingerprint"),
-            F.coalesce("sign1", F.lit("")).alias("edited_fingerprint"),
+            F.coalesce("sign0", F.lit(b"")).alias("fingerprint"),
+            F.coalesce("sign1", F.lit(b"")).alias("edited_fingerprint"),
         ),
         "signed",
     )
@@ -169,7 +168,8 @@ def fingerprints(docs: DataFrame, by: str = "doc_id", text: str = "text", sample
     links = nexts.select(F.col("id").alias("taker"), F.col("next_id"))
     given = links.join(giver, links["next_id"].eqNullSafe(giver["giver"])).select("taker", "next_fingerprint")
     return signed.join(given, signed["id"].eqNullSafe(given["taker"])).select(
-        F.col("id").alias(by), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("id").alias(by), "n_chars",
+        *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
     )

@@ -7,7 +7,7 @@ At a Jaccard similarity of t, d is at most (1 - t) / t times the smaller size. S
 document sends d + 1 of its blocks, those with the most shingles first, as keys. By the pigeonhole principle two
 documents of the wanted similarity share a key. Only documents that share a key are compared, on their whole sets.
 
-Documents with equal sets are one class from the start. In a first round every class is compared with at most two leaders
+Documents with equal sets are one class from the start. In a first round every class is compared with one or two leaders
 of its keys. Components are formed, and in a second round the classes that share a key but not a component are compared
 with each other as far as the sketches allow, so no link between two components is lost and no group is expanded into
 pairs.
@@ -165,7 +165,8 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
     )
     member = scratch.keep(shared_keys(keyed.withColumnRenamed("cls", "node")), "members")
     several = scratch.keep(member.select(F.col("node").alias("cls")).distinct().join(classes, "cls"), "several")
-    texts = rows.join(several, rows["id"].eqNullSafe(several["rep"])).select("cls", "text")
+    # the classes that share keys grow with the corpus, so they are never broadcast
+    texts = rows.join(several.hint("merge"), rows["id"].eqNullSafe(several["rep"])).select("cls", "text")
     # rows that repeat an id can hold other texts: only the set of the class is kept
     sets = _sets(texts, size).join(several.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     sets = scratch.keep(sets, "sets")

@@ -180,7 +180,8 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     wanted = facts.groupBy("first.id", "first.tag").agg(
         F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted")
     )
-    asked = docs.join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text", "wanted")
+    # what is asked for grows with the corpus, so it is never broadcast
+    asked = docs.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text", "wanted")
     texts = scratch.keep(_texts(asked), "texts")
 
     def near(x: str, y: str) -> Column:
@@ -222,7 +223,7 @@ def deduplicate(
     whole = docs.select(
         *[F.col(c).alias(f"__{c}") for c in keep], F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text")
     )
-    joined = whole.join(gone, ["id", "tag"], "left").select(*[f"__{c}" for c in keep], "text", "gone")
+    joined = whole.join(gone.hint("merge"), ["id", "tag"], "left").select(*[f"__{c}" for c in keep], "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):

@@ -210,7 +210,7 @@ def spans(docs: DataFrame, scratch: Scratch, size: int, gram: int, hot: int) ->
     wanted = (
         firsts.join(mixed, "h").groupBy("id", "tag").agg(F.collect_list(F.struct("h", "c", "g", "p")).alias("wanted"))
     )
-    shards = _shards(docs.join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text", "wanted"), size, hot)
+    shards = _shards(docs.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text", "wanted"), size, hot)
     covered = _matched(shards, size).groupBy("h", "g").agg(F.flatten(F.collect_list("covered")).alias("covered"))
     known = firsts.select("h", "g", F.col("id").alias("first")).join(covered, ["h", "g"], "left")
     begin, length = F.shiftright("p", 20).cast("int"), F.col("p").bitwiseAND(F.lit(0xFFFFF)).cast("int")
@@ -235,7 +235,7 @@ def deduplicate(
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text"))
     found = scratch.keep(spans(rows, scratch, size, gram, hot), "spans")
-    joined = rows.join(found, ["id", "tag"], "left").select("id", "text", "spans")
+    joined = rows.join(found.hint("merge"), ["id", "tag"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):

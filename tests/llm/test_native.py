@@ -124,12 +124,12 @@ def test_collision_rate_is_the_weighted_similarity(make):
     got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(make(rows)).collect()}
     texts, errors = dict(rows), []
     for a, b in pairs:
-        lanes = range(0, len(got[a]), fingerprint.LANE)
+        lanes = range(0, len(got[a]), 2 * fingerprint.LANE)
         same = sum(got[a][k : k + 8] == got[b][k : k + 8] for k in lanes) / fingerprint.SAMPLES
         errors.append(same - jaccard(texts[a], texts[b]))
-    # 150 pairs of 16 samples: the mean error has a deviation below 0.011
+    # 150 pairs of 24 samples: the mean error has a deviation below 0.009
     assert abs(sum(errors) / len(errors)) < 0.04
-    assert math.sqrt(sum(e * e for e in errors) / len(errors)) < 0.16
+    assert math.sqrt(sum(e * e for e in errors) / len(errors)) < 0.14
 
 
 # mixing
