@@ -61,15 +61,14 @@ def bigrams(col: Column) -> Column:
 
 
 def number_repeats(name: str) -> Column:
-    """Occurrence number after every gram of a column, so sets intersect like multisets."""
-    grams = F.col(name)
+    """Occurrence number after every gram of a column, so sets intersect like multisets.
+
+    The grams are sorted first, so equal ones lie side by side and the distance to the first of them is the number.
+    """
+    ordered = F.sort_array(name)
     return F.transform(
-        grams,
-        lambda g, i: F.concat(
-            g,
-            F.lit("#"),
-            F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string"),
-        ),
+        ordered,
+        lambda g, i: F.concat(g, F.lit("#"), (i - F.array_position(ordered, g) + 2).cast("string")),
     )
 
 

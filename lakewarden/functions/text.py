@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The characters that Unicode-aware trimming and splitting treat as white space.
 WHITESPACE = (
@@ -48,71 +45,90 @@ def strip(col: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _accent_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
-    """One-to-one letters, combining marks and expanding letters, generated from the Unicode data."""
-    source, target, marks, expanding = [], [], [], []
+def _accent_tables() -> tuple[str, str, str, dict[str, str]]:
+    """One-to-one letters, combining marks, and all other letters that change, generated from the Unicode data."""
+    source, target, marks, other = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
+        if 0xD800 <= code <= 0xDFFF or HANGUL[0] <= chr(code) <= HANGUL[1]:
             continue
         char = chr(code)
         if unicodedata.combining(char):
-            marks.append(char)
+            if code <= 0xFFFF:
+                marks.append(char)
+            else:
+                other[char] = ""
             continue
         plain = "".join(
             c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
         )
         if plain == char:
             continue
-        if len(plain) == 1 and code <= 0xFFFF:
+        if len(plain) == 1 and code <= 0xFFFF and ord(plain) <= 0xFFFF:
             source.append(char)
             target.append(plain)
-        elif re.search("[A-Za-z0-9]", plain) and 0x80 <= code < 0x250:
-            expanding.append((char, plain))
-    return "".join(source), "".join(target), "".join(marks), tuple(expanding)
+        else:
+            other[char] = plain
+    return "".join(source), "".join(target), "".join(marks), other
 
 
-def strip_accents(col: Column) -> Column:
-    """F1, native path: compatibility letters to plain letters, combining marks removed.
+# The Korean syllables, and the first of their leading, middle and closing letters with their numbers.
+HANGUL = ("\uac00", "\ud7a3")
+LEAD, VOWEL, TAIL = 0x1100, 0x1161, 0x11A7
+VOWELS, TAILS = 21, 28
 
-    Covers every character that maps to one character plus the Latin letters that expand to
-    several. ``strip_accents_exact`` covers the rest (ligatures, Hangul) through an Arrow function.
-    """
-    source, target, marks, expanding = _accent_tables()
-    out = F.coalesce(col, F.lit(""))
-    out = F.translate(out, source + marks, target)
-    for char, plain in expanding:
-        out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.when(has_non_ascii(col), out).otherwise(F.coalesce(col, F.lit("")))
 
+def _hangul(char: Column) -> Column:
+    """The letters of a Korean syllable."""
+    at = F.ascii(char) - ord(HANGUL[0])
 
-def has_non_ascii(col: Column) -> Column:
-    return F.octet_length(col) != F.char_length(col)
+    def letter(code: Column) -> Column:
+        return F.lpad(F.hex(code), 4, "0")
 
-
-def _plain(value: str | None) -> str:
-    if value is None:
-        return ""
-    if value.isascii():
-        return value
-    return "".join(
-        c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)
+    tail = at % TAILS
+    codes = F.concat(
+        letter(F.floor(at / (VOWELS * TAILS)) + LEAD),
+        letter(F.floor(at / TAILS).cast("long") % VOWELS + VOWEL),
+        F.when(tail > 0, letter(tail + TAIL)).otherwise(""),
     )
+    return F.decode(F.unhex(codes), "UTF-16BE")
+
 
+def _class(chars: list[str]) -> str:
+    """Regular expression for the characters, neighbours as ranges."""
+    codes, parts = sorted(map(ord, chars)), []
+    for code in codes:
+        if parts and parts[-1][1] == code - 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in parts) + "]"
 
-@F.pandas_udf(StringType())
-def _strip_accents_arrow(values: pd.Series) -> pd.Series:
-    return values.map(_plain)
 
+def strip_accents(col: Column) -> Column:
+    """full compatibility decomposition without the combining marks, by built-in functions.
 
-def strip_accents_exact(col: Column) -> Column:
-    """F1 by full NFKD decomposition. Use on short or already distinct values."""
-    return _strip_accents_arrow(col)
+    Single letters are translated. What expands to several is rare, so only the distinct ones of a text are looked up and
+    replaced.
+    """
+    source, target, marks, other = _accent_tables()
+    rare = _class([*other, *(chr(c) for c in range(ord(HANGUL[0]), ord(HANGUL[1]) + 1))])
+    text = F.coalesce(col, F.lit(""))
+    plain = F.create_map(*[F.lit(x) for item in other.items() for x in item])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rare), F.lit(0)))
+    replaced = F.aggregate(
+        found, text, lambda out, c: F.replace(out, c, F.when(c.between(*HANGUL), _hangul(c)).otherwise(F.try_element_at(plain, c)))
+    )
+    out = F.translate(F.when(text.rlike(rare), replaced).otherwise(text), source + marks, target)
+    return F.when(has_non_ascii(col), out).otherwise(text)
+
+
+def has_non_ascii(col: Column) -> Column:
+    return F.octet_length(col) != F.char_length(col)
 
 
-def normalize_text(col: Column, exact: bool = False) -> Column:
+def normalize_text(col: Column) -> Column:
     """no accents, lower case, everything but letters and digits to single spaces."""
-    base = strip_accents_exact(col) if exact else strip_accents(col)
-    return F.trim(F.regexp_replace(F.lower(base), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(col)), "[^a-z0-9]+", " "))
 
 
 def normalize_email(col: Column) -> Column:
@@ -120,13 +136,11 @@ def normalize_email(col: Column) -> Column:
     return F.coalesce(F.lower(strip(col)), F.lit(""))
 
 
-def normalize_country(
-    col: Column, synonyms: dict[str, str] | None = None, exact: bool = False
-) -> Column:
+def normalize_country(col: Column, synonyms: dict[str, str] | None = None) -> Column:
     """standard country name, or the trimmed input when the spelling is unknown."""
     synonyms = COUNTRY_SYNONYMS if synonyms is None else synonyms
     pairs = [F.lit(x) for item in synonyms.items() for x in item]
-    known = F.element_at(F.create_map(*pairs), normalize_text(col, exact))
+    known = F.element_at(F.create_map(*pairs), normalize_text(col))
     return F.coalesce(known, strip(col), F.lit(""))
 
 

@@ -118,24 +118,31 @@ def catalog(
     )
 
 
-def definitions_from_responses(responses: DataFrame, column: str = "response") -> DataFrame:
+def definitions_from_responses(
+    responses: DataFrame, column: str = "response", order_col: str | None = None
+) -> DataFrame:
     """Definitions out of raw JSON texts ``{"entries": [{"field", "business_definition"}]}``.
 
-    Input needs ``table``; blank definitions are dropped, the last entry of a field wins.
+    Input needs ``table``; blank definitions are dropped, the last entry of a field wins: that of the last response by
+    ``order_col``, and within it the last one. Without an order column, and among equal ones, the greatest text decides, so
+    the result never depends on how the rows lie.
     """
     shape = "STRUCT<entries: ARRAY<STRUCT<field: STRING, business_definition: STRING>>>"
     parsed = responses.select(
-        "table", F.from_json(extract_json(F.col(column)), shape).alias("doc")
+        "table",
+        (F.col(order_col) if order_col else F.lit(0)).alias("turn"),
+        F.from_json(extract_json(F.col(column)), shape).alias("doc"),
     )
     return (
-        parsed.select("table", F.posexplode("doc.entries").alias("pos", "e"))
+        parsed.select("table", "turn", F.posexplode("doc.entries").alias("pos", "e"))
         .select(
             "table",
+            "turn",
             "pos",
             F.lower(F.coalesce("e.field", F.lit(""))).alias("field_key"),
             F.col("e.business_definition").alias("business_definition"),
         )
         .filter(F.coalesce(strip(F.col("business_definition")), F.lit("")) != "")
         .groupBy("table", "field_key")
-        .agg(F.max_by("business_definition", "pos").alias("business_definition"))
+        .agg(F.max_by("business_definition", F.struct("turn", "pos", "business_definition")).alias("business_definition"))
     )

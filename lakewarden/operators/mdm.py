@@ -18,7 +18,7 @@ from ..functions.text import is_missing, normalize_email, normalize_text, strip
 from ..rules import Entity, RulePack
 from ..session import cut
 from .skew import HOT_ROWS, join_per_key
-from .values import as_text, short_key
+from .values import as_text, from_text
 
 # A block up to this size compares its names pair by pair; a bigger one goes through its heads.
 SMALL_BLOCK = 256
@@ -33,7 +33,7 @@ def _present(df: DataFrame, name: str | None) -> str | None:
 
 
 def _base(entity: Entity, df: DataFrame, order_col: str) -> DataFrame:
-    """``ord, member_id, key, name, email`` of every record; a long key becomes its digest."""
+    """``ord, member_id, key, name, email`` of every record."""
     id_col = _present(df, entity.id_column)
     key_col = _present(df, entity.exact_key)
     email_col = _present(df, entity.email_column)
@@ -47,8 +47,8 @@ def _base(entity: Entity, df: DataFrame, order_col: str) -> DataFrame:
     return df.select(
         order.alias("ord"),
         (F.coalesce(as_text(df, id_col), fallback) if id_col else fallback).alias("member_id"),
-        F.when(~key.isin("", "nan", "None"), short_key(key)).alias("key"),
-        sort_tokens(normalize_text(raw_name, exact=True)).alias("name"),
+        F.when(~key.isin("", "nan", "None"), key).alias("key"),
+        sort_tokens(normalize_text(raw_name)).alias("name"),
         F.when(~is_missing(email), email).alias("email"),
     )
 
@@ -99,8 +99,11 @@ def _required_overlap(length: Column, threshold: int) -> Column:
 def name_blocks(names: DataFrame, threshold: int) -> DataFrame:
     """``block, name, len``: blocks in which every similar pair of names meets at least once.
 
-    Prefix filter: bigrams from rare to frequent, and only the first ``G - overlap + 1`` of them.
-    The frequency table holds one row per bigram over a 37-letter alphabet, so its size is fixed.
+    Prefix filter on two bigrams at a time: names that share at least ``overlap`` bigrams share two of their first
+    ``G - overlap + 2`` ones, ordered from rare to frequent. So a block is a pair of bigrams, of which there are about a
+    million instead of a thousand. Only names so short that one shared bigram may be all meet in single bigrams, and so do
+    the names that can be similar to such a one. The frequency table holds one row per bigram over a 37-letter alphabet, so
+    its size is fixed.
     """
     if threshold < 84:
         raise ValueError("the bigram bound needs a threshold of at least 84")
@@ -113,12 +116,28 @@ def name_blocks(names: DataFrame, threshold: int) -> DataFrame:
         .groupBy("name", "len")
         .agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
     )
-    keep = F.size("grams") - _required_overlap(F.col("len"), threshold) + 1
-    return ordered.select(
-        F.explode(F.slice("grams", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("g"),
+    overlap = _required_overlap(F.col("len"), threshold)
+    shortest = F.ceil(F.col("len") * threshold / (200 - threshold))
+    listed = ordered.select(
         "name",
         "len",
-    ).select(F.col("g.gram").alias("block"), "name", "len")
+        F.transform("grams", lambda g: g["gram"]).alias("grams"),
+        F.greatest(overlap, F.lit(1)).cast("int").alias("overlap"),
+        (_required_overlap(shortest, threshold) < 2).alias("single"),
+    )
+    first = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.col("overlap") + 1, F.lit(1)))
+    ones = F.when(F.col("single") | (F.col("overlap") < 2), first).otherwise(F.array().cast("array<string>"))
+    more = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.col("overlap") + 2, F.lit(1)))
+    twos = F.flatten(
+        F.transform(
+            more,
+            lambda g, i: F.transform(
+                F.slice(more, i + 2, F.size(more)), lambda h: F.concat(g, F.lit("&"), h)
+            ),
+        )
+    )
+    twos = F.when(F.col("overlap") >= 2, twos).otherwise(F.array().cast("array<string>"))
+    return listed.select(F.explode(F.concat(ones, twos)).alias("block"), "name", "len")
 
 
 def similar_names(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -129,10 +148,9 @@ def similar_names(pairs: DataFrame, threshold: int) -> DataFrame:
     """
     short = F.least(F.char_length("x"), F.char_length("y"))
     total = F.char_length("x") + F.char_length("y")
-    slack = F.floor((100 - threshold) * total / 100)
     return (
         pairs.filter(reaches(short, total, threshold))
-        .filter(F.levenshtein("x", "y") <= slack)
+        .filter(F.expr(f"levenshtein(x, y, cast(floor({100 - threshold} * (char_length(x) + char_length(y)) / 100) AS INT)) >= 0"))
         .withColumn("lcs", lcs_similarity(F.col("x"), F.col("y")))
         .filter(reaches(F.col("lcs"), total, threshold))
         .drop("lcs")
@@ -393,7 +411,7 @@ def group_table(members: DataFrame, threshold: int = 88) -> DataFrame:
         F.when(
             exact,
             F.concat(
-                F.substring("group_id", 5, 1_000_000),
+                F.expr("substr(group_id, 5)"),
                 F.lit(" shared by "),
                 size.cast("string"),
                 F.lit(" records"),
@@ -437,9 +455,7 @@ def golden_records(df: DataFrame, members: DataFrame, order_col: str) -> DataFra
     )
     best = counted.groupBy("group_id", "slot").agg(F.min_by("value", rank).alias("value"))
     typed = [
-        F.max(F.when(F.col("slot") == f"c{i}", F.col("value")))
-        .try_cast(df.schema[c].dataType)
-        .alias(c)
+        from_text(F.max(F.when(F.col("slot") == f"c{i}", F.col("value"))), df.schema[c].dataType).alias(c)
         for i, c in enumerate(columns)
     ]
     return best.groupBy("group_id").agg(*typed)

@@ -15,7 +15,8 @@ from ..rules import RulePack
 from ..session import cut
 from .values import as_text, short_key, value_counts
 
-CONTENT_SAMPLE = 50
+# No e-mail address is longer, so a longer text can travel as a digest.
+LONGEST_EMAIL = 254
 SHOWN_SAMPLE = 3
 # Rows of a table that are looked at before a column gets a search of its own.
 PREFIX_ROWS = 500
@@ -39,7 +40,7 @@ def _exact_statistics(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table, df in tables.items():
         mine = [(s, c) for s, (t, _, c) in enumerate(slots) if t == table]
-        wide = df.select(*[short_key(as_text(df, c)).alias(f"s{s}") for s, c in mine])
+        wide = df.select(*[short_key(as_text(df, c), LONGEST_EMAIL).alias(f"s{s}") for s, c in mine])
         parts.append(wide.unpivot([], wide.columns, "name", "value"))
     numeric = [str(s) for s, (t, _, c) in enumerate(slots) if _is_numeric(tables[t], c)]
     counts = (
@@ -59,6 +60,7 @@ def _exact_statistics(tables: dict[str, DataFrame]) -> DataFrame:
             F.min("number").alias("min_value"),
             F.max("number").alias("max_value"),
             F.expr("sum(number * n) / sum(n) FILTER (WHERE number IS NOT NULL)").alias("mean_value"),
+            F.expr(f"sum(n) FILTER (WHERE {_is_email('value')}) / sum(n) FILTER (WHERE value IS NOT NULL)").alias("email_share"),
         )
     )
 
@@ -81,6 +83,7 @@ def _approximate_statistics(tables: dict[str, DataFrame]) -> DataFrame:
                     F.min(number).cast("double").alias("min_value"),
                     F.max(number).cast("double").alias("max_value"),
                     F.avg(number.cast("double")).alias("mean_value"),
+                    F.avg(F.btrim(as_text(df, name), F.lit(WHITESPACE)).rlike(EMAIL_PATTERN).cast("double")).alias("email_share"),
                 )
             )
             slot += 1
@@ -88,13 +91,20 @@ def _approximate_statistics(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _is_email(name: str) -> str:
+    return f"btrim({name}, '{WHITESPACE}') RLIKE {sql_text(EMAIL_PATTERN)}"
+
+
 def column_statistics(tables: dict[str, DataFrame], approximate: bool = False) -> DataFrame:
-    """``slot, rows, non_null, unique_count, min_value, max_value, mean_value``."""
+    """``slot, rows, non_null, unique_count, min_value, max_value, mean_value, email_share``.
+
+    The share of e-mail addresses counts every value of the column.
+    """
     return _approximate_statistics(tables) if approximate else _exact_statistics(tables)
 
 
 def first_values(tables: dict[str, DataFrame], order_cols: dict[str, str], n: int) -> DataFrame:
-    """``slot, firsts`` with the first ``n`` non-null values of every column.
+    """``slot, firsts`` with the first ``n`` non-null values of every column.
 
     One bounded top-n per table gives its first rows, all columns at once. Only a column with fewer
     than ``n`` values in them (known after one small count per column) gets a top-n of its own.
@@ -167,12 +177,7 @@ def column_profiles(
     approximate: bool = False,
 ) -> DataFrame:
     """One row per column of every table, on one shared pass of value counts."""
-    is_email = f"cast(btrim(v, '{WHITESPACE}') RLIKE {sql_text(EMAIL_PATTERN)} AS INT)"
-    samples = first_values(tables, order_cols, CONTENT_SAMPLE).selectExpr(
-        "slot",
-        f"aggregate(firsts, 0, (a, v) -> a + {is_email}) / nullif(size(firsts), 0) AS email_share",
-        f"slice(firsts, 1, {SHOWN_SAMPLE}) AS sample_values",
-    )
+    samples = first_values(tables, order_cols, SHOWN_SAMPLE).withColumnRenamed("firsts", "sample_values")
     joined = (
         _column_list(tables, pack)
         .join(column_statistics(tables, approximate), "slot", "left")

@@ -254,7 +254,7 @@ def variant_groups(values: DataFrame, slots: list[ValueSlot], pack: RulePack) ->
     """Q4 core: ``slot, canonical, value, n`` with the normalisation run on distinct values only."""
     value = F.col("value")
     country = F.expr(f"slot IN ({_slot_list(slots, 'country')})")
-    plain = normalize_text(value, exact=True)
+    plain = normalize_text(value)
     known = F.create_map(*[F.lit(x) for item in pack.country_synonyms.items() for x in item])
     return (
         values.filter(f"slot IN ({_slot_list(slots, 'country', 'category')})")
@@ -287,35 +287,33 @@ def spelling_variants(df: DataFrame, pack: RulePack, table: str = "") -> DataFra
 def consistency_findings(values: DataFrame, slots: list[ValueSlot], pack: RulePack) -> DataFrame:
     """Q4a counts the spellings involved, Q4b the groups.
 
-    The text shows the first three groups, by two of their spellings each; ``spelling_variants``
-    lists them all.
+    The text of a country names every group, that of a category the first three, each with all of its
+    spellings.
     """
+    country = f"slot IN ({_slot_list(slots, 'country')})"
     groups = (
         variant_groups(values, slots, pack)
         .groupBy("slot", "canonical")
         .agg(
             F.count(F.lit(1)).alias("spellings"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
+            F.array_join(F.sort_array(F.collect_list("value")), "/").alias("names"),
         )
         .filter("spellings > 1")
     )
     by_slot = Window.partitionBy("slot")
     first = (
         groups.withColumn("place", F.row_number().over(by_slot.orderBy("canonical")))
-        .filter("place <= 3")
+        .filter(f"place <= 3 OR {country}")
         .groupBy("slot")
         .agg(
             F.expr(
-                "array_join(transform(sort_array(collect_list(struct(place, low, high))), "
-                "g -> concat(g.low, '/', g.high)), '; ') AS examples"
+                "array_join(transform(sort_array(collect_list(struct(place, names))), g -> g.names), '; ') AS examples"
             )
         )
     )
     totals = groups.groupBy("slot").agg(
         F.sum("spellings").alias("spellings"), F.count(F.lit(1)).alias("groups")
     )
-    country = f"slot IN ({_slot_list(slots, 'country')})"
     field = _slot_text(slots, "field")
     row = _row_sql(
         _slot_text(slots, "table"), field,

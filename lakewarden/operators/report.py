@@ -157,39 +157,29 @@ def _report_rules(found: DataFrame) -> DataFrame:
     )
 
 
-def first_groups(groups: DataFrame, members: DataFrame, limit: int = 10, shown: int = 10) -> DataFrame:
-    """The first groups per entity and, for each, its first member ids as text.
+def first_groups(groups: DataFrame, members: DataFrame, limit: int = 10) -> DataFrame:
+    """The first groups per entity and, for each, all of its member ids as text.
 
-    Both are bounded top-n windows; the long member table keeps everyone.
+    ``limit`` is the report's number of groups; the line of a group names every member.
     """
     per_entity = Window.partitionBy("entity").orderBy(
         F.when(F.col("match_type") == "exact_key", 0).otherwise(1),
         F.when(F.col("match_type") == "exact_key", F.col("group_id")),
         "first_ord",
     )
-    top = groups.withColumn("place", F.row_number().over(per_entity)).filter(
-        F.col("place") <= limit
-    )
-    per_group = Window.partitionBy("entity", "group_id").orderBy("ord")
+    top = groups.withColumn("place", F.row_number().over(per_entity)).filter(F.col("place") <= limit)
     ids = (
-        members.join(F.broadcast(top.select("entity", "group_id")), ["entity", "group_id"])
-        .withColumn("pos", F.row_number().over(per_group))
-        .filter(F.col("pos") <= shown)
+        members.join(top.select("entity", "group_id"), ["entity", "group_id"])
         .groupBy("entity", "group_id")
         .agg(
             F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct("pos", "member_id"))),
-                    lambda s: s["member_id"],
-                ),
-                ", ",
+                F.transform(F.sort_array(F.collect_list(F.struct("ord", "member_id"))), lambda s: s["member_id"]), ", "
             ).alias("ids")
         )
     )
     return top.join(ids, ["entity", "group_id"]).select(
-        "entity", "place", "match_type", "confidence", "size",
-        F.when(F.col("size") > shown, F.concat("ids", F.lit(", …"))).otherwise(F.col("ids")).alias("ids"),
-    )
+        "entity", "place", "match_type", "confidence", "size", "ids"
+    )
 
 
 def report_lines(tables: dict[str, DataFrame], pack: RulePack) -> DataFrame:

@@ -30,8 +30,8 @@ KEYWORD_SCORE = 1.0
 NEIGHBOUR_SCORE = 0.9
 MIN_CONFIDENT_SCORE = 0.15
 
-# Queries held in memory by one pass over the index; more of them mean more passes.
-QUERY_BLOCK = 4096
+# Queries and rows that meet at once.
+QUERY_BLOCK = 1024
 ROWS_PER_STEP = 2048
 
 
@@ -45,15 +45,29 @@ def embedding_rows(index: DataFrame) -> DataFrame:
     return term_weights(index, ["doc_id", "chunk_id"])
 
 
-def _query_blocks(queries: DataFrame, key: str, block: int) -> Iterator[pd.DataFrame]:
-    """Queries in pieces of a checked size."""
-    n = queries.count()
-    if n <= block:
-        yield queries.toPandas()
-        return
-    parts = ceil(2 * n / block)
-    for i in range(parts):
-        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i).toPandas()
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` in arrays of at most ``size`` elements, as they lie; nothing is shuffled."""
+    names = rows.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                inner = pa.StructArray.from_arrays(part.columns, names)
+                one = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([one], ["rows"])
+
+    return rows.mapInArrow(pack, T.StructType([T.StructField("rows", T.ArrayType(rows.schema))]))
+
+
+def _query_blocks(queries: DataFrame, key: str, size: int) -> DataFrame:
+    """Queries in arrays of about ``size`` elements with the number of the block, in one partition.
+
+    The blocks never reach the driver. Every task that scans rows reads them one after the other.
+    """
+    parts = max(1, ceil(queries.count() / size))
+    block = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("block")
+    return queries.groupBy(block).agg(F.collect_list(F.struct(*queries.columns)).alias("queries")).repartition(1)
 
 
 def _best(pool: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
@@ -62,83 +76,86 @@ def _best(pool: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     return ordered.groupby("q", sort=False).head(k)
 
 
+class _Winners:
+    """The ``k`` best rows so far of each query of one block."""
+
+    def __init__(self, names: pa.Array, ids: list[str], k: int):
+        self.names, self.ids, self.k = names, ids, k
+        self.floor = np.full(len(names), -np.inf)
+        self.pool = None
+
+    def add(self, rows: pa.StructArray, scores: np.ndarray, keep_zero: bool) -> None:
+        bar = self.floor
+        if len(scores) > self.k:
+            bar = np.maximum(bar, np.partition(scores, len(scores) - self.k, axis=0)[-self.k])
+        hit = scores >= bar
+        if not keep_zero:
+            hit &= scores > 0
+        row, q = np.nonzero(hit)
+        if not len(row):
+            return
+        found = pd.DataFrame({"q": q, "score": scores[row, q]})
+        for i in self.ids:
+            found[i] = rows.field(i).to_numpy(zero_copy_only=False)[row]
+        self.pool = _best(found if self.pool is None else pd.concat([self.pool, found]), self.ids, self.k)
+        last = self.pool.groupby("q")["score"].agg(["size", "min"])
+        last = last[last["size"] == self.k]
+        self.floor[last.index.to_numpy()] = last["min"].to_numpy()
+
+
 def _scan_top(
-    rows: DataFrame,
-    ids: list[str],
-    query_ids: pa.Array,
-    query_name: str,
-    query_type: T.DataType,
-    matrix: np.ndarray,
-    score_batch,
-    k: int,
-    keep_zero: bool,
+    rows: DataFrame, ids: list[str], queries: DataFrame, query: str, score, k: int, keep_zero: bool, block: int
 ) -> DataFrame:
-    """One pass over ``rows``: every task keeps ``k`` rows per query and emits only those."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast((query_ids, matrix))
-    id_fields = [rows.schema[i] for i in ids]
-    schema = T.StructType(
-        [T.StructField(query_name, query_type), *id_fields, T.StructField("score", T.DoubleType())]
-    )
+    """The ``k`` best rows per query with their rank, in one pass over ``rows``.
 
+    Blocks of rows meet blocks of queries: a query set against all rows. Each task keeps ``k`` rows per query and emits only
+    those; the final rank is taken over the winners of the tasks.
+    """
+    id_fields = [rows.schema[i] for i in ids]
+    schema = T.StructType([queries.schema[query], *id_fields, T.StructField("score", T.DoubleType())])
     arrow_schema = to_arrow_schema(schema)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = shared.value
-        floor = np.full(len(queries), -np.inf)
-        pool = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_PER_STEP):
-                batch = whole.slice(at, ROWS_PER_STEP)
-                scores = score_batch(batch, queries)
-                bar = floor
-                if len(scores) > k:
-                    bar = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[-k])
-                hit = scores >= bar
-                if not keep_zero:
-                    hit &= scores > 0
-                row, q = np.nonzero(hit)
-                if not len(row):
-                    continue
-                found = pd.DataFrame({"q": q, "score": scores[row, q]})
-                for i in ids:
-                    found[i] = batch.column(i).to_numpy(zero_copy_only=False)[row]
-                pool = _best(found if pool is None else pd.concat([pool, found]), ids, k)
-                last = pool.groupby("q")["score"].agg(["size", "min"])
-                last = last[last["size"] == k]
-                floor[last.index.to_numpy()] = last["min"].to_numpy()
-        if pool is not None and len(pool):
-            columns = [names.take(pa.array(pool["q"].to_numpy()))]
-            columns += [pa.Array.from_pandas(pool[i]) for i in [*ids, "score"]]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
-            )
-
-    return rows.mapInArrow(top, schema)
-
-
-def _rank(parts: list[DataFrame], query: str, ids: list[str], k: int) -> DataFrame:
-    """Task winners to the final ``k`` per query; the group limit runs before the shuffle."""
+        winners: dict[int, _Winners] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column("block")[i].as_py()
+                some, asked = batch.column("rows")[i].values, batch.column("queries")[i].values
+                own = winners.setdefault(number, _Winners(asked.field(query), ids, k))
+                own.add(some, score(some, asked), keep_zero)
+        for own in winners.values():
+            if own.pool is not None and len(own.pool):
+                columns = [own.names.take(pa.array(own.pool["q"].to_numpy()))]
+                columns += [pa.Array.from_pandas(own.pool[i]) for i in [*ids, "score"]]
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
+                )
+
+    pairs = _blocks(rows, ROWS_PER_STEP).crossJoin(_query_blocks(queries, query, block))
     order = Window.partitionBy(query).orderBy(F.col("score").desc(), *ids)
     return (
-        reduce(DataFrame.unionByName, parts)
+        pairs.mapInArrow(top, schema)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
     )
 
 
+def _dense(rows: pa.StructArray, dim: int) -> np.ndarray:
+    """Whole-number vectors from their buckets and counts."""
+    buckets, counts = rows.field("buckets"), rows.field("counts")
+    row = np.repeat(np.arange(len(rows)), buckets.value_lengths().to_numpy())
+    slot = row * dim + buckets.flatten().to_numpy()
+    weights = counts.flatten().to_numpy()
+    return np.bincount(slot, weights=weights, minlength=len(rows) * dim).reshape(len(rows), dim)
+
+
 def _term_scores(dim: int):
-    def score(batch: pa.RecordBatch, queries: np.ndarray) -> np.ndarray:
+    def score(rows: pa.StructArray, queries: pa.StructArray) -> np.ndarray:
         """Cosine of whole-number vectors: exact products, one division."""
-        buckets, counts = batch.column("buckets"), batch.column("counts")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(buckets.offsets.to_numpy()))
-        slot = row * dim + buckets.flatten().to_numpy()
-        dense = np.bincount(
-            slot, weights=counts.flatten().to_numpy(), minlength=batch.num_rows * dim
-        ).reshape(batch.num_rows, dim)
-        norms = batch.column("norm2").to_numpy()
-        size = np.sqrt(np.multiply.outer(norms, (queries * queries).sum(axis=1)))
-        dots = dense @ queries.T
+        asked = _dense(queries, dim)
+        norms = rows.field("norm2").to_numpy()
+        size = np.sqrt(np.multiply.outer(norms, (asked * asked).sum(axis=1)))
+        dots = _dense(rows, dim) @ asked.T
         return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
 
     return score
@@ -149,39 +166,34 @@ def top_chunks(
     questions: DataFrame,
     k: int = 6,
     dim: int = 768,
-    fill_zero: bool = False,
+    fill_zero: bool = True,
     block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """T5: ``question_id, doc_id, chunk_id, score, rank`` of the ``k`` nearest chunks.
 
-    The index is scanned once per block of questions and never shuffled. ``fill_zero`` lets chunks
-    without a common term fill the list.
+    The index is scanned once and never shuffled, however many questions there are. Chunks without a common term fill the
+    list, first ids first, unless ``fill_zero`` is off.
     """
     ids = ["doc_id", "chunk_id"]
     terms = with_terms(questions.select("question_id", "question"), "question", dim)
-    terms = terms.select("question_id", "buckets", "counts")
-    query_type = terms.schema["question_id"].dataType
-    parts = []
-    for queries in _query_blocks(terms, "question_id", block):
-        matrix = np.zeros((len(queries), dim))
-        for i, (buckets, counts) in enumerate(zip(queries["buckets"], queries["counts"])):
-            matrix[i, np.asarray(buckets, dtype=int)] = counts
-        parts.append(
-            _scan_top(
-                index.select(*ids, "buckets", "counts", "norm2"),
-                ids, pa.array(queries["question_id"].tolist()), "question_id", query_type,
-                matrix, _term_scores(dim), k, fill_zero,
-            )
-        )
-    return _rank(parts, "question_id", ids, k)
-
-
-def _dense_scores(batch: pa.RecordBatch, queries: np.ndarray) -> np.ndarray:
-    width = queries.shape[1]
-    rows = batch.column("vec").flatten().to_numpy().reshape(-1, width)
-    norms = np.sqrt((rows * rows).sum(axis=1))
-    rows = np.divide(rows, norms[:, None], out=rows.copy(), where=norms[:, None] > 0)
-    return np.round(rows @ queries.T, 9)
+    rows = index.select(*ids, "buckets", "counts", "norm2")
+    asked = terms.select("question_id", "buckets", "counts")
+    return _scan_top(rows, ids, asked, "question_id", _term_scores(dim), k, fill_zero, block)
+
+
+def _dense_scores(rows: pa.StructArray, queries: pa.StructArray) -> np.ndarray:
+    """Cosine with unit queries; -1 and less where a vector has another length than the query or holds a null."""
+    out = np.full((len(rows), len(queries)), -np.inf)
+    stored, asked = rows.field("vec").to_pylist(), queries.field("vec").to_pylist()
+    for width in {len(v) for v in asked}:
+        mine = [i for i, v in enumerate(stored) if len(v) == width]
+        own = [i for i, v in enumerate(asked) if len(v) == width]
+        if mine and width:
+            table = np.array([stored[i] for i in mine])
+            norms = np.sqrt((table * table).sum(axis=1))
+            table = np.divide(table, norms[:, None], out=table.copy(), where=norms[:, None] > 0)
+            out[np.ix_(mine, own)] = np.round(table @ np.array([asked[i] for i in own]).T, 9)
+    return out
 
 
 def top_vectors(
@@ -189,22 +201,16 @@ def top_vectors(
 ) -> DataFrame:
     """T5 on stored dense vectors ``vec_id, vec`` and queries ``query_id, vec``; all lists full.
 
-    Scores are rounded to nine places before ranking, so equal vectors tie.
+    Scores are rounded to nine places before ranking, so equal vectors tie. Queries without a vector get no rows; stored
+    vectors that are null, hold a null or have another length than the query are never found.
     """
     from ..functions.vectors import unit_vector
 
-    base = vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
-    units = queries.select("query_id", unit_vector(F.col("vec")).alias("vec"))
-    query_type = units.schema["query_id"].dataType
-    parts = [
-        _scan_top(
-            base, ["vec_id"], pa.array(part["query_id"].tolist()), "query_id", query_type,
-            np.vstack(part["vec"].to_numpy()), _dense_scores, k, True,
-        )
-        for part in _query_blocks(units, "query_id", block)
-        if len(part)
-    ]
-    return _rank(parts, "query_id", ["vec_id"], k)
+    whole = ~F.exists("vec", lambda x: x.isNull())
+    base = vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec")).filter(whole)
+    units = queries.filter("vec IS NOT NULL").select("query_id", unit_vector(F.col("vec")).alias("vec"))
+    found = _scan_top(base, ["vec_id"], units, "query_id", _dense_scores, k, True, block)
+    return found.filter(F.col("score") >= -2)
 
 
 def keyword_search(index: DataFrame, needles: list[str], limit: int) -> DataFrame:
@@ -221,64 +227,38 @@ def keyword_search(index: DataFrame, needles: list[str], limit: int) -> DataFram
     )
 
 
-# What counts as a mention in the loose search and in the exact check.
-LOOSE_MENTION = r"rt(?:[íi]culo|\.)? ([0-9]+)"
-EXACT_MENTION = rf"(?U)art(?:iculo)?s?\.?{WS}*([0-9]+)\b"
+# Fixed value: what cites an article by its number.
+CITATION = rf"(?U)art(?:iculo)?s?\.?{WS}*([0-9]+)\b"
 
 
-def mentions(index: DataFrame) -> DataFrame:
-    """``number, doc_id, chunk_id, exact``: every number a substring search would find in a chunk.
-
-    A search for ``rticulo 1`` also hits ``Articulo 16``, so a mention counts for all leading digits
-    of its number; ``exact`` tells whether the chunk really cites that number.
-    """
-    loose = F.regexp_extract_all(F.lower("text"), F.lit(LOOSE_MENTION), F.lit(1))
-    exact = F.regexp_extract_all(F.lower(strip_accents(F.col("text"))), F.lit(EXACT_MENTION), F.lit(1))
-    cited = index.filter(F.lower("text").rlike(LOOSE_MENTION)).select(
-        "doc_id", "chunk_id", F.array_distinct(loose).alias("loose"), exact.alias("cited")
-    )
-    # Leading digits are collected and made distinct inside the row, so nothing is shuffled here.
-    leading = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "loose",
-                lambda whole: F.transform(
-                    F.sequence(F.lit(1), F.char_length(whole)),
-                    lambda n: F.substr(whole, F.lit(1), n),
-                ),
-            )
-        )
-    )
-    return cited.select("doc_id", "chunk_id", "cited", F.explode(leading).alias("number")).select(
-        "number", "doc_id", "chunk_id", F.array_contains("cited", F.col("number")).alias("exact")
-    )
+def citations(index: DataFrame) -> DataFrame:
+    """``number, doc_id, chunk_id`` of every article that a chunk cites."""
+    plain = F.lower(strip_accents(F.col("text")))
+    cited = F.array_distinct(F.regexp_extract_all(plain, F.lit(CITATION), F.lit(1)))
+    return index.select("doc_id", "chunk_id", F.explode(cited).alias("number")).select("number", "doc_id", "chunk_id")
 
 
 def reference_hits(index: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
     """T6 and T8, first half: ``question_id, doc_id, chunk_id, hit_rank`` of exact references.
 
-    The first ``k`` chunks of every number are cut before questions come in, because the first ``k``
-    of several numbers lie among the first ``k`` of each. The exact check follows the limit.
+    Only chunks that cite an asked number count, and the first ``k`` of them are taken. The first ``k`` of several numbers
+    lie among the first ``k`` of each, so every number is cut before questions come in, and a popular number joins few rows.
     """
     asked = questions.select(
         "question_id", F.explode(article_numbers(F.col("question"))).alias("number")
     )
     by_number = Window.partitionBy("number").orderBy("doc_id", "chunk_id")
     firsts = (
-        mentions(index)
+        citations(index)
         .join(asked.select("number").distinct(), "number", "left_semi")
         .withColumn("place", F.row_number().over(by_number))
         .filter(F.col("place") <= k)
     )
-    hits = (
-        asked.join(firsts, "number")
-        .groupBy("question_id", "doc_id", "chunk_id")
-        .agg(F.max("exact").alias("exact"))
-    )
+    hits = asked.join(firsts, "number").select("question_id", "doc_id", "chunk_id").distinct()
     by_question = Window.partitionBy("question_id").orderBy("doc_id", "chunk_id")
     return (
         hits.withColumn("hit_rank", F.row_number().over(by_question))
-        .filter((F.col("hit_rank") <= k) & F.col("exact"))
+        .filter(F.col("hit_rank") <= k)
         .select("question_id", "doc_id", "chunk_id", "hit_rank")
     )
 
@@ -362,7 +342,7 @@ def retrieve(
     questions: DataFrame,
     k: int = 6,
     dim: int = 768,
-    fill_zero: bool = False,
+    fill_zero: bool = True,
 ) -> DataFrame:
     """T5, T8 and T9 for a table of questions: ``question_id, pos, doc_id, chunk_id, …``."""
     vector = top_chunks(index, questions, k, dim, fill_zero)
@@ -437,7 +417,7 @@ def answer_questions(
     questions: DataFrame,
     k: int = 6,
     dim: int = 768,
-    fill_zero: bool = False,
+    fill_zero: bool = True,
 ) -> DataFrame:
     """One answer row per question; no support when nothing is retrieved."""
     context = cut(retrieve(index, questions, k, dim, fill_zero), "context")

@@ -20,9 +20,21 @@ def as_text(df: DataFrame, name: str) -> Column:
     return col.cast("string")
 
 
-def short_key(text: Column) -> Column:
-    """Text of at most 65 characters that is equal exactly when the long text is (SHA-256)."""
-    return F.when(F.length(text) <= 64, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
+def from_text(text: Column, kind: T.DataType) -> Column:
+    """The value that ``as_text`` wrote."""
+    if isinstance(kind, T.MapType) and not isinstance(kind.keyType, T.StringType):
+        named = F.from_json(text, T.MapType(T.StringType(), kind.valueType))
+        return F.transform_keys(named, lambda k, _: k.try_cast(kind.keyType))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(text, kind)
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(text)
+    return text.try_cast(kind)
+
+
+def short_key(text: Column, most: int = 64) -> Column:
+    """The text, or a digest (SHA-256) of one longer than ``most``; equal exactly when the texts are."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
 
 
 def long_form(df: DataFrame, columns: list[str], digest: bool = False) -> DataFrame:

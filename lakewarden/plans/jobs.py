@@ -40,7 +40,9 @@ def _sortable(df: DataFrame, name: str) -> DataFrame:
     col = F.col(name)
     text = col.cast("string")
     if isinstance(df.schema[name].dataType, T.IntegralType):
-        text = F.lpad(text, 20, "0")
+        # a negative number counts up from the least one, behind a sign that sorts before digits
+        up = (col.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string")
+        text = F.when(col < 0, F.concat(F.lit("-"), F.lpad(up, 19, "0"))).otherwise(F.lpad(text, 20, "0"))
     return df.withColumn(name, text)
 
 
@@ -101,7 +103,7 @@ def dataset_job(
 ) -> dict[str, DataFrame]:
     """Profile, quality, duplicates, catalog, recommendations and report tables.
 
-    Small intermediate results are written once, so no input is scanned again for a later table.
+    Findings, report, profiles, groups, duplicates and catalog are written once, so the later tables read those.
     """
     spark = next(iter(tables.values())).sparkSession
     found = cut(quality.findings(tables, pack, as_of), "findings")
@@ -160,7 +162,7 @@ def document_job(
 
 
 def question_job(
-    index: ChunkIndex, questions: DataFrame, pack: RulePack, fill_zero: bool = False
+    index: ChunkIndex, questions: DataFrame, pack: RulePack, fill_zero: bool = True
 ) -> DataFrame:
     """Answers with their sources for a table of questions."""
     return retrieval.answer_questions(

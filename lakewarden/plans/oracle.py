@@ -136,9 +136,9 @@ def table_parts(table: str, spec: dict, hints: tuple[str, ...], shift: int) -> l
         is_country = c in spec.get("country", [])
         canon = country("v") if is_country else plain("v")
         source = f"""SELECT count(*) AS groups, sum(sp) AS spellings,
- string_agg(lo || '/' || hi, '; ' ORDER BY canonical) FILTER (WHERE rn <= 3) AS examples
+ string_agg(names, '; ' ORDER BY canonical) FILTER (WHERE rn <= 3 OR {str(is_country).lower()}) AS examples
  FROM (SELECT *, row_number() OVER (ORDER BY canonical) AS rn FROM (
-  SELECT canonical, count(*) AS sp, min(v) AS lo, max(v) AS hi
+  SELECT canonical, count(*) AS sp, string_agg(v, '/' ORDER BY v) AS names
   FROM (SELECT v, {canon} AS canonical FROM (SELECT DISTINCT {c} AS v FROM {table} WHERE NOT {missing(c)}))
   GROUP BY canonical HAVING count(*) > 1))"""
         problem = "'Inconsistent spellings (' || examples || ')'"
@@ -448,7 +448,7 @@ def profile_cte(table: str, columns: list[str], keys: list[str], numeric: set, s
         )
         share = (
             f"""(SELECT avg(CASE WHEN regexp_matches(trim(v), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 1.0 ELSE 0.0 END)
- FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY fila LIMIT 50))"""
+ FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {table} WHERE {c} IS NOT NULL))"""
             if samples
             else "0.0"
         )
@@ -482,9 +482,9 @@ for _t in ("clientes", "productos", "ventas"):
     ORACLE[f"profile_columns_{_t}"] = (
         f"WITH {retail_ctes((_t,))}, {retail_profile((_t,))} SELECT * FROM profiled"
     )
-_LINE = "l_orderkey l_partkey l_quantity l_extendedprice l_discount l_returnflag l_linestatus l_shipdate".split()
+_LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 ORACLE["profile_columns_lineitem"] = f"""WITH raw_profile AS ({
-    profile_cte("lineitem", _LINE, ["l_orderkey"], set(_LINE[:5]), False)
+    profile_cte("lineitem", _LINE, ["l_orderkey"], {*_LINE} - {'l_returnflag', 'l_linestatus', 'l_shipdate'}, False)
 }), {PROFILE_COLUMNS} SELECT * EXCLUDE (sample_values) FROM profiled"""
 _dup_rows = " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", coalesce(sum(n - 1), 0) AS duplicate_rows
@@ -504,7 +504,7 @@ table_profile AS (SELECT "table", max(rows) AS rows, CAST(count(*) AS INTEGER) A
 ORACLE["profile_tables"] = f"""WITH {retail_ctes()}, {PROFILE_TABLES}
 SELECT p.*, CAST(duplicate_rows AS BIGINT) AS duplicate_rows FROM table_profile AS p JOIN dup_rows USING ("table")"""
 ORACLE["duplicate_rows_lineitem"] = """SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
- SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity, l_discount, l_returnflag)"""
+ SELECT count(*) AS n FROM (SELECT * FROM lineitem) AS l GROUP BY l)"""
 ORACLE["key_duplicates_lineitem"] = """SELECT CAST(sum(n - 1) AS BIGINT) AS extras,
  CAST(sum(n) FILTER (WHERE n > 1) AS BIGINT) AS records_involved
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
@@ -527,7 +527,7 @@ def key_members(source: str) -> str:
 
 
 _DOCS = "docs AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS member_id, text AS key FROM documents)"
-ORACLE["mdm_exact_documents"] = f"""WITH {_DOCS} SELECT 'key:' || CASE WHEN length(key) <= 64 THEN key ELSE '#' || sha256(key) END AS group_id, ord AS doc_id, size
+ORACLE["mdm_exact_documents"] = f"""WITH {_DOCS} SELECT 'key:' || key AS group_id, ord AS doc_id, size
 FROM ({key_members("docs")})"""
 ORACLE["mdm_exact_documents_total"] = f"""WITH {_DOCS}
 SELECT 'document' AS entity, CAST(sum(size - 1) AS BIGINT) AS duplicates_detected, count(*) AS n_groups
@@ -846,10 +846,12 @@ def top_ctes(questions: str) -> str:
     return f"""q AS ({questions}), {term_ctes("c", "chunks", _keys)}, {term_ctes("q", "q", "question_id", "question")},
 dots AS (SELECT question_id, doc_id, chunk_id, CAST(sum(q_terms.n * c_terms.n) AS DOUBLE) AS dot
  FROM q_terms JOIN c_terms USING (bucket) GROUP BY ALL),
+scores AS (SELECT question_id, doc_id, chunk_id, dot / sqrt(CAST(q_norms.norm2 * c_norms.norm2 AS DOUBLE)) AS score
+ FROM dots JOIN q_norms USING (question_id) JOIN c_norms USING ({_keys})),
 vector AS (SELECT question_id, doc_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id
   ORDER BY score DESC, doc_id, chunk_id) AS INTEGER) AS rank
- FROM (SELECT question_id, doc_id, chunk_id, dot / sqrt(CAST(q_norms.norm2 * c_norms.norm2 AS DOUBLE)) AS score
-  FROM dots JOIN q_norms USING (question_id) JOIN c_norms USING ({_keys})) QUALIFY rank <= 6)"""
+ FROM (SELECT q.question_id, chunks.doc_id, chunks.chunk_id, coalesce(score, 0) AS score FROM q CROSS JOIN chunks
+  LEFT JOIN scores USING (question_id, {_keys})) QUALIFY rank <= 6)"""
 
 
 _QUESTIONS = "SELECT item_id AS question_id, text AS question FROM benchmark"
@@ -881,12 +883,10 @@ ORACLE["article_references"] = f"""SELECT question_id, array_to_string(numbers,
  array_to_string(flatten(list_transform(numbers, lambda n: list_transform({_STEMS}, lambda s: s || n))), '|') AS needles
 FROM (SELECT question_id, {_NUMBERS} AS numbers FROM ({_CITED_Q}))"""
 HITS = rf"""asked AS (SELECT question_id, unnest({_NUMBERS}) AS number FROM q),
-loose AS (SELECT DISTINCT question_id, doc_id, chunk_id, text FROM asked JOIN chunks ON
- list_bool_or(list_transform({_STEMS}, lambda s: contains(lower(text), lower(s) || number)))),
-first_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY {_keys}) AS INTEGER) AS hit_rank
- FROM loose QUALIFY hit_rank <= 6),
-hits AS (SELECT DISTINCT question_id, doc_id, chunk_id, hit_rank FROM first_hits JOIN asked USING (question_id)
- WHERE regexp_matches(lower(strip_accents(text)), 'art(?:iculo)?s?\.?\s*' || number || '\b'))"""
+citing AS (SELECT DISTINCT question_id, doc_id, chunk_id FROM asked JOIN chunks ON
+ regexp_matches(lower(strip_accents(text)), 'art(?:iculo)?s?\.?\s*' || number || '\b')),
+hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY {_keys}) AS INTEGER) AS hit_rank
+ FROM citing QUALIFY hit_rank <= 6)"""
 ORACLE["reference_hits"] = f"WITH {CITED}, {chunk_ctes('cited')}, q AS ({_CITED_Q}), {HITS} SELECT * FROM hits"
 CONTEXT = f"""{CITED}, {chunk_ctes("cited")}, {top_ctes(_CITED_Q)}, {HITS},
 both_lists AS (SELECT question_id, {_keys}, CAST(1 AS DOUBLE) AS score, 0 AS part, hit_rank AS rank FROM hits

@@ -88,7 +88,7 @@ def given(spark: SparkSession, folder: str, names=GIVEN) -> dict[str, DataFrame]
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents", spread=True)
+    return read_table(spark, folder, "documents")
 
 
 def joined(col: str | Column) -> Column:
@@ -135,11 +135,7 @@ def profile_columns_ventas(spark, folder):
 
 @query
 def profile_columns_lineitem(spark, folder):
-    df = read_table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
-        "l_linestatus", "l_shipdate",
-    )
-    out = profile.column_profile("lineitem", df, STAR, "l_orderkey")
+    out = profile.column_profile("lineitem", read_table(spark, folder, "lineitem"), STAR, "l_orderkey")
     return out.drop("dtype", "table_seq", "sample_values")
 
 
@@ -158,10 +154,7 @@ def profile_tables(spark, folder):
 
 @query
 def duplicate_rows_lineitem(spark, folder):
-    df = read_table(spark, folder, "lineitem")
-    return profile.duplicate_rows(
-        df.select("l_partkey", "l_quantity", "l_discount", "l_returnflag")
-    )
+    return profile.duplicate_rows(read_table(spark, folder, "lineitem"))
 
 
 @query
@@ -372,7 +365,7 @@ def golden_part(spark, folder):
     df = read_table(spark, folder, "part")
     members = mdm.find_members(Entity("part", "p_partkey", "p_name", ()), df, "p_partkey")
     return mdm.golden_records(df, members, "p_partkey").select(
-        F.substring("group_id", 5, 1000).alias("p_key"), *df.columns
+        F.expr("substr(group_id, 5)").alias("p_key"), *df.columns
     )
 
 

@@ -33,11 +33,16 @@ def detect_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
     return max(SEPARATORS, key=fit)
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid, else Latin-1; one distributed pass."""
-    lines = spark.read.text(path)
-    valid = lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))).first()[0]
-    return "UTF-8" if valid else "ISO-8859-1"
+def detect_format(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether a quoted cell runs over several lines; one distributed pass.
+
+    UTF-8 if every line is valid, else Latin-1. A line with an odd number of quotes opens or closes such a cell.
+    """
+    found = spark.read.text(path).agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("valid"),
+        F.coalesce(F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1), F.lit(False)).alias("broken"),
+    ).first()
+    return "UTF-8" if found["valid"] else "ISO-8859-1", found["broken"]
 
 
 def read_csv(
@@ -47,17 +52,20 @@ def read_csv(
     encoding: str | None = None,
     missing: tuple[str, ...] = MISSING_TOKENS,
     row_id: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Every column as text, header row, missing words as null.
 
-    ``row_id`` adds a number that grows in file order. ``multi_line`` allows line breaks inside
-    quotes, at the price of one task per file.
+    ``row_id`` adds a number that identifies rows and grows with the place in a file. Line breaks inside quotes cost one
+    task per file, so they are looked for unless ``multi_line`` says what to expect.
     """
+    if encoding is None or multi_line is None:
+        found = detect_format(spark, path)
+        encoding, multi_line = encoding or found[0], found[1] if multi_line is None else multi_line
     df = (
         spark.read.option("header", True)
         .option("sep", sep or detect_separator(spark, path))
-        .option("encoding", encoding or detect_encoding(spark, path))
+        .option("encoding", encoding)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .csv(path)
@@ -91,17 +99,9 @@ def load_tables(
     return tables
 
 
-def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """One Parquet table of a folder.
-
-    ``spread`` gives a table of few files as many partitions as there are cores, for work that costs
-    far more than its shuffle (text). A table of many files keeps its splits.
-    """
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One Parquet table of a folder."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:

@@ -28,10 +28,12 @@ def findings_per_batch(
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # the checks read it several times
         found = table_findings(table, batch, pack, as_of, related)
         found.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{out_path.rstrip('/')}/batch={batch_id}"
         )
+        batch.unpersist()
 
     return (
         arrivals.writeStream.foreachBatch(check)

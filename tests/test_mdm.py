@@ -150,3 +150,26 @@ def test_join_per_key_splits_hot_keys(spark):
     sizes = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     joined = join_per_key(big, sizes, "k", "n", hot_rows=20)
     assert joined.count() == 90 and joined.filter("k = 'hot' AND n = 60").count() == 60
+
+
+def test_golden_records_keep_every_type(spark):
+    schema = "ord int, id string, key string, a array<int>, s struct<x: int, y: string>, m map<string, int>, b binary, d date, f double"
+    rows = [
+        (1, "r1", "k", [1, 2], (1, "u"), {"a": 1}, b"\x01\x02", None, 1.5),
+        (2, "r2", "k", [1, 2], (2, "v"), {"a": 1}, b"\x01\x02", None, None),
+        (3, "r3", "k", [3], (2, "v"), None, None, None, 2.25),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    members = mdm.find_members(Entity("x", "id", "key", ()), df, "ord")
+    got = mdm.golden_records(df, members, "ord").collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.a, tuple(r.s), r.m, bytes(r.b), r.d) == ([1, 2], (2, "v"), {"a": 1}, b"\x01\x02", None)
+
+
+def test_a_long_key_is_shown_as_it_is(spark):
+    key = "k" * 200
+    df = spark.createDataFrame([(1, "a", key), (2, "b", key)], "ord int, id string, key string")
+    members = mdm.find_members(Entity("x", "id", "key", ()), df, "ord")
+    assert {r.group_id for r in members.collect()} == {"key:" + key}
+    assert key in mdm.group_table(members).first().evidence

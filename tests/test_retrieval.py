@@ -1,6 +1,8 @@
 import hashlib
 import math
+import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions import jsontext, text
 from lakewarden.functions.vectors import with_terms
-from lakewarden.operators import chunking, retrieval
+from lakewarden.operators import catalog, chunking, retrieval
 
 DOCS = [
     (1, "datos.md", "Se consideran datos personales el nombre, apellido, DNI, correo y telefono. Ver norma."),
@@ -99,7 +101,7 @@ def cosine(a, b):
 
 @pytest.mark.parametrize("block", [4096, 2])
 def test_top_chunks_equal_brute_force(index, questions, block):
-    got = retrieval.top_chunks(index, questions, 2, 256, block=block).collect()
+    got = retrieval.top_chunks(index, questions, 2, 256, fill_zero=False, block=block).collect()
     for qid, question in QUESTIONS:
         ranked = sorted((-cosine(question, t), d) for d, _, t in DOCS)
         want = [d for s, d in ranked[:2] if s < 0]
@@ -117,7 +119,10 @@ def test_answers(index, questions):
     assert got[1].grounded and got[1].sources[0] == "datos.md" and "personales" in got[1].answer
     assert got[2].sources[0] == "maestros.md" and got[2].confidence == "medium"
     assert got[3].answer.startswith("Articulo 16.") and got[3].best_score == 1.0
-    assert not got[4].grounded and got[4].answer == retrieval.NO_SUPPORT and got[4].sources == []
+    assert got[4].confidence == "low" and got[4].best_score == 0.0
+    strict = retrieval.answer_questions(index, questions, 6, 256, fill_zero=False).collect()
+    none = next(r for r in strict if r.question_id == 4)
+    assert not none.grounded and none.answer == retrieval.NO_SUPPORT and none.sources == []
 
 
 def test_question_without_reference_keeps_the_vector_list(index, questions):
@@ -158,12 +163,78 @@ def test_json_out_of_noise(spark):
     assert got == cases
 
 
-def test_native_accents_equal_the_exact_path(spark):
-    chars = [(chr(c),) for c in range(0x20, 0x250)]
-    df = spark.createDataFrame(chars, "s string")
-    both = df.select(
-        text.strip_accents(F.col("s")).alias("a"), text.strip_accents_exact(F.col("s")).alias("b")
-    )
-    assert both.filter("a <> b").count() == 0
-    row = spark.createDataFrame([("  Perú—LIMA  (S.A.C.) ",)], "s string")
-    assert row.select(text.normalize_text(F.col("s"))).first()[0] == "peru lima s a c"
+def test_accents_equal_the_decomposition_for_every_character(spark):
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    words = ["oﬁcina ㎡ 한국어 é́ ﬃ", "Ⅷ ½ ǆ ﷺ", "", None]
+    df = spark.createDataFrame(pd.DataFrame({"s": chars + words})).repartition(8)
+    got = df.select("s", text.strip_accents(F.col("s")).alias("a")).toPandas()
+    wrong = [
+        s for s, a in zip(got.s, got.a)
+        if a != "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c))
+    ]
+    assert wrong == []
+    row = spark.createDataFrame([("  Perú—LIMA  (S.A.C.) oﬁcina 5㎡",)], "s string")
+    assert row.select(text.normalize_text(F.col("s"))).first()[0] == "peru lima s a c oficina 5m2"
+
+
+def test_brackets_inside_strings_do_not_end_a_value(spark):
+    cases = {
+        'x {"a": "}"} y': '{"a": "}"}',
+        'set {b} then {"a": "{"} [': '{"a": "{"}',
+        'list ["]", {"k": 1}': '{"k": 1}',
+        "{" * 3000: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r.s: r.o for r in df.select("s", jsontext.extract_json(F.col("s")).alias("o")).collect()}
+    assert got == cases
+
+
+def _chunks(spark, texts):
+    return spark.createDataFrame([("d", "d.md", i, t) for i, t in enumerate(texts)], "doc_id string, source string, chunk_id int, text string")
+
+
+def test_exact_citations_come_before_the_limit(spark):
+    texts = [f"Articulo {100 + i} dice" for i in range(8)] + ["Articulo 1 dice"]
+    asked = spark.createDataFrame([(1, "que dice el articulo 1")], "question_id int, question string")
+    assert [r.chunk_id for r in retrieval.reference_hits(_chunks(spark, texts), asked).collect()] == [8]
+    asked = spark.createDataFrame([(1, "articulo 1 y articulo 16")], "question_id int, question string")
+    hits = retrieval.reference_hits(_chunks(spark, ["Artículo 12 y articulos 16"]), asked)
+    assert [r.chunk_id for r in hits.collect()] == [0]
+
+
+def test_vectors_without_queries_and_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id int, vec array<double>")
+    queries = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 0.0, 3.0]), ("c", None)], "query_id string, vec array<double>")
+    got = retrieval.top_vectors(vectors, queries, k=2).collect()
+    assert {(r.query_id, r.vec_id, r.rank) for r in got} == {("a", 1, 1), ("a", 2, 2), ("b", 5, 1)}
+    assert retrieval.top_vectors(vectors, queries.limit(0)).collect() == []
+
+
+def test_definitions_do_not_depend_on_the_order_of_rows(spark):
+    def entry(words):
+        return '{"entries": [{"field": "a", "business_definition": "%s"}]}' % words
+
+    rows = [("t", 1, entry("first")), ("t", 2, entry("second"))]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "table string, turn int, response string").coalesce(1)
+        got = catalog.definitions_from_responses(df, order_col="turn").collect()
+        assert [r.business_definition for r in got] == ["second"]
+        assert len({r.business_definition for r in catalog.definitions_from_responses(df).collect()}) == 1
+
+
+def test_many_questions_scan_the_index_once(spark, index):
+    rows = [(i, QUESTIONS[i % len(QUESTIONS)][1]) for i in range(12_000)]
+    many = spark.createDataFrame(rows, "question_id long, question string")
+    stored = index.repartition(3)
+    found = retrieval.top_chunks(stored, many, 2, 256)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning(3)") == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.question_id, []).append((r.rank, r.doc_id))
+    assert len(got) == len(rows)
+    alike = {}
+    for key, ranked in got.items():
+        alike.setdefault(key % len(QUESTIONS), set()).add(tuple(sorted(ranked)))
+    assert all(len(v) == 1 for v in alike.values())

@@ -126,3 +126,16 @@ def test_findings_of_arriving_files(spark, sales, pack, tmp_path):
     query.awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.agg(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text('id,nota\n1,"una\nlinea ""rota"""\n2,normal\n')
+    got = tabular.read_csv(spark, str(path), row_id="pos").orderBy("pos").collect()
+    assert [(r.id, r.nota) for r in got] == [("1", 'una\nlinea "rota"'), ("2", "normal")]
+
+
+def test_order_text_sorts_like_the_numbers(spark):
+    values = [-(2**63), -10, -9, -1, 0, 1, 9, 10, 2**63 - 1]
+    df = jobs._sortable(spark.createDataFrame([(v, v) for v in values], "ord long, v long"), "ord")
+    assert [r.v for r in df.orderBy("ord").collect()] == values
