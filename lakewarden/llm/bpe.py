@@ -99,10 +99,9 @@ class Vocabulary:
         for key in step:
             children[key >> 9].append(key)
         link, shorter = array("l", [0] * len(token)), array("l", [0] * len(token))
-        queue, self.order = deque([0]), []
+        queue = deque([0])
         while queue:
             node = queue.popleft()
-            self.order.append(node)
             for key in children[node]:
                 child, c, back = step[key], key & 511, link[node]
                 if node:
@@ -113,7 +112,10 @@ class Vocabulary:
                 shorter[child] = link[child] if token[link[child]] >= 0 else shorter[link[child]]
                 queue.append(child)
         self.step, self.link = step, link
-        self.inner = [[(k & 511, step[k]) for k in keys if k & 511 < 256] for keys in children]
+        # steps by a byte within a word, node after node
+        inner = sorted(key for key in step if key & 511 < 256)
+        self.inner = array("q", inner)
+        self.inner_at = np.searchsorted(np.array(inner, np.int64), np.arange(len(token) + 1, dtype=np.int64) << 9)
         self.token, self.size = array("l", token), array("l", size)
         self.ends = array("l", [n if token[n] >= 0 else shorter[n] for n in range(len(token))])
         self.shorter = shorter
@@ -157,21 +159,11 @@ class Vocabulary:
         while end:
             out.append((self.token[end], self.size[end]))
             end = self.shorter[end]
-        if len(self.moves) > 400_000:
+        if len(self.moves) > 100_000:
             self.moves.clear()
         self.moves[key] = (found or 0) << 9, out
         return self.moves[key]
 
-    def table(self) -> np.ndarray:
-        """The automaton's next node for each node and byte within a word."""
-        out = np.zeros((len(self.token), 256), np.int32)
-        for node in self.order:
-            if node:
-                out[node] = out[self.link[node]]
-            for key, child in self.inner[node]:
-                out[node, key] = child
-        return out
-
     def piece(self, symbols: list[int]) -> list[int]:
         """Ids of one piece given as symbols."""
         moves, kept = self.moves, self.kept
@@ -221,6 +213,34 @@ class Vocabulary:
             self.rank[(left, right)] = rank
 
 
+class Moves:
+    """The automaton's next node for each node and byte within a word; a node's row is filled when it is first asked for,
+    so only the rows of nodes that texts reach take memory."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.rows = np.zeros((len(vocabulary.token), 256), np.int32)
+        self.filled = np.zeros(len(vocabulary.token), bool)
+
+    def _fill(self, node: int) -> None:
+        v = self.vocabulary
+        if node:
+            if not self.filled[v.link[node]]:
+                self._fill(v.link[node])
+            self.rows[node] = self.rows[v.link[node]]
+        for key in v.inner[v.inner_at[node] : v.inner_at[node + 1]]:
+            self.rows[node, key & 511] = v.step[key]
+        self.filled[node] = True
+
+    def __call__(self, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        new = nodes[~self.filled[nodes]]
+        if len(new):
+            for node in np.unique(new).tolist():
+                if not self.filled[node]:
+                    self._fill(node)
+        return self.rows[nodes, symbols]
+
+
 class Pairs:
     """Which tokens may be neighbours, for whole arrays: open addressing with answers added as they are asked for."""
 
@@ -270,7 +290,7 @@ class Codec:
 
     LONG = 128  # bytes of a piece from which it goes through the program alone
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 40_000):
         self.vocabulary = v = Vocabulary(path)
         self.most = most
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -281,7 +301,7 @@ class Codec:
         self.width = np.zeros(max(v.content) + 1, np.int64)
         for token, width in v.width.items():
             self.width[token] = width
-        self.table = v.table()
+        self.table = Moves(v)
 
     def _program(self, words: list[bytes]) -> list[list[int]]:
         """The program of ``Vocabulary.piece`` for many pieces at once, place by place."""
@@ -298,7 +318,7 @@ class Codec:
         for at in range(1, width + 1):
             n, longer = until[at], until[at + 1]
             here = symbols[:n, at - 1]
-            where = self.table[node[:n], here]
+            where = self.table(node[:n], here)
             # the pieces that end here: their last symbol is one of its own
             keys = (node[longer:n].astype(np.int64) << 9 | 256 | here[longer:]).tolist()
             where[longer:] = [(moves[k] if k in moves else self.vocabulary.move(k))[0] >> 9 for k in keys]
@@ -413,7 +433,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in by_bytes(batches, len(keep)):
+        for batch in by_bytes(batches, len(keep), 1_500_000):
             ids = pa.array(own.encode(batch.column(len(keep)).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids], [*keep, "ids"])
 
@@ -442,7 +462,7 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in by_bytes(batches, len(keep)):
+        for batch in by_bytes(batches, len(keep), 1_500_000):
             found = own.digests(batch.column(len(keep)).to_pylist(), ids)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])

@@ -35,7 +35,7 @@ class LanguageModel:
     table: np.ndarray  # entries x languages
     longest: int
     weight: int  # words that count fully towards the score
-    cache_rows: int = 200_000
+    cache_rows: int = 60_000
     _cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -97,7 +97,7 @@ def learn(
     text: str = "text",
     lang: str = "lang",
     rows_per_language: int = 3000,
-    max_entries: int = 400_000,
+    max_entries: int = 300_000,
     longest: int = 4,
     weight: int = 40,
 ) -> LanguageModel:

@@ -1,7 +1,8 @@
 """Fuzzy removal of repeated lines.
 
 A line is normalised to its words: runs of ASCII letters and digits and of all other letters above ASCII, A-Z folded,
-joined by a space. Equal normalised lines are one class. Each class gets a SimHash of 64 bits over its words. Five blocks
+joined by a space. Equal normalised lines are one class. Each class gets a SimHash of 64 bits over its distinct words,
+weighed by their length. Five blocks
 of its bits, taken two at a time, are the keys: two hashes that differ in at most three bits agree in two blocks. Classes
 that share a key and lie within three bits are compared by edit distance; at a similarity of ``similarity`` or more they
 are linked. Of every connected group the occurrence with the smallest id, then the first line, stays; all others go.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Scratch, by_bytes
-from lakewarden.llm.components import grouped, shared_keys
+from lakewarden.llm.components import grouped
 from lakewarden.llm.wordhash import raw, rows_of, stretches, words_in
 
 #: ASCII bytes that belong to no word.
@@ -45,64 +46,80 @@ def masks() -> list[int]:
     return [a | b for a, b in combinations(blocks, len(BLOCKS) - FAR)]
 
 
-def simhash(hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The majority of each bit over the words of each stretch; stretches follow each other and are not empty."""
+def simhash(hashes: np.ndarray, lengths: np.ndarray, begin: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """SimHash of each stretch of words: every bit is the majority over its distinct words, weighed by their bytes.
+
+    So the short words that all lines of a language share, and their number, count little.
+    """
     out = np.zeros(len(begin), np.uint64)
-    ends = begin + length
     at = 0
     while at < len(begin):  # some 100,000 words at a time
-        stop = max(at + 1, int(np.searchsorted(ends, begin[at] + 100_000)))
-        own = slice(int(begin[at]), int(ends[stop - 1]))
-        bits = np.unpackbits(hashes[own].view(np.uint8).reshape(-1, 8), axis=1)
-        # words between two stretches are counted with the first one, so they are taken out
-        inside = np.zeros(own.stop - own.start, bool)
-        mark = np.zeros(own.stop - own.start + 1, np.int64)
-        np.add.at(mark, begin[at:stop] - own.start, 1)
-        np.add.at(mark, ends[at:stop] - own.start, -1)
-        inside[:] = np.cumsum(mark)[:-1] > 0
-        bits[~inside] = 0
-        ones = np.add.reduceat(bits, begin[at:stop] - own.start, axis=0, dtype=np.int32)
-        out[at:stop] = np.packbits(ones * 2 > length[at:stop, None], axis=1).view(np.uint64)[:, 0]
+        stop = at + max(1, int(np.searchsorted(np.cumsum(number[at:]), 100_000)))
+        n = number[at:stop]
+        place = np.repeat(begin[at:stop] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        line = np.repeat(np.arange(stop - at), n)
+        order = np.lexsort((hashes[place], line))
+        place, line = place[order], line[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (hashes[place][1:] != hashes[place][:-1]) | (line[1:] != line[:-1])
+        place, line = place[new], line[new]
+        weight = lengths[place].astype(np.int32)
+        first = np.searchsorted(line, np.arange(stop - at))
+        bits = np.unpackbits(hashes[place].view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits * weight[:, None], first, axis=0)
+        total = np.add.reduceat(weight, first)
+        out[at:stop] = np.packbits(ones * 2 > total[:, None], axis=1).view(np.uint64)[:, 0]
         at = stop
     return out
 
 
 def distance(one: bytes, other: bytes, most: int) -> int | None:
-    """Edit distance in bytes if it is at most ``most``; follows the diagonals, so near lines take few steps."""
+    """Edit distance in bytes if it is at most ``most``.
+
+    Follows the diagonals: after each edit it keeps how far equal bytes reach on each of them, all diagonals at once. Near
+    lines take few steps, and lines that differ more take ``most`` of them.
+    """
     if abs(len(one) - len(other)) > most:
         return None
     if len(one) > len(other):
         one, other = other, one
     n, m = len(one), len(other)
+    a, b = np.frombuffer(one + b"\0", np.uint8), np.frombuffer(other + b"\1", np.uint8)
 
-    def slide(i: int, k: int) -> int:
-        """How far equal letters reach from place ``i`` on diagonal ``k``."""
-        j = i + k
+    def slide_one(i: int, k: int) -> int:
         step = 64
-        while i < n and j < m:
-            if one[i : i + step] == other[j : j + step] and min(n - i, m - j) >= step:
-                i, j = i + step, j + step
-            elif step > 1:
-                step //= 2
-            elif one[i] == other[j]:
-                i, j = i + 1, j + 1
+        while step:
+            if i + step <= n and i + k + step <= m and one[i : i + step] == other[i + k : i + k + step]:
+                i, step = i + step, min(step * 2, 4096)
             else:
-                break
+                step //= 2
         return i
 
-    reach = {0: slide(0, 0)}
-    if reach[0] >= n and n == m:
-        return 0
-    for d in range(1, most + 1):
-        after = {}
-        for k in range(max(-d, -n), min(d, m) + 1):
-            i = max(reach.get(k, -1) + 1 if k in reach else -1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -1))
-            i = min(i, n, m - k)
-            if i >= 0:
-                after[k] = slide(i, k)
-        if after.get(m - n, -1) >= n:
+    def slide(reach: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        live = np.flatnonzero(reach >= 0)
+        for _ in range(12):
+            i, j = reach[live], reach[live] + diagonal[live]
+            live = live[(i < n) & (j < m) & (a[np.minimum(i, n)] == b[np.minimum(j, m)])]
+            if not len(live):
+                return reach
+            reach[live] += 1
+        for x in live.tolist():
+            reach[x] = slide_one(int(reach[x]), int(diagonal[x]))
+        return reach
+
+    low = -1 - most
+    reach = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    for d in range(most + 1):
+        if abs(m - n) <= d and reach[m - n + d] >= n:
             return d
-        reach = after
+        # one more edit: a byte replaced, taken out of one line or of the other
+        wide = np.full(len(reach) + 4, low, np.int64)
+        wide[2:-2] = reach
+        diagonal = np.arange(-d - 1, d + 2)
+        after = np.maximum(np.maximum(wide[1:-1] + 1, wide[2:] + 1), wide[:-2])
+        after = np.minimum(after, np.minimum(n, m - diagonal))
+        after[(after < 0) | (after + diagonal < 0)] = low
+        reach = slide(after, diagonal)
     return None
 
 
@@ -115,7 +132,7 @@ def _listed(docs: DataFrame, least_words: int) -> DataFrame:
             data, bounds = raw(batch.column("text"))
             feeds = np.flatnonzero(data == 10) + 1
             edges = np.union1d(bounds, feeds)
-            hashes, at, _ = words_in(data, edges, lower=True, breaks=BREAKS)
+            hashes, at, _, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
             length = np.diff(at)
             chosen = np.flatnonzero(length >= least_words)
             begin, length = at[:-1][chosen], length[chosen]
@@ -124,7 +141,7 @@ def _listed(docs: DataFrame, least_words: int) -> DataFrame:
             # line numbers within the text: line feeds before the line, less those before the text
             number = np.searchsorted(feeds, start, side="right") - np.searchsorted(feeds, bounds[row], side="right")
             lists = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            values = [stretches(hashes, begin, length).view(np.int64), simhash(hashes, begin, length).view(np.int64), number]
+            values = [stretches(hashes, begin, length).view(np.int64), simhash(hashes, sizes, begin, length).view(np.int64), number]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("tag"), *(pa.ListArray.from_arrays(lists, pa.array(v)) for v in values)],
                 ["id", "tag", "h", "s", "line"],
@@ -165,6 +182,22 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def _near_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, node, s, first`` of the classes that have another one within ``FAR`` bits among those of their key.
+
+    Found on distinct SimHashes by a semi-join, which gives every row once, however many near ones it has.
+    """
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("s").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for i, m in enumerate(masks())])
+    keyed = classes.select("s").distinct().select("s", F.explode(keys).alias("k"))
+    keyed = keyed.select("s", F.xxhash64("k.i", "k.v").alias("key"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.s") != F.col("y.s"))
+    close = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) <= FAR
+    found = scratch.keep(x.join(y, other & close, "left_semi"), "keys")
+    same = classes.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s", F.xxhash64(F.lit(-1), "s").alias("key"))
+    return found.select("s", "key").union(same).join(classes, "s").select("key", F.col("h").alias("node"), "s", "first")
+
+
 def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: int) -> DataFrame:
     """``id``, ``tag`` and ``gone``, the numbers of the lines that go."""
     listed = scratch.keep(_listed(docs.where("id IS NOT NULL"), least_words), "lines")
@@ -172,14 +205,11 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     place = F.struct("id", "tag", "line")
     classes = each.groupBy("h").agg(F.min(place).alias("first"), F.min("s").alias("s"), F.count("*").alias("n"))
     classes = scratch.keep(classes, "classes")
-    keys = F.array(*[F.xxhash64(F.col("s").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), F.lit(i)) for i, m in enumerate(masks())])
-    keyed = classes.select(F.explode(keys).alias("key"), F.col("h").alias("node"))
-    member = scratch.keep(shared_keys(keyed), "members")
-    facts = classes.join(member.select(F.col("node").alias("h")).distinct(), "h", "left_semi")
-    facts = scratch.keep(facts.select(F.col("h").alias("node"), "first", "s"), "facts")
-    wanted = facts.groupBy("first.id", "first.tag").agg(
-        F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted")
-    )
+    near_rows = scratch.keep(_near_rows(classes, scratch), "near")
+    wanted = (
+        near_rows.select("node", "first").distinct().groupBy("first.id", "first.tag")
+        .agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
+    )
     # what is asked for grows with the corpus, so it is never broadcast
     asked = docs.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text", "wanted")
     texts = scratch.keep(_texts(asked), "texts")
@@ -187,14 +217,14 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     def near(x: str, y: str) -> Column:
         return F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) <= FAR
 
-    bits = facts.select("node", "s")
+    bits = near_rows.select("node", "s").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         one, two = bits.toDF("a", "sa"), bits.toDF("b", "sb")
         close = pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR)
         return _verify(close.select("a", "b"), texts, similarity)
 
-    roots = grouped(member, bits, near, verify, scratch)
+    roots = grouped(near_rows.select("key", "node"), bits, near, verify, scratch)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("n > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted")

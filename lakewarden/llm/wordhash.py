@@ -52,19 +52,20 @@ def words(column: pa.Array, lower: bool = False, breaks: bytes = b"") -> tuple[n
 
     ``lower`` folds A-Z; ``breaks`` are more bytes that end a word and belong to none.
     """
-    return words_in(*raw(column), lower, breaks)
+    return words_in(*raw(column), lower, breaks)[:3]
 
 
 def words_in(
     data: np.ndarray, bounds: np.ndarray, lower: bool = False, breaks: bytes = b""
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``words`` for rows given as bytes and offsets."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` for rows given as bytes and offsets, and the number of bytes of each word."""
+    none = np.zeros(0, np.int64)
     space = _SPACE
     if breaks:
         space = _SPACE.copy()
         space[list(breaks)] = True
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), none, none
     inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -73,7 +74,7 @@ def words_in(
     first[edges] = inside[edges]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), starts
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), none, none
     at = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
     at[: starts[0]] = 0
     lengths = np.add.reduceat(inside.astype(np.int64), starts)
@@ -81,7 +82,7 @@ def words_in(
     values = (_FOLDED if lower else _BYTES)[data] * _powers(int(lengths.max()) + 1)[at]
     values[~inside] = 0
     hashes = mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds).astype(np.int64), starts
+    return hashes, np.searchsorted(starts, bounds).astype(np.int64), starts, lengths
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,12 +6,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import prose
 from lakewarden.llm import embeddings, jaccard, lines, substring
 from lakewarden.llm.common import Scratch
 from lakewarden.llm.components import components
+from lakewarden.llm.wordhash import words
 
 
 def roots(nodes, links):
@@ -133,17 +135,19 @@ def test_distance_equals_the_plain_program():
                 del b[rng.randrange(len(b))]
             else:
                 b.insert(rng.randint(0, len(b)), rng.choice(b"abc"))
+        if rng.random() < 0.3:
+            a, b = a * 5 + b"x" * 70 + a, bytes(b) * 5 + b"x" * 70 + bytes(b)
         want, most = slow_distance(a, bytes(b)), rng.randint(0, 6)
         assert lines.distance(a, bytes(b), most) == (want if want <= most else None)
 
 
 def slow_simhash(line):
-    from lakewarden.llm.wordhash import words
-    import pyarrow as pa
-
-    hashes, _, _ = words(pa.array([line.decode()]), lower=True, breaks=lines.BREAKS)
+    """Majority over the distinct words, weighed by their bytes."""
+    words_ = sorted(set(line.split()))
+    hashes, _, _ = words(pa.array([b" ".join(words_).decode()]), lower=True, breaks=lines.BREAKS)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
-    return int(np.packbits(bits.sum(axis=0) * 2 > len(hashes)).view(np.uint64)[0])
+    weight = np.array([len(w) for w in words_])
+    return int(np.packbits((bits * weight[:, None]).sum(axis=0) * 2 > weight.sum()).view(np.uint64)[0])
 
 
 def lines_removed(rows, similarity=0.9, least=5):
