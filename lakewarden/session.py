@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths that ``cut`` wrote and nobody has deleted yet.
+_WRITTEN: list[str] = []
+
 
 def local_session(cores: str | int = "*", app: str = "lakewarden", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own session."""
@@ -55,4 +60,19 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/lakewarden/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what ``cut`` wrote since entering; results must have been written by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _WRITTEN[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _WRITTEN[before:]

@@ -1,10 +1,12 @@
 import json
+import os
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from lakewarden.operators import validation
 from lakewarden.plans import jobs
+from lakewarden.session import cut, intermediates
 from lakewarden.sources import documents, sinks, tabular
 from lakewarden.streaming.ingest import findings_per_batch
 
@@ -139,3 +141,11 @@ def test_order_text_sorts_like_the_numbers(spark):
     values = [-(2**63), -10, -9, -1, 0, 1, 9, 10, 2**63 - 1]
     df = jobs._sortable(spark.createDataFrame([(v, v) for v in values], "ord long, v long"), "ord")
     assert [r.v for r in df.orderBy("ord").collect()] == values
+
+
+def test_intermediates_are_deleted(spark):
+    with intermediates(spark):
+        kept = cut(spark.range(5), "t")
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert kept.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
