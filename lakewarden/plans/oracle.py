@@ -266,6 +266,7 @@ STAR_SPEC = {
     "documents": {"keys": ["doc_id"], "refs": [("doc_id", "labels", "doc_id", 5)]},
     "labels": {"keys": ["doc_id"]},
 }
+STAR_SPEC |= {t: {} for t in STAR_TABLES if t not in STAR_SPEC}
 for _spec in STAR_SPEC.values():
     _spec["as_of"] = "2000-01-01"
 
@@ -338,8 +339,8 @@ ORACLE["spelling_variants_clientes"] = f"WITH {retail_ctes(('clientes',))}, v AS
     for c in ("pais", "estado_cliente", "segmento")
 ) + ") SELECT field, canonical, spelling, n FROM v QUALIFY count(*) OVER (PARTITION BY field, canonical) > 1"
 ORACLE["completeness_contacts"] = f"""WITH contacts AS (SELECT
- regexp_extract(text, '([A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+)', 1) AS email,
- regexp_extract(text, '(\\+?[0-9]{{2,3}}[ -][0-9]{{3}}[ -][0-9]{{3,4}})', 1) AS phone FROM documents)
+ array_to_string(regexp_extract_all(text, '([A-Za-z0-9._-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+)', 1), ';') AS email,
+ array_to_string(regexp_extract_all(text, '(\\+?[0-9]{{2,3}}[ -][0-9]{{3}}[ -][0-9]{{3,4}})', 1), ';') AS phone FROM documents)
 SELECT field, severity, n AS affected_count FROM (
  SELECT 'email' AS field, 'high' AS severity, count(*) FILTER (WHERE {missing("email")}) AS n FROM contacts
  UNION ALL SELECT 'phone', 'medium', count(*) FILTER (WHERE {missing("phone")}) FROM contacts) WHERE n > 0"""

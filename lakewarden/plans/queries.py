@@ -72,7 +72,10 @@ STAR = RulePack(
     arithmetic=(),
     quality_hints=("name",),
 )
-STAR_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+STAR_TABLES = (
+    "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "region",
+    "nation", "embeddings", "pages", "benchmark", "conversations",
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,8 +203,8 @@ def completeness_contacts(spark, folder):
     """Contacts found in the documents; most documents have none, which counts as missing."""
     contacts = documents(spark, folder).select(
         "doc_id",
-        F.regexp_extract("text", r"([A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+)", 1).alias("email"),
-        F.regexp_extract("text", r"(\+?[0-9]{2,3}[ -][0-9]{3}[ -][0-9]{3,4})", 1).alias("phone"),
+        F.array_join(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+)"), F.lit(1)), ";").alias("email"),
+        F.array_join(F.regexp_extract_all("text", F.lit(r"(\+?[0-9]{2,3}[ -][0-9]{3}[ -][0-9]{3,4})"), F.lit(1)), ";").alias("phone"),
     )
     checks = quality.completeness_checks(contacts, RETAIL)
     return quality.run_row_checks("contacts", contacts, checks).select(
