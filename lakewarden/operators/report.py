@@ -148,6 +148,11 @@ def _section(df: DataFrame, number: int, order: list, line: Column) -> DataFrame
     )
 
 
+def _nothing(df: DataFrame) -> DataFrame:
+    """One row if the table is empty, else none."""
+    return df.agg(F.count("*").alias("n")).filter("n = 0")
+
+
 def _report_rules(found: DataFrame) -> DataFrame:
     """Distinct suggested rules per field, at the place where each first appears."""
     return (
@@ -183,7 +188,9 @@ def first_groups(groups: DataFrame, members: DataFrame, limit: int = 10) -> Data
 
 
 def report_lines(tables: dict[str, DataFrame], pack: RulePack) -> DataFrame:
-    """``section, seq, line`` of the ten report sections.
+    """``section, seq, line`` of the report: title and overall score, ten sections, KPIs.
+
+    A section without rows says so.
 
     ``tables`` holds ``summary, report, findings, profiles, duplicates, first_groups, risks,
     recommendations, kpis`` as the other functions return them.
@@ -196,6 +203,14 @@ def report_lines(tables: dict[str, DataFrame], pack: RulePack) -> DataFrame:
     roadmap = spark.createDataFrame(list(enumerate(pack.roadmap, 1)), "step int, text string")
     recs = tables["recommendations"]
     parts = [
+        _section(spark.range(1), 0, [], F.lit("# Data governance report")),
+        _section(
+            overall_score(report), 0, [F.lit(1)],
+            text(F.lit("Overall quality score: "), c("overall_score").cast("string"), F.lit("/100")),
+        ),
+        _section(_nothing(profiles), 2, [], F.lit("No datasets.")),
+        _section(_nothing(tables["risks"]), 8, [], F.lit("No risks detected.")),
+        _section(_nothing(recs), 9, [], F.lit("No recommendations.")),
         _section(tables["summary"], 1, [], c("executive_summary")),
         _section(profiles, 2, [c("table_seq")], text(F.lit("- "), c("table"))),
         _section(report, 3, [c("table_seq")], text(F.lit("### "), c("table"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from ..functions.text import WHITESPACE
+from ..rules import RulePack
 from .queries import EXPECTED, GIVEN, NEEDLES, STAR_TABLES
 from .retail import SELECTS, retail_ctes
 
@@ -769,6 +770,47 @@ ORACLE["summary_by_key"] = f"""WITH {BY_KEY} SELECT
  || {_kpi("duplicates_detected")} || '. Sensitive fields: ' || {_kpi("sensitive_fields")} || '. Risks: '
  || coalesce((SELECT string_agg(risk, '; ' ORDER BY seq) FROM risk WHERE seq <= 4), 'none relevant') || '.' AS facts"""
 
+_groups = " UNION ALL ".join(
+    f"""SELECT '{e}' AS entity, {i} AS entity_seq, trim({k}) AS key, string_agg({p}, ', ' ORDER BY fila) AS ids
+ FROM {t} WHERE {k} IS NOT NULL AND trim({k}) NOT IN ('', 'nan', 'None') GROUP BY trim({k}) HAVING count(*) > 1"""
+    for i, (e, t, k) in enumerate(_entity_keys)
+    for p in [COLUMNS[t][0]]
+)
+_roadmap = " UNION ALL ".join(
+    f"SELECT 10, {i}, 0, 0, 0, '{i}. ' || {text(step)}" for i, step in enumerate(RulePack().roadmap, 1)
+)
+ORACLE["report_lines_by_key"] = f"""WITH {BY_KEY}, summary AS ({ORACLE["summary_by_key"].split(BY_KEY)[1]}),
+groups AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY key) AS place FROM ({_groups})),
+places AS (SELECT "table", field, suggested_rule, min({{'a': check_seq, 'b': col_ordinal}}) AS spot FROM found
+ WHERE suggested_rule <> '' GROUP BY ALL),
+numbered AS (SELECT row_number() OVER (ORDER BY part, rank, tie, title) AS seq, * FROM recs),
+report_line(section, k0, k1, k2, k3, line) AS (
+ SELECT 0, 0, 0, 0, 0, '# Data governance report'
+ UNION ALL SELECT 0, 1, 0, 0, 0, 'Overall quality score: ' || {_kpi("mean_score")} || '/100'
+ UNION ALL SELECT 1, 0, 0, 0, 0, executive_summary FROM summary
+ UNION ALL SELECT 2, table_seq, 0, 0, 0, '- ' || "table" FROM report
+ UNION ALL SELECT 3, table_seq, 0, 0, 0, '### ' || "table" FROM report
+ UNION ALL SELECT 3, table_seq, 1, 0, 0, '- No relevant findings.' FROM report WHERE n_findings = 0
+ UNION ALL SELECT 3, table_seq, 2, check_seq, col_ordinal, '- [' || upper(severity) || '] ' || field || ': ' || problem
+  || ' (' || quality_dimension || ') -> ' || suggested_rule FROM found JOIN report USING ("table")
+ UNION ALL SELECT 4, table_seq, 0, 0, 0, '| ' || "table" || ' | ' || quality_score || ' | ' || risk_level || ' | ' || rows || ' |'
+  FROM report
+ UNION ALL SELECT 5, table_seq, 0, 0, 0, '- ' || "table" || ': ' || replace(sensitive_fields, '|', ', ')
+  FROM table_profile JOIN report USING ("table") WHERE sensitive_fields <> ''
+ UNION ALL SELECT 6, table_seq, spot.a, spot.b, 0, '- ' || "table" || '.' || field || ': ' || suggested_rule
+  FROM places JOIN report USING ("table")
+ UNION ALL SELECT 7, entity_seq, 0, 0, 0, '### ' || entity || ': ' || duplicates_detected || ' duplicates in ' || n_groups || ' groups'
+  FROM dupes
+ UNION ALL SELECT 7, entity_seq, 1, place, 0, '- [exact_key, conf=0.98] ' || ids FROM groups WHERE place <= 10
+ UNION ALL SELECT 8, seq, 0, 0, 0, '- ' || risk FROM risk
+ UNION ALL SELECT 9, seq, 0, 0, 0, '- [' || upper(priority) || '] ' || title || ': ' || suggested_action FROM numbered
+ UNION ALL SELECT 9, seq, 1, 0, 0, '  - Risk: ' || risk || ' Responsible: ' || responsible || '. Impact: '
+  || expected_impact || ' Effort: ' || estimated_effort FROM numbered
+ UNION ALL {_roadmap}
+ UNION ALL SELECT 11, seq, 0, 0, 0, '| ' || kpi || ' | ' || value || ' |' FROM kpi)
+SELECT CAST(section AS INTEGER) AS section,
+ CAST(row_number() OVER (PARTITION BY section ORDER BY k0, k1, k2, k3, line) AS INTEGER) AS seq, line FROM report_line"""
+
 _metrics = [
     ("clientes", "rows", "SELECT count(*) FROM clientes"),
     ("productos", "rows", "SELECT count(*) FROM productos"),

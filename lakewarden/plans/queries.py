@@ -532,6 +532,14 @@ def report_lines_full(spark, folder):
     return out["report_lines"]
 
 
+@query
+def report_lines_by_key(spark, folder):
+    """The whole job with exact keys only, as plain SQL can repeat it."""
+    tables = retail_tables(spark, folder, keep_row=True)
+    out = jobs.dataset_job(tables, RETAIL_BY_KEY, AS_OF, dict.fromkeys(tables, "fila"))
+    return out["report_lines"]
+
+
 @query
 def overall_score_retail(spark, folder):
     return report.overall_score(
