@@ -1,13 +1,17 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step is one grouping with map-side combined minima and one join, written to the shared folder; the driver sees a
-count and a checksum per round. The number of rounds grows with the logarithm of the longest path.
+First every task joins the links of its block, at most ``BLOCK`` of them, and keeps a forest. If there is one block, that is
+the result. Otherwise steps follow that are each one grouping with map-side combined minima and one join, written to the
+shared folder; the driver sees a count and a checksum per round. The number of rounds grows with the logarithm of the longest
+path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,38 @@ from lakewarden.llm.common import Scratch
 
 #: More rounds than any real graph takes; beyond them something is wrong.
 MOST_ROUNDS = 60
+#: Links that one task joins in memory.
+BLOCK = 400_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of the task's links with the smallest node that they reach."""
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            parent[x], x = root, parent.get(x, x)
+        return root
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                parent.setdefault(min(x, y), min(x, y))
+    nodes = [x for x in parent if find(x) != x]
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["hi", "lo"])
+
+
+def _with_roots(edges: DataFrame) -> DataFrame:
+    found = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    return found.union(found.select("root", "root").distinct())
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +67,13 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
     edges = scratch.keep(
         links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges"
     )
-    state = _state(edges)
+    blocks = max(1, ceil(edges.count() / BLOCK))
+    kind = edges.schema["hi"].dataType.simpleString()
+    forest = scratch.keep(edges.repartition(blocks).mapInArrow(_forest, f"hi {kind}, lo {kind}").distinct(), "edges")
+    scratch.drop(edges)
+    if blocks == 1:
+        return _with_roots(forest)
+    edges, state = forest, _state(forest)
     for _ in range(MOST_ROUNDS):
         # every node joins its greater neighbours to the least one
         ways = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
@@ -48,8 +90,7 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
         scratch.drop(edges)
         edges, before, state = after, state, _state(after)
         if state == before:
-            found = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-            return found.union(found.select("root", "root").distinct())
+            return _with_roots(edges)
     raise RuntimeError("the components did not settle")
 
 
@@ -60,32 +101,33 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(several, "key").distinct()
 
 
+def stars(member: DataFrame) -> DataFrame:
+    """``a``, ``b``: every node with the least and the greatest of the leaders, the least nodes, of its keys."""
+    leaders = member.groupBy("key").agg(F.min("node").alias("lead"))
+    return (
+        member.join(leaders, "key")
+        .where("node <> lead")
+        .groupBy(F.col("node").alias("a"))
+        .agg(F.min("lead").alias("x"), F.max("lead").alias("y"))
+    )
+
+
 def grouped(
     member: DataFrame,
     facts: DataFrame,
     near: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
+    first: DataFrame,
 ) -> DataFrame:
     """``node`` and ``root`` of the components under ``verify``, for nodes that share keys.
 
     ``member`` has ``key`` and ``node``, each pair once; ``facts`` has one row per node with what ``near`` needs to rule out
-    a pair; ``verify`` keeps the linked ones of the pairs ``a``, ``b``. First every node is compared with the least of the
-    leaders, the least nodes, of its keys, and if they aren't linked, with the greatest leader. Then the nodes that still share a key with another component
-    are compared across components. A pair within a component needs no comparison, so no key is expanded into all of its
-    pairs, and no link between two components is lost.
+    a pair; ``verify`` keeps the linked ones of the pairs ``a``, ``b``. ``first`` holds links that were found with leaders of
+    the keys, about one or a few per node. The nodes that then still share a key with another component are compared across
+    components. A pair within a component needs no comparison, so no key is expanded into all of its pairs, and no link
+    between two components is lost.
     """
-    leaders = member.groupBy("key").agg(F.min("node").alias("lead"))
-    star = (
-        member.join(leaders, "key")
-        .where("node <> lead")
-        .groupBy(F.col("node").alias("a"))
-        .agg(F.min("lead").alias("x"), F.max("lead").alias("y"))
-    )
-    star = scratch.keep(star, "star")
-    near_one = scratch.keep(verify(star.select("a", F.col("x").alias("b"))), "links")
-    again = star.where("x <> y").join(near_one.select("a"), "a", "left_anti").select("a", F.col("y").alias("b"))
-    first = near_one.union(scratch.keep(verify(again), "links"))
     roots = components(first, scratch)
     known = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     known = scratch.keep(known, "members")

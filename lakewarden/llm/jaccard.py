@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Scratch, by_bytes
-from lakewarden.llm.components import grouped, shared_keys
+from lakewarden.llm.components import grouped, shared_keys, stars
 from lakewarden.llm.wordhash import mix, rows_of, sum_by_row, windows, words
 
 #: Words of the sketch of single bits, 64 bits each.
@@ -181,7 +181,15 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
         far = F.aggregate(differing, F.lit(0), lambda s, v: s + v)
         return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
 
-    found = grouped(member, facts, near, lambda pairs: _verify(pairs, sets, percent), scratch)
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verify(pairs, sets, percent)
+
+    # the least leader first; the greatest one for those that it isn't linked to
+    star = scratch.keep(stars(member), "star")
+    least = scratch.keep(verify(star.select("a", F.col("x").alias("b"))), "links")
+    again = star.where("x <> y").join(least.select("a"), "a", "left_anti").select("a", F.col("y").alias("b"))
+    first = least.union(scratch.keep(verify(again), "links"))
+    found = grouped(member, facts, near, verify, scratch, first)
     rooted = classes.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root")
     )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Scratch, by_bytes
 from lakewarden.llm.components import grouped
-from lakewarden.llm.wordhash import raw, rows_of, stretches, words_in
+from lakewarden.llm.wordhash import mix, raw, stretches, words_in
 
 #: ASCII bytes that belong to no word.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -49,25 +49,24 @@ def masks() -> list[int]:
 def simhash(hashes: np.ndarray, lengths: np.ndarray, begin: np.ndarray, number: np.ndarray) -> np.ndarray:
     """SimHash of each stretch of words: every bit is the majority over its distinct words, weighed by their bytes.
 
-    So the short words that all lines of a language share, and their number, count little.
+    So the short words that all lines of a language share, and their number, count little. Words are told apart by 36 bits of
+    their hash, a word counts 255 bytes at most.
     """
     out = np.zeros(len(begin), np.uint64)
+    known = (hashes >> np.uint64(28)) << np.uint64(8) | np.minimum(lengths, 255).astype(np.uint64)
     at = 0
-    while at < len(begin):  # some 100,000 words at a time
-        stop = at + max(1, int(np.searchsorted(np.cumsum(number[at:]), 100_000)))
+    while at < len(begin):  # some 50,000 words, and at most a million lines, at a time
+        stop = at + min(1 << 20, max(1, int(np.searchsorted(np.cumsum(number[at : at + (1 << 20)]), 50_000))))
         n = number[at:stop]
         place = np.repeat(begin[at:stop] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        line = np.repeat(np.arange(stop - at), n)
-        order = np.lexsort((hashes[place], line))
-        place, line = place[order], line[order]
-        new = np.ones(len(place), bool)
-        new[1:] = (hashes[place][1:] != hashes[place][:-1]) | (line[1:] != line[:-1])
-        place, line = place[new], line[new]
-        weight = lengths[place].astype(np.int32)
-        first = np.searchsorted(line, np.arange(stop - at))
-        bits = np.unpackbits(hashes[place].view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits * weight[:, None], first, axis=0)
-        total = np.add.reduceat(weight, first)
+        keys = np.sort(known[place] | np.repeat(np.arange(stop - at, dtype=np.uint64), n) << np.uint64(44))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        weight = (keys & np.uint64(255)).astype(np.uint8)
+        first = np.searchsorted(keys, np.arange(stop - at, dtype=np.uint64) << np.uint64(44))
+        word = mix(keys >> np.uint64(8) & np.uint64((1 << 36) - 1))
+        bits = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits * weight[:, None], first, axis=0, dtype=np.int32)
+        total = np.add.reduceat(weight, first, dtype=np.int32)
         out[at:stop] = np.packbits(ones * 2 > total[:, None], axis=1).view(np.uint64)[:, 0]
         at = stop
     return out
@@ -76,51 +75,44 @@ def simhash(hashes: np.ndarray, lengths: np.ndarray, begin: np.ndarray, number:
 def distance(one: bytes, other: bytes, most: int) -> int | None:
     """Edit distance in bytes if it is at most ``most``.
 
-    Follows the diagonals: after each edit it keeps how far equal bytes reach on each of them, all diagonals at once. Near
-    lines take few steps, and lines that differ more take ``most`` of them.
+    Common ends are taken off. Then one column of the table of distances after the other is kept as two long integers, a bit
+    for each step up and each step down between neighbouring rows.
     """
     if abs(len(one) - len(other)) > most:
         return None
+    n, m = len(one), len(other)
+    head = _common(one, other, 1)
+    tail = min(_common(one, other, -1), min(n, m) - head)
+    one, other = one[head : n - tail], other[head : m - tail]
     if len(one) > len(other):
         one, other = other, one
     n, m = len(one), len(other)
-    a, b = np.frombuffer(one + b"\0", np.uint8), np.frombuffer(other + b"\1", np.uint8)
-
-    def slide_one(i: int, k: int) -> int:
-        step = 64
-        while step:
-            if i + step <= n and i + k + step <= m and one[i : i + step] == other[i + k : i + k + step]:
-                i, step = i + step, min(step * 2, 4096)
-            else:
-                step //= 2
-        return i
-
-    def slide(reach: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        live = np.flatnonzero(reach >= 0)
-        for _ in range(12):
-            i, j = reach[live], reach[live] + diagonal[live]
-            live = live[(i < n) & (j < m) & (a[np.minimum(i, n)] == b[np.minimum(j, m)])]
-            if not len(live):
-                return reach
-            reach[live] += 1
-        for x in live.tolist():
-            reach[x] = slide_one(int(reach[x]), int(diagonal[x]))
-        return reach
-
-    low = -1 - most
-    reach = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
-    for d in range(most + 1):
-        if abs(m - n) <= d and reach[m - n + d] >= n:
-            return d
-        # one more edit: a byte replaced, taken out of one line or of the other
-        wide = np.full(len(reach) + 4, low, np.int64)
-        wide[2:-2] = reach
-        diagonal = np.arange(-d - 1, d + 2)
-        after = np.maximum(np.maximum(wide[1:-1] + 1, wide[2:] + 1), wide[:-2])
-        after = np.minimum(after, np.minimum(n, m - diagonal))
-        after[(after < 0) | (after + diagonal < 0)] = low
-        reach = slide(after, diagonal)
-    return None
+    if not n:
+        return m if m <= most else None
+    places: dict[int, int] = {}
+    for i, byte in enumerate(one):
+        places[byte] = places.get(byte, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, found = full, 0, n
+    for left, byte in enumerate(other, 1 - m):
+        same = places.get(byte, 0)
+        zero = ((same & up) + up ^ up) | same | down
+        rise, fall = down | ~(zero | up) & full, up & zero
+        found += bool(rise & top) - bool(fall & top)
+        if found + left > most:  # each byte that is left lowers it by one at most
+            return None
+        rise = (rise << 1 | 1) & full
+        fall = fall << 1 & full
+        up, down = fall | ~(zero | rise) & full, rise & zero
+    return found if found <= most else None
+
+
+def _common(one: bytes, other: bytes, way: int) -> int:
+    """Length of the common beginning, or end for -1."""
+    a, b = (np.frombuffer(x, np.uint8)[::way] for x in (one, other))
+    k = min(len(a), len(b))
+    differing = a[:k] != b[:k]
+    return int(differing.argmax()) if differing.any() else k
 
 
 def _listed(docs: DataFrame, least_words: int) -> DataFrame:
@@ -128,7 +120,7 @@ def _listed(docs: DataFrame, least_words: int) -> DataFrame:
     schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, h array<long>, s array<long>, line array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 1_000_000):
             data, bounds = raw(batch.column("text"))
             feeds = np.flatnonzero(data == 10) + 1
             edges = np.union1d(bounds, feeds)
@@ -224,7 +216,16 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
         close = pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR)
         return _verify(close.select("a", "b"), texts, similarity)
 
-    roots = grouped(near_rows.select("key", "node"), bits, near, verify, scratch)
+    # every node with the leaders of its keys that are near: a few, since near nodes share their keys
+    ends = near_rows.groupBy("key").agg(
+        F.min(F.struct("node", "s")).alias("low"), F.max(F.struct("node", "s")).alias("high")
+    )
+    star = near_rows.select("key", "node", "s").join(ends, "key").select(
+        F.col("node").alias("a"), "s", F.explode(F.array("low", "high")).alias("end")
+    )
+    star = star.where((F.col("a") != F.col("end.node")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("end.s"))) <= FAR))
+    first = scratch.keep(verify(star.select("a", F.col("end.node").alias("b")).distinct()), "links")
+    roots = grouped(near_rows.select("key", "node"), bits, near, verify, scratch, first)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("n > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted")

@@ -17,7 +17,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = pow(int(_BASE), -1, 1 << 64)
-_POWERS = np.ones(1, np.uint64)
+_POWERS: dict[bool, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,14 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(64, 2 ** int(np.ceil(np.log2(n))))
-        steps = np.full(size, _BASE, np.uint64)
-        steps[0] = 1
-        _POWERS = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+def _powers(n: int, back: bool = False) -> np.ndarray:
+    """The first powers of the base, or of its inverse, at least ``n`` of them; kept up to some size."""
+    kept = _POWERS.get(back)
+    if kept is not None and len(kept) >= n:
+        return kept
+    steps = np.full(max(64, n), np.uint64(_INVERSE) if back else _BASE, np.uint64)
+    steps[0] = 1
+    powers = np.cumprod(steps, dtype=np.uint64)
+    if n <= 4_000_000:
+        _POWERS[back] = powers
+    return powers
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +78,13 @@ def words_in(
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), none, none
-    at = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-    at[: starts[0]] = 0
-    lengths = np.add.reduceat(inside.astype(np.int64), starts)
-    at[~inside] = 0
-    values = (_FOLDED if lower else _BYTES)[data] * _powers(int(lengths.max()) + 1)[at]
-    values[~inside] = 0
-    hashes = mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
+    # a word ends where a space or another row begins
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    last[edges[edges > 0] - 1] = inside[edges[edges > 0] - 1]
+    lengths = np.flatnonzero(last) + 1 - starts
+    table = _FOLDED if lower else _BYTES
+    hashes = mix(_between(table[data], starts, lengths) + lengths.astype(np.uint64))
     return hashes, np.searchsorted(starts, bounds).astype(np.int64), starts, lengths
 
 
@@ -99,14 +102,17 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
     return mix(out), left >= size
 
 
+def _between(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Polynomial of each stretch of values, the same wherever it lies: prefix sums, moved back to the first power."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(n)[:n], dtype=np.uint64, out=sums[1:])
+    return (sums[begin + length] - sums[begin]) * _powers(n, back=True)[begin]
+
+
 def stretches(hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of any stretch of words, the same wherever it lies: prefix sums, moved back to the first power."""
-    n = len(hashes)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(n + 1)[:n], dtype=np.uint64)])
-    back = np.full(n + 1, np.uint64(_INVERSE), np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    return mix((sums[begin + length] - sums[begin]) * back[begin] + length.astype(np.uint64))
+    """Hash of any stretch of words."""
+    return mix(_between(hashes, begin, length) + length.astype(np.uint64))
 
 
 def rows_of(bounds: np.ndarray) -> np.ndarray:

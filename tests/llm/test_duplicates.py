@@ -10,10 +10,11 @@ import pyarrow as pa
 import pytest
 
 from conftest import prose
+from lakewarden.llm import components as components_module
 from lakewarden.llm import embeddings, jaccard, lines, substring
 from lakewarden.llm.common import Scratch
 from lakewarden.llm.components import components
-from lakewarden.llm.wordhash import words
+from lakewarden.llm.wordhash import mix, words
 
 
 def roots(nodes, links):
@@ -30,7 +31,9 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("block", [components_module.BLOCK, 7])
+def test_components_of_paths_and_stars(spark, monkeypatch, block):
+    monkeypatch.setattr(components_module, "BLOCK", block)
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 30)] + [(3, 3), (50, 40), (40, 50)]
     df = spark.createDataFrame(links, "a long, b long")
     got = {r.node: r.root for r in components(df, Scratch(spark, "t")).collect()}
@@ -145,8 +148,8 @@ def slow_simhash(line):
     """Majority over the distinct words, weighed by their bytes."""
     words_ = sorted(set(line.split()))
     hashes, _, _ = words(pa.array([b" ".join(words_).decode()]), lower=True, breaks=lines.BREAKS)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
-    weight = np.array([len(w) for w in words_])
+    bits = np.unpackbits(mix(hashes >> np.uint64(28)).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    weight = np.array([min(len(w), 255) for w in words_])
     return int(np.packbits((bits * weight[:, None]).sum(axis=0) * 2 > weight.sum()).view(np.uint64)[0])
 
 
