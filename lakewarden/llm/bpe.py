@@ -19,7 +19,6 @@ import unicodedata
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import by_bytes
+from lakewarden.llm.common import by_bytes, lean
 
 
 def byte_letters() -> list[str]:
@@ -415,12 +414,6 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    """One encoder in each Python worker."""
-    return Codec(path)
-
-
 def _kept(docs: DataFrame, keep: list[str], column: str, new: list[str]) -> tuple[DataFrame, list[str], str]:
     keep = [c for c in keep if c not in new]
     rows = docs.select(*keep, F.col(column).alias("__in"))
@@ -432,12 +425,12 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
     rows, keep, fields = _kept(docs, keep, text, ["ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)
         for batch in by_bytes(batches, len(keep), 1_500_000):
             ids = pa.array(own.encode(batch.column(len(keep)).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids], [*keep, "ids"])
 
-    return rows.mapInArrow(run, f"{fields}ids array<int>")
+    return rows.mapInArrow(lean(run), f"{fields}ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
@@ -445,12 +438,12 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") ->
     rows, keep, fields = _kept(encoded, keep, ids, ["decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)
         for batch in batches:
             texts = pa.array([own.decode(x) for x in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), texts], [*keep, "decoded"])
 
-    return rows.mapInArrow(run, f"{fields}decoded string")
+    return rows.mapInArrow(lean(run), f"{fields}decoded string")
 
 
 def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = False) -> DataFrame:
@@ -461,11 +454,11 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids
     rows, keep, fields = _kept(docs, keep, text, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)
         for batch in by_bytes(batches, len(keep), 1_500_000):
             found = own.digests(batch.column(len(keep)).to_pylist(), ids)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])
 
     more = ", ids array<int>" * ids
-    return rows.mapInArrow(run, f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return rows.mapInArrow(lean(run), f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import Scratch, share
+from lakewarden.llm.common import Scratch, lean, share
 from lakewarden.llm.components import components
 
 
@@ -93,7 +93,7 @@ def _assigned(vectors: DataFrame, centres: np.ndarray, reach: float) -> DataFram
                     ["row", "id", "home", "cell", "visits", "v"],
                 )
 
-    return vectors.mapInArrow(run, f"row long, id {kind}, home int, cell int, visits array<int>, v binary")
+    return vectors.mapInArrow(lean(run), f"row long, id {kind}, home int, cell int, visits array<int>, v binary")
 
 
 class Forest:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import Scratch, by_bytes
+from lakewarden.llm.common import Scratch, by_bytes, lean
 from lakewarden.llm.components import grouped, shared_keys, stars
 from lakewarden.llm.wordhash import mix, rows_of, sum_by_row, windows, words
 
@@ -117,7 +117,7 @@ def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 ["id", "n", "cls", "keys", "bits"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
             own = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(gram.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), own], ["cls", "grams"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls long, grams array<long>")
+    return texts.select("cls", "text").mapInArrow(lean(run), "cls long, grams array<long>")
 
 
 def _similar(same: Column, total: Column, percent: int) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import Scratch
+from lakewarden.llm.common import Scratch, lean
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -35,7 +35,7 @@ class LanguageModel:
     table: np.ndarray  # entries x languages
     longest: int
     weight: int  # words that count fully towards the score
-    cache_rows: int = 60_000
+    cache_rows: int = 40_000
     _cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -69,6 +69,14 @@ class LanguageModel:
         """Language and the share of belief in it."""
         return self.predict_words(LETTERS.findall((text or "").lower()))
 
+    def guess(self, words: list[str]) -> str:
+        """Language by the known words alone, which takes no n-grams; by all if none is known."""
+        get = self.known.get
+        rows = [row for word in words if (row := get(word)) is not None]
+        if not rows:
+            return self.predict_words(words)[0]
+        return self.languages[int(self.table[rows].sum(axis=0, dtype=np.float64).argmax())]
+
     def predict_words(self, words: list[str]) -> tuple[str, float]:
         """The same for the words of a text in lower case."""
         if not words or not self.languages:
@@ -97,7 +105,7 @@ def learn(
     text: str = "text",
     lang: str = "lang",
     rows_per_language: int = 3000,
-    max_entries: int = 300_000,
+    max_entries: int = 200_000,
     longest: int = 4,
     weight: int = 40,
 ) -> LanguageModel:
@@ -146,7 +154,7 @@ def learn(
     scratch = Scratch(docs.sparkSession, "language")
     counted = scratch.keep(
         sample.select("text", "lang")
-        .mapInArrow(count, "lang string, entry string, n long")
+        .mapInArrow(lean(count), "lang string, entry string, n long")
         .groupBy("lang", "entry")
         .agg(F.sum("n").alias("n"))
         .withColumn("kind", F.when(F.col("entry").rlike("^[0-9]:"), F.substring("entry", 1, 1)).otherwise("w")),
@@ -201,4 +209,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
             )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(lean(run), ", ".join([*fields, "lang_pred string", "score double"]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import Scratch, by_bytes
+from lakewarden.llm.common import Scratch, by_bytes, lean
 from lakewarden.llm.components import grouped
 from lakewarden.llm.wordhash import mix, raw, stretches, words_in
 
@@ -139,7 +139,7 @@ def _listed(docs: DataFrame, least_words: int) -> DataFrame:
                 ["id", "tag", "h", "s", "line"],
             )
 
-    return docs.mapInArrow(run, schema).where(F.size("h") > 0)
+    return docs.mapInArrow(lean(run), schema).where(F.size("h") > 0)
 
 
 def _texts(asked: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _texts(asked: DataFrame) -> DataFrame:
                     lines.append(normalised(own[w["line"]]))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], ["node", "words"])
 
-    return asked.mapInArrow(run, "node long, words binary")
+    return asked.mapInArrow(lean(run), "node long, words binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -171,7 +171,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 fits.append(distance(one, other, most) is not None)
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "wa", "wb").mapInArrow(lean(run), "a long, b long")
 
 
 def _near_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,4 +278,4 @@ def deduplicate(
             )
 
     fields = "".join(f"`{c}` {joined.schema[f'__{c}'].dataType.simpleString()}, " for c in keep)
-    return joined.mapInArrow(run, f"{fields}n_lines long, n_removed long, kept string, kept_sha256 string")
+    return joined.mapInArrow(lean(run), f"{fields}n_lines long, n_removed long, kept string, kept_sha256 string")

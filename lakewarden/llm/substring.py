@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import Scratch, by_bytes
+from lakewarden.llm.common import Scratch, by_bytes, lean
 from lakewarden.llm.wordhash import rows_of, stretches, windows, words
 
 
@@ -137,7 +137,7 @@ def _listed(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 [batch.column("id"), batch.column("tag"), *lists], ["id", "tag", "h", "g", "p"]
             )
 
-    return docs.mapInArrow(run, schema).where(F.size("h") > 0)
+    return docs.mapInArrow(lean(run), schema).where(F.size("h") > 0)
 
 
 def _shards(asked: DataFrame, size: int, hot: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _shards(asked: DataFrame, size: int, hot: int) -> DataFrame:
                 [pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["h", "salt", "lo", "g", "at", "words"]
             )
 
-    return asked.mapInArrow(run, f"h long, salt long, lo {kind}, g long, at int, words binary")
+    return asked.mapInArrow(lean(run), f"h long, salt long, lo {kind}, g long, at int, words binary")
 
 
 def _matched(shards: DataFrame, size: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _matched(shards: DataFrame, size: int) -> DataFrame:
             )
 
     dealt = shards.repartition("h", "salt").sortWithinPartitions("h", "salt", "lo", "g", "at")
-    return dealt.mapInArrow(run, "h long, g long, covered array<int>")
+    return dealt.mapInArrow(lean(run), "h long, g long, covered array<int>")
 
 
 def spans(docs: DataFrame, scratch: Scratch, size: int, gram: int, hot: int) -> DataFrame:
@@ -261,4 +261,4 @@ def deduplicate(
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"`{by}` {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return joined.mapInArrow(lean(run), f"`{by}` {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
