@@ -1,17 +1,12 @@
-import random
-
 import pytest
 
+from llm_texts import prose
+
 #: Names that the operators use inside, to clash with.
 EXTRA = "id text_ row key n tag h v cls kept found score ids block keys lang_pred __row __in __text".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(seed: int, n: int, stem: str = "") -> str:
-    rng = random.Random(seed)
-    return " ".join(stem + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """Documents of rows (doc_id, text[, lang[, source]]) with columns whose names clash with the operators' own."""

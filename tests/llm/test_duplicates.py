@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import prose
+from llm_texts import prose
 from lakewarden.llm import components as components_module
 from lakewarden.llm import embeddings, jaccard, lines, substring
 from lakewarden.llm.common import Scratch

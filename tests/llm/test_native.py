@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import prose
+from llm_texts import prose
 from lakewarden.llm import fingerprint, mixing, personal
 
 # personal data
