@@ -113,9 +113,8 @@ def following(ids: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
     order = sorted(firsts, reverse=True)
     after = {a: firsts[b] for a, b in zip(order, order[1:] + order[:1], strict=True)}
     inner = F.lead(by).over(Window.partitionBy("range").orderBy(F.desc(by)))
-    end = F.coalesce(*[F.when(F.col("range") == a, F.lit(b)) for a, b in after.items()]) if len(after) <= 16 else F.element_at(
-        F.create_map(*[F.lit(x) for a, b in after.items() for x in (a, b)]), F.col("range")
-    )
+    pairs = [F.lit(x) for a, b in after.items() for x in (a, b)]
+    end = F.element_at(F.create_map(*pairs), F.col("range")) if pairs else F.lit(None)
     return dealt.select(by, F.coalesce(inner, end).alias("next_id"))
 
 
@@ -167,9 +166,11 @@ def fingerprints(docs: DataFrame, by: str = "doc_id", text: str = "text", sample
     )
     links = nexts.select(F.col("id").alias("taker"), F.col("next_id"))
     given = links.join(giver, links["next_id"].eqNullSafe(giver["giver"])).select("taker", "next_fingerprint")
-    return signed.join(given, signed["id"].eqNullSafe(given["taker"])).select(
-        F.col("id").alias(by), "n_chars",
-        *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
+    near = signed.join(given, signed["id"].eqNullSafe(given["taker"])).select(
+        F.col("id").alias(by), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
     )
+    # in a step of its own: a new column of the same name would take the place of the old one inside the lambdas
+    shown = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return near.withColumns(shown)
