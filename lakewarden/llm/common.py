@@ -28,8 +28,14 @@ class Scratch:
         self.made = 0
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write ``df`` once and read it back: later steps survive the loss of any executor."""
+    def keep(self, df: DataFrame, tag: str, light: bool = False) -> DataFrame:
+        """Write ``df`` once and read it back: later steps survive the loss of any executor.
+
+        A ``light`` table, a few columns of a part of the rows, goes to an eighth as many files as a shuffle has
+        partitions: every file costs calls to the store, and with a local one new processes.
+        """
+        if light:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         self.made += 1
         path = f"{self.root}/{self.made}-{tag}"
         df.write.parquet(path)

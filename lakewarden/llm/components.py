@@ -64,13 +64,10 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
     The direction, repeats and loops of the links don't matter. The result reads a table of ``scratch``.
     """
     a, b = F.col(left), F.col(right)
-    edges = scratch.keep(
-        links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges"
-    )
-    blocks = max(1, ceil(edges.count() / BLOCK))
-    kind = edges.schema["hi"].dataType.simpleString()
-    forest = scratch.keep(edges.repartition(blocks).mapInArrow(_forest, f"hi {kind}, lo {kind}").distinct(), "edges")
-    scratch.drop(edges)
+    pairs = links.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    blocks = max(1, ceil(pairs.count() / BLOCK))
+    kind = pairs.schema["hi"].dataType.simpleString()
+    forest = scratch.keep(pairs.repartition(blocks).mapInArrow(_forest, f"hi {kind}, lo {kind}"), "edges")
     if blocks == 1:
         return _with_roots(forest)
     edges, state = forest, _state(forest)
@@ -86,7 +83,7 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
             .union(best.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        after = scratch.keep(small, "edges")
+        after = scratch.keep(small, "edges", light=True)
         scratch.drop(edges)
         edges, before, state = after, state, _state(after)
         if state == before:
@@ -130,9 +127,9 @@ def grouped(
     """
     roots = components(first, scratch)
     known = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    known = scratch.keep(known, "members")
+    known = scratch.keep(known, "members", light=True)
     edge = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.keep(known.join(edge, "key").join(facts, "node"), "open")
+    open_ = scratch.keep(known.join(edge, "key").join(facts, "node"), "open", light=True)
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x", "y")
     crossing = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

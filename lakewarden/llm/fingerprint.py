@@ -141,13 +141,14 @@ def fingerprints(docs: DataFrame, by: str = "doc_id", text: str = "text", sample
     """Fingerprints of each text and of its edited text, and how like they are to each other and to the next document."""
     scratch = Scratch(docs.sparkSession, "fingerprint")
     rows = docs.select(F.col(by).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = scratch.keep(rows.groupBy("id").agg(F.max(F.length("text")).alias("n")), "sizes")
+    sizes = scratch.keep(rows.groupBy("id").agg(F.max(F.length("text")).alias("n")), "sizes", light=True)
     pairs = following(sizes, "id").withColumnRenamed("id", "one")
     nexts = scratch.keep(
         pairs.join(sizes, pairs["one"].eqNullSafe(sizes["id"])).select(
             "id", "next_id", F.floor(F.col("n") / 3).cast("int").alias("wanted")
         ),
         "nexts",
+        light=True,
     )
     both = edited(rows.withColumn("digest", F.xxhash64("text")), nexts)
     signs = signatures(both, ["id", "digest"], ["text", "edited"], samples).withColumnRenamed("id", "one")

@@ -155,7 +155,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
     classes = (
         sketched.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     )
-    classes = scratch.keep(classes, "classes")
+    classes = scratch.keep(classes, "classes", light=True)
     # one row of each class sends its keys; a key counts if it comes from two
     owners = classes.where(F.col("rep").isNotNull()).select("cls", F.col("rep").alias("id"))
     keyed = sketched.where("n > 0").join(owners, ["cls", "id"], "left_semi").select("cls", F.explode("keys").alias("key"))
@@ -164,7 +164,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
         .select("cls", F.explode("keys").alias("key"))
     )
     member = scratch.keep(shared_keys(keyed.withColumnRenamed("cls", "node")), "members")
-    several = scratch.keep(member.select(F.col("node").alias("cls")).distinct().join(classes, "cls"), "several")
+    several = scratch.keep(member.select(F.col("node").alias("cls")).distinct().join(classes, "cls"), "several", light=True)
     # the classes that share keys grow with the corpus, so they are never broadcast
     texts = rows.join(several.hint("merge"), rows["id"].eqNullSafe(several["rep"])).select("cls", "text")
     # rows that repeat an id can hold other texts: only the set of the class is kept
@@ -185,7 +185,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
         return _verify(pairs, sets, percent)
 
     # the least leader first; the greatest one for those that it isn't linked to
-    star = scratch.keep(stars(member), "star")
+    star = scratch.keep(stars(member), "star", light=True)
     least = scratch.keep(verify(star.select("a", F.col("x").alias("b"))), "links")
     again = star.where("x <> y").join(least.select("a"), "a", "left_anti").select("a", F.col("y").alias("b"))
     first = least.union(scratch.keep(verify(again), "links"))

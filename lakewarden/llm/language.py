@@ -159,6 +159,7 @@ def learn(
         .agg(F.sum("n").alias("n"))
         .withColumn("kind", F.when(F.col("entry").rlike("^[0-9]:"), F.substring("entry", 1, 1)).otherwise("w")),
         "counts",
+        light=True,
     )
     each = max(1, max_entries // (len(languages) * 2))
     parts = []

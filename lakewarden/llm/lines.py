@@ -197,7 +197,7 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     place = F.struct("id", "tag", "line")
     classes = each.groupBy("h").agg(F.min(place).alias("first"), F.min("s").alias("s"), F.count("*").alias("n"))
     classes = scratch.keep(classes, "classes")
-    near_rows = scratch.keep(_near_rows(classes, scratch), "near")
+    near_rows = scratch.keep(_near_rows(classes, scratch), "near", light=True)
     wanted = (
         near_rows.select("node", "first").distinct().groupBy("first.id", "first.tag")
         .agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
@@ -228,7 +228,7 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     roots = grouped(near_rows.select("key", "node"), bits, near, verify, scratch, first)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("n > 1 OR root IS NOT NULL")
-    rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted")
+    rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted", light=True)
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     kept = rooted.join(kept, "root").select("h", "kept")
     return (
@@ -250,7 +250,7 @@ def deduplicate(
     new = ["n_lines", "n_removed", "kept", "kept_sha256"]
     keep = [c for c in keep if c not in new]
     rows = docs.select(F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text"))
-    gone = scratch.keep(removed(rows, scratch, similarity, least_words), "gone")
+    gone = scratch.keep(removed(rows, scratch, similarity, least_words), "gone", light=True)
     whole = docs.select(
         *[F.col(c).alias(f"__{c}") for c in keep], F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text")
     )

@@ -107,7 +107,7 @@ def weights(
     """
     scratch = Scratch(sized.sparkSession, "weights")
     by_source = scratch.keep(
-        sized.groupBy("key").agg(F.sum("tokens").alias("total"), F.count("*").alias("documents")), "sources"
+        sized.groupBy("key").agg(F.sum("tokens").alias("total"), F.count("*").alias("documents")), "sources", light=True
     )
     all_sources = by_source.agg(
         F.sum("total").alias("t"), F.count(F.when(F.col("total") > 0, 1)).alias("n")

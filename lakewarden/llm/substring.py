@@ -205,7 +205,7 @@ def spans(docs: DataFrame, scratch: Scratch, size: int, gram: int, hot: int) ->
     each = scratch.keep(each.join(repeated, "h"), "repeated")
     scratch.drop(listed)
     firsts = each.groupBy("h", "g").agg(F.min(F.struct("id", "tag", "p")).alias("f")).select("h", "g", "f.*")
-    firsts = scratch.keep(firsts, "firsts")
+    firsts = scratch.keep(firsts, "firsts", light=True)
     mixed = firsts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     wanted = (
         firsts.join(mixed, "h").groupBy("id", "tag").agg(F.collect_list(F.struct("h", "c", "g", "p")).alias("wanted"))
@@ -234,7 +234,7 @@ def deduplicate(
     scratch = Scratch(docs.sparkSession, "substring")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text"))
-    found = scratch.keep(spans(rows, scratch, size, gram, hot), "spans")
+    found = scratch.keep(spans(rows, scratch, size, gram, hot), "spans", light=True)
     joined = rows.join(found.hint("merge"), ["id", "tag"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
