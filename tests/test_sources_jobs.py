@@ -115,6 +115,8 @@ def test_index_appends_once(spark, pack, tmp_path):
     assert jobs.document_job(docs, index, pack) == 2
     asked = spark.createDataFrame([("q1", "cuatro?  cuatro")], "question_id string, question string")
     row = jobs.question_job(index, asked, pack).first()
+    assert row.grounded and row.sources == ["b.md", "a.md"]  # the list is filled
+    row = jobs.question_job(index, asked, pack, fill_zero=False).first()
     assert row.grounded and row.sources == ["b.md"]
 
 
