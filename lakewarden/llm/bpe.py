@@ -289,7 +289,7 @@ class Codec:
 
     LONG = 128  # bytes of a piece from which it goes through the program alone
 
-    def __init__(self, path: str, most: int = 40_000):
+    def __init__(self, path: str, most: int = 20_000):
         self.vocabulary = v = Vocabulary(path)
         self.most = most
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -426,7 +426,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path)
-        for batch in by_bytes(batches, len(keep), 1_500_000):
+        for batch in by_bytes(batches, len(keep), 800_000):
             ids = pa.array(own.encode(batch.column(len(keep)).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), ids], [*keep, "ids"])
 
@@ -455,7 +455,7 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path)
-        for batch in by_bytes(batches, len(keep), 1_500_000):
+        for batch in by_bytes(batches, len(keep), 800_000):
             found = own.digests(batch.column(len(keep)).to_pylist(), ids)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])
