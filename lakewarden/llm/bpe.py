@@ -289,7 +289,7 @@ class Codec:
 
     LONG = 128  # bytes of a piece from which it goes through the program alone
 
-    def __init__(self, path: str, most: int = 20_000):
+    def __init__(self, path: str, most: int = 100_000):
         self.vocabulary = v = Vocabulary(path)
         self.most = most
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -446,16 +446,20 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") ->
     return rows.mapInArrow(lean(run), f"{fields}decoded string")
 
 
-def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = False) -> DataFrame:
+def digests(
+    docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: bool = False, slices: int = 4_000_000,
+    most: int = 100_000,
+) -> DataFrame:
     """The columns ``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text, and with ``ids``
-    if they are asked for."""
+    if they are asked for. ``slices`` (bytes of text encoded together) and ``most`` (pieces remembered) trade memory
+    against time."""
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
     kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * ids]
     rows, keep, fields = _kept(docs, keep, text, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(path)
-        for batch in by_bytes(batches, len(keep), 800_000):
+        own = Codec(path, most)
+        for batch in by_bytes(batches, len(keep), slices):
             found = own.digests(batch.column(len(keep)).to_pylist(), ids)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *new])
