@@ -14,7 +14,7 @@ pairs.
 
 Defined results: a null text counts as empty. A document without words has an empty set and links with nothing, also not
 with another empty one. A text with fewer words than a shingle has one shingle, its whole sequence. Rows that repeat an id
-are one node. A null id takes part, but is never a component's id unless it is alone.
+are told apart by their texts, and each has the component of its own text. A null id takes part, but is never a component's id unless it is alone.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def bits_of(grams: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n long, cls long, keys array<long>, bits array<long>"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, n long, cls long, keys array<long>, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2_000_000):
@@ -113,8 +113,8 @@ def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
             keys = [keys_of(g, percent).view(np.int64) if len(g) else np.zeros(0, np.int64) for g in sets]
             bits = [bits_of(g) if len(g) else np.zeros(0, np.int64) for g in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(cls), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["id", "n", "cls", "keys", "bits"],
+                [batch.column("id"), batch.column("tag"), pa.array(n), pa.array(cls), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["id", "tag", "n", "cls", "keys", "bits"],
             )
 
     return docs.mapInArrow(lean(run), schema)
@@ -147,28 +147,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """For every document ``by``, ``n_shingles``, ``class_id`` (the set's hash) and ``component_id``, the smallest id that
-    links of similarity ``percent`` / 100 or more reach."""
+    """For every document ``by``, ``tag`` (the text's hash), ``n_shingles``, ``class_id`` (the set's hash), ``component_id``,
+    the smallest id that links of similarity ``percent`` / 100 or more reach, and ``first_class``, the class of that id (the
+    smallest one if the id repeats with several texts of the component)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(by).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text"))
     sketched = scratch.keep(_sketches(rows, size, percent), "sketches")
-    classes = (
-        sketched.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    )
+    # of the rows of a class one text stands for it: that of the smallest id; the tag tells rows of one id, or of none, apart
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    classes = sketched.where("n > 0").groupBy("cls").agg(F.min(place).alias("own"), F.first("n").alias("n"))
+    classes = classes.select("cls", F.col("own.id").alias("rep"), F.col("own.tag").alias("rep_tag"), "n")
     classes = scratch.keep(classes, "classes", light=True)
-    # one row of each class sends its keys; a key counts if it comes from two
-    owners = classes.where(F.col("rep").isNotNull()).select("cls", F.col("rep").alias("id"))
-    keyed = sketched.where("n > 0").join(owners, ["cls", "id"], "left_semi").select("cls", F.explode("keys").alias("key"))
-    keyed = keyed.unionByName(
-        sketched.where("n > 0 AND id IS NULL").join(classes.where(F.col("rep").isNull()).select("cls"), "cls", "left_semi")
-        .select("cls", F.explode("keys").alias("key"))
-    )
+    # one text of each class sends its keys; a key counts if it comes from two
+    owners = classes.select(F.col("cls").alias("c"), "rep", "rep_tag")
+    owned = (F.col("cls") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
+    keyed = sketched.where("n > 0").join(owners, owned, "left_semi").select("cls", F.explode("keys").alias("key"))
     member = scratch.keep(shared_keys(keyed.withColumnRenamed("cls", "node")), "members")
     several = scratch.keep(member.select(F.col("node").alias("cls")).distinct().join(classes, "cls"), "several", light=True)
     # the classes that share keys grow with the corpus, so they are never broadcast
-    texts = rows.join(several.hint("merge"), rows["id"].eqNullSafe(several["rep"])).select("cls", "text")
-    # rows that repeat an id can hold other texts: only the set of the class is kept
-    sets = _sets(texts, size).join(several.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    same_text = rows["id"].eqNullSafe(several["rep"]) & (rows["tag"] == several["rep_tag"])
+    texts = rows.join(several.hint("merge"), same_text).select("cls", "text")
+    sets = _sets(texts, size).dropDuplicates(["cls"])  # rows that repeat id and text have the same set
     sets = scratch.keep(sets, "sets")
     facts = (
         sketched.join(several.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
@@ -193,15 +193,19 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
     rooted = classes.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = rooted.join(least, "root").select("cls", "component_id")
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")
+    least = rooted.groupBy("root").agg(F.min(order).alias("least"))
+    least = least.select("root", F.col("least.rep").alias("component_id"), F.col("least.cls").alias("first_class"))
+    final = rooted.join(least, "root").select("cls", "component_id", "first_class")
     return (
-        sketched.select("id", "n", "cls")
+        sketched.select("id", "tag", "n", "cls")
         .join(final, "cls", "left")
         .select(
             F.col("id").alias(by),
+            "tag",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("cls")).alias("class_id"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+            "first_class",
         )
     )

@@ -277,6 +277,19 @@ def test_jaccard_of_odd_documents(make, odd):
     assert jaccard.groups(make([])).collect() == []
 
 
+def test_jaccard_of_repeated_ids_with_other_texts(make):
+    one, two, three = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = [x + " end" for x in (one, two, three)]
+    rows = [(None, one), (None, two), (None, three), (5, near[0]), (5, near[1]), (6, near[1] + " z"), (7, prose(4, 60)), (7, near[2])]
+    for given in (rows, rows[::-1]):
+        got = jaccard.groups(make(given)).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.first_class, []).append((r.doc_id, r.component_id))
+        want = [[(5, 5), (None, 5)], [(5, 5), (6, 5), (None, 5)], [(7, 7)], [(7, 7), (None, 7)]]
+        assert sorted((sorted(g, key=str) for g in groups.values()), key=str) == sorted(want, key=str)
+
+
 # embeddings
 
 

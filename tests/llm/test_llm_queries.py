@@ -69,3 +69,11 @@ def test_pipeline_of_odd_documents(spark, make, odd):
             docs = after
         kept = {r.doc_id for r in docs.select("doc_id").collect()}
         assert kept >= {r[0] for r in given if (r[0] or 0) >= 100}  # clean documents stay
+
+
+def test_ngram_join_removes_by_id_and_text(spark, make):
+    copied, own, other = prose(1, 60), prose(2, 60), prose(3, 60)
+    docs = make([(1, copied), (2, copied + " end"), (2, own), (3, own + " end"), (4, other), (4, other + " end"), (None, copied)])
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs, FOLDER).collect()}
+    assert kept >= {(1, copied), (2, own), (None, copied)}
+    assert len(kept) == 4 and len([1 for i, _ in kept if i == 4]) == 1
