@@ -77,3 +77,24 @@ def test_ngram_join_removes_by_id_and_text(spark, make):
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs, FOLDER).collect()}
     assert kept >= {(1, copied), (2, own), (None, copied)}
     assert len(kept) == 4 and len([1 for i, _ in kept if i == 4]) == 1
+
+
+def test_ngram_join_equals_brute_force_at_five_words(spark, make):
+    """Copies with one changed word lie at 0.67 to 0.9, on both sides of 0.8 and of the values of op8_jaccard."""
+    rows = []
+    for i, n in enumerate([25, 40, 44, 45, 46, 47, 48, 49, 52, 60, 90]):
+        base = prose(i, n).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: n // 2] + ["changed"] + base[n // 2 + 1 :]))]
+
+    def shingled(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    gone = set()
+    for (_, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingled(a), shingled(b)
+        if 100 * len(x & y) >= 80 * len(x | y):
+            gone.add(j)
+    assert 0 < len(gone) < len(rows) // 2
+    kept = {r.doc_id for r in corpus_pipeline.ngram_join(spark, make(rows), FOLDER).collect()}
+    assert kept == {i for i, _ in rows} - gone
