@@ -1,11 +1,11 @@
 """Fuzzy removal of repeated lines.
 
 A line is normalised to its words: runs of ASCII letters and digits and of all other letters above ASCII, A-Z folded,
-joined by a space. Equal normalised lines are one class. Each class gets a SimHash of 64 bits over its distinct words,
-weighed by their length. Five blocks
-of its bits, taken two at a time, are the keys: two hashes that differ in at most three bits agree in two blocks. Classes
-that share a key and lie within three bits are compared by edit distance; at a similarity of ``similarity`` or more they
-are linked. Of every connected group the occurrence with the smallest id, then the first line, stays; all others go.
+joined by a space. Equal normalised lines are one class. Two classes are linked if their edit similarity in bytes is
+``similarity`` or more. Lines under ``EXACT`` bytes meet by segments: the shorter one is cut into one more segment than edits
+are allowed, so one of them lies whole in the longer one, near its own place; no link is lost. Other lines meet by pairs of
+least hashes of their ``GRAM``-byte windows, ``BANDS`` pairs a line; those with fewer than ``SAME`` equal least hashes are not
+compared. Of every connected group the occurrence with the smallest id, then the first line, stays; all others go.
 
 Defined results: lines with fewer than ``least_words`` words never go. A null text counts as empty, with one empty line.
 Rows that repeat an id are told apart by their texts; equal ones keep or lose the same lines. A row with a null id loses
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +24,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Scratch, by_bytes, lean
-from lakewarden.llm.components import grouped
+from lakewarden.llm.components import grouped, shared_keys, stars
 from lakewarden.llm.wordhash import mix, raw, stretches, words_in
 
 #: ASCII bytes that belong to no word.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Bits of the blocks of a SimHash, and by how many bits near ones differ at most.
-BLOCKS, FAR = (13, 13, 13, 13, 12), 3
+#: Lines under so many bytes meet by segments, and bytes of the windows of the others.
+EXACT, GRAM = 40, 6
+#: Pairs of least hashes of a line, and how many least hashes of near lines are equal at least.
+BANDS, SAME = 24, 5
+#: Not read here: SimHashes of words of unrelated lines are seldom this near, so a brute force can skip the pairs beyond.
+FAR = 20
+_TURNS = np.random.default_rng(5).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normalised(line: bytes) -> bytes:
     return b" ".join(WORD.findall(line.lower()))
 
 
-def masks() -> list[int]:
-    """Masks of the bits of every two blocks."""
-    ends = np.cumsum(BLOCKS).tolist()
-    blocks = [((1 << n) - 1) << (end - n) for n, end in zip(BLOCKS, ends, strict=True)]
-    return [a | b for a, b in combinations(blocks, len(BLOCKS) - FAR)]
+def edits(length: int, similarity: float) -> int:
+    """By how many bytes a line may differ from one that is not longer."""
+    return int((1 - similarity) * length + 1e-9)
 
 
-def simhash(hashes: np.ndarray, lengths: np.ndarray, begin: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """SimHash of each stretch of words: every bit is the majority over its distinct words, weighed by their bytes.
+def segments(line: bytes, similarity: float) -> list[int]:
+    """Keys of a short line: its own segments, and the parts of it that can be segments of a line that is not longer."""
+    n, out = len(line), set()
 
-    So the short words that all lines of a language share, and their number, count little. Words are told apart by 36 bits of
-    their hash, a word counts 255 bytes at most.
-    """
-    out = np.zeros(len(begin), np.uint64)
-    known = (hashes >> np.uint64(28)) << np.uint64(8) | np.minimum(lengths, 255).astype(np.uint64)
+    def cuts(length: int, most: int) -> list[tuple[int, int]]:
+        ends = [length * i // (most + 1) for i in range(most + 2)]
+        return list(zip(ends, ends[1:], strict=False))
+
+    longest = n
+    while longest < EXACT and longest - n <= edits(longest, similarity):
+        most = edits(longest, similarity)
+        out |= {(n, most, i, line[a:b]) for i, (a, b) in enumerate(cuts(n, most))} if most else set()
+        longest += 1
+    most = edits(n, similarity)
+    for shorter in range(n - most, n) if most else ():
+        for i, (a, b) in enumerate(cuts(shorter, most)):
+            more = n - shorter
+            first = max(a - i, a + more - (most - i), 0)
+            last = min(a + i, a + more + (most - i), n - (b - a))
+            out |= {(shorter, most, i, line[x : x + b - a]) for x in range(first, last + 1)}
+    for i, (a, b) in enumerate(cuts(n, most)) if most else ():
+        out |= {(n, most, i, line[x : x + b - a]) for x in range(max(a - min(i, most - i), 0), min(a + min(i, most - i), n - (b - a)) + 1)}
+    return [int.from_bytes(hashlib.blake2b(b"%d %d %d " % k[:3] + k[3], digest_size=8).digest(), "little", signed=True) for k in out]
+
+
+def least_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The least hashes of the windows of each line, a line of the result for each turn; the lines lie in ``text`` in order."""
+    out = np.zeros((len(_TURNS), len(begin)), np.uint64)
     at = 0
-    while at < len(begin):  # some 50,000 words, and at most a million lines, at a time
-        stop = at + min(1 << 20, max(1, int(np.searchsorted(np.cumsum(number[at : at + (1 << 20)]), 50_000))))
-        n = number[at:stop]
-        place = np.repeat(begin[at:stop] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        keys = np.sort(known[place] | np.repeat(np.arange(stop - at, dtype=np.uint64), n) << np.uint64(44))
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        weight = (keys & np.uint64(255)).astype(np.uint8)
-        first = np.searchsorted(keys, np.arange(stop - at, dtype=np.uint64) << np.uint64(44))
-        word = mix(keys >> np.uint64(8) & np.uint64((1 << 36) - 1))
-        bits = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits * weight[:, None], first, axis=0, dtype=np.int32)
-        total = np.add.reduceat(weight, first, dtype=np.int32)
-        out[at:stop] = np.packbits(ones * 2 > total[:, None], axis=1).view(np.uint64)[:, 0]
+    while at < len(begin):  # some two million bytes at a time
+        stop = max(at + 1, int(np.searchsorted(begin, begin[at] + 2_000_000)))
+        part = text[begin[at] : begin[stop - 1] + length[stop - 1]].astype(np.uint64)
+        windows_ = np.zeros(len(part) - GRAM + 1, np.uint64)
+        for j in range(GRAM):
+            windows_ |= part[j : j + len(windows_)] << np.uint64(8 * j)
+        number = length[at:stop] - GRAM + 1
+        start = np.concatenate([[0], np.cumsum(number)[:-1]])
+        place = np.repeat(begin[at:stop] - begin[at] - start, number) + np.arange(number.sum())
+        windows_ = mix(windows_[place])
+        for t, turn in enumerate(_TURNS):
+            out[t, at:stop] = np.minimum.reduceat(windows_ * turn, start)
         at = stop
     return out
 
@@ -115,31 +136,53 @@ def _common(one: bytes, other: bytes, way: int) -> int:
     return int(differing.argmax()) if differing.any() else k
 
 
-def _listed(docs: DataFrame, least_words: int) -> DataFrame:
-    """For every document its lines with enough words: hash, SimHash and number, as arrays."""
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, h array<long>, s array<long>, line array<long>"
+def _listed(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """For every document its lines with enough words, as an array: hash, bytes, number, keys, and the low bytes of the least
+    hashes."""
+    line = "array<struct<h: long, n: long, line: long, keys: array<long>, s: array<long>>>"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, lines {line}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1_000_000):
             data, bounds = raw(batch.column("text"))
             feeds = np.flatnonzero(data == 10) + 1
             edges = np.union1d(bounds, feeds)
-            hashes, at, _, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
-            length = np.diff(at)
-            chosen = np.flatnonzero(length >= least_words)
-            begin, length = at[:-1][chosen], length[chosen]
+            hashes, at, starts, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
+            # the normalised text: every word and a space
+            off = np.concatenate([[0], np.cumsum(sizes + 1)])
+            source = np.repeat(starts - off[:-1], sizes + 1) + np.arange(off[-1])
+            text = data[np.minimum(source, len(data) - 1)] if len(source) else np.zeros(0, np.uint8)
+            text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
+            text[off[1:] - 1] = 32
+            words = np.diff(at)
+            chosen = np.flatnonzero(words >= max(1, least_words))
+            begin, length = off[at[:-1][chosen]], off[at[1:][chosen]] - off[at[:-1][chosen]] - 1
             start = edges[:-1][chosen]
             row = np.searchsorted(bounds, start, side="right") - 1
             # line numbers within the text: line feeds before the line, less those before the text
             number = np.searchsorted(feeds, start, side="right") - np.searchsorted(feeds, bounds[row], side="right")
+            keys = np.zeros((len(chosen), 0), np.int64).tolist()
+            marks = [[] for _ in keys]
+            for i in np.flatnonzero(length < EXACT):
+                keys[i] = segments(text[begin[i] : begin[i] + length[i]].tobytes(), similarity)
+            # a line that is a little shorter than EXACT can be near one that is not
+            long = np.flatnonzero(length >= int(EXACT * similarity))
+            if len(long):
+                least = least_hashes(text, begin[long], length[long])
+                band = mix(least[::2] ^ mix(least[1::2] + np.arange(BANDS, dtype=np.uint64)[:, None])).T.view(np.int64)
+                low = np.ascontiguousarray((least >> np.uint64(32)).astype(np.uint8).T).view(np.int64)
+                for i, k, m in zip(long, band.tolist(), low.tolist(), strict=True):
+                    keys[i] += k
+                    marks[i] = m
+            values = [
+                pa.array(stretches(hashes, at[:-1][chosen], words[chosen]).view(np.int64)), pa.array(length), pa.array(number),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())),
+            ]
             lists = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            values = [stretches(hashes, begin, length).view(np.int64), simhash(hashes, sizes, begin, length).view(np.int64), number]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("tag"), *(pa.ListArray.from_arrays(lists, pa.array(v)) for v in values)],
-                ["id", "tag", "h", "s", "line"],
-            )
+            found = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays(values, ["h", "n", "line", "keys", "s"]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), found], ["id", "tag", "lines"])
 
-    return docs.mapInArrow(lean(run), schema).where(F.size("h") > 0)
+    return docs.mapInArrow(lean(run), schema).where(F.size("lines") > 0)
 
 
 def _texts(asked: DataFrame) -> DataFrame:
@@ -167,67 +210,69 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             fits = []
             for one, other in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
-                most = int((1 - similarity) * max(len(one), len(other)) + 1e-9)
+                most = edits(max(len(one), len(other)), similarity)
                 fits.append(distance(one, other, most) is not None)
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     return both.select("a", "b", "wa", "wb").mapInArrow(lean(run), "a long, b long")
 
 
-def _near_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key, node, s, first`` of the classes that have another one within ``FAR`` bits among those of their key.
+def _near(x: str, y: str, similarity: float) -> Column:
+    """Whether two lines can be near: by their lengths, and long ones by their equal least hashes."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    more = F.greatest(n, m)
 
-    Found on distinct SimHashes by a semi-join, which gives every row once, however many near ones it has.
-    """
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("s").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for i, m in enumerate(masks())])
-    keyed = classes.select("s").distinct().select("s", F.explode(keys).alias("k"))
-    keyed = keyed.select("s", F.xxhash64("k.i", "k.v").alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.s") != F.col("y.s"))
-    close = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) <= FAR
-    found = scratch.keep(x.join(y, other & close, "left_semi"), "keys")
-    same = classes.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s", F.xxhash64(F.lit(-1), "s").alias("key"))
-    return found.select("s", "key").union(same).join(classes, "s").select("key", F.col("h").alias("node"), "s", "first")
+    def unlike(p: Column, q: Column) -> Column:  # bytes that differ
+        z = p.bitwiseXOR(q)
+        for k in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+
+    far = F.aggregate(F.zip_with(f"{x}.s", f"{y}.s", unlike), F.lit(0), lambda s, v: s + v)
+    close = F.abs(n - m) <= F.floor((1 - similarity) * more + 1e-9)
+    return close & ((more < EXACT) | (far <= 2 * BANDS - SAME))
 
 
 def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: int) -> DataFrame:
     """``id``, ``tag`` and ``gone``, the numbers of the lines that go."""
-    listed = scratch.keep(_listed(docs.where("id IS NOT NULL"), least_words), "lines")
-    each = listed.select("id", "tag", F.explode(F.arrays_zip("h", "s", "line")).alias("x")).select("id", "tag", "x.*")
+    listed = scratch.keep(_listed(docs.where("id IS NOT NULL"), least_words, similarity), "lines")
+    each = listed.select("id", "tag", F.explode("lines").alias("x")).select("id", "tag", "x.h", "x.line")
     place = F.struct("id", "tag", "line")
-    classes = each.groupBy("h").agg(F.min(place).alias("first"), F.min("s").alias("s"), F.count("*").alias("n"))
-    classes = scratch.keep(classes, "classes")
-    near_rows = scratch.keep(_near_rows(classes, scratch), "near", light=True)
+    classes = scratch.keep(each.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("c")), "classes")
+    # one line of each class sends its keys
+    own = listed.select("id", "tag", F.explode("lines").alias("x")).select("id", "tag", "x.*")
+    own = own.join(classes.select(F.col("h").alias("k"), "first"), (F.col("h") == F.col("k")) & (place == F.col("first")))
+    own = scratch.keep(own.dropDuplicates(["h"]).select(F.col("h").alias("node"), "n", "s", "keys", "first"), "own")
+    shared = scratch.keep(shared_keys(own.select("node", F.explode("keys").alias("key"))), "keys")
+    facts = own.select("node", "n", "s")
+    held = scratch.keep(shared.join(facts, "node"), "held")
+    x, y = held.alias("x"), held.alias("y")
+    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _near("x", "y", similarity)
+    member = scratch.keep(x.join(y, other, "left_semi").select("key", "node"), "members", light=True)
+    nodes = member.select("node").distinct()
     wanted = (
-        near_rows.select("node", "first").distinct().groupBy("first.id", "first.tag")
+        own.select("node", "first").join(nodes, "node").groupBy("first.id", "first.tag")
         .agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
     )
     # what is asked for grows with the corpus, so it is never broadcast
     asked = docs.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text", "wanted")
     texts = scratch.keep(_texts(asked), "texts")
+    facts = scratch.keep(facts.join(nodes, "node"), "facts", light=True)
 
     def near(x: str, y: str) -> Column:
-        return F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) <= FAR
-
-    bits = near_rows.select("node", "s").distinct()
+        return _near(x, y, similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one, two = bits.toDF("a", "sa"), bits.toDF("b", "sb")
-        close = pairs.join(one, "a").join(two, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= FAR)
+        one, two = facts.toDF("a", "n", "s").alias("one"), facts.toDF("b", "n", "s").alias("two")
+        close = pairs.join(one, "a").join(two, "b").where(near("one", "two"))
         return _verify(close.select("a", "b"), texts, similarity)
 
-    # every node with the leaders of its keys that are near: a few, since near nodes share their keys
-    ends = near_rows.groupBy("key").agg(
-        F.min(F.struct("node", "s")).alias("low"), F.max(F.struct("node", "s")).alias("high")
-    )
-    star = near_rows.select("key", "node", "s").join(ends, "key").select(
-        F.col("node").alias("a"), "s", F.explode(F.array("low", "high")).alias("end")
-    )
-    star = star.where((F.col("a") != F.col("end.node")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("end.s"))) <= FAR))
-    first = scratch.keep(verify(star.select("a", F.col("end.node").alias("b")).distinct()), "links")
-    roots = grouped(near_rows.select("key", "node"), bits, near, verify, scratch, first)
+    star = scratch.keep(stars(member), "star", light=True)
+    pairs = star.select("a", F.explode(F.array("x", "y")).alias("b")).distinct()
+    first = scratch.keep(verify(pairs), "links")
+    roots = grouped(member, facts, near, verify, scratch, first)
     # the first place of every class that occurs twice or belongs to a group
-    rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("n > 1 OR root IS NOT NULL")
+    rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted", light=True)
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     kept = rooted.join(kept, "root").select("h", "kept")

@@ -199,6 +199,39 @@ def test_lines_equal_brute_force(make):
         assert (r.n_lines, r.n_removed, r.kept) == (len(own), sum((r.doc_id, k) in gone for k in range(len(own))), kept)
 
 
+def test_lines_equal_plain_edit_similarity(make):
+    """One changed letter, replaced word or dropped word in lines of all lengths, without any filter before the distance."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        words_ = prose(3000 + i, rng.choice([5, 6, 7, 8, 9, 12, 20, 40, 80])).split()
+        k = rng.randrange(len(words_))
+        new = {0: words_[k][:-1] + "z", 1: "q" * len(words_[k]), 2: ""}[i % 3]
+        changed = " ".join(w for w in [*words_[:k], new, *words_[k + 1 :]] if w)
+        rows += [(2 * i, " ".join(words_)), (2 * i + 1, changed)]
+    gone = set()
+    for (_, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        a, b = a.encode(), b.encode()
+        if len(b.split()) >= 5 and slow_distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            gone.add(j)
+    got = {r.doc_id for r in lines.deduplicate(make(rows), ["doc_id"]).collect() if r.n_removed}
+    assert len(gone) > 100 and got <= gone
+    assert len(got) >= 0.99 * len(gone)
+
+
+def test_segments_of_short_lines_meet():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = bytes(rng.choice(b"abcd ") for _ in range(rng.randint(9, 39)))
+        b = bytearray(a)
+        for _ in range(rng.randint(0, 3)):
+            kind, at = rng.randrange(3), rng.randrange(len(b))
+            b[at : at + (kind > 0)] = b"" if kind == 2 else bytes([rng.choice(b"abcd ")])
+        most = lines.edits(max(len(a), len(b)), 0.9)
+        if most and max(len(a), len(b)) < lines.EXACT and slow_distance(a, bytes(b)) <= most:
+            assert set(lines.segments(a, 0.9)) & set(lines.segments(bytes(b), 0.9)), (a, bytes(b))
+
+
 def test_lines_of_odd_documents(make, odd):
     got = lines.deduplicate(make(odd), ["doc_id", "h"]).collect()
     assert len(got) == len(odd)
