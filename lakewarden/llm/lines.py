@@ -7,7 +7,8 @@ are allowed, so one of them lies whole in the longer one, near its own place; no
 least hashes of their ``GRAM``-byte windows, ``BANDS`` pairs a line; those with fewer than ``SAME`` equal least hashes are not
 compared. Of every connected group the occurrence with the smallest id, then the first line, stays; all others go.
 
-Defined results: lines with fewer than ``least_words`` words never go. A null text counts as empty, with one empty line.
+Defined results: lines with fewer than ``least_words`` words never go, and lines without a word never; with 1, exact repeats
+go at any length, and near ones from the length in bytes at which ``similarity`` allows one edit (10 at 0.9). A null text counts as empty, with one empty line.
 Rows that repeat an id are told apart by their texts; equal ones keep or lose the same lines. A row with a null id loses
 nothing and makes no other one lose anything.
 """

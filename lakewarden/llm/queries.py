@@ -42,7 +42,7 @@ def op4_substring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.deduplicate(table(spark, folder, "documents"), ["doc_id"], texts=False).drop("kept")
+    return lines.deduplicate(table(spark, folder, "documents"), ["doc_id"], least_words=1, texts=False).drop("kept")
 
 
 def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:

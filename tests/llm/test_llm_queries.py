@@ -98,3 +98,13 @@ def test_ngram_join_equals_brute_force_at_five_words(spark, make):
     assert 0 < len(gone) < len(rows) // 2
     kept = {r.doc_id for r in corpus_pipeline.ngram_join(spark, make(rows), FOLDER).collect()}
     assert kept == {i for i, _ in rows} - gone
+
+
+def test_line_dedup_removes_short_repeats(spark, make):
+    short = ["all rights reserved", "ok", "全著作権所有無断転載禁止", "see section twelve"]
+    rows = [(i, "\n".join([prose(50 + i, 20), *short, "", "--"])) for i in range(3)]
+    rows.append((3, prose(60, 20) + "\nsee section twelvs"))
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make(rows), FOLDER).collect()}
+    assert left[0] == rows[0][1]
+    assert [left[i] for i in (1, 2)] == [prose(50 + i, 20) + "\n\n--" for i in (1, 2)]
+    assert left[3] == prose(60, 20)
