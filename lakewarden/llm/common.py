@@ -11,6 +11,7 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewarden.session import checkpoint_root
 
@@ -99,3 +100,12 @@ def share(rows: Column, total: int, wanted: int) -> Column:
     """Whether a row belongs to a sample of about ``wanted`` of ``total`` rows, decided by a hash."""
     part = min(1.0, wanted / max(1, total))
     return F.pmod(F.xxhash64(rows, F.lit("sample")), F.lit(1 << 30)) < int(part * (1 << 30))
+
+
+def kept_columns(docs: DataFrame, keep: list[str], new: list[str]) -> tuple[list[str], list[Column], list[T.StructField]]:
+    """The columns of ``keep`` whose names, in any case, are not among ``new``, as columns named by their place and as the
+    fields they become again; names may hold any sign."""
+    taken = {c.lower() for c in new}
+    names = [c for c in keep if c.lower() not in taken]
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in names]
+    return names, [docs[f"`{c.replace('`', '``')}`"].alias(f"__{i}") for i, c in enumerate(names)], fields

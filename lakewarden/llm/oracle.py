@@ -200,6 +200,38 @@ SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(round(weight * 1e9
 FROM run WHERE off < quota
 """
 
+MIDDLE = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
+  FROM documents
+),
+draws AS (
+  SELECT doc_id, t, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS one, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS two,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || x[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+),
+cuts AS (SELECT *, least(one, two) AS a, greatest(one, two) AS b FROM draws),
+parts AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cuts
+),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o
+  FROM parts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN o
+    WHEN 'psm' THEN split_part(split_part(o, '<S>', 1), '<P>', 2) || split_part(o, '<M>', 2)
+      || split_part(split_part(o, '<S>', 2), '<M>', 1)
+    ELSE split_part(split_part(o, '<P>', 2), '<M>', 1) || split_part(o, '<M>', 2)
+      || split_part(split_part(o, '<P>', 1), '<S>', 2) END) AS restored_sha256
+FROM made
+"""
+
 
 ORACLE = {
     "op1_mixing": _mixing(0.95, 4.0, 1.0),
@@ -207,4 +239,5 @@ ORACLE = {
     "op6_embeddings": EMBEDDINGS,
     "op7_personal": _personal(),
     "op8_jaccard": JACCARD,
+    "op13_middle": MIDDLE,
 }

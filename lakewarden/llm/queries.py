@@ -6,11 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import bpe, embeddings, fingerprint, jaccard, language, lines, mixing, personal, substring, toxicity
+from lakewarden.llm import (
+    bpe,
+    embeddings,
+    fingerprint,
+    jaccard,
+    language,
+    lines,
+    middle,
+    mixing,
+    packing,
+    personal,
+    substring,
+    toxicity,
+)
 from lakewarden.llm.common import held_out, table
 from lakewarden.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+PACKED_TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_model(docs: DataFrame) -> language.LanguageModel:
@@ -76,6 +90,20 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 2048 tokens; the contract sets no limit on their documents or attention cost."""
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKED_TOKENIZER), ["doc_id"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = middle.transform(table(spark, folder, "documents"), ["doc_id"], outputs=False)
+    return found.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        "output_sha256", "restored_sha256",
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -87,4 +115,6 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
+    "op13_middle": op13_middle,
 }
