@@ -200,6 +200,45 @@ SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(round(weight * 1e9
 FROM run WHERE off < quota
 """
 
+AUDIT = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+listed AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: CASE f
+      WHEN 'A' THEN len(ws) < 200
+      WHEN 'B' THEN 100 * len(list_distinct(ws)) < 50 * len(ws)
+      WHEN 'C' THEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t)
+      WHEN 'D' THEN regexp_matches(t, '[#$%&*|]')
+      ELSE coalesce(least < listed.doc_id, FALSE) END) AS fs
+  FROM listed LEFT JOIN marks ON listed.doc_id = marks.doc_id
+),
+counted AS (SELECT part, good, toxic, fs, count(*) AS n FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (SELECT array_to_string(o, '') AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS own, o[1 : step - 1] AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+cases AS (
+  SELECT *, list_contains(fs, own) AS fails, list_has_any(fs, before) AS earlier FROM counted, steps
+)
+SELECT part, filter_order, step,
+  CAST(sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails AND len(fs) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN fails AND NOT earlier AND good = 1 THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN fails AND NOT earlier AND toxic = 1 THEN n ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN fails THEN n * 120 // len(fs) ELSE 0 END) AS BIGINT) AS shapley
+FROM cases GROUP BY part, filter_order, step
+"""
+
 MIDDLE = """
 WITH h AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
@@ -239,5 +278,6 @@ ORACLE = {
     "op6_embeddings": EMBEDDINGS,
     "op7_personal": _personal(),
     "op8_jaccard": JACCARD,
+    "op12_audit": AUDIT,
     "op13_middle": MIDDLE,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import (
+    audit,
     bpe,
     embeddings,
     fingerprint,
@@ -96,6 +97,10 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
 def op13_middle(spark: SparkSession, folder: str) -> DataFrame:
     found = middle.transform(table(spark, folder, "documents"), ["doc_id"], outputs=False)
     return found.select(
@@ -116,5 +121,6 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_packing": op11_packing,
+    "op12_audit": op12_audit,
     "op13_middle": op13_middle,
 }
