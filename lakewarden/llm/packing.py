@@ -22,10 +22,12 @@ like a new one, in any case, are left out. A text is held in memory as a whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import isqrt
 
 import numpy as np
@@ -58,7 +60,8 @@ class Encoder:
     than ``longest`` characters isn't. Texts of other tokenizers go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -89,7 +92,7 @@ class Encoder:
             # all but the first part follow a space
             first, *rest = _PART.split(text)
             parts = [first, *[" " + p for p in rest]]
-            new = list(set(parts) - self.known.keys())
+            new = [p for p in set(parts) if p not in self.known]
             long: dict[str, bytes] = {}
             if new:
                 if len(self.known) + len(new) > self.most:
@@ -101,6 +104,12 @@ class Encoder:
             yield b"".join([known[p] if p in known else long[p] for p in parts] if long else map(known.__getitem__, parts))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs: what it remembers serves the next ones too."""
+    return Encoder(path)
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a sequence holds at most. Without a number of documents or a cost, those constraints never bind."""
@@ -206,10 +215,10 @@ def pieces(
     closing = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = Encoder(path), TaskContext.get().partitionId(), {}
+        own_encoder, task, seen = encoder(path), TaskContext.get().partitionId(), {}
         for batch in by_bytes(batches, len(names)):
             rows, out, tokens = [], [], []
-            for row, own in enumerate(encoder.encode([t or "" for t in batch.column(len(names)).to_pylist()])):
+            for row, own in enumerate(own_encoder.encode([t or "" for t in batch.column(len(names)).to_pylist()])):
                 own += closing
                 n = len(own) // 4
                 cuts = [0, *range(n % longest or min(n, longest), n, longest), n] if n else []
