@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,27 +39,28 @@ from pyspark.sql.window import Window
 
 from lakewarden.llm.common import Scratch, by_bytes, kept_columns, lean
 
-#: Code points beside which a text isn't parted, from the first to the last of each stretch: control signs, white space by any
-#: library's notion, and invisible ones. Fixed values.
-_UNSURE_POINTS = [
-    (0x00, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F),
-    (0x3000, 0x3000), (0xFEFF, 0xFEFF),
-]
-_UNSURE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _UNSURE_POINTS)
-#: A space between two plain characters: byte-level pre-tokenizers always part there, before the space.
-_PART = re.compile(f"(?<=[^{_UNSURE}]) (?=[^{_UNSURE}])")
+#: How byte-level pre-tokenizers part a text. Fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ranks of one length in the plan's keys.
 _RANKS = 1 << 44
 
 
+def byte_signs() -> dict[str, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable ones of Latin-1 for themselves, the others in
+    order from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
     """Token ids of whole texts, as the tokenizers library gives them, as 32-bit little-endian bytes.
 
-    Byte-level tokenizers treat what stands between two single spaces for itself, so its ids are remembered; what is longer
-    than ``longest`` characters isn't. Texts of other tokenizers go to the library whole.
+    A plain byte-level vocabulary whose ids follow its merges also goes to the faster tiktoken, which gives the same ids; texts
+    that hold an added token, and all texts of other tokenizers, are the library's.
     """
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
         from tokenizers import Tokenizer
 
@@ -69,44 +69,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        before = told["pre_tokenizer"] or {}
-        self.parts = (
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.fast = self._twin(told)
+
+    @staticmethod
+    def _twin(told: dict):
+        before, model = told["pre_tokenizer"] or {}, told["model"]
+        plain = (
             told["normalizer"] is None and told["post_processor"] is None and before.get("type") == "ByteLevel"
-            and before.get("use_regex", True) and not before["add_prefix_space"]
-            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])
+            and before.get("use_regex", True) and not before["add_prefix_space"] and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         )
-        self.most, self.longest = most, longest
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if not plain:
+            return None
+        signs, vocabulary = byte_signs(), model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        added = {t["content"] for t in told["added_tokens"]}
+        ranked = {vocabulary.get(sign, 256) < 256 for sign in signs} == {True} and all(
+            vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)
+        )
+        known = {t: i for t, i in vocabulary.items() if t not in added}
+        if not ranked or len(known) != 256 + len(merges):
+            return None
+        import tiktoken
+
+        ranks = {bytes(signs[c] for c in token): i for token, i in known.items()}
+        return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        if not self.parts:
-            for text in texts:
-                yield from self._ids([text])
-            return
         for text in texts:
-            # all but the first part follow a space
-            first, *rest = _PART.split(text)
-            parts = [first, *[" " + p for p in rest]]
-            new = [p for p in set(parts) if p not in self.known]
-            long: dict[str, bytes] = {}
-            if new:
-                if len(self.known) + len(new) > self.most:
-                    self.known.clear()
-                    new = list(set(parts))
-                for part, ids in zip(new, self._ids(new), strict=True):
-                    (self.known if len(part) <= self.longest and len(self.known) < self.most else long)[part] = ids
-            known = self.known
-            yield b"".join([known[p] if p in known else long[p] for p in parts] if long else map(known.__getitem__, parts))
+            if self.fast and not any(a in text for a in self.added):
+                yield np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            else:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks that a Python worker runs: what it remembers serves the next ones too."""
+    """One encoder for all tasks that a Python worker runs."""
     return Encoder(path)
 
 
