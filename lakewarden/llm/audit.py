@@ -3,7 +3,7 @@
 Five filters judge a document: A (few words), B (repeated words), C (capitals), D (symbols), E (its text belongs to a smaller
 id). The first four depend on the row alone; the fifth changes when a smaller id arrives later. All files are read as
 available-now micro-batches of a stream. Its keyed state holds the least id of every text, with what that document counts for;
-texts share a state by the hash of their digest, some hundred in one, so states stay small however many there are. When a
+texts share a state by the hash of their digest, some dozens in one, so states stay small however many there are. When a
 smaller id arrives, the state takes back the counts of the document that was least so far and counts it again as failing E.
 Changes of the counters (part, mask of failed filters, labels) are summed in the task and appended to a table; the sums of
 that table are the counters, at most 128 rows a part, and every order and step of the filters follows from them.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import SPACES, Scratch, lean
+from lakewarden.llm.common import Scratch, lean
 
 FILTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(FILTERS)}
@@ -43,19 +43,19 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition takes megabytes in advance
 }
 
 
 def row_mask(text: Column, least_words: int = 200, distinct_percent: int = 50, capital_percent: int = 3, symbols: str = "#$%&*|") -> Column:
     """The filters A to D that a text fails, as bits."""
-    words = F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     n = F.size(words)
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]", ""))
     fails = {
         "A": n < least_words,
         "B": F.size(F.array_distinct(words)) * 100 < n * distinct_percent,
-        "C": capitals.cast("long") * 100 > F.length(text).cast("long") * capital_percent,
-        "D": F.length(F.translate(text, symbols, "")) < F.length(text),
+        "C": F.regexp_count(text, F.lit("[A-Z]")).cast("long") * 100 > F.length(text).cast("long") * capital_percent,
+        "D": text.rlike("[" + "".join(f"\\{c}" for c in symbols) + "]"),
     }
     return sum((F.when(fail, BIT[letter]).otherwise(0) for letter, fail in fails.items()), F.lit(0))
 
@@ -156,7 +156,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def counters(
     spark: SparkSession, path: str, labels: DataFrame, folder: str | None = None, by: str = "doc_id", text: str = "text",
-    part: str = "lang", batches: int = 4, texts_per_state: int = 256, **thresholds,
+    part: str = "lang", batches: int = 4, texts_per_state: int = 64, **thresholds,
 ) -> DataFrame:
     """``part``, ``mask``, ``quality``, ``toxic`` and ``n``, the number of rows, after all files of ``path`` that ``folder`` has
     not seen yet. The files are dealt to about ``batches`` micro-batches."""
