@@ -42,6 +42,10 @@ class Scratch:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
+        # shuffles of plans that are done are deleted once the collector has seen that nobody holds them
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()
         return back
 
     def drop(self, *tables: DataFrame) -> None:

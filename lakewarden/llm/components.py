@@ -91,22 +91,22 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
     raise RuntimeError("the components did not settle")
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows of ``key``, ``node`` whose key more than one row has; keys are counted before they are joined, and a key
-    with very many rows can be split in the join."""
-    several = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    return keyed.join(several, "key").distinct()
+def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``key``, ``node`` whose key several nodes have, each once, as a table. Keys are counted before they are joined,
+    so that a key with very many rows can be split in the join; nothing but keys and nodes is shuffled."""
+    keyed = scratch.keep(keyed, "keyed")
+    bounds = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    several = scratch.keep(bounds.where("lo < hi").select("key"), "several", light=True)
+    member = scratch.keep(keyed.join(several, "key").distinct(), "members", light=True)
+    scratch.drop(keyed, several)
+    return member
 
 
-def stars(member: DataFrame) -> DataFrame:
-    """``a``, ``b``: every node with the least and the greatest of the leaders, the least nodes, of its keys."""
-    leaders = member.groupBy("key").agg(F.min("node").alias("lead"))
-    return (
-        member.join(leaders, "key")
-        .where("node <> lead")
-        .groupBy(F.col("node").alias("a"))
-        .agg(F.min("lead").alias("x"), F.max("lead").alias("y"))
-    )
+#: Rounds in which open nodes are compared with leaders of their keys, at most, and how many pairs a row of an open key may
+#: lead to when they end early.
+ROUNDS, FEW = 6, 4
+#: Keys of a node, the least ones, by which a pair that shares several is told to have met before.
+SEEN = 8
 
 
 def grouped(
@@ -115,23 +115,61 @@ def grouped(
     near: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    first: DataFrame,
 ) -> DataFrame:
     """``node`` and ``root`` of the components under ``verify``, for nodes that share keys.
 
     ``member`` has ``key`` and ``node``, each pair once; ``facts`` has one row per node with what ``near`` needs to rule out
-    a pair; ``verify`` keeps the linked ones of the pairs ``a``, ``b``. ``first`` holds links that were found with leaders of
-    the keys, about one or a few per node. The nodes that then still share a key with another component are compared across
-    components. A pair within a component needs no comparison, so no key is expanded into all of its pairs, and no link
-    between two components is lost.
+    a pair; ``verify`` keeps the linked ones of the pairs ``a``, ``b``.
+
+    A key is open while its nodes lie in several components. In every round each node of an open key is compared with at most
+    two leaders, nodes of another component that a hash of the node and the round picks for each key, and the links found are
+    contracted. Rounds end when hardly anything is open or no link was found. Then the nodes that still share a key with another
+    component are compared across components, every pair once, as far as ``near`` allows. A pair within a component
+    needs no comparison, so no key is expanded into all of its pairs, and no link between two components is lost.
     """
-    roots = components(first, scratch)
-    known = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    known = scratch.keep(known, "members", light=True)
-    edge = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.keep(known.join(edge, "key").join(facts, "node"), "open", light=True)
-    x, y = open_.alias("x"), open_.alias("y")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        one, two = facts.withColumnRenamed("node", "a").alias("one"), facts.withColumnRenamed("node", "b").alias("two")
+        return pairs.join(one, "a").join(two, "b").where(near("one", "two")).select("a", "b")
+
+    links = open_ = None
+    roots = member.select("node", F.col("node").alias("root")).limit(0)
+    for turn in range(ROUNDS + 1):
+        known = member if open_ is None else open_.select("key", "node")
+        rooted = known.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rooted = scratch.keep(rooted, "rooted", light=True)
+        lots = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        lots = lots.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("roots"))
+        lots = scratch.keep(lots.where("roots > 1"), "open-keys", light=True)
+        before, open_ = open_, scratch.keep(rooted.join(lots.select("key"), "key"), "open", light=True)
+        size = lots.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2).alias("pairs")).first()
+        scratch.drop(rooted, lots, *[before] * (before is not None))
+        if not size["rows"]:
+            return roots
+        if turn == ROUNDS or turn and size["pairs"] <= FEW * size["rows"]:
+            break
+        rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
+        leaders = open_.groupBy("key").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
+        led = open_.join(leaders, "key").select("node", "root", F.explode(F.array("x", "y")).alias("to"))
+        led = led.where(F.col("root") != F.col("to.root")).groupBy("node").agg(F.min("to").alias("x"), F.max("to").alias("y"))
+        led = led.select(F.col("node").alias("a"), F.explode(F.array("x.node", "y.node")).alias("b")).distinct()
+        found = scratch.keep(verify(close(led)), "links")
+        if not found.take(1):
+            scratch.drop(found)
+            break
+        links = found if links is None else links.union(found)
+        roots = components(links, scratch)
+    own = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SEEN).alias("least"))
+    nodes = scratch.keep(own.join(facts, "node"), "open-nodes", light=True)
+    held = scratch.keep(open_.join(nodes, "node"), "held", light=True)
+    x, y = held.alias("x"), held.alias("y")
+    # of the keys that both have among their least ones the pair counts at the first only
+    met = F.array_min(F.array_intersect("x.least", "y.least"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x", "y")
-    crossing = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = scratch.keep(verify(crossing), "links")
-    return components(first.union(second), scratch) if second.take(1) else roots
+    crossing = x.join(y, apart & (F.coalesce(met, F.col("x.key")) == F.col("x.key")))
+    crossing = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = scratch.keep(verify(crossing), "links")
+    if found.take(1):
+        roots = components(found if links is None else links.union(found), scratch)
+    scratch.drop(held, nodes, open_)
+    return roots

@@ -7,10 +7,9 @@ At a Jaccard similarity of t, d is at most (1 - t) / t times the smaller size. S
 document sends d + 1 of its blocks, those with the most shingles first, as keys. By the pigeonhole principle two
 documents of the wanted similarity share a key. Only documents that share a key are compared, on their whole sets.
 
-Documents with equal sets are one class from the start. In a first round every class is compared with one or two leaders
-of its keys. Components are formed, and in a second round the classes that share a key but not a component are compared
-with each other as far as the sketches allow, so no link between two components is lost and no group is expanded into
-pairs.
+Documents with equal sets are one class from the start. In rounds every class is compared with one or two leaders of its keys,
+and components are formed. Then the classes that share a key but not a component are compared with each other, every pair
+once, as far as the sketches allow, so no link between two components is lost and no group is expanded into pairs.
 
 Defined results: a null text counts as empty. A document without words has an empty set and links with nothing, also not
 with another empty one. A text with fewer words than a shingle has one shingle, its whole sequence. Rows that repeat an id
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import Scratch, by_bytes, lean
-from lakewarden.llm.components import grouped, shared_keys, stars
+from lakewarden.llm.components import grouped, shared_keys
 from lakewarden.llm.wordhash import mix, rows_of, sum_by_row, windows, words
 
 #: Words of the sketch of single bits, 64 bits each.
@@ -163,7 +162,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
     owners = classes.select(F.col("cls").alias("c"), "rep", "rep_tag")
     owned = (F.col("cls") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
     keyed = sketched.where("n > 0").join(owners, owned, "left_semi").select("cls", F.explode("keys").alias("key"))
-    member = scratch.keep(shared_keys(keyed.withColumnRenamed("cls", "node")), "members")
+    member = shared_keys(keyed.withColumnRenamed("cls", "node"), scratch)
     several = scratch.keep(member.select(F.col("node").alias("cls")).distinct().join(classes, "cls"), "several", light=True)
     # the classes that share keys grow with the corpus, so they are never broadcast
     same_text = rows["id"].eqNullSafe(several["rep"]) & (rows["tag"] == several["rep_tag"])
@@ -174,6 +173,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
         sketched.join(several.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
         .select(F.col("cls").alias("node"), "bits", "n")
     )
+    facts = scratch.keep(facts, "facts", light=True)
 
     def near(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -184,12 +184,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
     def verify(pairs: DataFrame) -> DataFrame:
         return _verify(pairs, sets, percent)
 
-    # the least leader first; the greatest one for those that it isn't linked to
-    star = scratch.keep(stars(member), "star", light=True)
-    least = scratch.keep(verify(star.select("a", F.col("x").alias("b"))), "links")
-    again = star.where("x <> y").join(least.select("a"), "a", "left_anti").select("a", F.col("y").alias("b"))
-    first = least.union(scratch.keep(verify(again), "links"))
-    found = grouped(member, facts, near, verify, scratch, first)
+    found = grouped(member, facts, near, verify, scratch)
     rooted = classes.join(found.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("root")
     )

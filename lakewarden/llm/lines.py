@@ -2,15 +2,23 @@
 
 A line is normalised to its words: runs of ASCII letters and digits and of all other letters above ASCII, A-Z folded,
 joined by a space. Equal normalised lines are one class. Two classes are linked if their edit similarity in bytes is
-``similarity`` or more. Lines under ``EXACT`` bytes meet by segments: the shorter one is cut into one more segment than edits
-are allowed, so one of them lies whole in the longer one, near its own place; no link is lost. Other lines meet by pairs of
-least hashes of their ``GRAM``-byte windows, ``BANDS`` pairs a line; those with fewer than ``SAME`` equal least hashes are not
-compared. Of every connected group the occurrence with the smallest id, then the first line, stays; all others go.
+``similarity`` or more; of every connected group the occurrence with the smallest id, then the first line, stays, and all
+others go.
+
+Classes meet by blocks of a SimHash over the ``FEATURE``-byte windows of the line: ``BLOCKS`` blocks of ``WIDTH`` bits, so that
+lines whose SimHashes differ in fewer bits than there are blocks share one. Six bits alone select little, and wider
+blocks lose near lines, so each block stands together with the least hash of the line's ``WINDOW``-byte windows in
+an order of its own. Lines that meet are compared if the bits between their SimHashes are within ``reach``, which was measured by
+length, and linked by their edit distance. Lines under ``EXACT`` bytes have too few windows and meet by segments instead: the
+shorter one is cut into one more segment than edits are allowed, so one of them lies whole in the longer one, near its own
+place.
+
+Only keys and class hashes are shuffled to find keys that several classes have; lines are fetched for the classes that share one.
 
 Defined results: lines with fewer than ``least_words`` words never go, and lines without a word never; with 1, exact repeats
 go at any length, and near ones from the length in bytes at which ``similarity`` allows one edit (10 at 0.9). A null text counts as empty, with one empty line.
 Rows that repeat an id are told apart by their texts; equal ones keep or lose the same lines. A row with a null id loses
-nothing and makes no other one lose anything.
+nothing and makes no other one lose anything. Columns of ``keep`` that are named like a new one, in any case, are left out.
 """
 
 from __future__ import annotations
@@ -23,21 +31,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakewarden.llm.common import Scratch, by_bytes, lean
-from lakewarden.llm.components import grouped, shared_keys, stars
+from lakewarden.llm.common import Scratch, by_bytes, kept_columns, lean
+from lakewarden.llm.components import grouped, shared_keys
 from lakewarden.llm.wordhash import mix, raw, stretches, words_in
 
 #: ASCII bytes that belong to no word.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Lines under so many bytes meet by segments, and bytes of the windows of the others.
-EXACT, GRAM = 40, 6
-#: Pairs of least hashes of a line, and how many least hashes of near lines are equal at least.
-BANDS, SAME = 24, 5
-#: Not read here: SimHashes of words of unrelated lines are seldom this near, so a brute force can skip the pairs beyond.
-FAR = 20
-_TURNS = np.random.default_rng(5).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Lines under so many bytes meet by segments.
+EXACT = 40
+#: Bytes of the windows that the SimHash sums up, and of those whose least hash stands beside a block.
+FEATURE, WINDOW = 4, 12
+#: Blocks of a SimHash and bits of a block.
+BLOCKS, WIDTH = 12, 6
+#: The most bits in which SimHashes of near lines differ, by their length in bytes: over the largest distances between lines
+#: of edit similarity 0.9 in the given tables (20, 17, 15 and 13 bits). Fixed values, as measured.
+REACH = [(100, 28), (200, 24), (400, 22), (2**62, 20)]
+#: Classes that a task remembers to send their keys once.
+REMEMBERED = 500_000
+_TURNS = np.random.default_rng(5).integers(0, 2**63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SIGN = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def normalised(line: bytes) -> bytes:
@@ -74,26 +89,68 @@ def segments(line: bytes, similarity: float) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(b"%d %d %d " % k[:3] + k[3], digest_size=8).digest(), "little", signed=True) for k in out]
 
 
-def least_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The least hashes of the windows of each line, a line of the result for each turn; the lines lie in ``text`` in order."""
-    out = np.zeros((len(_TURNS), len(begin)), np.uint64)
+def _windows(part: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place on, four to sixteen; those near the end are cut off."""
+    part = part.astype(np.uint64)
+    eight = np.zeros(len(part), np.uint64)
+    for j in range(min(size, 8)):
+        eight[: len(part) - j] |= part[j:] << np.uint64(8 * j)
+    out = mix(eight)
+    if size > 8:  # the last eight bytes overlap the first ones
+        out[: len(out) - size + 8] = mix(out[: len(out) - size + 8] ^ (eight[size - 8 :] * _SIGN))
+    return out
+
+
+def _slices(begin: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     at = 0
-    while at < len(begin):  # some two million bytes at a time
-        stop = max(at + 1, int(np.searchsorted(begin, begin[at] + 2_000_000)))
-        part = text[begin[at] : begin[stop - 1] + length[stop - 1]].astype(np.uint64)
-        windows_ = np.zeros(len(part) - GRAM + 1, np.uint64)
-        for j in range(GRAM):
-            windows_ |= part[j : j + len(windows_)] << np.uint64(8 * j)
-        number = length[at:stop] - GRAM + 1
+    while at < len(begin):
+        stop = max(at + 1, int(np.searchsorted(begin, begin[at] + most)))
+        yield at, stop
+        at = stop
+
+
+def simhashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The blocks of the SimHash of each line; the lines lie in ``text`` in order and have ``FEATURE`` bytes at least."""
+    out = np.zeros((len(begin), BLOCKS), np.uint8)
+    for at, stop in _slices(begin, length, 100_000):
+        number = length[at:stop] - FEATURE + 1
         start = np.concatenate([[0], np.cumsum(number)[:-1]])
         place = np.repeat(begin[at:stop] - begin[at] - start, number) + np.arange(number.sum())
-        windows_ = mix(windows_[place])
+        one = _windows(text[begin[at] : begin[stop - 1] + length[stop - 1]], FEATURE)[place]
+        both = np.stack([one, mix(one ^ _SIGN)], axis=1).view(np.uint8)  # more bits than the blocks need
+        bits = np.unpackbits(both, axis=1)[:, : BLOCKS * WIDTH]
+        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+        more = (2 * ones > number[:, None]).reshape(-1, BLOCKS, WIDTH)
+        out[at:stop] = (more << np.arange(WIDTH, dtype=np.uint8)).sum(axis=2)
+    return out
+
+
+def least_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The least hashes of the windows of each line, a column for each block."""
+    out = np.zeros((len(begin), BLOCKS), np.uint64)
+    for at, stop in _slices(begin, length, 1_000_000):
+        number = length[at:stop] - WINDOW + 1
+        start = np.concatenate([[0], np.cumsum(number)[:-1]])
+        place = np.repeat(begin[at:stop] - begin[at] - start, number) + np.arange(number.sum())
+        hashes = _windows(text[begin[at] : begin[stop - 1] + length[stop - 1]], WINDOW)[place]
         for t, turn in enumerate(_TURNS):
-            out[t, at:stop] = np.minimum.reduceat(windows_ * turn, start)
-        at = stop
+            out[at:stop, t] = np.minimum.reduceat(hashes * turn, start)
     return out
 
 
+def block_keys(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The keys of each line, one for each block of its SimHash."""
+    block = simhashes(text, begin, length).astype(np.uint64) + np.arange(BLOCKS, dtype=np.uint64) * np.uint64(1 << WIDTH)
+    return mix(least_hashes(text, begin, length) ^ mix(block)).view(np.int64)
+
+
+def packed(blocks: np.ndarray) -> np.ndarray:
+    """The SimHash of each line as two numbers."""
+    wide = np.zeros((len(blocks), 16), np.uint8)
+    wide[:, :BLOCKS] = blocks
+    return wide.view(np.int64)
+
+
 def distance(one: bytes, other: bytes, most: int) -> int | None:
     """Edit distance in bytes if it is at most ``most``.
 
@@ -137,57 +194,69 @@ def _common(one: bytes, other: bytes, way: int) -> int:
     return int(differing.argmax()) if differing.any() else k
 
 
-def _listed(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """For every document its lines with enough words, as an array: hash, bytes, number, keys, and the low bytes of the least
-    hashes."""
-    line = "array<struct<h: long, n: long, line: long, keys: array<long>, s: array<long>>>"
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, lines {line}"
+def _lines_of(column: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
+    """Of all lines with enough words: the row, the number within it, the hash, and the normalised text that holds them, with
+    the begin and the length of each."""
+    data, bounds = raw(column)
+    feeds = np.flatnonzero(data == 10) + 1
+    edges = np.union1d(bounds, feeds)
+    hashes, at, starts, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
+    # the normalised text: every word and a space
+    off = np.concatenate([[0], np.cumsum(sizes + 1)])
+    source = np.repeat(starts - off[:-1], sizes + 1) + np.arange(off[-1])
+    text = data[np.minimum(source, len(data) - 1)] if len(source) else np.zeros(0, np.uint8)
+    text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
+    text[off[1:] - 1] = 32
+    words = np.diff(at)
+    chosen = np.flatnonzero(words >= max(1, least_words))
+    begin, length = off[at[:-1][chosen]], off[at[1:][chosen]] - off[at[:-1][chosen]] - 1
+    start = edges[:-1][chosen]
+    row = np.searchsorted(bounds, start, side="right") - 1
+    # line numbers within the text: line feeds before the line, less those before the text
+    number = np.searchsorted(feeds, start, side="right") - np.searchsorted(feeds, bounds[row], side="right")
+    return row, number, stretches(hashes, at[:-1][chosen], words[chosen]).view(np.int64), text, begin, length
+
+
+def _listed(docs: DataFrame, least_words: int) -> DataFrame:
+    """For every document its lines with enough words, as an array of hash and number."""
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, lines array<struct<h: long, line: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1_000_000):
-            data, bounds = raw(batch.column("text"))
-            feeds = np.flatnonzero(data == 10) + 1
-            edges = np.union1d(bounds, feeds)
-            hashes, at, starts, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
-            # the normalised text: every word and a space
-            off = np.concatenate([[0], np.cumsum(sizes + 1)])
-            source = np.repeat(starts - off[:-1], sizes + 1) + np.arange(off[-1])
-            text = data[np.minimum(source, len(data) - 1)] if len(source) else np.zeros(0, np.uint8)
-            text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
-            text[off[1:] - 1] = 32
-            words = np.diff(at)
-            chosen = np.flatnonzero(words >= max(1, least_words))
-            begin, length = off[at[:-1][chosen]], off[at[1:][chosen]] - off[at[:-1][chosen]] - 1
-            start = edges[:-1][chosen]
-            row = np.searchsorted(bounds, start, side="right") - 1
-            # line numbers within the text: line feeds before the line, less those before the text
-            number = np.searchsorted(feeds, start, side="right") - np.searchsorted(feeds, bounds[row], side="right")
-            keys = np.zeros((len(chosen), 0), np.int64).tolist()
-            marks = [[] for _ in keys]
-            for i in np.flatnonzero(length < EXACT):
-                keys[i] = segments(text[begin[i] : begin[i] + length[i]].tobytes(), similarity)
-            # a line that is a little shorter than EXACT can be near one that is not
-            long = np.flatnonzero(length >= int(EXACT * similarity))
-            if len(long):
-                least = least_hashes(text, begin[long], length[long])
-                band = mix(least[::2] ^ mix(least[1::2] + np.arange(BANDS, dtype=np.uint64)[:, None])).T.view(np.int64)
-                low = np.ascontiguousarray((least >> np.uint64(32)).astype(np.uint8).T).view(np.int64)
-                for i, k, m in zip(long, band.tolist(), low.tolist(), strict=True):
-                    keys[i] += k
-                    marks[i] = m
-            values = [
-                pa.array(stretches(hashes, at[:-1][chosen], words[chosen]).view(np.int64)), pa.array(length), pa.array(number),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())),
-            ]
+            row, number, h, *_ = _lines_of(batch.column("text"), least_words)
             lists = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            found = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays(values, ["h", "n", "line", "keys", "s"]))
+            found = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(h), pa.array(number)], ["h", "line"]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), found], ["id", "tag", "lines"])
 
     return docs.mapInArrow(lean(run), schema).where(F.size("lines") > 0)
 
 
+def _keyed(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """``key`` and ``node`` of every line; a task sends those of a class once, as far as it remembers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in by_bytes(batches, "text", 1_000_000):
+            _, _, h, text, begin, length = _lines_of(batch.column("text"), least_words)
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            new = np.array([not (x in sent or sent.add(x)) for x in h.tolist()], bool)
+            h, begin, length = h[new], begin[new], length[new]
+            # a line that is a little shorter than EXACT can be near one that is not
+            long = length >= int(EXACT * similarity)
+            keys = [block_keys(text, begin[long], length[long]).ravel()]
+            nodes = [np.repeat(h[long], BLOCKS)]
+            for i in np.flatnonzero(length < EXACT):
+                own = segments(text[begin[i] : begin[i] + length[i]].tobytes(), similarity)
+                keys.append(np.array(own, np.int64))
+                nodes.append(np.full(len(own), h[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return docs.select("text").mapInArrow(lean(run), "key long, node long")
+
+
 def _texts(asked: DataFrame) -> DataFrame:
-    """``node`` and the normalised text of the asked lines."""
+    """``node``, the normalised text of the asked lines, its length and its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -197,12 +266,21 @@ def _texts(asked: DataFrame) -> DataFrame:
                 for w in wanted:
                     nodes.append(w["node"])
                     lines.append(normalised(own[w["line"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], ["node", "words"])
+            length = np.array([len(x) for x in lines], np.int64)
+            begin = np.cumsum(length) - length
+            marks = np.zeros((len(lines), 2), np.int64)
+            long = length >= FEATURE
+            marks[long] = packed(simhashes(np.frombuffer(b"".join(lines), np.uint8), begin[long], length[long]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()), pa.array(length), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
+                ["node", "words", "n", "s", "t"],
+            )
 
-    return asked.mapInArrow(lean(run), "node long, words binary")
+    return asked.mapInArrow(lean(run), "node long, words binary, n long, s long, t long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` that are near by their edit distance."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b"
     )
@@ -219,70 +297,56 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _near(x: str, y: str, similarity: float) -> Column:
-    """Whether two lines can be near: by their lengths, and long ones by their equal least hashes."""
+    """Whether two lines can be near: by their lengths, and long ones by their SimHashes."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     more = F.greatest(n, m)
-
-    def unlike(p: Column, q: Column) -> Column:  # bytes that differ
-        z = p.bitwiseXOR(q)
-        for k in (4, 2, 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
-        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-
-    far = F.aggregate(F.zip_with(f"{x}.s", f"{y}.s", unlike), F.lit(0), lambda s, v: s + v)
     close = F.abs(n - m) <= F.floor((1 - similarity) * more + 1e-9)
-    return close & ((more < EXACT) | (far <= 2 * BANDS - SAME))
+    bits = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("s", "t"))
+    reach = F.lit(REACH[-1][1])
+    for below, most in reversed(REACH[:-1]):
+        reach = F.when(more < below, most).otherwise(reach)
+    return close & ((more < EXACT) | (bits <= reach))
 
 
 def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: int) -> DataFrame:
     """``id``, ``tag`` and ``gone``, the numbers of the lines that go."""
-    listed = scratch.keep(_listed(docs.where("id IS NOT NULL"), least_words, similarity), "lines")
+    docs = docs.where("id IS NOT NULL")
+    listed = scratch.keep(_listed(docs, least_words), "lines")
     each = listed.select("id", "tag", F.explode("lines").alias("x")).select("id", "tag", "x.h", "x.line")
     place = F.struct("id", "tag", "line")
     classes = scratch.keep(each.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("c")), "classes")
-    # one line of each class sends its keys
-    own = listed.select("id", "tag", F.explode("lines").alias("x")).select("id", "tag", "x.*")
-    own = own.join(classes.select(F.col("h").alias("k"), "first"), (F.col("h") == F.col("k")) & (place == F.col("first")))
-    own = scratch.keep(own.dropDuplicates(["h"]).select(F.col("h").alias("node"), "n", "s", "keys", "first"), "own")
-    shared = scratch.keep(shared_keys(own.select("node", F.explode("keys").alias("key"))), "keys")
-    facts = own.select("node", "n", "s")
-    held = scratch.keep(shared.join(facts, "node"), "held")
-    x, y = held.alias("x"), held.alias("y")
-    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & _near("x", "y", similarity)
-    member = scratch.keep(x.join(y, other, "left_semi").select("key", "node"), "members", light=True)
+    member = shared_keys(_keyed(docs, least_words, similarity), scratch)
     nodes = member.select("node").distinct()
     wanted = (
-        own.select("node", "first").join(nodes, "node").groupBy("first.id", "first.tag")
+        classes.select(F.col("h").alias("node"), "first").join(nodes, "node").groupBy("first.id", "first.tag")
         .agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
     )
     # what is asked for grows with the corpus, so it is never broadcast
     asked = docs.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text", "wanted")
     texts = scratch.keep(_texts(asked), "texts")
-    facts = scratch.keep(facts.join(nodes, "node"), "facts", light=True)
 
     def near(x: str, y: str) -> Column:
         return _near(x, y, similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one, two = facts.toDF("a", "n", "s").alias("one"), facts.toDF("b", "n", "s").alias("two")
-        close = pairs.join(one, "a").join(two, "b").where(near("one", "two"))
-        return _verify(close.select("a", "b"), texts, similarity)
-
-    star = scratch.keep(stars(member), "star", light=True)
-    pairs = star.select("a", F.explode(F.array("x", "y")).alias("b")).distinct()
-    first = scratch.keep(verify(pairs), "links")
-    roots = grouped(member, facts, near, verify, scratch, first)
+        return _verify(pairs, texts, similarity)
+
+    roots = grouped(member, texts.select("node", "n", "s", "t"), near, verify, scratch)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted", light=True)
+    scratch.drop(texts, classes, member)
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     kept = rooted.join(kept, "root").select("h", "kept")
-    return (
+    gone = (
         each.join(kept, "h")
         .where((F.col("id") != F.col("kept.id")) | (F.col("tag") != F.col("kept.tag")) | (F.col("line") != F.col("kept.line")))
         .groupBy("id", "tag")
         .agg(F.collect_set("line").alias("gone"))
     )
+    gone = scratch.keep(gone, "gone", light=True)
+    scratch.drop(listed, rooted)
+    return gone
 
 
 def deduplicate(
@@ -294,13 +358,11 @@ def deduplicate(
     scratch = Scratch(docs.sparkSession, "lines")
     body = F.coalesce(F.col(text), F.lit(""))
     new = ["n_lines", "n_removed", "kept", "kept_sha256"]
-    keep = [c for c in keep if c not in new]
+    keep, columns, fields = kept_columns(docs, keep, new)
     rows = docs.select(F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text"))
-    gone = scratch.keep(removed(rows, scratch, similarity, least_words), "gone", light=True)
-    whole = docs.select(
-        *[F.col(c).alias(f"__{c}") for c in keep], F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text")
-    )
-    joined = whole.join(gone.hint("merge"), ["id", "tag"], "left").select(*[f"__{c}" for c in keep], "text", "gone")
+    gone = removed(rows, scratch, similarity, least_words)
+    whole = docs.select(*columns, F.col(by).alias("id"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    joined = whole.join(gone.hint("merge"), ["id", "tag"], "left").select(*[f"__{i}" for i in range(len(keep))], "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -323,5 +385,6 @@ def deduplicate(
                 [*keep, *new],
             )
 
-    fields = "".join(f"`{c}` {joined.schema[f'__{c}'].dataType.simpleString()}, " for c in keep)
-    return joined.mapInArrow(lean(run), f"{fields}n_lines long, n_removed long, kept string, kept_sha256 string")
+    kinds = [T.LongType(), T.LongType(), T.StringType(), T.StringType()]
+    schema = T.StructType(fields + [T.StructField(c, k) for c, k in zip(new, kinds, strict=True)])
+    return joined.mapInArrow(lean(run), schema)

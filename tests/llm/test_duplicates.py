@@ -6,7 +6,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from llm_texts import prose
@@ -14,7 +13,6 @@ from lakewarden.llm import components as components_module
 from lakewarden.llm import embeddings, jaccard, lines, substring
 from lakewarden.llm.common import Scratch
 from lakewarden.llm.components import components
-from lakewarden.llm.wordhash import mix, words
 
 
 def roots(nodes, links):
@@ -144,30 +142,22 @@ def test_distance_equals_the_plain_program():
         assert lines.distance(a, bytes(b), most) == (want if want <= most else None)
 
 
-def slow_simhash(line):
-    """Majority over the distinct words, weighed by their bytes."""
-    words_ = sorted(set(line.split()))
-    hashes, _, _ = words(pa.array([b" ".join(words_).decode()]), lower=True, breaks=lines.BREAKS)
-    bits = np.unpackbits(mix(hashes >> np.uint64(28)).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
-    weight = np.array([min(len(w), 255) for w in words_])
-    return int(np.packbits((bits * weight[:, None]).sum(axis=0) * 2 > weight.sum()).view(np.uint64)[0])
-
-
 def lines_removed(rows, similarity=0.9, least=5):
-    place, nodes = {}, {}
+    """The places that go and the links, by the edit distance of all pairs of lines."""
+    place, nodes = {}, set()
     for i, text in rows:
         for k, line in enumerate((text or "").encode().split(b"\n")):
             norm = lines.normalised(line)
             if i is not None and len(norm.split()) >= least:
-                nodes.setdefault(norm, slow_simhash(norm))
+                nodes.add(norm)
                 place.setdefault(norm, []).append((i, k))
     names = sorted(nodes)
     links = []
     for x, a in enumerate(names):
         for b in names[:x]:
-            if bin(nodes[a] ^ nodes[b]).count("1") <= lines.FAR:
-                if slow_distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
-                    links.append((a, b))
+            most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and lines.distance(a, b, most) is not None:
+                links.append((a, b))
     root = roots(names, links)
     groups = {}
     for n in names:
