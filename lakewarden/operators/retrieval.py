@@ -23,6 +23,7 @@ from ..functions.similarity import article_numbers, sentences, word_set
 from ..functions.text import WS, strip, strip_accents
 from ..functions.vectors import term_weights, with_terms
 from ..session import cut
+from .blocks import top_in_blocks
 
 # The sentence of an answer without support, and scores of non-vector hits.
 NO_SUPPORT = "No se encontró sustento suficiente en los documentos cargados."
@@ -140,45 +141,20 @@ def _scan_top(
     )
 
 
-def _dense(rows: pa.StructArray, dim: int) -> np.ndarray:
-    """Whole-number vectors from their buckets and counts."""
-    buckets, counts = rows.field("buckets"), rows.field("counts")
-    row = np.repeat(np.arange(len(rows)), buckets.value_lengths().to_numpy())
-    slot = row * dim + buckets.flatten().to_numpy()
-    weights = counts.flatten().to_numpy()
-    return np.bincount(slot, weights=weights, minlength=len(rows) * dim).reshape(len(rows), dim)
-
-
-def _term_scores(dim: int):
-    def score(rows: pa.StructArray, queries: pa.StructArray) -> np.ndarray:
-        """Cosine of whole-number vectors: exact products, one division."""
-        asked = _dense(queries, dim)
-        norms = rows.field("norm2").to_numpy()
-        size = np.sqrt(np.multiply.outer(norms, (asked * asked).sum(axis=1)))
-        dots = _dense(rows, dim) @ asked.T
-        return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
-
-    return score
-
-
 def top_chunks(
     index: DataFrame,
     questions: DataFrame,
     k: int = 6,
     dim: int = 768,
     fill_zero: bool = True,
-    block: int = QUERY_BLOCK,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """T5: ``question_id, doc_id, chunk_id, score, rank`` of the ``k`` nearest chunks.
 
-    The index is scanned once and never shuffled, however many questions there are. Chunks without a common term fill the
-    list, first ids first, unless ``fill_zero`` is off.
+    Blocks of chunks that cannot hold one of them are skipped; ``blocks`` are those of ``build_blocks`` if they are
+    stored. Chunks without a common term fill the list, first ids first, unless ``fill_zero`` is off.
     """
-    ids = ["doc_id", "chunk_id"]
-    terms = with_terms(questions.select("question_id", "question"), "question", dim)
-    rows = index.select(*ids, "buckets", "counts", "norm2")
-    asked = terms.select("question_id", "buckets", "counts")
-    return _scan_top(rows, ids, asked, "question_id", _term_scores(dim), k, fill_zero, block)
+    return top_in_blocks(index, questions, k, dim, fill_zero, blocks)
 
 
 def _dense_scores(rows: pa.StructArray, queries: pa.StructArray) -> np.ndarray:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import unicodedata
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions import jsontext, text
 from lakewarden.functions.vectors import with_terms
-from lakewarden.operators import catalog, chunking, retrieval
+from lakewarden.operators import blocks, catalog, chunking, retrieval
 
 DOCS = [
     (1, "datos.md", "Se consideran datos personales el nombre, apellido, DNI, correo y telefono. Ver norma."),
@@ -86,22 +87,25 @@ def test_term_counts_equal_md5_buckets(spark):
     assert (row[1].buckets, row[1]["counts"], row[1].norm2) == ([], [], 0)
 
 
-def cosine(a, b):
+def cosine(a, b, dim=256):
     def vector(s):
         v = {}
         for w in s.lower().split():
-            k = int(hashlib.md5(w.encode()).hexdigest(), 16) % 256
+            k = int(hashlib.md5(w.encode()).hexdigest(), 16) % dim
             v[k] = v.get(k, 0) + 1
         return v
 
     x, y = vector(a), vector(b)
     dot = sum(n * y.get(k, 0) for k, n in x.items())
+    if not dot:
+        return 0.0
     return dot / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_top_chunks_equal_brute_force(index, questions, block):
-    got = retrieval.top_chunks(index, questions, 2, 256, fill_zero=False, block=block).collect()
+@pytest.mark.parametrize("size", [64, 2])
+def test_top_chunks_equal_brute_force(index, questions, size):
+    stored = blocks.build_blocks(index, size)
+    got = retrieval.top_chunks(index, questions, 2, 256, fill_zero=False, blocks=stored).collect()
     for qid, question in QUESTIONS:
         ranked = sorted((-cosine(question, t), d) for d, _, t in DOCS)
         want = [d for s, d in ranked[:2] if s < 0]
@@ -109,6 +113,41 @@ def test_top_chunks_equal_brute_force(index, questions, block):
         assert [d for _, d in mine] == want
 
 
+def topics(seed=5):
+    """Chunks and questions of many topics with words of their own, ties, empty texts and texts in common."""
+    rng = random.Random(seed)
+    words = [[f"t{t}w{i}" for i in range(12)] for t in range(30)]
+    texts = [(d, c, " ".join(rng.choices(words[d % 30], k=rng.randint(1, 25)))) for d in range(90) for c in range(4)]
+    texts += [(200 + i, 0, "same words here") for i in range(9)] + [(300, 0, ""), (301, 0, "the only one")]
+    asked = [(i, " ".join(rng.choices(words[i % 30], k=rng.randint(1, 6)))) for i in range(45)]
+    asked += [(100, "same words"), (101, ""), (102, "nothing of this"), (103, "only"), (104, " ".join(w[0] for w in words))]
+    return texts, asked
+
+
+@pytest.mark.parametrize("size, fill", [(1, True), (4, False), (4, True), (1000, True)])
+def test_skipped_blocks_lose_nothing(spark, size, fill):
+    texts, asked = topics()
+    chunks = spark.createDataFrame(texts, "doc_id long, chunk_id int, text string").coalesce(1)
+    own = retrieval.build_index(chunks.withColumn("source", F.lit("s")), 4096).cache()
+    questions = spark.createDataFrame(asked, "question_id long, question string")
+    found = retrieval.top_chunks(own, questions, 6, 4096, fill, blocks.build_blocks(own, size))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.question_id, {})[r.rank] = (r.doc_id, r.chunk_id, round(r.score, 12))
+    for i, question in asked:
+        ranked = sorted((-round(cosine(question, t, 4096), 12), d, c) for d, c, t in texts)
+        want = [(d, c, -s) for s, d, c in ranked[:6] if fill or s < 0]
+        assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == want, question
+    if size == 4:
+        pairs, scored = blocks.pruning(own, questions, 6, 4096, size)
+        assert scored < 0.25 * pairs
+
+
+def test_top_chunks_of_nothing(spark, index, questions):
+    assert retrieval.top_chunks(index.limit(0), questions, 2, 256).collect() == []
+    assert retrieval.top_chunks(index, questions.limit(0), 2, 256).collect() == []
+
+
 def test_fill_zero_returns_k(index, questions):
     got = retrieval.top_chunks(index, questions, 3, 256, fill_zero=True)
     assert {r["count"] for r in got.groupBy("question_id").count().collect()} == {3}
@@ -226,10 +265,9 @@ def test_definitions_do_not_depend_on_the_order_of_rows(spark):
 def test_many_questions_scan_the_index_once(spark, index):
     rows = [(i, QUESTIONS[i % len(QUESTIONS)][1]) for i in range(12_000)]
     many = spark.createDataFrame(rows, "question_id long, question string")
-    stored = index.repartition(3)
-    found = retrieval.top_chunks(stored, many, 2, 256)
+    found = retrieval.top_chunks(index.repartition(3), many, 2, 256)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("RoundRobinPartitioning(3)") == 1
+    assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "RoundRobinPartitioning"))
     got = {}
     for r in found.collect():
         got.setdefault(r.question_id, []).append((r.rank, r.doc_id))
