@@ -50,26 +50,59 @@ def reaches(lcs: Column, total: Column, threshold: int) -> Column:
     return F.lit(200) * lcs >= F.lit(threshold) * total
 
 
-def bigrams(col: Column) -> Column:
-    """Two-character windows; a shorter text is its own only gram."""
-    return F.when(
-        F.char_length(col) >= 2,
-        F.transform(
-            F.sequence(F.lit(1), F.char_length(col) - 1), lambda i: F.substr(col, i, F.lit(2))
-        ),
-    ).otherwise(F.array(col))
+def indel_edits(total: Column, threshold: int) -> Column:
+    """By how many insertions and deletions two texts of ``total`` characters together may differ."""
+    return F.floor(F.lit(100 - threshold) * total / F.lit(100)).cast("int")
 
 
-def number_repeats(name: str) -> Column:
-    """Occurrence number after every gram of a column, so sets intersect like multisets.
+def partitions(text: str, length: str, threshold: int) -> tuple[Column, Column]:
+    """Keys at which two texts meet whose similarity reaches ``threshold``: those of the shorter one, those of the longer.
 
-    The grams are sorted first, so equal ones lie side by side and the distance to the first of them is the number.
+    If d insertions and deletions are allowed, the shorter text is cut into d + 1 pieces of nearly equal length. At least one
+    lies whole in the longer text, and for one of these the changes on its left are no more than its number and those on its right
+    no more than the pieces that follow; so it begins within a few places of its own. A key is the shorter length, d, the number of
+    the piece and the piece. Lengths that no similar text can have never meet, and every threshold above 0 is allowed.
     """
-    ordered = F.sort_array(name)
-    return F.transform(
-        ordered,
-        lambda g, i: F.concat(g, F.lit("#"), (i - F.array_position(ordered, g) + 2).cast("string")),
+    own, t = F.col(length), threshold
+    most = F.floor(own * (200 - t) / F.lit(t)).cast("int")
+    least = F.ceil(own * t / F.lit(200 - t)).cast("int")
+
+    def cut(n: Column, d: Column, i: Column) -> Column:
+        return F.floor(n * i / (d + 1)).cast("int")
+
+    def key(n: Column, d: Column, i: Column, piece: Column) -> Column:
+        return F.xxhash64(n, d, i, piece)
+
+    def piece(at: Column, size: Column) -> Column:
+        return F.substr(F.col(text), at + 1, size)
+
+    edits = F.array_distinct(F.transform(F.sequence(own, most), lambda m: indel_edits(own + m, t)))
+    short = F.flatten(
+        F.transform(
+            edits,
+            lambda d: F.transform(
+                F.sequence(F.lit(0), d), lambda i: key(own, d, i, piece(cut(own, d, i), cut(own, d, i + 1) - cut(own, d, i)))
+            ),
+        )
+    )
+
+    def places(n: Column, d: Column, i: Column) -> Column:
+        """Where piece ``i`` of a text of length ``n`` can begin in this one."""
+        at, size, more = cut(n, d, i), cut(n, d, i + 1) - cut(n, d, i), own - n
+        first = F.greatest(at - i, at + more - (d - i), F.lit(0))
+        last = F.least(at + i, at + more + (d - i), own - size)
+        inside = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+        return F.transform(inside, lambda p: key(n, d, i, piece(p, size)))
+
+    long = F.flatten(
+        F.transform(
+            F.sequence(least, own),
+            lambda n: F.flatten(
+                F.transform(F.sequence(F.lit(0), indel_edits(own + n, t)), lambda i: places(n, indel_edits(own + n, t), i))
+            ),
+        )
     )
+    return F.array_distinct(short), F.array_distinct(long)
 
 
 def sentences(col: Column) -> Column:

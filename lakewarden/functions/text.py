@@ -93,32 +93,28 @@ def _hangul(char: Column) -> Column:
     return F.decode(F.unhex(codes), "UTF-16BE")
 
 
-def _class(chars: list[str]) -> str:
-    """Regular expression for the characters, neighbours as ranges."""
-    codes, parts = sorted(map(ord, chars)), []
-    for code in codes:
-        if parts and parts[-1][1] == code - 1:
-            parts[-1][1] = code
-        else:
-            parts.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in parts) + "]"
-
-
 def strip_accents(col: Column) -> Column:
     """full compatibility decomposition without the combining marks, by built-in functions.
 
-    Single letters are translated. What expands to several is rare, so only the distinct ones of a text are looked up and
-    replaced.
+    Only the distinct letters outside ASCII of a text are looked up, and only those that change are replaced in it. What they
+    become doesn't change again, so their order doesn't matter.
     """
     source, target, marks, other = _accent_tables()
-    rare = _class([*other, *(chr(c) for c in range(ord(HANGUL[0]), ord(HANGUL[1]) + 1))])
     text = F.coalesce(col, F.lit(""))
-    plain = F.create_map(*[F.lit(x) for item in other.items() for x in item])
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rare), F.lit(0)))
-    replaced = F.aggregate(
-        found, text, lambda out, c: F.replace(out, c, F.when(c.between(*HANGUL), _hangul(c)).otherwise(F.try_element_at(plain, c)))
-    )
-    out = F.translate(F.when(text.rlike(rare), replaced).otherwise(text), source + marks, target)
+    expanding = F.create_map(*[F.lit(x) for item in other.items() for x in item])
+    letters = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7f]"), F.lit(0)))
+
+    def plain(c: Column) -> Column:
+        listed = F.instr(F.lit("".join(other)), c) > 0
+        return (
+            F.when(c.between(*HANGUL), _hangul(c))
+            .when(listed, F.try_element_at(expanding, c))
+            .otherwise(F.translate(c, source + marks, target))
+        )
+
+    pairs = F.transform(letters, lambda c: F.struct(c.alias("old"), plain(c).alias("new")))
+    changing = F.filter(pairs, lambda p: p["old"] != p["new"])
+    out = F.aggregate(changing, text, lambda out, p: F.replace(out, p["old"], p["new"]))
     return F.when(has_non_ascii(col), out).otherwise(text)
 
 

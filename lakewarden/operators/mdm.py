@@ -7,24 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import (
-    bigrams,
-    lcs_similarity,
-    number_repeats,
-    reaches,
-    sort_tokens,
-)
+from ..functions.similarity import indel_edits, lcs_similarity, partitions, reaches, sort_tokens
 from ..functions.text import is_missing, normalize_email, normalize_text, strip
 from ..rules import Entity, RulePack
-from ..session import cut
+from ..session import cut, uncut
 from .skew import HOT_ROWS, join_per_key
 from .values import as_text, from_text
 
-# A block up to this size compares its names pair by pair; a bigger one goes through its heads.
-SMALL_BLOCK = 256
-# Names at the front of a big block that are compared with the whole block in one round.
-HEADS = 256
-
 MEMBER_SCHEMA = "entity string, group_id string, match_type string, member_id string"
 
 
@@ -33,7 +22,7 @@ def _present(df: DataFrame, name: str | None) -> str | None:
 
 
 def _base(entity: Entity, df: DataFrame, order_col: str) -> DataFrame:
-    """``ord, member_id, key, name, email`` of every record."""
+    """``ord, member_id, key, digest, name, email`` of every record; keys can be long, so digests of them are shuffled."""
     id_col = _present(df, entity.id_column)
     key_col = _present(df, entity.exact_key)
     email_col = _present(df, entity.email_column)
@@ -48,27 +37,32 @@ def _base(entity: Entity, df: DataFrame, order_col: str) -> DataFrame:
         order.alias("ord"),
         (F.coalesce(as_text(df, id_col), fallback) if id_col else fallback).alias("member_id"),
         F.when(~key.isin("", "nan", "None"), key).alias("key"),
+        F.when(~key.isin("", "nan", "None"), F.unhex(F.sha2(key, 256))).alias("digest"),
         sort_tokens(normalize_text(raw_name)).alias("name"),
         F.when(~is_missing(email), email).alias("email"),
     )
 
 
 def key_groups(base: DataFrame) -> DataFrame:
-    """M1: ``key, size`` of every key that two or more records share."""
-    return (
-        base.filter("key IS NOT NULL")
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"))
+    """M1: ``digest, key, size`` of every key that two or more records share; the text stands once for each group."""
+    shared = (
+        base.filter("digest IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("first"))
         .filter("size >= 2")
     )
+    shared = cut(shared, "shared-keys")
+    shown = base.select("digest", F.col("ord").alias("first"), "key").join(shared, ["digest", "first"])
+    return shown.groupBy("digest").agg(F.first("size").alias("size"), F.first("key").alias("key"))
 
 
 def _not_in_key_group(base: DataFrame, groups: DataFrame, hot_rows: int) -> DataFrame:
     """Records left for the name stage. Records without a key never meet the join."""
-    hot = F.broadcast(groups.filter(F.col("size") > hot_rows).select("key"))
-    cold = groups.filter(F.col("size") <= hot_rows).select("key")
-    keyed = base.filter("key IS NOT NULL").join(hot, "key", "left_anti")
-    return keyed.join(cold, "key", "left_anti").unionByName(base.filter("key IS NULL"))
+    base = base.select("digest", "ord", "member_id", "name", "email")
+    hot = F.broadcast(groups.filter(F.col("size") > hot_rows).select("digest"))
+    cold = groups.filter(F.col("size") <= hot_rows).select("digest")
+    keyed = base.filter("digest IS NOT NULL").join(hot, "digest", "left_anti")
+    return keyed.join(cold, "digest", "left_anti").unionByName(base.filter("digest IS NULL"))
 
 
 def name_nodes(rest: DataFrame) -> DataFrame:
@@ -84,237 +78,108 @@ def name_nodes(rest: DataFrame) -> DataFrame:
     )
 
 
-def _required_overlap(length: Column, threshold: int) -> Column:
-    """Bigrams that any similar name shares with a name of this length, at least.
-
-    Indel similarity t means a common subsequence of at least t/200 of both lengths; a deletion
-    breaks two bigrams and an insertion one, which leaves (3t/200 - 1)(a + b) - 1 of them. The sum
-    is smallest for the shortest partner the length ratio allows.
-    """
-    shortest = F.ceil(length * threshold / (200 - threshold))
-    total = length + shortest
-    return F.ceil(((3 * threshold - 200) * total - 200) / 200)
-
-
-def name_blocks(names: DataFrame, threshold: int) -> DataFrame:
-    """``block, name, len``: blocks in which every similar pair of names meets at least once.
-
-    Prefix filter on two bigrams at a time: names that share at least ``overlap`` bigrams share two of their first
-    ``G - overlap + 2`` ones, ordered from rare to frequent. So a block is a pair of bigrams, of which there are about a
-    million instead of a thousand. Only names so short that one shared bigram may be all meet in single bigrams, and so do
-    the names that can be similar to such a one. The frequency table holds one row per bigram over a 37-letter alphabet, so
-    its size is fixed.
-    """
-    if threshold < 84:
-        raise ValueError("the bigram bound needs a threshold of at least 84")
-    grams = names.withColumn("pairs", bigrams(F.col("name")))
-    grams = grams.select("name", "len", F.explode(number_repeats("pairs")).alias("gram"))
-    grams = grams.withColumn("pair", F.substring_index("gram", "#", 1))
-    weight = grams.groupBy("pair").agg(F.count(F.lit(1)).alias("freq"))
-    ordered = (
-        grams.join(F.broadcast(weight), "pair")
-        .groupBy("name", "len")
-        .agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
-    )
-    overlap = _required_overlap(F.col("len"), threshold)
-    shortest = F.ceil(F.col("len") * threshold / (200 - threshold))
-    listed = ordered.select(
-        "name",
-        "len",
-        F.transform("grams", lambda g: g["gram"]).alias("grams"),
-        F.greatest(overlap, F.lit(1)).cast("int").alias("overlap"),
-        (_required_overlap(shortest, threshold) < 2).alias("single"),
-    )
-    first = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.col("overlap") + 1, F.lit(1)))
-    ones = F.when(F.col("single") | (F.col("overlap") < 2), first).otherwise(F.array().cast("array<string>"))
-    more = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.col("overlap") + 2, F.lit(1)))
-    twos = F.flatten(
-        F.transform(
-            more,
-            lambda g, i: F.transform(
-                F.slice(more, i + 2, F.size(more)), lambda h: F.concat(g, F.lit("&"), h)
-            ),
-        )
-    )
-    twos = F.when(F.col("overlap") >= 2, twos).otherwise(F.array().cast("array<string>"))
-    return listed.select(F.explode(F.concat(ones, twos)).alias("block"), "name", "len")
+def name_pairs(names: DataFrame, threshold: int) -> DataFrame:
+    """``x, y``: pairs of names that share a piece where similar ones do; a shorter name comes first, equal lengths in either
+    order. Keys are numbers, names are carried beside them once for each key."""
+    short, long = partitions("name", "len", threshold)
+    one = names.select(F.col("name").alias("x"), F.explode(short).alias("key"))
+    two = names.select(F.col("name").alias("y"), F.explode(long).alias("key"))
+    return one.join(two, "key").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def similar_names(pairs: DataFrame, threshold: int) -> DataFrame:
     """M2 on candidate pairs ``(x, y)``: those whose similarity reaches the threshold.
 
-    Length and Levenshtein filters run in the JVM and drop no true pair (Levenshtein distance never
-    exceeds the indel distance); the rest reaches the Arrow function once per pair.
+    Length, character and Levenshtein filters run in the JVM and drop no true pair: a character that one name has more often costs
+    an edit each time, and the Levenshtein distance never exceeds the indel distance. The rest reaches the Arrow function
+    once per pair.
     """
     short = F.least(F.char_length("x"), F.char_length("y"))
     total = F.char_length("x") + F.char_length("y")
+    edits = indel_edits(total, threshold)
+    # of each name the characters that the other one doesn't have at all
+    lacking = F.expr("char_length(translate(x, y, '')) + char_length(translate(y, x, ''))")
     return (
         pairs.filter(reaches(short, total, threshold))
-        .filter(F.expr(f"levenshtein(x, y, cast(floor({100 - threshold} * (char_length(x) + char_length(y)) / 100) AS INT)) >= 0"))
+        .withColumn("edits", edits)
+        .filter(lacking <= F.col("edits"))
+        .filter(F.expr("levenshtein(x, y, edits) >= 0"))
         .withColumn("lcs", lcs_similarity(F.col("x"), F.col("y")))
         .filter(reaches(F.col("lcs"), total, threshold))
-        .drop("lcs")
+        .drop("lcs", "edits")
     )
 
 
-def small_block_edges(blocks: DataFrame, threshold: int) -> DataFrame:
-    """Similar names ``(x, y)``, in both directions, inside blocks of bounded size."""
-    left = blocks.select("block", F.col("name").alias("x"))
-    right = blocks.select("block", F.col("name").alias("y"))
-    pairs = left.join(right, "block").filter("x < y").select("x", "y").distinct()
-    edges = similar_names(pairs, threshold)
+def similar_edges(names: DataFrame, threshold: int) -> DataFrame:
+    """M2: similar names ``(x, y)``, in both directions; found once."""
+    edges = similar_names(name_pairs(names, threshold), threshold)
     return edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
 
-def head_edges(
-    big_blocks: DataFrame, firsts: DataFrame, threshold: int, heads: int, hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Compare the names at the front of each big block with the whole block.
-
-    ``firsts`` gives the first open node of every name that has one; the names with the earliest
-    first nodes are the heads. Returns ``(x, y, first)`` for similar heads ``x`` and the head places
-    ``(block, name)``. No block is ever paired with itself.
-    """
-    order = Window.partitionBy("block").orderBy("first")
-    front = (
-        big_blocks.join(firsts.select("name", "first"), "name")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= heads)
+def _without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys``; those without a key never meet the join."""
+    return rows.filter(F.col(key).isNull()).unionByName(
+        rows.filter(F.col(key).isNotNull()).join(keys.select(key), key, "left_anti").select(rows.columns)
     )
-    per_block = front.groupBy("block").agg(
-        F.collect_list(F.struct(F.col("name").alias("x"), "first")).alias("front"),
-        F.first("block_size").alias("front_size"),
-    )
-    met = join_per_key(
-        big_blocks.select("block", F.col("name").alias("y")),
-        per_block, "block", "front_size", hot_rows,
-    )
-    pairs = met.select("y", F.inline("front")).filter("x <> y").distinct()
-    return similar_names(pairs, threshold), front.select("block", "name")
 
 
-def leader_clusters(
-    nodes: DataFrame,
-    threshold: int,
-    small_block: int = SMALL_BLOCK,
-    heads: int = HEADS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def leader_clusters(nodes: DataFrame, threshold: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """M3 and M4: ``node, leader``; a leader names itself.
 
-    A node leads exactly when no earlier similar node leads, and every other node belongs to its
-    earliest similar leader. Nodes are similar through equal or similar names or through their
-    e-mail, so all work runs on distinct names and e-mails: the first open node of a name stands for
-    it, since it is the only one that can lead next. A round settles each first node that comes
-    before the first nodes of all similar names and before all open nodes with its e-mail. Small
-    blocks give their name pairs once; big blocks give, per round, the pairs of their heads, and a
-    name must be a head of all its big blocks so that no earlier neighbour is unseen. The driver
-    sees one flag per round.
+    A node leads exactly when no earlier similar node leads, and every other node belongs to its earliest similar leader. Nodes are
+    similar through equal or similar names or through their e-mail.
+
+    Edges between names are found once. Each round works on open nodes and on edges between names that have some: a node
+    leads if it is the earliest open node of its name, of all similar names and of its e-mail. All nodes of those names and of
+    that e-mail come later, so they are closed. The earliest open node always leads, so every round closes something, and
+    there are as many rounds as the longest chain of nodes that wait for each other. Then each node takes the earliest
+    leader among its similar ones. The driver sees one number per round.
     """
-    n_nodes = F.count(F.lit(1)).alias("n_nodes")
-    names = cut(nodes.groupBy("name", "len").agg(n_nodes), "names")
-    emails = nodes.filter("email IS NOT NULL").groupBy("email").agg(n_nodes)
+    counted = F.count(F.lit(1)).alias("n_nodes")
+    names = cut(nodes.groupBy("name", "len").agg(counted), "names")
+    emails = nodes.filter("email IS NOT NULL").groupBy("email").agg(counted)
     emails = cut(emails.filter("n_nodes > 1"), "emails")
-    blocks = cut(name_blocks(names.select("name", "len"), threshold), "blocks")
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_size"))
-    sizes = cut(sizes.filter("block_size > 1"), "sizes")
-    small = sizes.filter(F.col("block_size") <= small_block).select("block")
-    large = sizes.filter(F.col("block_size") > small_block)
-    edges = cut(small_block_edges(blocks.join(small, "block"), threshold), "edges")
-    has_large = not large.isEmpty()
-    if has_large:
-        big_blocks = cut(join_per_key(blocks, large, "block", "block_size", hot_rows), "big")
-        places = big_blocks.groupBy("name").agg(F.count(F.lit(1)).alias("places"))
-    state = nodes.select(
-        "node",
-        "name",
-        "email",
-        F.lit("open").alias("status"),
-        F.lit(None).cast(nodes.schema["node"].dataType).alias("leader"),
-    )
-
-    while True:
-        open_nodes = state.filter("status = 'open'")
+    all_edges = open_edges = cut(similar_edges(names.select("name", "len"), threshold), "edges")
+    marked = join_per_key(nodes.filter("email IS NOT NULL"), emails, "email", "n_nodes", hot_rows).select("node", "name", "email")
+    # an e-mail that no other node has counts for nothing
+    alone = _without(nodes, emails, "email").select("node", "name", F.lit(None).cast("string").alias("email"))
+    open_nodes = cut(marked.unionByName(alone), "open")
+    found, left = [], open_nodes.count()
+    while left:
         firsts = open_nodes.groupBy("name").agg(F.min(F.struct("node", "email")).alias("at"))
-        firsts = cut(
-            firsts.select("name", F.col("at.node").alias("first"), F.col("at.email").alias("email")),
-            "firsts",
-        )
-        first_of_name = firsts.select(F.col("name").alias("x"), "first")
-        near = edges.join(first_of_name, "x").select("x", "y", "first")
-        ready = firsts
-        if has_large:
-            fresh, front = head_edges(big_blocks, firsts, threshold, heads, hot_rows)
-            near = near.unionByName(cut(fresh, "head-edges"))
-            standing = front.groupBy("name").agg(F.count(F.lit(1)).alias("standing"))
-            ready = (
-                firsts.join(places, "name", "left")
-                .join(standing, "name", "left")
-                .filter("coalesce(places, 0) = coalesce(standing, 0)")
-            )
-        # Names before which a similar name still has an open node.
-        nearest = near.groupBy(F.col("y").alias("name")).agg(F.min("first").alias("nearest"))
-        waiting_mail = (
-            open_nodes.join(emails.select("email"), "email", "left_semi")
-            .groupBy("email")
-            .agg(F.min("node").alias("first"))
-        )
-        by_mail = waiting_mail.select("first", F.lit(True).alias("mail_first"))
-        shared = emails.select("email", F.lit(True).alias("shared"))
-        leaders = cut(
-            ready.join(nearest, "name", "left")
-            .filter("nearest IS NULL OR first < nearest")
-            .join(by_mail, "first", "left")
-            .join(shared, "email", "left")
-            .filter("shared IS NULL OR mail_first")
-            .select("name", "email", "first", "shared"),
-            "leaders",
-        )
-        # Leaders reach their own name, similar names and their e-mail; only later nodes follow.
-        reach = near.join(leaders.select("first"), "first", "left_semi").select(
-            F.col("y").alias("name"), "first"
-        )
-        named = (
-            reach.unionByName(leaders.select("name", "first"))
-            .groupBy("name")
-            .agg(F.min("first").alias("claim"))
-            .join(names.select("name", "n_nodes"), "name")
-        )
-        mailed = (
-            leaders.filter("shared")
-            .select("email", F.col("first").alias("claim"))
-            .join(emails, "email")
-        )
-        alive = state.filter("status <> 'leader'").select("node", "name", "email", "leader")
-        claims = join_per_key(alive.drop("email"), named, "name", "n_nodes", hot_rows).select(
-            "node", "leader", "claim"
-        )
-        claims = claims.unionByName(
-            join_per_key(
-                alive.drop("name").filter("email IS NOT NULL"), mailed, "email", "n_nodes", hot_rows
-            ).select("node", "leader", "claim")
-        )
-        claims = (
-            claims.filter("claim < node AND (leader IS NULL OR claim < leader)")
-            .groupBy("node")
-            .agg(F.min("claim").alias("claim"))
-        )
-        made = leaders.select(F.col("first").alias("node"), F.lit(True).alias("leads"))
-        state = cut(
-            state.join(made, "node", "left")
-            .join(claims, "node", "left")
-            .selectExpr(
-                "node",
-                "name",
-                "email",
-                "CASE WHEN leads THEN 'leader' WHEN claim IS NOT NULL THEN 'member' ELSE status END "
-                "AS status",
-                "CASE WHEN leads THEN node WHEN claim IS NOT NULL THEN claim ELSE leader END AS leader",
-            ),
-            "state",
-        )
-        if state.filter("status = 'open'").isEmpty():
-            return state.select("node", "leader")
+        firsts = cut(firsts.select("name", F.col("at.node").alias("node"), F.col("at.email").alias("email")), "firsts")
+        start = firsts.select(F.col("name").alias("x"), F.col("node").alias("other"))
+        end = firsts.select(F.col("name").alias("y"))
+        edges = cut(open_edges.join(start.select("x"), "x", "left_semi").join(end, "y", "left_semi").select("x", "y"), "open-edges")
+        nearest = edges.join(start, "x").groupBy(F.col("y").alias("name")).agg(F.min("other").alias("nearest"))
+        mail = open_nodes.filter("email IS NOT NULL").groupBy("email").agg(F.min("node").alias("first"))
+        ready = firsts.join(nearest, "name", "left").filter("nearest IS NULL OR node < nearest").select("name", "email", "node")
+        first_of_mail = ready.filter("email IS NOT NULL").join(mail, "email").filter("node = first").select("name", "email", "node")
+        leaders = cut(ready.filter("email IS NULL").unionByName(first_of_mail), "leaders")
+        reached = edges.join(leaders.select(F.col("name").alias("x")), "x", "left_semi").select(F.col("y").alias("name"))
+        closed = reached.union(leaders.select("name")).distinct()
+        after = _without(open_nodes.join(closed, "name", "left_anti"), leaders.filter("email IS NOT NULL"), "email")
+        after = cut(after.select("node", "name", "email"), "open")
+        found.append(leaders)
+        before, left = left, after.count()
+        if left >= before:
+            raise RuntimeError("a round closed no node")
+        uncut(open_nodes, firsts, *[open_edges] * (open_edges is not all_edges))
+        open_nodes, open_edges = after, edges
+    if not found:
+        return nodes.select("node", F.col("node").alias("leader"))
+    leaders = cut(reduce(DataFrame.unionByName, found), "all-leaders")
+    lead = leaders.select(F.col("name").alias("x"), "node")
+    named = all_edges.join(lead, "x").select(F.col("y").alias("name"), "node").unionByName(leaders.select("name", "node"))
+    named = named.groupBy("name").agg(F.min("node").alias("claim")).join(names.select("name", "n_nodes"), "name")
+    mailed = leaders.filter("email IS NOT NULL").select("email", F.col("node").alias("claim")).join(emails, "email")
+    by_name = join_per_key(nodes.select("node", "name"), named, "name", "n_nodes", hot_rows).select("node", "claim")
+    by_mail = join_per_key(
+        nodes.filter("email IS NOT NULL").select("node", "email"), mailed, "email", "n_nodes", hot_rows
+    ).select("node", "claim")
+    own = leaders.select("node", F.col("node").alias("own"))
+    claims = by_name.unionByName(by_mail).groupBy("node").agg(F.min("claim").alias("claim"))
+    return claims.join(own, "node", "left").select("node", F.coalesce("own", "claim").alias("leader"))
 
 
 def _node_key(name: Column, email: Column) -> Column:
@@ -326,8 +191,6 @@ def find_members(
     df: DataFrame,
     order_col: str,
     threshold: int = 88,
-    small_block: int = SMALL_BLOCK,
-    heads: int = HEADS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """M1 to M4 and M7: one row per record that belongs to a group of two or more.
@@ -339,9 +202,9 @@ def find_members(
     out = []
     rest = base
     if _present(df, entity.exact_key):
-        groups = key_groups(base)
+        groups = cut(key_groups(base), "key-groups")
         matched = join_per_key(
-            base.select("key", "ord", "member_id"), groups, "key", "size", hot_rows
+            base.select("digest", "ord", "member_id"), groups, "digest", "size", hot_rows
         )
         out.append(
             matched.select(
@@ -357,7 +220,7 @@ def find_members(
     if any(_present(df, n) for n in entity.name_columns):
         rest = rest.filter("name <> ''")
         nodes = cut(name_nodes(rest), "nodes")
-        clusters = leader_clusters(nodes, threshold, small_block, heads, hot_rows)
+        clusters = leader_clusters(nodes, threshold, hot_rows)
         placed = nodes.join(clusters, "node")
         totals = placed.groupBy("leader").agg(
             F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("group_size")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Paths that ``cut`` wrote and nobody has deleted yet.
 _WRITTEN: list[str] = []
+# Where the table lies that ``cut`` gave back.
+_PATHS: dict[int, str] = {}
 
 
 def local_session(cores: str | int = "*", app: str = "lakewarden", **conf: str) -> SparkSession:
@@ -61,7 +63,22 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/lakewarden/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(back)] = path
+    return back
+
+
+def uncut(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that no later step reads."""
+    for table in tables:
+        path = _PATHS.pop(id(table))
+        _delete(table.sparkSession, path)
+        _WRITTEN.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager
@@ -71,8 +88,6 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        conf = spark._jsc.hadoopConfiguration()
         for path in _WRITTEN[before:]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            _delete(spark, path)
         del _WRITTEN[before:]

@@ -90,8 +90,8 @@ def frame(spark, rows):
     "seed,options",
     [
         (1, {}),
-        (2, {"small_block": 4, "heads": 8, "hot_rows": 10}),
-        (3, {"small_block": 2, "heads": 40, "hot_rows": 15}),
+        (2, {"hot_rows": 10}),
+        (3, {"hot_rows": 15}),
     ],
 )
 def test_clusters_equal_brute_force(spark, seed, options):
