@@ -5,13 +5,13 @@ joined by a space. Equal normalised lines are one class. Two classes are linked
 ``similarity`` or more; of every connected group the occurrence with the smallest id, then the first line, stays, and all
 others go.
 
-Classes meet by blocks of a SimHash over the ``FEATURE``-byte windows of the line: ``BLOCKS`` blocks of ``WIDTH`` bits, so that
-lines whose SimHashes differ in fewer bits than there are blocks share one. Six bits alone select little, and wider
-blocks lose near lines, so each block stands together with the least hash of the line's ``WINDOW``-byte windows in
-an order of its own. Lines that meet are compared if the bits between their SimHashes are within ``reach``, which was measured by
-length, and linked by their edit distance. Lines under ``EXACT`` bytes have too few windows and meet by segments instead: the
-shorter one is cut into one more segment than edits are allowed, so one of them lies whole in the longer one, near its own
-place.
+Classes meet by blocks of a SimHash of 64 bits: over the words of the line or, if it is short or has few words, over its
+``FEATURE``-byte windows. There are ``BLOCKS`` blocks of ``WIDTH`` bits, so lines whose SimHashes differ in fewer bits than there
+are blocks share one. Six bits alone select little, and wider blocks lose near lines, so each block stands together with the
+least hash, in an order of its own, of the line's windows of ``RUN`` words or ``WINDOW`` bytes. Lines that meet are compared if the
+bits between the SimHashes of their words are within ``REACH``, which was measured by length, and linked by their edit distance.
+Lines under ``EXACT`` bytes have too few windows and meet by segments instead: the shorter one is cut into one more segment
+than edits are allowed, so one of them lies whole in the longer one, near its own place.
 
 Only keys and class hashes are shuffled to find keys that several classes have; lines are fetched for the classes that share one.
 
@@ -42,13 +42,17 @@ BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Lines under so many bytes meet by segments.
 EXACT = 40
-#: Bytes of the windows that the SimHash sums up, and of those whose least hash stands beside a block.
-FEATURE, WINDOW = 4, 12
+#: Lines from so many bytes and words on meet by words; those up to the second numbers by bytes, and some do both, so that
+#: lines on different sides of a limit meet too.
+BY_WORDS, BY_BYTES = (90, 8), (110, 12)
+#: Bytes of the windows that the SimHash sums up where it isn't words, and the windows whose least hash stands beside a block.
+FEATURE, WINDOW, RUN = 4, 12, 4
 #: Blocks of a SimHash and bits of a block.
-BLOCKS, WIDTH = 12, 6
-#: The most bits in which SimHashes of near lines differ, by their length in bytes: over the largest distances between lines
-#: of edit similarity 0.9 in the given tables (20, 17, 15 and 13 bits). Fixed values, as measured.
-REACH = [(100, 28), (200, 24), (400, 22), (2**62, 20)]
+BLOCKS, WIDTH = 10, 6
+#: The most bits in which SimHashes of the words of near lines differ, from a length in bytes on. The largest distance between
+#: lines of edit similarity 0.9 in the given tables is 11 bits of 64 from 100 bytes on; unrelated lines differ in 32. Fixed
+#: values, as measured.
+REACH = [(100, 24), (200, 20)]
 #: Classes that a task remembers to send their keys once.
 REMEMBERED = 500_000
 _TURNS = np.random.default_rng(5).integers(0, 2**63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,46 +113,57 @@ def _slices(begin: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[
         at = stop
 
 
-def simhashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The blocks of the SimHash of each line; the lines lie in ``text`` in order and have ``FEATURE`` bytes at least."""
-    out = np.zeros((len(begin), BLOCKS), np.uint8)
-    for at, stop in _slices(begin, length, 100_000):
-        number = length[at:stop] - FEATURE + 1
-        start = np.concatenate([[0], np.cumsum(number)[:-1]])
-        place = np.repeat(begin[at:stop] - begin[at] - start, number) + np.arange(number.sum())
-        one = _windows(text[begin[at] : begin[stop - 1] + length[stop - 1]], FEATURE)[place]
-        both = np.stack([one, mix(one ^ _SIGN)], axis=1).view(np.uint8)  # more bits than the blocks need
-        bits = np.unpackbits(both, axis=1)[:, : BLOCKS * WIDTH]
-        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-        more = (2 * ones > number[:, None]).reshape(-1, BLOCKS, WIDTH)
-        out[at:stop] = (more << np.arange(WIDTH, dtype=np.uint8)).sum(axis=2)
-    return out
+def _places(begin: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line's stretch starts when the stretches are put side by side, and where their elements come from."""
+    start = np.cumsum(number) - number
+    return start, np.repeat(begin - start, number) + np.arange(number.sum())
 
 
-def least_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The least hashes of the windows of each line, a column for each block."""
-    out = np.zeros((len(begin), BLOCKS), np.uint64)
-    for at, stop in _slices(begin, length, 1_000_000):
-        number = length[at:stop] - WINDOW + 1
-        start = np.concatenate([[0], np.cumsum(number)[:-1]])
-        place = np.repeat(begin[at:stop] - begin[at] - start, number) + np.arange(number.sum())
-        hashes = _windows(text[begin[at] : begin[stop - 1] + length[stop - 1]], WINDOW)[place]
-        for t, turn in enumerate(_TURNS):
-            out[at:stop, t] = np.minimum.reduceat(hashes * turn, start)
-    return out
+def simhash(features: np.ndarray, start: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The SimHash of each line from the hashes of its features: for each bit what most of them have."""
+    bits = np.unpackbits(mix(features ^ _SIGN).view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > number[:, None], axis=1).view(np.uint64)[:, 0]
 
 
-def block_keys(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The keys of each line, one for each block of its SimHash."""
-    block = simhashes(text, begin, length).astype(np.uint64) + np.arange(BLOCKS, dtype=np.uint64) * np.uint64(1 << WIDTH)
-    return mix(least_hashes(text, begin, length) ^ mix(block)).view(np.int64)
+def _keys(features: tuple, windows: tuple, out: np.ndarray) -> None:
+    """A key for each block of the SimHashes of some lines, with the least hash of their windows."""
+    marks, (hashes, start, _) = simhash(*features), windows
+    for i, turn in enumerate(_TURNS):
+        block = marks >> np.uint64(i * WIDTH) & np.uint64((1 << WIDTH) - 1)
+        least = np.minimum.reduceat(hashes * turn, start)
+        out[:, i] = mix(least ^ mix(block + np.uint64(i << WIDTH)))
 
 
-def packed(blocks: np.ndarray) -> np.ndarray:
-    """The SimHash of each line as two numbers."""
-    wide = np.zeros((len(blocks), 16), np.uint8)
-    wide[:, :BLOCKS] = blocks
-    return wide.view(np.int64)
+def keys_by_bytes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Keys of lines that lie in ``text`` in order."""
+    out = np.zeros((len(begin), BLOCKS), np.uint64)
+    for at, stop in _slices(begin, length, 100_000):
+        part = text[begin[at] : begin[stop - 1] + length[stop - 1]]
+        parts = []
+        for size in (FEATURE, WINDOW):
+            number = length[at:stop] - size + 1
+            start, place = _places(begin[at:stop] - begin[at], number)
+            parts.append((_windows(part, size)[place], start, number))
+        _keys(*parts, out[at:stop])
+    return out.view(np.int64)
+
+
+def keys_by_words(hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of lines given by the number of their first word and how many they have."""
+    out = np.zeros((len(first), BLOCKS), np.uint64)
+    for at, stop in _slices(first, words, 20_000):
+        part = hashes[first[at] : first[stop - 1] + words[stop - 1]]
+        runs = np.zeros(len(part), np.uint64)
+        for j in range(RUN):
+            runs[: len(part) - j] = mix(runs[: len(part) - j] ^ part[j:]) + np.uint64(j)
+        parts = []
+        for values, size in ((part, 1), (runs, RUN)):
+            number = words[at:stop] - size + 1
+            start, place = _places(first[at:stop] - first[at], number)
+            parts.append((values[place], start, number))
+        _keys(*parts, out[at:stop])
+    return out.view(np.int64)
 
 
 def distance(one: bytes, other: bytes, most: int) -> int | None:
@@ -194,27 +209,40 @@ def _common(one: bytes, other: bytes, way: int) -> int:
     return int(differing.argmax()) if differing.any() else k
 
 
-def _lines_of(column: pa.Array, least_words: int) -> tuple[np.ndarray, ...]:
-    """Of all lines with enough words: the row, the number within it, the hash, and the normalised text that holds them, with
-    the begin and the length of each."""
-    data, bounds = raw(column)
-    feeds = np.flatnonzero(data == 10) + 1
-    edges = np.union1d(bounds, feeds)
-    hashes, at, starts, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
-    # the normalised text: every word and a space
-    off = np.concatenate([[0], np.cumsum(sizes + 1)])
-    source = np.repeat(starts - off[:-1], sizes + 1) + np.arange(off[-1])
-    text = data[np.minimum(source, len(data) - 1)] if len(source) else np.zeros(0, np.uint8)
-    text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
-    text[off[1:] - 1] = 32
-    words = np.diff(at)
-    chosen = np.flatnonzero(words >= max(1, least_words))
-    begin, length = off[at[:-1][chosen]], off[at[1:][chosen]] - off[at[:-1][chosen]] - 1
-    start = edges[:-1][chosen]
-    row = np.searchsorted(bounds, start, side="right") - 1
-    # line numbers within the text: line feeds before the line, less those before the text
-    number = np.searchsorted(feeds, start, side="right") - np.searchsorted(feeds, bounds[row], side="right")
-    return row, number, stretches(hashes, at[:-1][chosen], words[chosen]).view(np.int64), text, begin, length
+class _Lines:
+    """All lines of some texts that have enough words: ``row``, ``number`` within the row, hash ``h``; ``text``, normalised, with
+    the ``begin`` and ``length`` of each; and the hashes of all words, with the ``first`` one and the number of ``words`` of each."""
+
+    def __init__(self, column: pa.Array, least_words: int):
+        data, bounds = raw(column)
+        feeds = np.flatnonzero(data == 10) + 1
+        edges = np.union1d(bounds, feeds)
+        self.hashes, at, starts, sizes = words_in(data, edges, lower=True, breaks=BREAKS)
+        words = np.diff(at)
+        chosen = np.flatnonzero(words >= max(1, least_words))
+        self.first, self.words = at[:-1][chosen], words[chosen]
+        self.h = stretches(self.hashes, self.first, self.words).view(np.int64)
+        start = edges[:-1][chosen]
+        self.row = np.searchsorted(bounds, start, side="right") - 1
+        # line numbers within the text: line feeds before the line, less those before the text
+        self.number = np.searchsorted(feeds, start, side="right") - np.searchsorted(feeds, bounds[self.row], side="right")
+        # every word and a space
+        off = np.concatenate([[0], np.cumsum(sizes + 1)])
+        self.begin, self.length = off[at[:-1][chosen]], off[at[1:][chosen]] - off[at[:-1][chosen]] - 1
+        self._source = data, starts, sizes, off
+
+    def only(self, taken: np.ndarray) -> None:
+        for name in ("row", "number", "h", "first", "words", "begin", "length"):
+            setattr(self, name, getattr(self, name)[taken])
+
+    @property
+    def text(self) -> np.ndarray:
+        data, starts, sizes, off = self._source
+        source = np.repeat(starts - off[:-1], sizes + 1) + np.arange(off[-1])
+        text = data[np.minimum(source, len(data) - 1)] if len(source) else np.zeros(0, np.uint8)
+        text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
+        text[off[1:] - 1] = 32
+        return text
 
 
 def _listed(docs: DataFrame, least_words: int) -> DataFrame:
@@ -223,9 +251,10 @@ def _listed(docs: DataFrame, least_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1_000_000):
-            row, number, h, *_ = _lines_of(batch.column("text"), least_words)
-            lists = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
-            found = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(h), pa.array(number)], ["h", "line"]))
+            own = _Lines(batch.column("text"), least_words)
+            lists = pa.array(np.searchsorted(own.row, np.arange(batch.num_rows + 1)), pa.int32())
+            inner = pa.StructArray.from_arrays([pa.array(own.h), pa.array(own.number)], ["h", "line"])
+            found = pa.ListArray.from_arrays(lists, inner)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), found], ["id", "tag", "lines"])
 
     return docs.mapInArrow(lean(run), schema).where(F.size("lines") > 0)
@@ -237,26 +266,30 @@ def _keyed(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in by_bytes(batches, "text", 1_000_000):
-            _, _, h, text, begin, length = _lines_of(batch.column("text"), least_words)
+            own = _Lines(batch.column("text"), least_words)
             if len(sent) > REMEMBERED:
                 sent.clear()
-            new = np.array([not (x in sent or sent.add(x)) for x in h.tolist()], bool)
-            h, begin, length = h[new], begin[new], length[new]
+            own.only(np.array([not (x in sent or sent.add(x)) for x in own.h.tolist()], bool))
+            text = own.text
+            many = (own.length >= BY_WORDS[0]) & (own.words >= BY_WORDS[1])
             # a line that is a little shorter than EXACT can be near one that is not
-            long = length >= int(EXACT * similarity)
-            keys = [block_keys(text, begin[long], length[long]).ravel()]
-            nodes = [np.repeat(h[long], BLOCKS)]
-            for i in np.flatnonzero(length < EXACT):
-                own = segments(text[begin[i] : begin[i] + length[i]].tobytes(), similarity)
-                keys.append(np.array(own, np.int64))
-                nodes.append(np.full(len(own), h[i]))
+            few = ((own.length <= BY_BYTES[0]) | (own.words <= BY_BYTES[1])) & (own.length >= int(EXACT * similarity))
+            keys = [
+                keys_by_words(own.hashes, own.first[many], own.words[many]).ravel(),
+                keys_by_bytes(text, own.begin[few], own.length[few]).ravel(),
+            ]
+            nodes = [np.repeat(own.h[many], BLOCKS), np.repeat(own.h[few], BLOCKS)]
+            for i in np.flatnonzero(own.length < EXACT):
+                parts = segments(text[own.begin[i] : own.begin[i] + own.length[i]].tobytes(), similarity)
+                keys.append(np.array(parts, np.int64))
+                nodes.append(np.full(len(parts), own.h[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
     return docs.select("text").mapInArrow(lean(run), "key long, node long")
 
 
 def _texts(asked: DataFrame) -> DataFrame:
-    """``node``, the normalised text of the asked lines, its length and its SimHash."""
+    """``node``, the normalised text of the asked lines, its length, the number of its words and their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -265,18 +298,18 @@ def _texts(asked: DataFrame) -> DataFrame:
                 own = text.encode().split(b"\n")
                 for w in wanted:
                     nodes.append(w["node"])
-                    lines.append(normalised(own[w["line"]]))
-            length = np.array([len(x) for x in lines], np.int64)
-            begin = np.cumsum(length) - length
-            marks = np.zeros((len(lines), 2), np.int64)
-            long = length >= FEATURE
-            marks[long] = packed(simhashes(np.frombuffer(b"".join(lines), np.uint8), begin[long], length[long]))
+                    lines.append(normalised(own[w["line"]]).decode())
+            texts = pa.array(lines, pa.string())
+            data, bounds = raw(texts)
+            hashes, at, _, _ = words_in(data, bounds, lower=True, breaks=BREAKS)  # every line has a word
+            words = np.diff(at)
+            marks = simhash(hashes, at[:-1], words).view(np.int64) if len(lines) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()), pa.array(length), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
-                ["node", "words", "n", "s", "t"],
+                [pa.array(nodes, pa.int64()), texts.cast(pa.binary()), pa.array(np.diff(bounds)), pa.array(words), pa.array(marks)],
+                ["node", "words", "n", "w", "s"],
             )
 
-    return asked.mapInArrow(lean(run), "node long, words binary, n long, s long, t long")
+    return asked.mapInArrow(lean(run), "node long, words binary, n long, w long, s long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -297,15 +330,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _near(x: str, y: str, similarity: float) -> Column:
-    """Whether two lines can be near: by their lengths, and long ones by their SimHashes."""
+    """Whether two lines can be near: by their lengths, and those with many words by their SimHashes."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     more = F.greatest(n, m)
     close = F.abs(n - m) <= F.floor((1 - similarity) * more + 1e-9)
-    bits = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("s", "t"))
-    reach = F.lit(REACH[-1][1])
-    for below, most in reversed(REACH[:-1]):
-        reach = F.when(more < below, most).otherwise(reach)
-    return close & ((more < EXACT) | (bits <= reach))
+    bits = F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s")))
+    reach = F.lit(64)
+    for least, most in REACH:
+        reach = F.when(more >= least, most).otherwise(reach)
+    worded = F.least(F.col(f"{x}.w"), F.col(f"{y}.w")) >= BY_WORDS[1]
+    return close & (~worded | (bits <= reach))
 
 
 def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: int) -> DataFrame:
@@ -331,7 +365,7 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     def verify(pairs: DataFrame) -> DataFrame:
         return _verify(pairs, texts, similarity)
 
-    roots = grouped(member, texts.select("node", "n", "s", "t"), near, verify, scratch)
+    roots = grouped(member, texts.select("node", "n", "w", "s"), near, verify, scratch)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted", light=True)
