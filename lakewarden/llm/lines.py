@@ -7,7 +7,7 @@ others go.
 
 Classes meet by blocks of a SimHash of 64 bits: over the words of the line or, if it is short or has few words, over its
 ``FEATURE``-byte windows. There are ``BLOCKS`` blocks of ``WIDTH`` bits, so lines whose SimHashes differ in fewer bits than there
-are blocks share one. Six bits alone select little, and wider blocks lose near lines, so each block stands together with the
+are blocks share one. Five bits alone select little, and wider blocks lose near lines, so each block stands together with the
 least hash, in an order of its own, of the line's windows of ``RUN`` words or ``WINDOW`` bytes. Lines that meet are compared if the
 bits between the SimHashes of their words are within ``REACH``, which was measured by length, and linked by their edit distance.
 Lines under ``EXACT`` bytes have too few windows and meet by segments instead: the shorter one is cut into one more segment
@@ -44,13 +44,13 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 EXACT = 40
 #: Lines from so many bytes and words on meet by words; those up to the second numbers by bytes, and some do both, so that
 #: lines on different sides of a limit meet too.
-BY_WORDS, BY_BYTES = (90, 8), (110, 12)
+BY_WORDS, BY_BYTES = (150, 8), (170, 12)
 #: Bytes of the windows that the SimHash sums up where it isn't words, and the windows whose least hash stands beside a block.
-FEATURE, WINDOW, RUN = 4, 12, 4
+FEATURE, WINDOW, RUN = 4, 8, 4
 #: Blocks of a SimHash and bits of a block.
-BLOCKS, WIDTH = 10, 6
+BLOCKS, WIDTH = 12, 5
 #: The most bits in which SimHashes of the words of near lines differ, from a length in bytes on. The largest distance between
-#: lines of edit similarity 0.9 in the given tables is 11 bits of 64 from 100 bytes on; unrelated lines differ in 32. Fixed
+#: lines of edit similarity 0.9 in the given tables is 12 bits of 64 from 100 bytes on; unrelated lines differ in 32. Fixed
 #: values, as measured.
 REACH = [(100, 24), (200, 20)]
 #: Classes that a task remembers to send their keys once.
