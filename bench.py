@@ -9,7 +9,7 @@ import sys
 import time
 
 from lakewarden.plans import io_queries  # noqa: F401
-from lakewarden.plans.queries import QUERIES
+from lakewarden.plans.queries import QUERIES, TEXT_PARTITIONS
 from lakewarden.session import local_session
 
 HEADLINE = [
@@ -46,7 +46,10 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cores, "bench", **{"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
+    settings = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")}
+    if cores.isdigit():  # the given documents are one file of one row group
+        settings[TEXT_PARTITIONS] = cores
+    spark = local_session(cores, "bench", **settings)
     # one run of a query that is not counted: code is loaded and compiled
     QUERIES["retail_findings"](spark, folder).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}

@@ -207,26 +207,39 @@ def keyword_search(index: DataFrame, needles: list[str], limit: int) -> DataFram
 CITATION = rf"(?U)art(?:iculo)?s?\.?{WS}*([0-9]+)\b"
 
 
+#: Folders of stored citations. Fixed, since stored tables rely on it.
+CITATION_SLOTS = 64
+
+
+def _slot(number: Column) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(CITATION_SLOTS)).cast("int")
+
+
 def citations(index: DataFrame) -> DataFrame:
-    """``number, doc_id, chunk_id`` of every article that a chunk cites."""
+    """``slot, number, doc_id, chunk_id`` of every article that a chunk cites; made once, when chunks are indexed."""
     plain = F.lower(strip_accents(F.col("text")))
     cited = F.array_distinct(F.regexp_extract_all(plain, F.lit(CITATION), F.lit(1)))
-    return index.select("doc_id", "chunk_id", F.explode(cited).alias("number")).select("number", "doc_id", "chunk_id")
+    found = index.select("doc_id", "chunk_id", F.explode(cited).alias("number"))
+    return found.select(_slot(F.col("number")).alias("slot"), "number", "doc_id", "chunk_id")
 
 
-def reference_hits(index: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
+def reference_hits(index: DataFrame, questions: DataFrame, k: int = 6, stored: DataFrame | None = None) -> DataFrame:
     """T6 and T8, first half: ``question_id, doc_id, chunk_id, hit_rank`` of exact references.
 
     Only chunks that cite an asked number count, and the first ``k`` of them are taken. The first ``k`` of several numbers
     lie among the first ``k`` of each, so every number is cut before questions come in, and a popular number joins few rows.
+    With ``stored`` citations no text is read, and of their folders only those of the asked numbers; the driver sees their slots, at
+    most ``CITATION_SLOTS``.
     """
-    asked = questions.select(
-        "question_id", F.explode(article_numbers(F.col("question"))).alias("number")
-    )
+    asked = questions.select("question_id", F.explode(article_numbers(F.col("question"))).alias("number"))
     by_number = Window.partitionBy("number").orderBy("doc_id", "chunk_id")
+    wanted = asked.select("number").distinct().withColumn("slot", _slot(F.col("number")))
+    if stored is None:
+        cited = citations(index)
+    else:
+        cited = stored.filter(F.col("slot").isin([r["slot"] for r in wanted.select("slot").distinct().collect()]))
     firsts = (
-        citations(index)
-        .join(asked.select("number").distinct(), "number", "left_semi")
+        cited.join(wanted, ["slot", "number"], "left_semi")
         .withColumn("place", F.row_number().over(by_number))
         .filter(F.col("place") <= k)
     )
@@ -319,10 +332,11 @@ def retrieve(
     k: int = 6,
     dim: int = 768,
     fill_zero: bool = True,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """T5, T8 and T9 for a table of questions: ``question_id, pos, doc_id, chunk_id, …``."""
     vector = top_chunks(index, questions, k, dim, fill_zero)
-    hits = reference_hits(index, questions, k).select(
+    hits = reference_hits(index, questions, k, stored).select(
         "question_id", "doc_id", "chunk_id",
         F.lit(KEYWORD_SCORE).alias("score"), F.col("hit_rank").alias("rank"),
     )
@@ -394,9 +408,10 @@ def answer_questions(
     k: int = 6,
     dim: int = 768,
     fill_zero: bool = True,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """One answer row per question; no support when nothing is retrieved."""
-    context = cut(retrieve(index, questions, k, dim, fill_zero), "context")
+    context = cut(retrieve(index, questions, k, dim, fill_zero, stored), "context")
     best = context.filter("pos = 1").join(
         questions.select("question_id", "question"), "question_id"
     )

@@ -166,5 +166,5 @@ def question_job(
 ) -> DataFrame:
     """Answers with their sources for a table of questions."""
     return retrieval.answer_questions(
-        index.read(), questions, pack.top_k, pack.embedding_dim, fill_zero
+        index.read(), questions, pack.top_k, pack.embedding_dim, fill_zero, index.citations()
     )

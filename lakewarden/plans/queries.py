@@ -90,8 +90,15 @@ def given(spark: SparkSession, folder: str, names=GIVEN) -> dict[str, DataFrame]
     return {n: read_table(spark, folder, n) for n in names}
 
 
+# Setting that names the number of partitions for work on texts, for a table whose files can't be split into enough of them (a
+# file of one row group is one task). Without it the table's own splits are taken.
+TEXT_PARTITIONS = "spark.lakewarden.textPartitions"
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents")
+    table = read_table(spark, folder, "documents")
+    wanted = int(spark.conf.get(TEXT_PARTITIONS, "0"))
+    return table.repartition(wanted) if wanted else table
 
 
 def joined(col: str | Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..operators.retrieval import citations
+from ..session import cut
+
 
 def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "json") -> dict[str, str]:
     """Each result table in its own folder; returns the paths."""
@@ -25,15 +28,23 @@ def write_markdown(lines: DataFrame, folder: str) -> str:
 
 
 class ChunkIndex:
-    """A Parquet table of chunks with their term vectors."""
+    """A Parquet table of chunks with their term vectors, and beside it one of the article numbers that they cite."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path
+        self.citation_path = f"{path.rstrip('/')}_citations"
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    def citations(self) -> DataFrame:
+        """``slot, number, doc_id, chunk_id``; slots are folders, so a question reads those of its numbers only."""
+        return self.spark.read.parquet(self.citation_path)
+
+    def _cite(self, mode: str, chunks: DataFrame) -> None:
+        citations(chunks).write.mode(mode).partitionBy("slot").parquet(self.citation_path)
+
     def exists(self) -> bool:
         try:
             self.read()
@@ -48,11 +59,14 @@ class ChunkIndex:
             index = index.dropDuplicates(keys)
             if self.exists():
                 index = index.join(self.read().select(*keys), keys, "left_anti")
+        index = cut(index, "new-chunks")
         index.write.mode("append").parquet(self.path)
+        self._cite("append", index)
 
     def reset(self, index: DataFrame) -> None:
         """Replace all chunks."""
         index.write.mode("overwrite").parquet(self.path)
+        self._cite("overwrite", self.read())
 
     def count(self) -> int:
         return self.read().count() if self.exists() else 0

@@ -276,3 +276,21 @@ def test_many_questions_scan_the_index_once(spark, index):
     for key, ranked in got.items():
         alike.setdefault(key % len(QUESTIONS), set()).add(tuple(sorted(ranked)))
     assert all(len(v) == 1 for v in alike.values())
+
+
+def test_stored_citations_read_no_text(spark, index, tmp_path):
+    from lakewarden.sources.sinks import ChunkIndex
+
+    place = ChunkIndex(spark, f"{tmp_path}/index")
+    place.append(index.filter("doc_id < 5"), dedupe=True)
+    place.append(index, dedupe=True)
+    place.append(index, dedupe=True)
+    asked = spark.createDataFrame([(1, "articulo 16 y art. 1"), (2, "articulo 99"), (3, "nada")], "question_id long, question string")
+    hits = retrieval.reference_hits(place.read(), asked, 6, place.citations())
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "PartitionFilters: [slot#" in plan.replace("isnotnull(", "")
+    got = sorted((r.question_id, r.doc_id, r.hit_rank) for r in hits.collect())
+    want = sorted((r.question_id, r.doc_id, r.hit_rank) for r in retrieval.reference_hits(index, asked).collect())
+    assert got == want == [(1, 4, 1), (1, 5, 2), (2, 6, 1)]
+    place.reset(index.filter("doc_id = 6"))
+    assert [r.number for r in place.citations().collect()] == ["99"] and place.count() == 1
