@@ -9,15 +9,16 @@ that meet in different tasks.
 
 The pair of two cells is counted once: in the cell with the smaller number, if both visit each other's cell.
 
-A partner of a vector lies at most ``sqrt(2 - 2 * least)`` away from it, so it can belong to another cell only if the vector
-lies within that distance of the border between both centres. ``slack`` is the part of this distance that is searched: 1
-loses no link. Seen from a vector, the border lies in one direction of many; the default searches as far as four standard
-deviations of a random direction reach, ``4 / sqrt(dimensions)``, which is all of it up to 16 dimensions. Its recall
-against brute force is measured in the tests.
-
-Defined results: a null vector, a zero vector, one with a null or non-finite component and one whose length differs from
-the most frequent length of the sample link with nothing. Equal vectors link. Rows that repeat both id and
-vector are one vector, rows that repeat only the id are different ones with a common component. A null id has no links.
+Of two partners, which are at most ``sqrt(2 - 2 * least)`` apart, in two cells, the one that is nearer to the border between both
+centres is within half of that distance of it, and visits the other's cell. ``slack`` is the part of the distance that
+is searched: 0.5 loses no link at any dimension, less visits fewer cells.
+
+Vectors of different lengths link with nothing of each other. Each length of the sample has centres of its own; vectors of a length
+that the sample doesn't have are a cell of their own, split into blocks like any other.
+
+Defined results: a null vector, a zero vector and one with a null or non-finite component link with nothing. Equal vectors
+link. Rows that repeat both id and vector are one vector, rows that repeat only the id are different ones with a common component. A null id
+has no links.
 """
 
 from __future__ import annotations
@@ -62,8 +63,20 @@ def centres_of(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 3) -
     return centres
 
 
-def _assigned(vectors: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
-    """One row per vector and cell that it belongs to or visits: ``cell``, ``home`` and its packed unit vector."""
+def _placed(table: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of each unit vector, and which cells it belongs to or visits."""
+    near = table @ centres.T
+    home, every = near.argmax(axis=1), np.arange(len(table))
+    # distance of two unit centres, and of a vector to the border between them
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[home]
+    meets = near[every, home][:, None] - near <= reach * apart
+    meets[every, home] = True
+    return home, meets
+
+
+def _assigned(vectors: DataFrame, centres: dict[int, tuple[int, np.ndarray]], reach: float) -> DataFrame:
+    """One row per vector and cell that it belongs to or visits: ``cell``, ``home`` and its packed unit vector. ``centres`` has the
+    number of the first cell and the centres of each length; other lengths are the cell of their negative."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
     kind = vectors.schema["id"].dataType.simpleString()
 
@@ -72,26 +85,27 @@ def _assigned(vectors: DataFrame, centres: np.ndarray, reach: float) -> DataFram
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                table, good = unit(part.column("v").to_pylist(), centres.shape[1])
-                rows = np.flatnonzero(good)
-                near = table[rows] @ centres.T
-                home = near.argmax(axis=1)
-                # distance of two unit centres, and of a vector to the border between them
-                apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[home]
-                meets = near[np.arange(len(rows)), home][:, None] - near <= reach * apart
-                meets[np.arange(len(rows)), home] = True
-                who, cell = np.nonzero(meets)
-                lists = np.split(cell.astype(np.int32), np.cumsum(meets.sum(axis=1))[:-1])
-                packed = [table[i].tobytes() for i in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row").take(pa.array(rows[who])), part.column("id").take(pa.array(rows[who])),
-                        pa.array(home[who], pa.int32()), pa.array(cell, pa.int32()),
-                        pa.array([lists[i] if home[i] == c else None for i, c in zip(who, cell, strict=True)], pa.list_(pa.int32())),
-                        pa.array([packed[i] for i in who], pa.binary()),
-                    ],
-                    ["row", "id", "home", "cell", "visits", "v"],
-                )
+                values = part.column("v").to_pylist()
+                lengths = np.array([len(v) for v in values])
+                for width in np.unique(lengths[lengths > 0]).tolist():
+                    own = np.flatnonzero(lengths == width)
+                    table, good = unit([values[i] for i in own], width)
+                    rows, table = own[good], table[good]
+                    first, points = centres.get(width, (-width, np.zeros((1, width))))
+                    home, meets = _placed(table, points, reach)
+                    who, cell = np.nonzero(meets)
+                    lists = np.split((cell + first).astype(np.int32), np.cumsum(meets.sum(axis=1))[:-1])
+                    packed = [v.tobytes() for v in table]
+                    visits = [lists[i] if home[i] == c else None for i, c in zip(who, cell, strict=True)]
+                    taken = pa.array(rows[who])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("row").take(taken), part.column("id").take(taken),
+                            pa.array(home[who] + first, pa.int32()), pa.array(cell + first, pa.int32()),
+                            pa.array(visits, pa.list_(pa.int32())), pa.array([packed[i] for i in who], pa.binary()),
+                        ],
+                        ["row", "id", "home", "cell", "visits", "v"],
+                    )
 
     return vectors.mapInArrow(lean(run), f"row long, id {kind}, home int, cell int, visits array<int>, v binary")
 
@@ -139,15 +153,15 @@ def _links(least: float, cells: int):
         names, first, at = np.unique(rows, return_index=True, return_inverse=True)
         at_a, at_b = at[: len(a)], at[len(a) :]
         home = right.column("home").to_numpy()
-        # a pair that the smaller of both cells has too is counted there
-        seen = np.zeros((len(a), cells), bool)
+        # a pair that the smaller of both cells has too is counted there; a cell of a rare length has no visitors
+        seen = np.zeros((len(a), cells + 1), bool)
         for k, own in enumerate(left.column("visits").to_pylist()):
-            seen[k, own] = True
+            seen[k, np.maximum(own, -1)] = True
         number, forest = np.zeros(len(names), np.int64), Forest(len(names))
         for start in range(0, len(a), 512):
             part = slice(start, start + 512)
             hit = (a[part] @ b.T >= least) & (at_a[part, None] != at_b[None, :])
-            hit &= ~(seen[part][:, home] & (home < cell)[None, :])
+            hit &= ~(seen[part][:, np.maximum(home, -1)] & (home < cell)[None, :])
             if hit.any():
                 np.add.at(number, at_a[part], hit.sum(axis=1))
                 if i != j:  # a block with itself has each pair in both orders
@@ -168,7 +182,7 @@ def near_duplicates(
     by: str = "vec_id",
     vector: str = "embedding",
     least: float = 0.95,
-    slack: float | None = None,
+    slack: float = 0.5,
     sample_rows: int = 20_000,
     cell_rows: int = 1000,
     most_cells: int = 4096,
@@ -176,7 +190,7 @@ def near_duplicates(
 ) -> DataFrame:
     """For every vector ``by``, ``n_links``, ``component_id`` and ``kept``.
 
-    The centres are fitted on about ``sample_rows`` vectors, one for ``cell_rows`` vectors of the table and at most
+    The centres are fitted on about ``sample_rows`` vectors, one for ``cell_rows`` vectors of a length and at most
     ``most_cells``; a cell that grows beyond ``block_rows`` is worked on in more tasks.
     """
     scratch = Scratch(table.sparkSession, "embeddings")
@@ -185,17 +199,15 @@ def near_duplicates(
     total = rows.count()
     drawn = rows.where(share(F.col("row"), total, sample_rows) & F.col("v").isNotNull()).select("v").toArrow()
     lists = drawn.column("v").to_pylist()
-    lengths = [len(v) for v in lists]
-    width = max(sorted(set(lengths)), key=lengths.count, default=0)
-    sample, good = unit(lists, width)
+    lengths, centres, cells = np.array([len(v) for v in lists]), {}, 0
+    for width in np.unique(lengths[lengths > 0]).tolist():
+        own = np.flatnonzero(lengths == width)
+        sample, good = unit([lists[i] for i in own], width)
+        if good.any():
+            wanted = total * len(own) / len(lists) // cell_rows
+            centres[width] = cells, centres_of(sample[good], int(max(1, min(wanted, most_cells, good.sum() // 4))))
+            cells += len(centres[width][1])
     kind = rows.schema["id"].dataType.simpleString()
-    if not good.any():
-        return table.select(
-            F.col(by), F.lit(0).cast("long").alias("n_links"), F.col(by).alias("component_id"),
-            F.col(by).isNotNull().alias("kept"),
-        )
-    centres = centres_of(sample[good], max(1, min(total // cell_rows, most_cells, int(good.sum()) // 4)))
-    slack = min(1.0, 4 / math.sqrt(width)) if slack is None else slack
     reach = slack * math.sqrt(2 - 2 * least) + 1e-9
     known = rows.where("id IS NOT NULL AND v IS NOT NULL").dropDuplicates(["row"])
     placed = scratch.keep(_assigned(known, centres, reach), "placed")
@@ -204,7 +216,7 @@ def near_duplicates(
         F.ceil(F.count(F.when(member, 1)) / block_rows).cast("int").alias("m"),
         F.ceil(F.count(F.when(~member, 1)) / block_rows).cast("int").alias("w"),
     )
-    # one row per cell, at most ``most_cells``
+    # one row per cell: at most ``most_cells`` of a length, and one of each length that the sample doesn't have
     dealt = placed.join(F.broadcast(sizes), "cell").withColumn(
         "block", F.when(member, F.pmod(F.hash("row"), F.greatest("m", F.lit(1)))).otherwise(F.col("m") + F.pmod(F.hash("row"), F.greatest("w", F.lit(1))))
     )
@@ -219,7 +231,7 @@ def near_duplicates(
     found = scratch.keep(
         left.groupBy("cell", "i", "j")
         .cogroup(right.groupBy("cell", "i", "j"))
-        .applyInArrow(_links(least, len(centres)), f"row long, id {kind}, n long, root {kind}"),
+        .applyInArrow(_links(least, cells), f"row long, id {kind}, n long, root {kind}"),
         "links",
     )
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)

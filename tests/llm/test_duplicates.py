@@ -350,6 +350,25 @@ def test_embeddings_equal_brute_force(spark, options):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (hit[i].sum(), want[i], want[i] == i)
 
 
+@pytest.mark.parametrize("options", [{}, {"block_rows": 7, "cell_rows": 20}, {"sample_rows": 60, "cell_rows": 20}])
+def test_embeddings_of_several_lengths(spark, options):
+    """Every length is compared with itself, also one that the sample doesn't have."""
+    parts = {24: vectors(1, 24), 8: vectors(2, 8), 100: vectors(3, 100), 3: [[1.0, 2.0, 3.0], [1.0, 2.0, 3.01]], 1: [[2.0], [5.0], [-1.0]]}
+    table, hits, want = [], {}, {}
+    for width, own in parts.items():
+        v = np.array(own) / np.linalg.norm(own, axis=1)[:, None]
+        hit = v @ v.T >= 0.95
+        np.fill_diagonal(hit, False)
+        first = len(table)
+        table += own
+        local = roots(range(len(own)), np.argwhere(hit).tolist())
+        for i in range(len(own)):
+            hits[first + i], want[first + i] = int(hit[i].sum()), first + local[i]
+    df = spark.createDataFrame(list(enumerate(table)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, **options).collect()}
+    assert got == {i: (hits[i], want[i]) for i in range(len(table))}
+
+
 def test_embeddings_recall_of_the_default_search(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(1500, 64))
