@@ -66,16 +66,11 @@ class LanguageModel:
         return self._cache[word]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and the share of belief in it."""
-        return self.predict_words(LETTERS.findall((text or "").lower()))
-
-    def guess(self, words: list[str]) -> str:
-        """Language by the known words alone, which takes no n-grams; by all if none is known."""
-        get = self.known.get
-        rows = [row for word in words if (row := get(word)) is not None]
-        if not rows:
-            return self.predict_words(words)[0]
-        return self.languages[int(self.table[rows].sum(axis=0, dtype=np.float64).argmax())]
+        """Language and the share of belief in it. Signs like fractions and raised digits stand in words, but are no letters."""
+        words = LETTERS.findall((text or "").lower())
+        if not any(c.isalpha() for word in words for c in word):
+            return UNKNOWN, 0.0
+        return self.predict_words(words)
 
     def predict_words(self, words: list[str]) -> tuple[str, float]:
         """The same for the words of a text in lower case."""
@@ -105,7 +100,7 @@ def learn(
     text: str = "text",
     lang: str = "lang",
     rows_per_language: int = 3000,
-    max_entries: int = 200_000,
+    max_entries: int = 300_000,
     longest: int = 4,
     weight: int = 40,
 ) -> LanguageModel:

@@ -136,3 +136,98 @@ def test_empty_text_is_not_toxic():
     model = toxicity.fit([np.array([1 << 32 | 2]), np.array([3 << 32 | 4])] * 20, np.array([1, 0] * 20), bits=8)
     raw = model.raw([np.zeros(0, np.int64), np.array([1 << 32 | 2])])
     assert raw[0] < raw[1]
+
+
+def test_signs_that_are_no_letters_have_no_language():
+    model = language.LanguageModel(["a", "b"], {"cat": 0, "1:½": 1}, np.array([[0, -1], [-1, 0]], np.float32), 4, 40)
+    for text in ("½ ² ①", "", None, "12 _ ..", "٣ ½"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("x²")[0] in ("a", "b") and model.predict("½ cat")[0] != "und"
+
+
+def plain_language(model, text):
+    """The same prediction word by word, in plain Python."""
+    import math
+    import re
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    total, n = [0.0] * len(model.languages), 0
+    for word in words:
+        rows = [model.known[word]] if word in model.known else []
+        size = model.longest
+        while not rows and size:
+            framed = "^" + word + "$"
+            grams = [f"{size}:{framed[i : i + size]}" for i in range(len(framed) - size + 1)]
+            rows, size = [model.known[g] for g in grams if g in model.known], size - 1
+        if rows:
+            n += 1
+            for k in range(len(total)):
+                total[k] += sum(float(model.table[r][k]) for r in rows) / len(rows)
+    if not n:
+        return model.languages[0], 1 / len(total)
+    total = [t / n * min(n, model.weight) for t in total]
+    belief = [math.exp(t - max(total)) for t in total]
+    return model.languages[belief.index(max(belief))], max(belief) / sum(belief)
+
+
+def test_language_equals_plain_python(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language_model(docs)
+    rows = language.identify(docs, model, ["doc_id", "text"]).collect()
+    for r in rows:
+        want = plain_language(model, r.text)
+        assert r.lang_pred == want[0] and r.score == pytest.approx(want[1], abs=1e-4)
+
+
+def small_model(seed=3, dims=3, filters=2, bits=5):
+    rng = np.random.default_rng(seed)
+    tables = [rng.normal(size=(2**bits + 1, dims)).astype(np.float32) for _ in range(2)]
+    for t in tables:
+        t[-1] = 0
+    ws = [rng.normal(size=(w, dims, filters)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = [rng.normal(size=filters).astype(np.float32) for _ in toxicity.WIDTHS]
+    return toxicity.ToxicityModel(bits, tables, ws, bias, rng.normal(size=filters * len(ws)).astype(np.float32), 0.3)
+
+
+def slow_features(model, row):
+    """Every window of every filter by loops; windows go over the end of a text, where there is nothing."""
+    out = []
+    for w, bias in zip(model.filters, model.bias, strict=True):
+        for f in range(w.shape[2]):
+            best = 0.0
+            for at in range(len(row)):
+                value = float(bias[f])
+                for j in range(len(w)):
+                    if at + j < len(row):
+                        one, two = int(row[at + j]) >> 32, int(row[at + j]) & 0xFFFFFFFF
+                        value += sum(float(w[j, d, f]) * float(model.tables[0][one, d] + model.tables[1][two, d]) for d in range(w.shape[1]))
+                best = max(best, value)
+            out.append(best)
+    return out
+
+
+def test_convolution_equals_loops():
+    rng, model = np.random.default_rng(4), small_model()
+    rows = [rng.integers(0, 32, n).astype(np.int64) << 32 | rng.integers(0, 32, n) for n in (0, 1, 2, 3, 9, 40, 1)]
+    got = model.features(rows)
+    for row, values in zip(rows, got, strict=True):
+        assert values == pytest.approx(slow_features(model, row), abs=1e-4)
+
+
+def test_training_lowers_the_loss_and_parts_the_classes():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 200, 12).astype(np.int64) << 32 | rng.integers(0, 200, 12) for _ in range(80)]
+    labels = np.array([i % 2 for i in range(80)])
+    for i in range(1, 80, 2):
+        rows[i][int(rng.integers(0, 12))] = 7 << 32 | 9
+
+    def loss(model):
+        raw = model.raw(rows)
+        return float(np.mean(np.log1p(np.exp(-np.where(labels == 1, raw, -raw)))))
+
+    losses = [loss(toxicity.fit(rows, labels, bits=8, epochs=n)) for n in (0, 2, 8)]
+    assert losses[0] > losses[1] > losses[2]
+    raw = toxicity.fit(rows, labels, bits=8).raw(rows)
+    assert raw[labels == 1].min() > raw[labels == 0].max()
