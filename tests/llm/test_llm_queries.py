@@ -1,14 +1,20 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
 import os
+import random
 
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from llm_texts import prose
-from lakewarden.llm import jaccard
+from test_duplicates import lines_removed, roots, word_sets
+from test_text_models import plain_language
+from lakewarden.llm import jaccard, language
+from lakewarden.llm.common import held_out
 from lakewarden.llm.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,9 +54,10 @@ def test_pipeline_stages(spark, make, odd):
     assert ids["mix"][0] == ids["mix"][1] and ids["tokens"][0] == ids["tokens"][1]
     assert seen["mix"][1].count() > seen["mix"][0].count()
     # of near-duplicates exactly the smallest id stays
-    left = jaccard.groups(seen["ngram_join"][1])
+    near = {"size": corpus_pipeline.SHINGLE, "percent": corpus_pipeline.PERCENT}
+    left = jaccard.groups(seen["ngram_join"][1], **near)
     assert left.where("doc_id <> component_id").count() == 0
-    groups = jaccard.groups(seen["ngram_join"][0]).where("n_shingles > 0").select("component_id").distinct()
+    groups = jaccard.groups(seen["ngram_join"][0], **near).where("n_shingles > 0").select("component_id").distinct()
     kept = seen["ngram_join"][1].select(F.col("doc_id").alias("component_id"))
     assert groups.join(kept, "component_id", "left_anti").count() == 0
     assert {r.n_chars == len(r.text) for r in seen["line_dedup"][1].collect()} == {True}
@@ -108,3 +115,44 @@ def test_line_dedup_removes_short_repeats(spark, make):
     assert left[0] == rows[0][1]
     assert [left[i] for i in (1, 2)] == [prose(50 + i, 20) + "\n\n--" for i in (1, 2)]
     assert left[3] == prose(60, 20)
+
+
+def plain_pipeline(rows, model):
+    """The ids that the first three stages keep, with their texts, by all pairs of lines and of documents."""
+    kept = [(i, t) for i, t in rows if plain_language(model, t)[0] != "und" and plain_language(model, t)[1] >= corpus_pipeline.LEAST_BELIEF]
+    gone, _ = lines_removed(kept, least=1)
+    after = []
+    for i, text in kept:
+        own = text.split("\n")
+        left = [x for k, x in enumerate(own) if (i, k) not in gone]
+        if len(left) == len(own) or "".join(left).strip():
+            after.append((i, "\n".join(left)))
+    sets = word_sets(after, corpus_pipeline.SHINGLE)
+    names = sorted(sets)
+    links = [
+        (a, b) for x, a in enumerate(names) for b in names[:x]
+        if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= corpus_pipeline.PERCENT * len(sets[a] | sets[b])
+    ]
+    root = roots(names, links)
+    return {i: t for i, t in after if root[i] == i}
+
+
+def test_pipeline_equals_brute_force(spark, make, tmp_path):
+    rng, library = random.Random(11), Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    rows = []
+    for i in range(30):
+        own = [prose(700 + i, rng.randint(12, 40)) for _ in range(2)] + [rng.choice(["all rights reserved", "page end", prose(5, 15)])]
+        rows.append((i, "\n".join(own)))
+    for i in range(30, 45):  # copies with a changed word in another line order, so that lines stay and documents are near
+        words = rows[i - 30][1].replace("\n", " ").split()
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words)))
+    rows += [(50, None), (51, "12 34"), (52, rows[0][1]), (53, "½ ²")]
+    docs = make([(i, t, "en" if i % 2 else "de", "ab"[i % 2]) for i, t in rows])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = language.learn(docs, F.col("doc_id").isNotNull() & ~held_out())
+    want = plain_pipeline(rows, model)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(want) and 20 < len(want) < 45
+    for r in got:
+        assert list(r.ids) == library.encode(want[r.doc_id], add_special_tokens=False).ids
