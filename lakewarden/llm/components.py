@@ -102,9 +102,9 @@ def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return member
 
 
-#: Rounds in which open nodes are compared with leaders of their keys, at most, and how many pairs a row of an open key may
-#: lead to when they end early.
-ROUNDS, FEW = 6, 4
+#: Rounds in which open nodes are compared with leaders of their keys, at most. They end early when the pairs across components
+#: are at most ``FEW`` times the rows of open keys, or when fewer than one in ``RARE`` of the compared pairs were links.
+ROUNDS, FEW, RARE = 6, 16, 20
 #: Keys of a node, the least ones, by which a pair that shares several is told to have met before.
 SEEN = 8
 
@@ -123,7 +123,7 @@ def grouped(
 
     A key is open while its nodes lie in several components. In every round each node of an open key is compared with at most
     two leaders, nodes of another component that a hash of the node and the round picks for each key, and the links found are
-    contracted. Rounds end when hardly anything is open or no link was found. Then the nodes that still share a key with another
+    contracted. Rounds end when little is open or hardly a link was found. Then the nodes that still share a key with another
     component are compared across components, every pair once, as far as ``near`` allows. A pair within a component
     needs no comparison, so no key is expanded into all of its pairs, and no link between two components is lost.
     """
@@ -132,33 +132,40 @@ def grouped(
         one, two = facts.withColumnRenamed("node", "a").alias("one"), facts.withColumnRenamed("node", "b").alias("two")
         return pairs.join(one, "a").join(two, "b").where(near("one", "two")).select("a", "b")
 
-    links = open_ = None
+    links, rare = None, False
     roots = member.select("node", F.col("node").alias("root")).limit(0)
+    open_ = scratch.keep(member.withColumn("root", F.col("node")), "open", light=True)  # in the beginning every key is open
     for turn in range(ROUNDS + 1):
-        known = member if open_ is None else open_.select("key", "node")
-        rooted = known.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        rooted = scratch.keep(rooted, "rooted", light=True)
-        lots = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        lots = lots.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("roots"))
-        lots = scratch.keep(lots.where("roots > 1"), "open-keys", light=True)
-        before, open_ = open_, scratch.keep(rooted.join(lots.select("key"), "key"), "open", light=True)
-        size = lots.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2).alias("pairs")).first()
-        scratch.drop(rooted, lots, *[before] * (before is not None))
-        if not size["rows"]:
-            return roots
-        if turn == ROUNDS or turn and size["pairs"] <= FEW * size["rows"]:
-            break
+        if turn:
+            rooted = open_.select("key", "node").join(roots, "node", "left")
+            rooted = scratch.keep(rooted.select("key", "node", F.coalesce("root", "node").alias("root")), "rooted", light=True)
+            lots = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+            lots = lots.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("roots"))
+            lots = scratch.keep(lots.where("roots > 1"), "open-keys", light=True)
+            scratch.drop(open_)
+            open_ = scratch.keep(rooted.join(lots.select("key"), "key"), "open", light=True)
+            pairs = F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2)
+            size = lots.agg(F.sum("n").alias("rows"), pairs.alias("pairs")).first()
+            scratch.drop(rooted, lots)
+            if not size["rows"]:
+                return roots
+            if rare or turn == ROUNDS or size["pairs"] <= FEW * size["rows"]:
+                break
         rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
         leaders = open_.groupBy("key").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
         led = open_.join(leaders, "key").select("node", "root", F.explode(F.array("x", "y")).alias("to"))
         led = led.where(F.col("root") != F.col("to.root")).groupBy("node").agg(F.min("to").alias("x"), F.max("to").alias("y"))
         led = led.select(F.col("node").alias("a"), F.explode(F.array("x.node", "y.node")).alias("b")).distinct()
-        found = scratch.keep(verify(close(led)), "links")
-        if not found.take(1):
-            scratch.drop(found)
+        led = scratch.keep(close(led), "led", light=True)
+        found = scratch.keep(verify(led), "links")
+        hits = found.count()
+        rare = hits * RARE < led.count()
+        scratch.drop(led)
+        if not hits and not turn:  # every key is still open, and no pair within a component is among them
             break
-        links = found if links is None else links.union(found)
-        roots = components(links, scratch)
+        if hits:
+            links = found if links is None else links.union(found)
+            roots = components(links, scratch)
     own = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SEEN).alias("least"))
     nodes = scratch.keep(own.join(facts, "node"), "open-nodes", light=True)
     held = scratch.keep(open_.join(nodes, "node"), "held", light=True)
