@@ -99,11 +99,13 @@ def dataset_job(
     order_cols: dict[str, str],
     dictionary: DataFrame | None = None,
     approximate: bool = False,
+    responses: DataFrame | None = None,
     **options: int,
 ) -> dict[str, DataFrame]:
     """Profile, quality, duplicates, catalog, recommendations and report tables.
 
-    Findings, report, profiles, groups, duplicates and catalog are written once, so the later tables read those.
+    Findings, report, profiles, groups, duplicates and catalog are written once, so the later tables read those. ``responses`` are
+    raw texts with written definitions (``table, response``, and ``turn`` if later ones replace earlier ones).
     """
     spark = next(iter(tables.values())).sparkSession
     found = cut(quality.findings(tables, pack, as_of), "findings")
@@ -127,7 +129,10 @@ def dataset_job(
             "size bigint",
         )
     dupes = cut(_count_table(spark, mdm_parts["names"], groups), "duplicates")
-    entries = cut(catalog.catalog(columns, found, pack, dictionary), "catalog")
+    feed = None
+    if responses is not None:
+        feed = catalog.definitions_from_responses(responses, order_col="turn" if "turn" in responses.columns else None)
+    entries = cut(catalog.catalog(columns, found, pack, dictionary, feed), "catalog")
     recs = recommend.recommendations(scored, found, dupes)
     risk = report.risks(scored, dupes, table_rows)
     kpi = report.kpis(scored, found, dupes, table_rows, entries)

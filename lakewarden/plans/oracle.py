@@ -691,6 +691,12 @@ catalog AS (SELECT p."table", p."column" AS field,
 
 ORACLE["catalog_entries"] = f"""WITH {RETAIL_FINDINGS}, {retail_profile(SELECTS)}, {DICTIONARY},
 {catalog_cte("dictionary")} SELECT * FROM catalog"""
+ORACLE["catalog_merged"] = f"""WITH written AS (
+ SELECT 'clientes' AS t, CASE c_custkey % 4 WHEN 0 THEN 'nombre' WHEN 1 THEN 'correo' WHEN 2 THEN 'pais' ELSE 'dni' END AS f,
+  'Written for record ' || max(c_custkey) AS d FROM customer GROUP BY 1, 2),
+entries AS ({ORACLE["catalog_entries"]})
+SELECT entries.* REPLACE (coalesce(d, business_definition) AS business_definition)
+FROM entries LEFT JOIN written ON "table" = t AND lower(field) = f"""
 ORACLE["catalog_feed"] = """SELECT 'clientes' AS "table", lower(c_mktsegment) AS field_key,
  'Segment ' || c_mktsegment AS business_definition FROM (SELECT DISTINCT c_mktsegment FROM customer)"""
 ORACLE["recommendation_feed"] = """WITH c AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)

@@ -463,6 +463,25 @@ def catalog_entries(spark, folder):
     return out.withColumn("quality_rules", joined("quality_rules"))
 
 
+@query
+def catalog_merged(spark, folder):
+    """Written definitions in the catalog. Every customer gives a raw response; the last one on a field counts."""
+    tables = retail_tables(spark, folder, keep_row=True)
+    columns, _ = jobs.profiles(tables, RETAIL, dict.fromkeys(tables, "fila"))
+    found = quality.findings(retail_tables(spark, folder), RETAIL, AS_OF)
+    field = F.element_at(F.array(*[F.lit(f) for f in ("NOMBRE", "correo", "Pais", "dni")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    responses = read_table(spark, folder, "customer").select(
+        F.lit("clientes").alias("table"), F.col("c_custkey").alias("turn"),
+        F.concat(
+            F.lit('Here: {"entries": [{"field": "'), field, F.lit('", "business_definition": "Written for record '),
+            F.col("c_custkey").cast("string"), F.lit('"}]}'),
+        ).alias("response"),
+    )
+    feed = catalog.definitions_from_responses(responses, order_col="turn")
+    out = catalog.catalog(columns, found, RETAIL, _dictionary(spark, folder), feed)
+    return out.withColumn("quality_rules", joined("quality_rules"))
+
+
 @query
 def catalog_feed(spark, folder):
     """C7 on one raw response per market segment and nation."""

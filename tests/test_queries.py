@@ -18,7 +18,7 @@ SAMPLE = [
     "retail_findings", "star_quality_report", "profile_columns_productos", "golden_part",
     "fuzzy_clusters_part", "mdm_exact_documents", "dictionary_entries", "recommendations_by_key",
     "chunks_windows", "hash_embedding", "topk_chunks", "topk_vectors", "answers", "json_extract",
-    "csv_documents", "document_files", "index_jobs", "default_recommendation", "report_files",
+    "csv_documents", "document_files", "catalog_merged", "index_jobs", "default_recommendation", "report_files",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
