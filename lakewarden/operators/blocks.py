@@ -1,8 +1,8 @@
 """Exact top-k search over blocks of chunks, which skips blocks that cannot reach the k-th score.
 
-The index holds chunks in blocks of some dozens, as they lie, and for every bucket of a block the largest weight that a chunk of
+The index holds chunks in small blocks, as they lie, and for every bucket of a block the largest weight that a chunk of
 the block has there. The sum of those weights times the weights of a question bounds every score in the block from above. Each
-question first scores its most promising block; the k-th score found there is a bar, and of the other blocks only those
+question first scores a few promising blocks; the k-th score found there is a bar, and of the other blocks only those
 whose bound reaches it are scored. Questions meet postings and blocks by equi-joins on buckets and block numbers, so none is
 copied past rows that it has nothing in common with.
 """
@@ -22,7 +22,11 @@ from ..session import cut
 
 IDS = ["doc_id", "chunk_id"]
 #: Chunks of a block: fewer give closer bounds, more give fewer postings.
-BLOCK_SIZE = 64
+BLOCK_SIZE = 4
+#: Neighbouring blocks that one call scores, and questions that it holds as whole vectors at once.
+PACK, AT_ONCE = 64, 1024
+#: Blocks that a question scores first: the most promising one of so many shares of the blocks.
+PROBES = 8
 #: Sums of rounded products may fall short of the exact ones by less than this share.
 SLACK = 1e-9
 
@@ -88,26 +92,42 @@ def _scored(pairs: DataFrame, terms: DataFrame, blocks: DataFrame, k: int, dim:
     arrow = to_arrow_schema(schema)
     asked = pairs.join(terms.select("question_id", "buckets", "counts"), "question_id")
 
-    def score(questions: pa.Table, block: pa.Table) -> pa.Table:
-        if not questions.num_rows or not block.num_rows:
+    def score(_, questions: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not questions.num_rows or not blocks.num_rows:
             return arrow.empty_table()
-        questions, rows = questions.combine_chunks().to_batches()[0], block.column("rows").combine_chunks().values
-        if isinstance(rows, pa.ChunkedArray):
-            rows = rows.combine_chunks()
-        wanted = _dense(questions.column("buckets"), questions.column("counts"), dim)
-        held = _dense(rows.field("buckets"), rows.field("counts"), dim)
-        dots = held @ wanted.T
-        size = np.sqrt(np.multiply.outer(rows.field("norm2").to_numpy(), (wanted * wanted).sum(axis=1)))
-        scores = np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
-        bar = questions.column("bar").to_numpy()
-        if len(scores) > k:
-            bar = np.maximum(bar, np.partition(scores, len(scores) - k, axis=0)[-k])
-        row, q = np.nonzero((scores >= bar) & (scores > 0))
-        taken = [questions.column("question_id").take(pa.array(q)), *[rows.field(i).take(pa.array(row)) for i in IDS]]
-        columns = [c.cast(f.type) for c, f in zip([*taken, pa.array(scores[row, q])], arrow)]
-        return pa.Table.from_arrays(columns, schema=arrow)
-
-    return asked.groupBy("block").cogroup(blocks.select("block", "rows").groupBy("block")).applyInArrow(score, schema)
+        numbers = blocks.column("block").to_numpy()
+        lists = pa.concat_arrays(blocks.column("rows").chunks)
+        rows = lists.flatten()
+        home = np.repeat(numbers, lists.value_lengths().to_numpy())
+        held, norms = _dense(rows.field("buckets"), rows.field("counts"), dim), rows.field("norm2").to_numpy()
+        one = pa.Table.from_batches(questions.sort_by("question_id").to_batches()).combine_chunks()
+        names = one.column("question_id").combine_chunks().dictionary_encode()
+        which, found = names.indices.to_numpy(), []
+        for low in range(0, len(names.dictionary), AT_ONCE):
+            part = np.flatnonzero((which >= low) & (which < low + AT_ONCE))
+            own, place = np.unique(which[part], return_index=True)
+            asked = one.take(pa.array(part[place])).combine_chunks()
+            wanted = _dense(asked.column("buckets").combine_chunks(), asked.column("counts").combine_chunks(), dim)
+            dots = held @ wanted.T
+            size = np.sqrt(np.multiply.outer(norms, (wanted * wanted).sum(axis=1)))
+            scores = np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
+            # only the pairs that were asked for
+            pairs = np.zeros((len(numbers), len(own)), bool)
+            at = {n: i for i, n in enumerate(numbers.tolist())}
+            pairs[[at[n] for n in one.column("block").take(pa.array(part)).to_pylist()], which[part] - low] = True
+            scores[~pairs[[at[n] for n in home.tolist()]]] = 0
+            bar = asked.column("bar").to_numpy()
+            if len(scores) > k:
+                bar = np.maximum(bar, np.partition(scores, len(scores) - k, axis=0)[-k])
+            row, q = np.nonzero((scores >= bar) & (scores > 0))
+            taken = [asked.column("question_id").take(pa.array(q)).combine_chunks(), *[rows.field(i).take(pa.array(row)) for i in IDS]]
+            columns = [c.cast(f.type) for c, f in zip([*taken, pa.array(scores[row, q])], arrow)]
+            found.append(pa.Table.from_arrays(columns, schema=arrow))
+        return pa.concat_tables(found)
+
+    pack = F.floor(F.col("block") / F.lit(PACK))
+    left = asked.withColumn("pack", pack).groupBy("pack")
+    return left.cogroup(blocks.select("block", "rows", pack.alias("pack")).groupBy("pack")).applyInArrow(score, schema)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -133,15 +153,16 @@ def _filled(best: DataFrame, questions: DataFrame, index: DataFrame, k: int) ->
     return best.unionByName(more.select("question_id", *IDS, F.lit(0.0).alias("score"), "rank"))
 
 
-def _plan(blocks: DataFrame, terms: DataFrame, k: int, dim: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks of the first blocks, and the pairs of a question and another block that can hold better ones."""
+def _plan(blocks: DataFrame, terms: DataFrame, k: int, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The bounds, the chunks of the first blocks, and the pairs of a question and another block that can hold better ones."""
     bounds = cut(block_bounds(blocks, terms), "bounds")
-    first = bounds.groupBy("question_id").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
-    first = cut(first, "first-blocks")
+    share = F.pmod("block", F.lit(PROBES)).alias("share")
+    first = bounds.groupBy("question_id", share).agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    first = cut(first.drop("share"), "first-blocks")
     probed = cut(_scored(first.withColumn("bar", F.lit(0.0)), terms, blocks, k, dim), "probed")
     bars = _first(probed, k).filter(F.col("rank") == k).select("question_id", F.col("score").alias("bar"))
     rest = bounds.join(first, ["question_id", "block"], "left_anti").join(bars, "question_id", "left").fillna(0.0, ["bar"])
-    return probed, rest.filter(F.col("bound") >= F.col("bar")).select("question_id", "block", "bar")
+    return bounds, probed, rest.filter(F.col("bound") >= F.col("bar")).select("question_id", "block", "bar")
 
 
 def top_in_blocks(
@@ -150,7 +171,7 @@ def top_in_blocks(
     """``question_id, doc_id, chunk_id, score, rank`` of the ``k`` best chunks by cosine, ties by id."""
     blocks = build_blocks(index) if blocks is None else blocks
     terms = cut(with_terms(questions.select("question_id", "question"), "question", dim).drop("question"), "terms")
-    probed, pairs = _plan(blocks, terms, k, dim)
+    _, probed, pairs = _plan(blocks, terms, k, dim)
     best = cut(_first(probed.unionByName(_scored(pairs, terms, blocks, k, dim)), k), "best")
     return _filled(best, questions, index, k) if fill_zero else best
 
@@ -159,6 +180,6 @@ def pruning(index: DataFrame, questions: DataFrame, k: int = 6, dim: int = 768,
     """How many pairs of a question and a block there are, and how many of them are scored."""
     blocks = build_blocks(index, size)
     terms = cut(with_terms(questions.select("question_id", "question"), "question", dim).drop("question"), "terms")
-    _, pairs = _plan(blocks, terms, k, dim)
-    asked = terms.filter("norm2 > 0").count()
-    return asked * blocks.count(), asked + pairs.count()
+    bounds, _, pairs = _plan(blocks, terms, k, dim)
+    first = bounds.select("question_id", F.pmod("block", F.lit(PROBES))).distinct().count()
+    return terms.filter("norm2 > 0").count() * blocks.count(), first + pairs.count()
