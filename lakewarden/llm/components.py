@@ -104,9 +104,9 @@ def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: Rounds in which open nodes are compared with leaders of their keys, at most. They end early when the pairs across components
 #: are at most ``FEW`` times the rows of open keys, or when fewer than one in ``RARE`` of the compared pairs were links.
-ROUNDS, FEW, RARE = 6, 16, 20
+ROUNDS, FEW, RARE = 6, 8, 20
 #: Keys of a node, the least ones, by which a pair that shares several is told to have met before.
-SEEN = 8
+SEEN = 4
 
 
 def grouped(
