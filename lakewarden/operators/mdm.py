@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.similarity import indel_edits, lcs_similarity, partitions, reaches, sort_tokens
 from ..functions.text import is_missing, normalize_email, normalize_text, strip
@@ -14,6 +16,12 @@ from ..session import cut, uncut
 from .skew import HOT_ROWS, join_per_key
 from .values import as_text, from_text
 
+#: Meetings of names at keys that are always paired, or that each name may have; nodes of the first batch where there are more;
+#: leaders that may meet every open name directly.
+MOST_PAIRS, PAIRS_PER_NAME, FIRST_BATCH, MOST_BESIDE = 2_000_000, 64, 1000, 4096
+#: Open nodes and edges between names that one task settles.
+TASK_NODES, TASK_EDGES = 100_000, 1_000_000
+
 MEMBER_SCHEMA = "entity string, group_id string, match_type string, member_id string"
 
 
@@ -110,12 +118,48 @@ def similar_names(pairs: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def similar_edges(names: DataFrame, threshold: int) -> DataFrame:
-    """M2: similar names ``(x, y)``, in both directions; found once."""
-    edges = similar_names(name_pairs(names, threshold), threshold)
+def _beside(few: DataFrame, names: DataFrame) -> DataFrame:
+    """``x, y``: every one of a few names beside every name, over all cores however few files hold them."""
+    spread = names.repartition(names.sparkSession.sparkContext.defaultParallelism)
+    return spread.select(F.col("name").alias("y")).crossJoin(F.broadcast(few.select(F.col("name").alias("x"))))
+
+
+def similar_edges(names: DataFrame, threshold: int, directly: bool = False) -> DataFrame:
+    """M2: similar names ``(x, y)``, in both directions; found once. A few names that would meet more often than there are pairs
+    can meet ``directly``."""
+    pairs = _beside(names, names).filter("x < y") if directly else name_pairs(names, threshold)
+    edges = cut(similar_names(pairs, threshold).select("x", "y"), "one-way")
     return edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
 
+def _meetings(one: DataFrame, two: DataFrame, threshold: int) -> int:
+    """How many rows the join of two tables of names on their keys would have; counted per key, nothing is joined."""
+    sides = []
+    for names, short, long in ((one, "a", "b"), (two, "c", "d")):
+        for column, keys in zip((short, long), partitions("name", "len", threshold)):
+            sides.append(names.select(F.explode(keys).alias("key"), F.lit(column).alias("side")))
+    per = reduce(DataFrame.unionByName, sides).groupBy("key").agg(
+        *[F.count_if(F.col("side") == c).cast("double").alias(c) for c in "abcd"]
+    )
+    return int(per.agg(F.sum(F.col("a") * F.col("d") + F.col("b") * F.col("c"))).first()[0] or 0)
+
+
+def _near_leaders(leaders: DataFrame, names: DataFrame, threshold: int) -> DataFrame:
+    """``x, y``: a leader's name and another similar one.
+
+    A few leaders meet every name directly where their keys would bring more pairs than that; else they meet at keys.
+    """
+    few, all_names = leaders.count(), names.count()
+    if few <= PAIRS_PER_NAME or few <= MOST_BESIDE and _meetings(leaders, names, threshold) >= few * all_names:
+        return similar_names(_beside(leaders, names).filter("x <> y"), threshold)
+    sides = []
+    for own, other in (partitions("name", "len", threshold), partitions("name", "len", threshold)[::-1]):
+        one = leaders.select(F.col("name").alias("x"), F.explode(own).alias("key"))
+        two = names.select(F.col("name").alias("y"), F.explode(other).alias("key"))
+        sides.append(one.join(two, "key").filter("x <> y").select("x", "y"))
+    return similar_names(sides[0].unionByName(sides[1]).distinct(), threshold)
+
+
 def _without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``keys``; those without a key never meet the join."""
     return rows.filter(F.col(key).isNull()).unionByName(
@@ -123,29 +167,20 @@ def _without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     )
 
 
-def leader_clusters(nodes: DataFrame, threshold: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """M3 and M4: ``node, leader``; a leader names itself.
-
-    A node leads exactly when no earlier similar node leads, and every other node belongs to its earliest similar leader. Nodes are
-    similar through equal or similar names or through their e-mail.
+def _batch_leaders(open_nodes: DataFrame, all_edges: DataFrame) -> DataFrame | None:
+    """``name, email, node`` of the leaders among ``open_nodes`` (``node, name, email``), whose similar names are ``all_edges``.
 
-    Edges between names are found once. Each round works on open nodes and on edges between names that have some: a node
-    leads if it is the earliest open node of its name, of all similar names and of its e-mail. All nodes of those names and of
-    that e-mail come later, so they are closed. The earliest open node always leads, so every round closes something, and
-    there are as many rounds as the longest chain of nodes that wait for each other. Then each node takes the earliest
-    leader among its similar ones. The driver sees one number per round.
+    Each round works on open nodes and on edges between names that have some: a node leads if it is the earliest open node of its
+    name, of all similar names and of its e-mail. All nodes of those names and of that e-mail come later, so they are closed. The
+    earliest open node always leads, so every round closes something, and there are as many rounds as the longest chain of nodes
+    that wait for each other. The driver sees three numbers per round. What is small enough for one task is settled there at once.
     """
-    counted = F.count(F.lit(1)).alias("n_nodes")
-    names = cut(nodes.groupBy("name", "len").agg(counted), "names")
-    emails = nodes.filter("email IS NOT NULL").groupBy("email").agg(counted)
-    emails = cut(emails.filter("n_nodes > 1"), "emails")
-    all_edges = open_edges = cut(similar_edges(names.select("name", "len"), threshold), "edges")
-    marked = join_per_key(nodes.filter("email IS NOT NULL"), emails, "email", "n_nodes", hot_rows).select("node", "name", "email")
-    # an e-mail that no other node has counts for nothing
-    alone = _without(nodes, emails, "email").select("node", "name", F.lit(None).cast("string").alias("email"))
-    open_nodes = cut(marked.unionByName(alone), "open")
+    given, open_edges = open_nodes, all_edges
     found, left = [], open_nodes.count()
     while left:
+        if left <= TASK_NODES and _fits_task(open_nodes, open_edges):
+            found.append(_leaders_in_task(open_nodes, open_edges))
+            break
         firsts = open_nodes.groupBy("name").agg(F.min(F.struct("node", "email")).alias("at"))
         firsts = cut(firsts.select("name", F.col("at.node").alias("node"), F.col("at.email").alias("email")), "firsts")
         start = firsts.select(F.col("name").alias("x"), F.col("node").alias("other"))
@@ -157,21 +192,132 @@ def leader_clusters(nodes: DataFrame, threshold: int, hot_rows: int = HOT_ROWS)
         first_of_mail = ready.filter("email IS NOT NULL").join(mail, "email").filter("node = first").select("name", "email", "node")
         leaders = cut(ready.filter("email IS NULL").unionByName(first_of_mail), "leaders")
         reached = edges.join(leaders.select(F.col("name").alias("x")), "x", "left_semi").select(F.col("y").alias("name"))
-        closed = reached.union(leaders.select("name")).distinct()
-        after = _without(open_nodes.join(closed, "name", "left_anti"), leaders.filter("email IS NOT NULL"), "email")
-        after = cut(after.select("node", "name", "email"), "open")
+        after = cut(_still_open(open_nodes, reached.union(leaders.select("name")), leaders), "open")
         found.append(leaders)
         before, left = left, after.count()
         if left >= before:
             raise RuntimeError("a round closed no node")
-        uncut(open_nodes, firsts, *[open_edges] * (open_edges is not all_edges))
+        uncut(firsts, *[open_nodes] * (open_nodes is not given), *[open_edges] * (open_edges is not all_edges))
         open_nodes, open_edges = after, edges
+    return cut(reduce(DataFrame.unionByName, found), "batch-leaders") if found else None
+
+
+def _fits_task(nodes: DataFrame, edges: DataFrame) -> bool:
+    """Few edges, and an order without nulls or ties."""
+    seen = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node").alias("places")).first()
+    return seen["n"] == seen["places"] and edges.count() <= TASK_EDGES
+
+
+def _leaders_in_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The leaders of a bounded table, by going through it in order."""
+    schema = nodes.select("name", "email", "node").schema
+    arrow = to_arrow_schema(schema)
+
+    def settle(_, rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        near: dict[str, list[str]] = {}
+        for x, y in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist()):
+            near.setdefault(x, []).append(y)
+        rows = rows.sort_by("node")
+        names, emails, taken = set(), set(), []
+        for at, (name, email) in enumerate(zip(rows.column("name").to_pylist(), rows.column("email").to_pylist())):
+            if name not in names and (email is None or email not in emails):
+                taken.append(at)
+                names.update(near.get(name, ()), (name,))
+                emails.add(email)
+        return rows.take(pa.array(taken, pa.int64())).select(arrow.names).cast(arrow)
+
+    one = nodes.withColumn("all", F.lit(0)).groupBy("all")
+    return one.cogroup(edges.withColumn("all", F.lit(0)).groupBy("all")).applyInArrow(settle, schema)
+
+
+def _still_open(open_nodes: DataFrame, closed: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Nodes without a name in ``closed`` and without a leader's e-mail."""
+    rest = open_nodes.join(closed.distinct(), "name", "left_anti")
+    return _without(rest, leaders.filter("email IS NOT NULL"), "email").select("node", "name", "email")
+
+
+class _Places:
+    """Nodes by their place in the order; the driver sees a row count for each partition and one node for each question."""
+
+    def __init__(self, nodes: DataFrame) -> None:
+        ordered = nodes.select("node").orderBy("node").withColumn("part", F.spark_partition_id())
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        self.rows = cut(ordered.withColumn("at", at), "places")
+        self.sizes = sorted((r["part"], r["count"]) for r in self.rows.groupBy("part").count().collect())
+        self.total = sum(n for _, n in self.sizes)
+
+    def node(self, place: int):
+        for part, n in self.sizes:
+            if place < n:
+                return self.rows.filter((F.col("part") == part) & (F.col("at") == place)).first()["node"]
+            place -= n
+        return None
+
+
+def _named(nodes: DataFrame) -> DataFrame:
+    return nodes.select("name").distinct().withColumn("len", F.char_length("name"))
+
+
+def leader_clusters(
+    nodes: DataFrame, threshold: int, hot_rows: int = HOT_ROWS, most_pairs: int = MOST_PAIRS, first_batch: int = FIRST_BATCH
+) -> DataFrame:
+    """M3 and M4: ``node, leader``; a leader names itself.
+
+    A node leads exactly when no earlier similar node leads, and every other node belongs to its earliest similar leader. Nodes are
+    similar through equal or similar names or through their e-mail.
+
+    Where names would meet more than ``most_pairs`` times (and more than ``PAIRS_PER_NAME`` times each), the nodes are taken in
+    batches by their order. Leaders of a batch are found from the pairs inside it and close all nodes that are similar to
+    them, early or late, so that those are never paired with each other. Later leaders come later in the order: a node's earliest
+    one is in the batch that closed it. Batches grow fourfold, and shrink while their names would meet too often.
+    """
+    counted = F.count(F.lit(1)).alias("n_nodes")
+    names = cut(nodes.groupBy("name", "len").agg(counted), "names")
+    emails = nodes.filter("email IS NOT NULL").groupBy("email").agg(counted)
+    emails = cut(emails.filter("n_nodes > 1"), "emails")
+    marked = join_per_key(nodes.filter("email IS NOT NULL"), emails, "email", "n_nodes", hot_rows).select("node", "name", "email")
+    # an e-mail that no other node has counts for nothing
+    alone = _without(nodes, emails, "email").select("node", "name", F.lit(None).cast("string").alias("email"))
+    open_nodes = cut(marked.unionByName(alone), "open")
+    found, claims, places, taken, size = [], [], None, 0, first_batch
+    while not open_nodes.isEmpty():
+        left = cut(_named(open_nodes), "open-names")
+        batch, some, whole, dense = open_nodes, left, True, not _meets_little(left, threshold, most_pairs)
+        if dense:
+            places = places or _Places(nodes)
+        while dense and size >= first_batch:
+            last = places.node(taken + size - 1) if taken + size < places.total else None
+            whole = last is None
+            batch = open_nodes if whole else open_nodes.filter(F.col("node") <= F.lit(last))
+            some = left if whole else _named(batch)
+            dense = not _meets_little(some, threshold, most_pairs)
+            if not dense or size // 4 < first_batch:
+                break
+            size //= 4
+        batch, some = (batch, some) if whole else (cut(batch, "batch"), cut(some, "batch-names"))
+        edges = cut(similar_edges(some, threshold, dense and some.count() <= MOST_BESIDE), "edges")
+        leaders = _batch_leaders(batch, edges)
+        taken, size = taken + size, size * 4
+        if leaders is None:
+            continue
+        lead = leaders.select(F.col("name").alias("x"), "node")
+        if not whole:
+            own = cut(leaders.select("name", F.char_length("name").alias("len")).distinct(), "leader-names")
+            edges = cut(_near_leaders(own, left, threshold), "near-leaders")
+        named = edges.join(lead, "x").select(F.col("y").alias("name"), "node").unionByName(leaders.select("name", "node"))
+        named = cut(named.groupBy("name").agg(F.min("node").alias("claim")), "claims")
+        found.append(leaders)
+        claims.append(named)
+        if whole:
+            break
+        after = cut(_still_open(open_nodes, named.select("name"), leaders), "open")
+        uncut(open_nodes, left, batch)
+        open_nodes = after
     if not found:
         return nodes.select("node", F.col("node").alias("leader"))
     leaders = cut(reduce(DataFrame.unionByName, found), "all-leaders")
-    lead = leaders.select(F.col("name").alias("x"), "node")
-    named = all_edges.join(lead, "x").select(F.col("y").alias("name"), "node").unionByName(leaders.select("name", "node"))
-    named = named.groupBy("name").agg(F.min("node").alias("claim")).join(names.select("name", "n_nodes"), "name")
+    named = reduce(DataFrame.unionByName, claims).groupBy("name").agg(F.min("claim").alias("claim"))
+    named = named.join(names.select("name", "n_nodes"), "name")
     mailed = leaders.filter("email IS NOT NULL").select("email", F.col("node").alias("claim")).join(emails, "email")
     by_name = join_per_key(nodes.select("node", "name"), named, "name", "n_nodes", hot_rows).select("node", "claim")
     by_mail = join_per_key(
@@ -182,6 +328,11 @@ def leader_clusters(nodes: DataFrame, threshold: int, hot_rows: int = HOT_ROWS)
     return claims.join(own, "node", "left").select("node", F.coalesce("own", "claim").alias("leader"))
 
 
+def _meets_little(names: DataFrame, threshold: int, most_pairs: int) -> bool:
+    """Whether all pairs of names that share a key may be written: so many in all, or so many for each name."""
+    return _meetings(names, names, threshold) // 2 <= max(most_pairs, PAIRS_PER_NAME * names.count())
+
+
 def _node_key(name: Column, email: Column) -> Column:
     return F.concat(name, F.lit("\0"), F.coalesce(email, F.lit("")))
 

@@ -69,3 +69,35 @@ def test_pairs_stay_far_below_the_square(spark):
     names = {f"{rng.getrandbits(28):07x} {rng.getrandbits(32):08x}" for _ in range(6000)}
     pairs = mdm.name_pairs(frame(spark, sorted(names)), 88).count()
     assert pairs < len(names) ** 2 / 2 / 100
+
+
+@pytest.mark.parametrize("in_task", [True, False])
+def test_leaders_in_batches_by_brute_force(spark, monkeypatch, in_task):
+    """Many names that all resemble each other: batches of five nodes, whose leaders close late nodes as well."""
+    rng = random.Random(5)
+    names = sorted({"supplier " + "".join(rng.choice("01") * 4 for _ in range(5)) for _ in range(60)} | {"other name", "other nime"})
+    rng.shuffle(names)
+    rows = [(i, n, len(n), rng.choice([None, f"m{i % 9}"])) for i, n in enumerate(names * 2)]
+    rows = list({(n, m): (i, n, k, m) for i, n, k, m in reversed(rows)}.values())
+    nodes = spark.createDataFrame(rows, "node long, name string, len int, email string")
+    monkeypatch.setattr(mdm, "PAIRS_PER_NAME", 0)
+    if not in_task:
+        monkeypatch.setattr(mdm, "TASK_NODES", 0)
+    monkeypatch.setattr(mdm, "MOST_BESIDE", 10**9 if in_task else 0)
+    want, leaders = {}, []
+    for node, name, _, mail in sorted(rows):
+        near = [
+            a for a, n, m in leaders
+            if n == name or (mail and m == mail) or 25 * lcs(n, name) >= 11 * (len(n) + len(name))
+        ]
+        want[node] = min(near, default=node)
+        leaders += [(node, name, mail)] * (not near)
+    got = {r.node: r.leader for r in mdm.leader_clusters(nodes, 88, most_pairs=0, first_batch=5).collect()}
+    assert got == want and 5 < len(leaders) < len(rows) // 2
+
+
+def test_meetings_of_names_are_counted(spark):
+    names = frame(spark, ["supplier 0001", "supplier 0002", "other"])
+    one, two = mdm.partitions("name", "len", 88)
+    keys = names.select(F.explode(one).alias("key")).join(names.select(F.explode(two).alias("key")), "key").count()
+    assert mdm._meetings(names, names, 88) == 2 * keys
