@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from ..operators.retrieval import citations
@@ -40,7 +41,10 @@ class ChunkIndex:
 
     def citations(self) -> DataFrame:
         """``slot, number, doc_id, chunk_id``; slots are folders, so a question reads those of its numbers only."""
-        return self.spark.read.parquet(self.citation_path)
+        ids = self.read().schema
+        # the folder is empty where no chunk cites anything, so it can't tell its columns
+        columns = T.StructType([T.StructField("number", T.StringType()), ids["doc_id"], ids["chunk_id"], T.StructField("slot", T.IntegerType())])
+        return self.spark.read.schema(columns).parquet(self.citation_path)
 
     def _cite(self, mode: str, chunks: DataFrame) -> None:
         citations(chunks).write.mode(mode).partitionBy("slot").parquet(self.citation_path)
