@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,17 @@ ORACLE["csv_documents"] = f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5({_ke
  {_kept.format("lang")} AS lang, {_kept.format("source")} AS source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"""
 
 
+#: Text files that one task writes.
+FILES_PER_TASK = 5000
+
+
 def _document_files(spark: SparkSession, folder: str) -> str:
     path = _place(spark, "texts")
     texts = read_table(spark, folder, "documents").select("doc_id", F.col("text").alias("value"))
-    texts.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    # a number of partitions that grows with the documents, and files moved by the tasks instead of one by one by the driver
+    parts = max(1, ceil(texts.count() / FILES_PER_TASK))
+    spread = texts.repartition(parts, "doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    spread.partitionBy("doc_id").text(path)
     return path
 
 
