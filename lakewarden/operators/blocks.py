@@ -31,7 +31,7 @@ PROBES = 8
 SLACK = 1e-9
 
 
-def _dense(buckets: pa.ListArray, counts: pa.ListArray, dim: int) -> np.ndarray:
+def dense(buckets: pa.ListArray, counts: pa.ListArray, dim: int) -> np.ndarray:
     """Whole-number vectors from their buckets and counts."""
     row = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy())
     slot = row * dim + buckets.flatten().to_numpy()
@@ -99,7 +99,7 @@ def _scored(pairs: DataFrame, terms: DataFrame, blocks: DataFrame, k: int, dim:
         lists = pa.concat_arrays(blocks.column("rows").chunks)
         rows = lists.flatten()
         home = np.repeat(numbers, lists.value_lengths().to_numpy())
-        held, norms = _dense(rows.field("buckets"), rows.field("counts"), dim), rows.field("norm2").to_numpy()
+        held, norms = dense(rows.field("buckets"), rows.field("counts"), dim), rows.field("norm2").to_numpy()
         one = pa.Table.from_batches(questions.sort_by("question_id").to_batches()).combine_chunks()
         names = one.column("question_id").combine_chunks().dictionary_encode()
         which, found = names.indices.to_numpy(), []
@@ -107,7 +107,7 @@ def _scored(pairs: DataFrame, terms: DataFrame, blocks: DataFrame, k: int, dim:
             part = np.flatnonzero((which >= low) & (which < low + AT_ONCE))
             own, place = np.unique(which[part], return_index=True)
             asked = one.take(pa.array(part[place])).combine_chunks()
-            wanted = _dense(asked.column("buckets").combine_chunks(), asked.column("counts").combine_chunks(), dim)
+            wanted = dense(asked.column("buckets").combine_chunks(), asked.column("counts").combine_chunks(), dim)
             dots = held @ wanted.T
             size = np.sqrt(np.multiply.outer(norms, (wanted * wanted).sum(axis=1)))
             scores = np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
@@ -135,7 +135,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _filled(best: DataFrame, questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def filled(best: DataFrame, questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Lists that are shorter than ``k`` go on with the first chunks that have nothing in common with the question.
 
     A short list holds less than ``k`` chunks, so the first ``2 k`` of the index are enough.
@@ -173,7 +173,7 @@ def top_in_blocks(
     terms = cut(with_terms(questions.select("question_id", "question"), "question", dim).drop("question"), "terms")
     _, probed, pairs = _plan(blocks, terms, k, dim)
     best = cut(_first(probed.unionByName(_scored(pairs, terms, blocks, k, dim)), k), "best")
-    return _filled(best, questions, index, k) if fill_zero else best
+    return filled(best, questions, index, k) if fill_zero else best
 
 
 def pruning(index: DataFrame, questions: DataFrame, k: int = 6, dim: int = 768, size: int = BLOCK_SIZE) -> tuple[int, int]:

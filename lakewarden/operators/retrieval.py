@@ -23,7 +23,7 @@ from ..functions.similarity import article_numbers, sentences, word_set
 from ..functions.text import WS, strip, strip_accents
 from ..functions.vectors import term_weights, with_terms
 from ..session import cut
-from .blocks import top_in_blocks
+from .blocks import IDS, dense, filled
 
 # The sentence of an answer without support, and scores of non-vector hits.
 NO_SUPPORT = "No se encontró sustento suficiente en los documentos cargados."
@@ -73,7 +73,7 @@ def _query_blocks(queries: DataFrame, key: str, size: int) -> DataFrame:
 
 def _best(pool: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     """First ``k`` rows per query by score, ties by id."""
-    ordered = pool.sort_values(["q", "score", *ids], ascending=[True, False] + [True] * len(ids))
+    ordered = pool.sort_values(["q", "score", *ids], ascending=[True, False] + [True] * len(ids), na_position="first")
     return ordered.groupby("q", sort=False).head(k)
 
 
@@ -97,7 +97,7 @@ class _Winners:
             return
         found = pd.DataFrame({"q": q, "score": scores[row, q]})
         for i in self.ids:
-            found[i] = rows.field(i).to_numpy(zero_copy_only=False)[row]
+            found[i] = rows.field(i).take(pa.array(row)).to_pandas(integer_object_nulls=True)
         self.pool = _best(found if self.pool is None else pd.concat([self.pool, found]), self.ids, self.k)
         last = self.pool.groupby("q")["score"].agg(["size", "min"])
         last = last[last["size"] == self.k]
@@ -151,10 +151,27 @@ def top_chunks(
 ) -> DataFrame:
     """T5: ``question_id, doc_id, chunk_id, score, rank`` of the ``k`` nearest chunks.
 
-    Blocks of chunks that cannot hold one of them are skipped; ``blocks`` are those of ``build_blocks`` if they are
-    stored. Chunks without a common term fill the list, first ids first, unless ``fill_zero`` is off.
+    Chunks and questions meet as matrices in one pass over the chunks, which keeps ``k`` rows per question and task; ``blocks`` are
+    those of ``build_blocks`` if they are stored. Chunks without a common term fill the list, first ids first, unless
+    ``fill_zero`` is off.
     """
-    return top_in_blocks(index, questions, k, dim, fill_zero, blocks)
+    rows = index if blocks is None else blocks.select(F.inline("rows"))
+    terms = cut(with_terms(questions.select("question_id", "question"), "question", dim).drop("question"), "terms")
+    rows = rows.select(*IDS, "buckets", "counts", "norm2")
+    best = cut(_scan_top(rows, IDS, terms, "question_id", _term_scores(dim), k, False, QUERY_BLOCK), "best")
+    return filled(best, questions, index, k) if fill_zero else best
+
+
+def _term_scores(dim: int):
+    """Cosine of term vectors; 0 where one of them is empty."""
+
+    def scores(rows: pa.StructArray, queries: pa.StructArray) -> np.ndarray:
+        held, wanted = (dense(x.field("buckets"), x.field("counts"), dim) for x in (rows, queries))
+        dots = held @ wanted.T
+        size = np.sqrt(np.multiply.outer((held * held).sum(axis=1), (wanted * wanted).sum(axis=1)))
+        return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
+
+    return scores
 
 
 def _dense_scores(rows: pa.StructArray, queries: pa.StructArray) -> np.ndarray:
