@@ -294,3 +294,18 @@ def test_stored_citations_read_no_text(spark, index, tmp_path):
     assert got == want == [(1, 4, 1), (1, 5, 2), (2, 6, 1)]
     place.reset(index.filter("doc_id = 6"))
     assert [r.number for r in place.citations().collect()] == ["99"] and place.count() == 1
+
+
+def test_top_k_joins_no_postings(spark, monkeypatch):
+    """One pass over the chunks: nothing is written for pairs of a question and a block, and null ids come first among ties."""
+    from lakewarden.operators import blocks
+
+    def never(*_):
+        raise AssertionError("a table of bounds or pairs")
+
+    monkeypatch.setattr(blocks, "cut", never)
+    rows = [(None, 0, "uno dos"), (7, 0, "uno dos"), (3, 0, "uno dos"), (5, 0, "uno tres cuatro"), (6, 0, "cinco")]
+    chunks = spark.createDataFrame([(d, "s", c, t) for d, c, t in rows], "doc_id long, source string, chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "dos uno"), (2, "")], "question_id long, question string")
+    found = retrieval.top_chunks(retrieval.build_index(chunks), asked, 4, fill_zero=False).collect()
+    assert [(r.question_id, r.doc_id) for r in sorted(found, key=lambda r: r["rank"])] == [(1, None), (1, 3), (1, 7), (1, 5)]
