@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,32 @@ def test_term_counts_equal_md5_buckets(spark):
     assert (row[1].buckets, row[1]["counts"], row[1].norm2) == ([], [], 0)
 
 
+def test_terms_look_words_up(spark, monkeypatch):
+    """Any white space, nulls, a full table of words and small steps; digests are not expressions evaluated for every word."""
+    from lakewarden.functions import text, vectors
+
+    rng = random.Random(3)
+    words = ["Ñandú", "İstanbul", "ΣΑΣ", "a", "b\u200b", "日本", "x" * 70, "😀", "\x00"]
+    bodies = ["".join(rng.choice(words) + rng.choice(text.WHITESPACE) * rng.randint(1, 3) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*bodies, "", None, " \u3000"])], "i long, t string").coalesce(1)
+    found = with_terms(df, "t", 13)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan and "md5(" not in plan
+    assert found.columns == ["i", "t", "buckets", "counts", "norm2"]
+    lowered = {r.i: r.low or "" for r in df.selectExpr("i", "lower(t) low").collect()}
+    batches = pa.array([lowered[i].encode() for i in range(len(lowered))], pa.binary())
+    monkeypatch.setattr(vectors, "KNOWN_WORDS", 2)
+    small = vectors._count_terms(batches, vectors._Buckets(13)).to_pylist()
+    for r in found.collect():
+        want = {}
+        for word in lowered[r.i].split():
+            bucket = int(hashlib.md5(word.encode()).hexdigest(), 16) % 13
+            want[bucket] = want.get(bucket, 0) + 1
+        assert list(zip(r.buckets, r["counts"])) == sorted(want.items())
+        assert r.norm2 == sum(n * n for n in want.values())
+        assert small[r.i] == {"buckets": r.buckets, "counts": r["counts"], "norm2": r.norm2}
+
+
 def cosine(a, b, dim=256):
     def vector(s):
         v = {}
