@@ -15,7 +15,7 @@ from ..sources.sinks import ChunkIndex, write_report
 from ..sources.tabular import MISSING_TOKENS, read_csv, read_table
 from . import jobs
 from .oracle import ORACLE, chunk_ctes
-from .queries import AS_OF, RETAIL, STAR, STAR_AS_OF, _cited_documents, _cited_questions, joined, query
+from .queries import AS_OF, RETAIL, STAR, STAR_AS_OF, _cited_documents, _cited_questions, documents, joined, query
 from .retail import retail_tables
 
 
@@ -91,7 +91,7 @@ ORACLE["report_files"] = ORACLE["retail_findings"]
 def index_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents indexed twice; the second time adds nothing."""
     index = ChunkIndex(spark, _place(spark, "index"))
-    docs = read_table(spark, folder, "documents")
+    docs = documents(spark, folder)
     sizes = [jobs.document_job(docs, index, RETAIL, recursive=False) for _ in range(2)]
     per = index.read().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("chunk_id").alias("last_chunk"))
     return per.withColumn("grown", F.lit(sizes[1] - sizes[0]).cast("long"))
