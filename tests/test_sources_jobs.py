@@ -151,3 +151,27 @@ def test_intermediates_are_deleted(spark):
         path = kept.inputFiles()[0].removeprefix("file://")
         assert kept.count() == 5 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_index_jobs_use_the_text_partitions(spark, tmp_path, monkeypatch):
+    """The named partitions spread documents of one file, in both runs."""
+    from lakewarden.plans import io_queries
+    from lakewarden.plans.queries import TEXT_PARTITIONS
+
+    rows = [(i, f"uno dos {i}. tres", "es", "a", 15) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    real, seen = jobs.document_job, []
+
+    def spied(documents, *args, **options):
+        seen.append(documents.rdd.getNumPartitions())
+        return real(documents, *args, **options)
+
+    monkeypatch.setattr(jobs, "document_job", spied)
+    spark.conf.set(TEXT_PARTITIONS, "3")
+    try:
+        got = io_queries.index_jobs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(TEXT_PARTITIONS)
+    assert seen == [3, 3]
+    assert sorted((r.doc_id, r.chunks, r.last_chunk, r.grown) for r in got) == [(i, 1, 0, 0) for i in range(9)]
