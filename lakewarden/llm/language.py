@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,18 +94,87 @@ class LanguageModel:
         return self.languages[best], float(belief[best] / belief.sum())
 
 
+class Words(dict):
+    """Reads words once for two ends: each gets the value that ``value`` has for it and its log frequencies, as ``LanguageModel.word``
+    finds them. The last ones are remembered, about ``most``."""
+
+    def __init__(self, model: LanguageModel, value: Callable[[str], int], most: int = 300_000):
+        super().__init__()
+        self.model, self.value, self.most, self.new = model, value, most, []
+        self.grams: list[dict[str, int]] = [{} for _ in range(model.longest + 1)]
+        for entry, row in model.known.items():
+            if entry[1:2] == ":":
+                self.grams[int(entry[0])][entry[2:]] = row
+        self.values = np.zeros(1024, np.int64)
+        self.table = np.zeros((1024, len(model.languages)), np.float32)
+        self.found = np.zeros(1024, bool)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        at = self[word] = len(self)
+        return at
+
+    def rows(self, word: str) -> list[int]:
+        """The entries whose mean a word gets."""
+        row = self.model.known.get(word)
+        if row is not None:
+            return [row]
+        framed = f"^{word}$"
+        for n in range(self.model.longest, 0, -1):
+            own = self.grams[n]
+            rows = [r for i in range(len(framed) - n + 1) if (r := own.get(framed[i : i + n])) is not None]
+            if rows:
+                return rows
+        return []
+
+    def learn(self) -> None:
+        """What ``read`` needs of the words it has not met before."""
+        first, size = len(self) - len(self.new), len(self)
+        while size > len(self.values):
+            self.values, self.table, self.found = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.table, self.found))
+        self.values[first:size] = [self.value(word) for word in self.new]
+        self.found[first:size], self.table[first:size] = False, 0
+        if self.model.known:
+            rows = [self.rows(word) for word in self.new]
+            sizes = np.array([len(r) for r in rows])
+            own = first + np.flatnonzero(sizes)
+            if len(own):
+                sizes = sizes[sizes > 0]
+                entries = np.fromiter(chain.from_iterable(rows), np.int64, sizes.sum())
+                total = np.add.reduceat(self.model.table[entries], np.cumsum(sizes) - sizes, axis=0)
+                self.found[own], self.table[own] = True, total / sizes[:, None]
+        self.new = []
+
+    def read(self, texts: list[list[str]]) -> list[tuple[np.ndarray, str]]:
+        """For the words of each text their values and the language, that of ``LanguageModel.predict_words``."""
+        if len(self) > self.most:
+            self.clear()
+        places = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        if self.new:
+            self.learn()
+        return [(self.values[at], self._language(at)) for at in places]
+
+    def _language(self, at: np.ndarray) -> str:
+        languages = self.model.languages
+        if not len(at) or not languages:
+            return UNKNOWN
+        if not self.found[at].any():
+            return languages[0]
+        return languages[int(self.table[at].sum(axis=0, dtype=np.float64).argmax())]
+
+
 def learn(
     docs: DataFrame,
     usable: Column,
     by: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    rows_per_language: int = 3000,
+    rows_per_language: int | None = 3000,
     max_entries: int = 300_000,
     longest: int = 4,
     weight: int = 40,
 ) -> LanguageModel:
-    """Fit the model on about ``rows_per_language`` rows of each language among the usable ones.
+    """Fit the model on about ``rows_per_language`` rows of each language among the usable ones, or on all of them (None).
 
     The bound on rows and ``max_entries`` are the documented limits: the counts are summed by Spark over the whole
     texts of the sampled rows, and only the most frequent entries of each language come to the driver.
@@ -117,34 +187,43 @@ def learn(
         return LanguageModel([], {}, np.zeros((0, 0), np.float32), longest, weight)
     languages = sorted(sizes)
     part = F.create_map(
-        *[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / sizes[k]))]
+        *[F.lit(x) for k in languages for x in (k, 1.0 if rows_per_language is None else min(1.0, rows_per_language / sizes[k]))]
     )
     sample = rows.where(
         F.pmod("h", F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * (1 << 30)
     )
 
+    def batch_of(label: str, counts: Counter) -> Iterator[pa.RecordBatch]:
+        keys = list(counts)
+        for part in range(0, len(keys), 50_000):
+            own = keys[part : part + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([label] * len(own)), pa.array(own, pa.string()), pa.array([counts[k] for k in own], pa.int64())],
+                names=["lang", "entry", "n"],
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.setdefault(label, Counter()).update(LETTERS.findall(value.lower()))
             for label, words in counts.items():
-                entries = Counter(words)
-                for word, n in words.items():
-                    framed = f"^{word}$"
-                    for size in range(1, longest + 1):
-                        for i in range(len(framed) - size + 1):
-                            entries[f"{size}:{framed[i : i + size]}"] += n
-                for part in range(0, len(entries), 50_000):
-                    keys = list(entries)[part : part + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([label] * len(keys)),
-                            pa.array(keys, pa.string()),
-                            pa.array([entries[k] for k in keys], pa.int64()),
-                        ],
-                        names=["lang", "entry", "n"],
-                    )
+                yield from batch_of(label, words)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words, each once for each language, with their n-grams."""
+        for batch in batches:
+            counts: dict[str, Counter] = {}
+            for label, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entries = counts.setdefault(label, Counter())
+                entries[word] += n
+                framed = f"^{word}$"
+                for size in range(1, longest + 1):
+                    head = f"{size}:"
+                    for i in range(len(framed) - size + 1):
+                        entries[head + framed[i : i + size]] += n
+            for label, entries in counts.items():
+                yield from batch_of(label, entries)
 
     scratch = Scratch(docs.sparkSession, "language")
     counted = scratch.keep(
@@ -152,6 +231,9 @@ def learn(
         .mapInArrow(lean(count), "lang string, entry string, n long")
         .groupBy("lang", "entry")
         .agg(F.sum("n").alias("n"))
+        .mapInArrow(lean(split), "lang string, entry string, n long")
+        .groupBy("lang", "entry")
+        .agg(F.sum("n").alias("n"))
         .withColumn("kind", F.when(F.col("entry").rlike("^[0-9]:"), F.substring("entry", 1, 1)).otherwise("w")),
         "counts",
         light=True,

@@ -21,15 +21,15 @@ from lakewarden.llm import (
     substring,
     toxicity,
 )
-from lakewarden.llm.common import held_out, table
+from lakewarden.llm.common import Scratch, held_out, table
 from lakewarden.llm.oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 PACKED_TOKENIZER = "byte_bpe_50k.json"
 
 
-def language_model(docs: DataFrame) -> language.LanguageModel:
-    return language.learn(docs, F.col("doc_id").isNotNull() & ~held_out())
+def language_model(docs: DataFrame, **options) -> language.LanguageModel:
+    return language.learn(docs, F.col("doc_id").isNotNull() & ~held_out(), **options)
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,9 +85,11 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     usable = F.col("doc_id").isNotNull() & ~held_out()
-    guess = language_model(docs)
-    model = toxicity.learn(docs, table(spark, folder, "labels"), usable, guess)
-    found = toxicity.score(docs, model, guess, ["doc_id"])
+    guess = language_model(docs, rows_per_language=None)
+    # every text is read once for learning and scoring
+    encoded = Scratch(spark, "toxicity").keep(toxicity.encode(docs, guess, ["doc_id"]), "encoded")
+    model = toxicity.learn_encoded(encoded, table(spark, folder, "labels"), usable)
+    found = toxicity.score_encoded(encoded, model, ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

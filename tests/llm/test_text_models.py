@@ -231,3 +231,43 @@ def test_training_lowers_the_loss_and_parts_the_classes():
     assert losses[0] > losses[1] > losses[2]
     raw = toxicity.fit(rows, labels, bits=8).raw(rows)
     assert raw[labels == 1].min() > raw[labels == 0].max()
+
+
+def test_toxicity_learns_all_labelled_rows(spark, make, monkeypatch):
+    """A word of those toxic texts that a bounded sample by a hash of the id would leave out is learned, with several shards too."""
+    last = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) >= 1 << 29
+    ids = [(r.id, r.last) for r in spark.range(9000).select("id", last.alias("last")).collect()]
+    rows = [(i, f"{'vile' if out else 'awful'} thing {i % 50}" if i % 9 else f"a fine thing {i % 50}", "en") for i, out in ids]
+    docs = make(rows)
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i, _ in ids], "doc_id long, toxic int")
+    asked = make([(1, "a vile thing", "en"), (2, "an awful thing", "en"), (3, "a fine thing", "en")])
+    guess = language.learn(docs, F.lit(True))
+    monkeypatch.setattr(toxicity, "VISITS", 20_000)
+    for shard in (64_000, 3000):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", shard)
+        model = toxicity.learn(docs, labels, F.lit(True), guess)
+        got = toxicity.score(asked, model, guess, ["doc_id"]).collect()
+        assert {r.doc_id: r.predicted for r in got} == {1: 1, 2: 1, 3: 0}
+
+
+def test_the_best_cut_counts_every_row():
+    rng = np.random.default_rng(9)
+    raw, rows = rng.permutation(40) / 8, rng.integers(1, 9, 40)
+    hits = np.minimum(rows, rng.integers(0, 9, 40) * (raw > 2))
+    cut = toxicity.best_cut(raw, hits, rows)
+
+    def f1(at):
+        return 2 * hits[raw > at].sum() / (rows[raw > at].sum() + hits.sum())
+
+    assert f1(cut) == max(f1(x - 0.01) for x in raw)
+    assert toxicity.best_cut(raw, rows, rows) is None
+
+
+def test_words_read_once_have_the_language_of_the_model(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language_model(docs, rows_per_language=None)
+    known = language.Words(model, len, most=50)
+    for r in [*docs.select("text").collect(), *[(x,) for x in texts()]]:
+        words = toxicity.WORDS.findall((r[0] or "").lower())
+        values, found = known.read([words])[0]
+        assert values.tolist() == [len(w) for w in words] and found == model.predict_words(words)[0]
