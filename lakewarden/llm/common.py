@@ -49,11 +49,17 @@ class Scratch:
         return back
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            place = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
-            place.getFileSystem(conf).delete(place, True)
+            self._delete(self.paths.pop(id(table)))
+
+    def drop_all(self) -> None:
+        """Remove every table of the job."""
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

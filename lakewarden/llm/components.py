@@ -93,13 +93,21 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
 
 def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``key``, ``node`` whose key several nodes have, each once, as a table. Keys are counted before they are joined,
-    so that a key with very many rows can be split in the join; nothing but keys and nodes is shuffled."""
+    so that a key with very many rows can be split in the join; nothing but keys and nodes is shuffled.
+
+    Similar nodes share many keys, and keys with the same nodes make the same pairs, so one of those stands for all of
+    them. They are told by the number of their nodes and two 64-bit sums of node hashes, so no list of nodes is made."""
     keyed = scratch.keep(keyed, "keyed")
     bounds = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     several = scratch.keep(bounds.where("lo < hi").select("key"), "several", light=True)
     member = scratch.keep(keyed.join(several, "key").distinct(), "members", light=True)
     scratch.drop(keyed, several)
-    return member
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    alike = member.groupBy("key").agg(F.count("*").alias("n"), *hashes)
+    one = alike.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    single = scratch.keep(member.join(one, "key", "left_semi"), "single-members", light=True)
+    scratch.drop(member)
+    return single
 
 
 #: Rounds in which open nodes are compared with leaders of their keys, at most. They end early when the pairs across components
@@ -123,7 +131,8 @@ def grouped(
 
     A key is open while its nodes lie in several components. In every round each node of an open key is compared with at most
     two leaders, nodes of another component that a hash of the node and the round picks for each key, and the links found are
-    contracted. Rounds end when little is open or hardly a link was found. Then the nodes that still share a key with another
+    contracted. From the second round on only keys of more than ``2 * FEW`` rows take part, since the pairs of the others are at most ``FEW``
+    times their rows. Rounds end when little is open or hardly a link was found. Then the nodes that still share a key with another
     component are compared across components, every pair once, as far as ``near`` allows. A pair within a component
     needs no comparison, so no key is expanded into all of its pairs, and no link between two components is lost.
     """
@@ -132,7 +141,7 @@ def grouped(
         one, two = facts.withColumnRenamed("node", "a").alias("one"), facts.withColumnRenamed("node", "b").alias("two")
         return pairs.join(one, "a").join(two, "b").where(near("one", "two")).select("a", "b")
 
-    links, rare = None, False
+    links, rare, rest = None, False, None
     roots = member.select("node", F.col("node").alias("root")).limit(0)
     open_ = scratch.keep(member.withColumn("root", F.col("node")), "open", light=True)  # in the beginning every key is open
     for turn in range(ROUNDS + 1):
@@ -145,11 +154,18 @@ def grouped(
             scratch.drop(open_)
             open_ = scratch.keep(rooted.join(lots.select("key"), "key"), "open", light=True)
             pairs = F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2)
-            size = lots.agg(F.sum("n").alias("rows"), pairs.alias("pairs")).first()
-            scratch.drop(rooted, lots)
-            if not size["rows"]:
+            rows, pairs = (x or 0 for x in lots.agg(F.sum("n").alias("rows"), pairs.alias("pairs")).first())
+            scratch.drop(rooted)
+            if not rows and rest is None:
                 return roots
-            if rare or turn == ROUNDS or size["pairs"] <= FEW * size["rows"]:
+            over = rare or turn == ROUNDS or pairs <= FEW * rows
+            if not over and rest is None:  # small keys wait for the end
+                whole, many = open_, lots.where(F.col("n") > 2 * FEW).select("key")
+                rest = scratch.keep(whole.join(many, "key", "left_anti"), "rest", light=True)
+                open_ = scratch.keep(whole.join(many, "key", "left_semi"), "open", light=True)
+                scratch.drop(whole)
+            scratch.drop(lots)
+            if over:
                 break
         rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
         leaders = open_.groupBy("key").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
@@ -166,6 +182,10 @@ def grouped(
         if hits:
             links = found if links is None else links.union(found)
             roots = components(links, scratch)
+    if rest is not None:
+        late = rest.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_, big = scratch.keep(open_.union(late), "open", light=True), open_
+        scratch.drop(big, rest)
     own = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SEEN).alias("least"))
     nodes = scratch.keep(own.join(facts, "node"), "open-nodes", light=True)
     held = scratch.keep(open_.join(nodes, "node"), "held", light=True)

@@ -192,7 +192,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
     least = rooted.groupBy("root").agg(F.min(order).alias("least"))
     least = least.select("root", F.col("least.rep").alias("component_id"), F.col("least.cls").alias("first_class"))
     final = rooted.join(least, "root").select("cls", "component_id", "first_class")
-    return (
+    result = (
         sketched.select("id", "tag", "n", "cls")
         .join(final, "cls", "left")
         .select(
@@ -204,3 +204,7 @@ def groups(docs: DataFrame, by: str = "doc_id", text: str = "text", size: int =
             "first_class",
         )
     )
+    # sets and sketches are many times larger than the result and would lie there for as long as it is read
+    result = Scratch(docs.sparkSession, "jaccard-groups").keep(result, "groups")
+    scratch.drop_all()
+    return result

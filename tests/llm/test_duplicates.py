@@ -390,3 +390,52 @@ def test_embeddings_of_repeated_and_empty_rows(spark):
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
     assert got == {(1, 1, 1, True), (2, 1, 1, False), (2, 0, 1, False), (None, 0, None, False), (3, 0, 3, True)}
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_keys_of_the_same_nodes_are_one(spark):
+    """Of keys with equal sets of nodes the least stays; keys of one node go, repeats are dropped."""
+    sets = {1: [7, 8], 2: [7, 8], 3: [7, 8, 9], 4: [9], 5: [8, 9], 6: [9, 7, 8, 8], 7: [10, 11]}
+    keyed = spark.createDataFrame([(k, n) for k, nodes in sets.items() for n in nodes], "key long, node long")
+    got = components_module.shared_keys(keyed, Scratch(spark, "test-keys"))
+    assert _rows(got.select("key", "node")) == [(1, 7), (1, 8), (3, 7), (3, 8), (3, 9), (5, 8), (5, 9), (7, 10), (7, 11)]
+
+
+@pytest.mark.parametrize("few", [0, 1, 8])
+def test_groups_of_large_and_small_keys_equal_brute_force(spark, monkeypatch, few):
+    """Numbers that share a key are linked if they are at most 2 apart; small keys wait until large ones have had their rounds."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(components_module, "FEW", few)
+    turns = []
+    picker = random.Random(11)
+    member = {(0, 1000 + 3 * i) for i in range(60)} | {(1, i) for i in range(0, 90, 2)} | {(2, i) for i in range(90, 120)}
+    member |= {(10 + i, n) for i in range(80) for n in picker.sample(range(0, 130), 3)}
+    facts = spark.createDataFrame([(n,) for n in sorted({n for _, n in member})], "node long")
+
+    def verify(pairs):
+        turns.append(1)
+        return pairs.where(F.abs(F.col("a") - F.col("b")) <= 2)
+
+    got = components_module.grouped(
+        spark.createDataFrame(sorted(member), "key long, node long"), facts, lambda x, y: F.lit(True), verify, Scratch(spark, "test-groups")
+    )
+    links = [(x, y) for k, x in member for other, y in member if k == other and x < y <= x + 2]
+    want = roots({n for _, n in member}, links)
+    found = dict(got.select("node", "root").collect())
+    assert {n: found.get(n, n) for n in want} == want
+    assert len(turns) <= components_module.ROUNDS + 1
+
+
+def test_jaccard_leaves_only_its_result(spark, make, tmp_path, monkeypatch):
+    """Sketches, sets and links of a join are gone before its result is read."""
+    import lakewarden.llm.common as common
+
+    monkeypatch.setattr(common, "checkpoint_root", lambda _: str(tmp_path))
+    text = " ".join(f"w{i}" for i in range(40))
+    got = jaccard.groups(make([(1, text), (2, text + " more"), (3, "other words of a text")]))
+    assert [p.name.split("-")[1] for p in (tmp_path / "lakewarden").iterdir() if any(p.iterdir())] == ["groups"]
+    assert dict(got.select("doc_id", "component_id").collect()) == {1: 1, 2: 1, 3: 3}
