@@ -53,6 +53,10 @@ BLOCKS, WIDTH = 12, 5
 #: lines of edit similarity 0.9 in the given tables is 12 bits of 64 from 100 bytes on and 10 from 200 on, to which a half and more is added; unrelated lines
 #: differ in 32. Fixed values, as measured.
 REACH = [(100, 19), (200, 15)]
+#: Bits of the sketch of byte pairs. One edit in bytes takes at most two pairs away and adds at most two, and each turns one bit over.
+PAIR_BITS, PER_EDIT = 256, 4
+#: Lines whose sketches are made at once.
+SKETCHED = 10_000
 #: Longest line in bytes whose distance in characters is taken first.
 BY_CHARACTERS = 2000
 #: Classes that a task remembers to send their keys once.
@@ -247,6 +251,20 @@ class _Lines:
         return text
 
 
+def pair_sketches(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A sketch of each line's pairs of neighbouring bytes, one row of 64-bit numbers a line: each pair turns one bit over."""
+    out = np.zeros((len(bounds) - 1, PAIR_BITS // 64), np.int64)
+    for at in range(0, len(out), SKETCHED):
+        own = bounds[at : at + SKETCHED + 1]
+        part = data[own[0] : own[-1]].astype(np.uint64)
+        line = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        inside = np.flatnonzero(line[1:] == line[:-1])
+        bit = (mix(part[inside] << np.uint64(8) | part[inside + 1]) % np.uint64(PAIR_BITS)).astype(np.int64)
+        odd = np.bincount(line[inside] * PAIR_BITS + bit, minlength=(len(own) - 1) * PAIR_BITS).astype(np.uint8) & 1
+        out[at : at + SKETCHED] = np.packbits(odd).view(np.int64).reshape(len(own) - 1, -1)
+    return out
+
+
 def _listed(docs: DataFrame, least_words: int) -> DataFrame:
     """For every document its lines with enough words, as an array of hash and number."""
     schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, lines array<struct<h: long, line: long>>"
@@ -291,7 +309,8 @@ def _keyed(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
 
 
 def _texts(asked: DataFrame) -> DataFrame:
-    """``node``, the normalised text of the asked lines, its length, the number of its words and their SimHash."""
+    """``node``, the normalised text of the asked lines, its length, the number of its words, their SimHash and the sketch of its
+    byte pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -306,12 +325,16 @@ def _texts(asked: DataFrame) -> DataFrame:
             hashes, at, _, _ = words_in(data, bounds, lower=True, breaks=BREAKS)  # every line has a word
             words = np.diff(at)
             marks = simhash(hashes, at[:-1], words).view(np.int64) if len(lines) else np.zeros(0, np.int64)
+            pairs = pa.FixedSizeListArray.from_arrays(pa.array(pair_sketches(data, bounds).ravel()), PAIR_BITS // 64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), texts.cast(pa.binary()), pa.array(np.diff(bounds)), pa.array(words), pa.array(marks)],
-                ["node", "words", "n", "w", "s"],
-            )
+                [
+                    pa.array(nodes, pa.int64()), texts.cast(pa.binary()), pa.array(np.diff(bounds)), pa.array(words), pa.array(marks),
+                    pairs.cast(pa.list_(pa.int64())),
+                ],
+                ["node", "words", "n", "w", "s", "p"],
+            )
 
-    return asked.mapInArrow(lean(run), "node long, words binary, n long, w long, s long")
+    return asked.mapInArrow(lean(run), "node long, words binary, n long, w long, s long, p array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -339,16 +362,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _near(x: str, y: str, similarity: float) -> Column:
-    """Whether two lines can be near: by their lengths, and those with many words by their SimHashes."""
+    """Whether two lines can be near: by their lengths, those with many words by their SimHashes, and all by their byte pairs,
+    whose sketches bound the edit distance from below."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     more = F.greatest(n, m)
-    close = F.abs(n - m) <= F.floor((1 - similarity) * more + 1e-9)
+    most = F.floor((1 - similarity) * more + 1e-9)
+    close = F.abs(n - m) <= most
+    turned = F.zip_with(f"{x}.p", f"{y}.p", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    within = F.aggregate(turned, F.lit(0), lambda s, v: s + v) <= most * PER_EDIT
     bits = F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s")))
     reach = F.lit(64)
     for least, most in REACH:
         reach = F.when(more >= least, most).otherwise(reach)
     worded = F.least(F.col(f"{x}.w"), F.col(f"{y}.w")) >= BY_WORDS[1]
-    return close & (~worded | (bits <= reach))
+    return close & (~worded | (bits <= reach)) & within
 
 
 def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: int) -> DataFrame:
@@ -374,7 +401,7 @@ def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: i
     def verify(pairs: DataFrame) -> DataFrame:
         return _verify(pairs, texts, similarity)
 
-    roots = grouped(member, texts.select("node", "n", "w", "s"), near, verify, scratch)
+    roots = grouped(member, texts.select("node", "n", "w", "s", "p"), near, verify, scratch)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted", light=True)

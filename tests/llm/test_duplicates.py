@@ -439,3 +439,22 @@ def test_jaccard_leaves_only_its_result(spark, make, tmp_path, monkeypatch):
     got = jaccard.groups(make([(1, text), (2, text + " more"), (3, "other words of a text")]))
     assert [p.name.split("-")[1] for p in (tmp_path / "lakewarden").iterdir() if any(p.iterdir())] == ["groups"]
     assert dict(got.select("doc_id", "component_id").collect()) == {1: 1, 2: 1, 3: 3}
+
+
+def test_pair_sketches_bound_the_edit_distance():
+    """No line within its edits is ruled out, and unrelated lines of one length are."""
+    rng = random.Random(4)
+    for n in (1, 2, 9, 40, 90, 200):
+        one = bytes(rng.choice(b"abcdefghij klmnopqrs") for _ in range(n))
+        other = bytearray(one)
+        edits = rng.randint(0, max(1, n // 10))
+        for _ in range(edits):
+            at = rng.randrange(len(other) + 1)
+            kind = rng.randrange(3)
+            other[at : at + (kind > 0)] = b"z" * (kind < 2)
+        strange = bytes(rng.choice(b"abcdefghij klmnopqrs") for _ in range(n))
+        data = np.frombuffer(one + bytes(other) + strange, np.uint8)
+        bounds = np.cumsum([0, len(one), len(other), len(strange)])
+        a, b, c = np.unpackbits(lines.pair_sketches(data, bounds).view(np.uint8), axis=1)
+        assert (a != b).sum() <= lines.PER_EDIT * edits
+        assert n < 40 or (a != c).sum() > lines.PER_EDIT * lines.edits(n, 0.9)
