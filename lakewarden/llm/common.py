@@ -48,6 +48,21 @@ class Scratch:
         self.spark._jvm.System.gc()
         return back
 
+    def keep_parts(self, df: DataFrame, tag: str, by: str, values: list[int]) -> list[DataFrame]:
+        """Write ``df`` once and read back a table for each value of ``by``, so that they can be dropped one by one."""
+        self.made += 1
+        path = f"{self.root}/{self.made}-{tag}"
+        df.write.partitionBy(by).parquet(path)
+        schema = T.StructType([f for f in df.schema if f.name != by])
+        out = []
+        for value in values:
+            own = f"{path}/{by}={value}"
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(own)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(place)  # there may be no such row
+            out.append(self.spark.read.schema(schema).parquet(own).withColumn(by, F.lit(value)))
+            self.paths[id(out[-1])] = own
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             self._delete(self.paths.pop(id(table)))

@@ -13,7 +13,8 @@ bits between the SimHashes of their words are within ``REACH``, which was measur
 Lines under ``EXACT`` bytes have too few windows and meet by segments instead: the shorter one is cut into one more segment
 than edits are allowed, so one of them lies whole in the longer one, near its own place.
 
-Only keys and class hashes are shuffled to find keys that several classes have; lines are fetched for the classes that share one.
+Only keys and class hashes are shuffled to find keys that several classes have, then lengths, SimHashes and sketches of those classes to find
+pairs that can be near, and lines are fetched for the classes that have such a pair.
 
 Defined results: lines with fewer than ``least_words`` words never go, and lines without a word never; with 1, exact repeats
 go at any length, and near ones from the length in bytes at which ``similarity`` allows one edit (10 at 0.9). A null text counts as empty, with one empty line.
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakewarden.llm import linepairs
 from lakewarden.llm.common import Scratch, by_bytes, kept_columns, lean
-from lakewarden.llm.components import grouped, shared_keys
+from lakewarden.llm.components import components
 from lakewarden.llm.wordhash import mix, raw, stretches, words_in
 
 #: ASCII bytes that belong to no word.
@@ -57,12 +59,13 @@ REACH = [(100, 19), (200, 15)]
 PAIR_BITS, PER_EDIT = 256, 4
 #: Lines whose sketches are made at once.
 SKETCHED = 10_000
-#: Longest line in bytes whose distance in characters is taken first.
-BY_CHARACTERS = 2000
 #: Classes that a task remembers to send their keys once.
 REMEMBERED = 500_000
+#: The kind of rows that hold the lines of a document, beside the parcels.
+LISTED = 0
 _TURNS = np.random.default_rng(5).integers(0, 2**63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGN = np.uint64(0x8CB92BA72F3D8DD7)
+_PAIR_BIT = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(PAIR_BITS)).astype(np.uint8)
 
 
 def normalised(line: bytes) -> bytes:
@@ -132,13 +135,14 @@ def simhash(features: np.ndarray, start: np.ndarray, number: np.ndarray) -> np.n
     return np.packbits(2 * ones > number[:, None], axis=1).view(np.uint64)[:, 0]
 
 
-def _keys(features: tuple, windows: tuple, out: np.ndarray) -> None:
-    """A key for each block of the SimHashes of some lines, with the least hash of their windows."""
+def _keys(features: tuple, windows: tuple, out: np.ndarray) -> np.ndarray:
+    """A key for each block of the SimHashes of some lines, with the least hash of their windows; the SimHashes."""
     marks, (hashes, start, _) = simhash(*features), windows
     for i, turn in enumerate(_TURNS):
         block = marks >> np.uint64(i * WIDTH) & np.uint64((1 << WIDTH) - 1)
         least = np.minimum.reduceat(hashes * turn, start)
         out[:, i] = mix(least ^ mix(block + np.uint64(i << WIDTH)))
+    return marks
 
 
 def keys_by_bytes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,9 +159,9 @@ def keys_by_bytes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np
     return out.view(np.int64)
 
 
-def keys_by_words(hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Keys of lines given by the number of their first word and how many they have."""
-    out = np.zeros((len(first), BLOCKS), np.uint64)
+def keys_by_words(hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines given by the number of their first word and how many they have, and the SimHashes of their words."""
+    out, marks = np.zeros((len(first), BLOCKS), np.uint64), np.zeros(len(first), np.uint64)
     for at, stop in _slices(first, words, 20_000):
         part = hashes[first[at] : first[stop - 1] + words[stop - 1]]
         runs = np.zeros(len(part), np.uint64)
@@ -168,8 +172,8 @@ def keys_by_words(hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> n
             number = words[at:stop] - size + 1
             start, place = _places(first[at:stop] - first[at], number)
             parts.append((values[place], start, number))
-        _keys(*parts, out[at:stop])
-    return out.view(np.int64)
+        marks[at:stop] = _keys(*parts, out[at:stop])
+    return out.view(np.int64), marks
 
 
 def distance(one: bytes, other: bytes, most: int) -> int | None:
@@ -256,61 +260,80 @@ def pair_sketches(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros((len(bounds) - 1, PAIR_BITS // 64), np.int64)
     for at in range(0, len(out), SKETCHED):
         own = bounds[at : at + SKETCHED + 1]
-        part = data[own[0] : own[-1]].astype(np.uint64)
-        line = np.repeat(np.arange(len(own) - 1), np.diff(own))
-        inside = np.flatnonzero(line[1:] == line[:-1])
-        bit = (mix(part[inside] << np.uint64(8) | part[inside + 1]) % np.uint64(PAIR_BITS)).astype(np.int64)
-        odd = np.bincount(line[inside] * PAIR_BITS + bit, minlength=(len(own) - 1) * PAIR_BITS).astype(np.uint8) & 1
+        part = data[own[0] : own[-1]].astype(np.uint16)
+        line = np.repeat(np.arange(len(own) - 1) * PAIR_BITS, np.diff(own))
+        bit = line[:-1] + _PAIR_BIT[part[:-1] << 8 | part[1:]]
+        odd = np.bincount(bit[line[1:] == line[:-1]], minlength=(len(own) - 1) * PAIR_BITS).astype(np.uint8) & 1
         out[at : at + SKETCHED] = np.packbits(odd).view(np.int64).reshape(len(own) - 1, -1)
     return out
 
 
-def _listed(docs: DataFrame, least_words: int) -> DataFrame:
-    """For every document its lines with enough words, as an array of hash and number."""
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, lines array<struct<h: long, line: long>>"
+def _read(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """For every document its lines with enough words, as an array of hash and number, and in rows of their own parcels of the keys and of
+    the facts of lines: length, number of words, SimHash of the words and sketch of the byte pairs. A task sends those of a class once, as far as it remembers."""
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, tag long, lines array<struct<h: long, line: long>>, {linepairs.PARCEL}"
+    names = ["id", "tag", "lines", "kind", "bucket", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        keyed, known = linepairs.Parcels(linepairs.KEYS), linepairs.Parcels(linepairs.FACTS)
+        types: dict[str, pa.DataType] = {}
+
+        def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [batch.column(c) if c in batch.schema.names else pa.nulls(batch.num_rows, types[c]) for c in names]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in by_bytes(batches, "text", 1_000_000):
             own = _Lines(batch.column("text"), least_words)
             lists = pa.array(np.searchsorted(own.row, np.arange(batch.num_rows + 1)), pa.int32())
             inner = pa.StructArray.from_arrays([pa.array(own.h), pa.array(own.number)], ["h", "line"])
             found = pa.ListArray.from_arrays(lists, inner)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), found], ["id", "tag", "lines"])
-
-    return docs.mapInArrow(lean(run), schema).where(F.size("lines") > 0)
-
-
-def _keyed(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """``key`` and ``node`` of every line; a task sends those of a class once, as far as it remembers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in by_bytes(batches, "text", 1_000_000):
-            own = _Lines(batch.column("text"), least_words)
+            types = {"id": batch.column("id").type, "tag": pa.int64(), "lines": found.type, "bucket": pa.int32(), "data": pa.binary()}
+            kind = pa.array(np.full(batch.num_rows, LISTED, np.int32))
+            texts = [batch.column("id"), batch.column("tag"), found, kind]
+            yield filled(pa.RecordBatch.from_arrays(texts, ["id", "tag", "lines", "kind"]).filter(pa.compute.greater(pa.compute.list_value_length(found), 0)))
             if len(sent) > REMEMBERED:
                 sent.clear()
             own.only(np.array([not (x in sent or sent.add(x)) for x in own.h.tolist()], bool))
-            text = own.text
-            many = (own.length >= BY_WORDS[0]) & (own.words >= BY_WORDS[1])
-            # a line that is a little shorter than EXACT can be near one that is not
-            few = ((own.length <= BY_BYTES[0]) | (own.words <= BY_BYTES[1])) & (own.length >= int(EXACT * similarity))
-            keys = [
-                keys_by_words(own.hashes, own.first[many], own.words[many]).ravel(),
-                keys_by_bytes(text, own.begin[few], own.length[few]).ravel(),
-            ]
-            nodes = [np.repeat(own.h[many], BLOCKS), np.repeat(own.h[few], BLOCKS)]
-            for i in np.flatnonzero(own.length < EXACT):
-                parts = segments(text[own.begin[i] : own.begin[i] + own.length[i]].tobytes(), similarity)
-                keys.append(np.array(parts, np.int64))
-                nodes.append(np.full(len(parts), own.h[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-    return docs.select("text").mapInArrow(lean(run), "key long, node long")
+            sketches, marks, number, keys = _sketched(own, similarity)
+            yield from map(filled, keyed.add(*linepairs.key_records(keys, np.repeat(own.h, number))))
+            yield from map(filled, known.add(*linepairs.fact_records(own.h, own.length, own.words, marks, sketches)))
+        yield from map(filled, [*keyed.rest(), *known.rest()])
+
+    return docs.mapInArrow(lean(run), schema)
+
+
+def _sketched(own: _Lines, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches of byte pairs and SimHashes of some lines; the number of keys of each and the keys."""
+    text = own.text
+    many = (own.length >= BY_WORDS[0]) & (own.words >= BY_WORDS[1])
+    # a line that is a little shorter than EXACT can be near one that is not
+    few = ((own.length <= BY_BYTES[0]) | (own.words <= BY_BYTES[1])) & (own.length >= int(EXACT * similarity))
+    by_words, marked = keys_by_words(own.hashes, own.first[many], own.words[many])
+    by_bytes_ = keys_by_bytes(text, own.begin[few], own.length[few])
+    short = np.flatnonzero(own.length < EXACT)
+    parts = [segments(text[own.begin[i] : own.begin[i] + own.length[i]].tobytes(), similarity) for i in short]
+    number = BLOCKS * (many.astype(np.int64) + few)
+    number[short] += np.array([len(x) for x in parts], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(number)])
+    keys = np.zeros(bounds[-1], np.int64)
+    blocks = np.arange(BLOCKS)
+    keys[bounds[:-1][many][:, None] + blocks] = by_words
+    keys[(bounds[:-1] + BLOCKS * many)[few][:, None] + blocks] = by_bytes_
+    for i, x in zip(short, parts, strict=True):
+        keys[bounds[i + 1] - len(x) : bounds[i + 1]] = x
+    marks = np.zeros(len(many), np.uint64)
+    marks[many] = marked
+    start, place = _places(own.first[~many], own.words[~many])
+    if len(place):
+        marks[~many] = simhash(own.hashes[place], start, own.words[~many])
+    start, place = _places(own.begin, own.length)
+    sketches = pair_sketches(text[place], np.concatenate([start, [len(place)]]))
+    return sketches, marks.view(np.int64), number, keys
 
 
 def _texts(asked: DataFrame) -> DataFrame:
-    """``node``, the normalised text of the asked lines, its length, the number of its words, their SimHash and the sketch of its
-    byte pairs."""
+    """``node`` and the normalised text of the asked lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -319,93 +342,39 @@ def _texts(asked: DataFrame) -> DataFrame:
                 own = text.encode().split(b"\n")
                 for w in wanted:
                     nodes.append(w["node"])
-                    lines.append(normalised(own[w["line"]]).decode())
-            texts = pa.array(lines, pa.string())
-            data, bounds = raw(texts)
-            hashes, at, _, _ = words_in(data, bounds, lower=True, breaks=BREAKS)  # every line has a word
-            words = np.diff(at)
-            marks = simhash(hashes, at[:-1], words).view(np.int64) if len(lines) else np.zeros(0, np.int64)
-            pairs = pa.FixedSizeListArray.from_arrays(pa.array(pair_sketches(data, bounds).ravel()), PAIR_BITS // 64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(nodes, pa.int64()), texts.cast(pa.binary()), pa.array(np.diff(bounds)), pa.array(words), pa.array(marks),
-                    pairs.cast(pa.list_(pa.int64())),
-                ],
-                ["node", "words", "n", "w", "s", "p"],
-            )
+                    lines.append(normalised(own[w["line"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary())], ["node", "words"])
 
-    return asked.mapInArrow(lean(run), "node long, words binary, n long, w long, s long, p array<long>")
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` that are near by their edit distance.
-
-    The distance in characters is never above that in bytes and is soon known to be too great in most lines, so it comes first
-    for all but very long ones.
-    """
-    one, two = texts.select("node", "words", "n").toDF("a", "wa", "na"), texts.select("node", "words", "n").toDF("b", "wb", "nb")
-    both = pairs.join(one, "a").join(two, "b")
-    more = F.greatest("na", "nb")
-    both = both.withColumn("most", F.floor((1 - similarity) * more + 1e-9).cast("int"))
-    soon = F.expr("levenshtein(cast(wa AS STRING), cast(wb AS STRING), most) >= 0")
-    both = both.where(F.when(more <= BY_CHARACTERS, soon).otherwise(True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fits = []
-            for one, other in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
-                most = edits(max(len(one), len(other)), similarity)
-                fits.append(distance(one, other, most) is not None)
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-    return both.select("a", "b", "wa", "wb").mapInArrow(lean(run), "a long, b long")
-
-
-def _near(x: str, y: str, similarity: float) -> Column:
-    """Whether two lines can be near: by their lengths, those with many words by their SimHashes, and all by their byte pairs,
-    whose sketches bound the edit distance from below."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    more = F.greatest(n, m)
-    most = F.floor((1 - similarity) * more + 1e-9)
-    close = F.abs(n - m) <= most
-    turned = F.zip_with(f"{x}.p", f"{y}.p", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    within = F.aggregate(turned, F.lit(0), lambda s, v: s + v) <= most * PER_EDIT
-    bits = F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s")))
-    reach = F.lit(64)
-    for least, most in REACH:
-        reach = F.when(more >= least, most).otherwise(reach)
-    worded = F.least(F.col(f"{x}.w"), F.col(f"{y}.w")) >= BY_WORDS[1]
-    return close & (~worded | (bits <= reach)) & within
+    return asked.mapInArrow(lean(run), "node long, words binary")
 
 
 def removed(docs: DataFrame, scratch: Scratch, similarity: float, least_words: int) -> DataFrame:
     """``id``, ``tag`` and ``gone``, the numbers of the lines that go."""
     docs = docs.where("id IS NOT NULL")
-    listed = scratch.keep(_listed(docs, least_words), "lines")
+    parts = [LISTED, linepairs.KEYS, linepairs.FACTS]
+    listed, keys, facts = scratch.keep_parts(_read(docs, least_words, similarity), "lines", "kind", parts)
     each = listed.select("id", "tag", F.explode("lines").alias("x")).select("id", "tag", "x.h", "x.line")
     place = F.struct("id", "tag", "line")
     classes = scratch.keep(each.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("c")), "classes")
-    member = shared_keys(_keyed(docs, least_words, similarity), scratch)
-    nodes = member.select("node").distinct()
+    members = scratch.keep(linepairs.groups(keys.select("kind", "bucket", "data")), "members")
+    scratch.drop(keys)
+    near = {"similarity": similarity, "reach": REACH, "worded": BY_WORDS[1], "per_edit": PER_EDIT}
+    rows = scratch.keep(linepairs.candidates(members, facts.select("kind", "bucket", "data"), **near), "candidates")
+    scratch.drop(members, facts)
     wanted = (
-        classes.select(F.col("h").alias("node"), "first").join(nodes, "node").groupBy("first.id", "first.tag")
+        classes.select(F.col("h").alias("node"), "first").join(rows.select("node").distinct(), "node").groupBy("first.id", "first.tag")
         .agg(F.collect_list(F.struct("node", F.col("first.line").alias("line"))).alias("wanted"))
     )
     # what is asked for grows with the corpus, so it is never broadcast
     asked = docs.join(wanted.hint("merge"), ["id", "tag"]).dropDuplicates(["id", "tag"]).select("text", "wanted")
     texts = scratch.keep(_texts(asked), "texts")
-
-    def near(x: str, y: str) -> Column:
-        return _near(x, y, similarity)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _verify(pairs, texts, similarity)
-
-    roots = grouped(member, texts.select("node", "n", "w", "s", "p"), near, verify, scratch)
+    links = scratch.keep(linepairs.links(rows, texts, distance, **near), "links")
+    scratch.drop(rows, texts)
+    roots = components(links, scratch)
     # the first place of every class that occurs twice or belongs to a group
     rooted = classes.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("c > 1 OR root IS NOT NULL")
     rooted = scratch.keep(rooted.select("h", "first", F.coalesce("root", "h").alias("root")), "rooted", light=True)
-    scratch.drop(texts, classes, member)
+    scratch.drop(classes, links)
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     kept = rooted.join(kept, "root").select("h", "kept")
     gone = (
