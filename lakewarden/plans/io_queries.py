@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 from math import ceil
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +44,54 @@ ORACLE["csv_documents"] = f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5({_ke
 
 #: Text files that one task writes.
 FILES_PER_TASK = 5000
+#: The folder of rows without an id, as Spark's own writer names it.
+NO_ID = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_texts(texts: DataFrame, path: str) -> None:
+    """A file ``path/<task>/doc_id=<id>.txt`` for each id, with a line for each of its rows; those of an id must lie in one partition.
+
+    Spark's own writer, used for stores that are not mounted, makes a folder for every file and starts some processes for each of a local or
+    mounted folder, so there the tasks write themselves. A file gets its name when it is whole, so a task that is repeated leaves no half of one.
+    """
+    place = texts.sparkSession._jvm.java.net.URI(path)
+    if place.getScheme() not in (None, "file"):
+        texts.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(path)
+        return
+    root = place.getPath()
+    rows = texts.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("doc_id"), "value")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, own = f"{root}/{TaskContext.get().partitionId():05d}", f".{uuid.uuid4().hex}"
+        os.makedirs(place, exist_ok=True)
+        count, now, out = 0, None, None
+
+        def close() -> None:
+            out.close()
+            os.replace(f"{place}/{own}", f"{place}/doc_id={now}.txt")
+
+        for batch in batches:
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist(), strict=True):
+                if doc_id != now:
+                    if out is not None:
+                        close()
+                    now, out = doc_id, open(f"{place}/{own}", "wb")
+                    count += 1
+                out.write((value or b"") + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["files"])
+
+    os.makedirs(root, exist_ok=True)
+    rows.sortWithinPartitions("doc_id").mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def _document_files(spark: SparkSession, folder: str) -> str:
     path = _place(spark, "texts")
     texts = read_table(spark, folder, "documents").select("doc_id", F.col("text").alias("value"))
-    # a number of partitions that grows with the documents, and files moved by the tasks instead of one by one by the driver
+    # a number of partitions that grows with the documents
     parts = max(1, ceil(texts.count() / FILES_PER_TASK))
-    spread = texts.repartition(parts, "doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    spread.partitionBy("doc_id").text(path)
+    _write_texts(texts.repartition(parts, "doc_id"), path)
     return path
 
 
@@ -56,7 +99,7 @@ def _document_files(spark: SparkSession, folder: str) -> str:
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """One text file per document, read with its encoding detected."""
     docs = files.load_documents(spark, _document_files(spark, folder), recursive=True)
-    number = F.regexp_extract("doc_id", "doc_id=([0-9]+)/", 1).cast("long")
+    number = F.regexp_extract("doc_id", "doc_id=([0-9]+)[/.]", 1).cast("long")
     return docs.select(number.alias("doc_id"), F.md5("text").alias("text_md5"))
 
 

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from lakewarden.operators import validation
-from lakewarden.plans import jobs
+from lakewarden.plans import io_queries, jobs
 from lakewarden.session import cut, intermediates
 from lakewarden.sources import documents, sinks, tabular
 from lakewarden.streaming.ingest import findings_per_batch
@@ -45,6 +45,17 @@ def test_documents_and_inventory(spark, tmp_path):
     assert files["manual.pdf"].doc_type == "quality_manual"
 
 
+def test_text_files_equal_those_of_spark(spark, tmp_path):
+    """A file for each id, with a line for each of its rows; rows without an id or a text are there too, and no other file."""
+    rows = [(1, "one"), (2, None), (3, "a\nb ñ"), (3, "again"), (None, "no id"), (-4, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, value string").repartition(3, "doc_id")
+    io_queries._write_texts(texts, f"file://{tmp_path}/own")
+    texts.write.partitionBy("doc_id").text(f"file://{tmp_path}/spark")
+    own = {p.stem: sorted(p.read_text().split("\n")) for p in (tmp_path / "own").rglob("*") if p.is_file()}
+    other = {p.parent.name: sorted(p.read_text().split("\n")) for p in (tmp_path / "spark").rglob("part-*.txt")}
+    assert own == other and len(own) == 5
+
+
 def test_dictionary_last_row_wins(spark):
     raw = spark.createDataFrame(
         [
