@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +54,19 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, "^\\x{feff}", "")
 
 
+#: Small files that one task reads, and tasks for each core of the cluster that there are at least.
+FILES_PER_TASK, TASKS_PER_CORE = 5000, 3
+
+
 def _files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    return reader.load(folder).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    found = reader.load(folder)
+    # Spark packs files as if each had megabytes more, so small ones would make a task for every few
+    size = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(ceil(size / most), ceil(len(found._jdf.inputFiles()) / FILES_PER_TASK))
+    found = found.coalesce(max(tasks, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    return found.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
 
 
 def load_documents(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:

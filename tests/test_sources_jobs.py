@@ -2,6 +2,7 @@ import json
 import os
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.operators import validation
@@ -56,6 +57,22 @@ def test_text_files_equal_those_of_spark(spark, tmp_path):
     assert own == other and len(own) == 5
 
 
+@pytest.mark.parametrize("read", [documents.load_documents, documents.file_inventory])
+def test_small_files_share_tasks(spark, tmp_path, read):
+    """Spark alone makes a task for every few files, however small they are."""
+    for i in range(120):
+        (tmp_path / f"part{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"part{i % 3}" / f"{i}.txt").write_text(f"text {i}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = read(spark, str(tmp_path), recursive=True)
+        assert found.count() == 120
+        assert found.rdd.getNumPartitions() <= documents.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_dictionary_last_row_wins(spark):
     raw = spark.createDataFrame(
         [
