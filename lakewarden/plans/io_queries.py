@@ -54,11 +54,13 @@ def _write_texts(texts: DataFrame, path: str) -> None:
     Spark's own writer, used for stores that are not mounted, makes a folder for every file and starts some processes for each of a local or
     mounted folder, so there the tasks write themselves. A file gets its name when it is whole, so a task that is repeated leaves no half of one.
     """
-    place = texts.sparkSession._jvm.java.net.URI(path)
-    if place.getScheme() not in (None, "file"):
+    spark = texts.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # a path without a scheme lies in the cluster's own store
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
         texts.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc_id").text(path)
         return
-    root = place.getPath()
+    root = place.toUri().getPath()
     rows = texts.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("doc_id"), "value")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
